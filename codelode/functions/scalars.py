@@ -212,9 +212,7 @@ def shannon_entropy(text: Column) -> Column:
     """
     wide = F.hex(F.encode(text, "UTF-16BE"))
     units = (F.length(wide) / 4).cast("int")
-    low_bytes = F.transform(
-        F.sequence(F.lit(0), F.greatest(units - 1, F.lit(0))), lambda i: F.substring(wide, i * 4 + 3, F.lit(2))
-    )
+    low_bytes = F.regexp_extract_all(wide, F.lit("..(..)"), F.lit(1))
     start = F.struct(F.lit("").alias("prev"), F.lit(0).alias("run"), F.lit(0.0).alias("total"))
     closed = lambda acc: acc.total + F.when(acc.run > 1, acc.run * F.log2(acc.run.cast("double"))).otherwise(0.0)
     step = lambda acc, b: F.when(
@@ -409,10 +407,8 @@ def _uint(content: Column, offset: Column | int, size: int, little: Column | boo
 
 
 def _code_name(table: dict, code: Column, unknown: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
-    for value, name in table.items():
-        out = out.when(code == value, name)
-    return out.otherwise(unknown)
+    names = F.create_map(*[x for value, name in table.items() for x in (F.lit(value).cast("long"), F.lit(name))])
+    return F.coalesce(F.try_element_at(names, code), unknown)
 
 
 def native_header(content: Column) -> Column:
@@ -457,22 +453,22 @@ def native_header(content: Column) -> Column:
     mach_little = head.isin("CEFAEDFE", "CFFAEDFE")
     mach_cpu = _uint(content, 4, 4, mach_little)
     mach_base = mach_cpu.bitwiseAND(F.lit(0xFFFFFF).cast("long"))
-    mach_wide = mach_cpu.bitwiseAND(F.lit(0x01000000).cast("long")) != 0
-    mach_arch = F.concat(F.lit("cpu "), mach_base.cast("string"))
-    for (base, wide), name in MACHO_CPUS.items():
-        mach_arch = F.when((mach_base == base) & (mach_wide == wide), name).otherwise(mach_arch)
+    mach_names = {base + (0x01000000 if wide else 0): name for (base, wide), name in MACHO_CPUS.items()}
+    mach_kept = mach_cpu.bitwiseAND(F.lit(0x01FFFFFF).cast("long"))
     mach = row(
-        "MACHO",
-        mach_arch,
+        "MACH_O",
+        _code_name(mach_names, mach_kept, F.concat(F.lit("cpu "), mach_base.cast("string"))),
         F.when(head.isin("CFFAEDFE", "FEEDFACF"), 64).otherwise(32),
         F.when(mach_little, "little").otherwise("big"),
-        "Darwin",
+        "macOS",
     )
-    unknown = row("UNKNOWN", "unknown", 0, "unknown", "unknown")
+    fat = row("MACH_O", "fat (multiple slices)", 0, "?", "macOS")
+    unknown = row("UNKNOWN", "?", 0, "?", "?")
     return (
         F.when(size < 4, unknown)
         .when((head == "7F454C46") & (size >= 0x40), elf)
         .when(head.startswith("4D5A") & pe_ok & (pe_sig == "50450000"), pe)
+        .when(head.isin("CAFEBABE", "BEBAFECA"), fat)
         .when(head.isin("FEEDFACE", "CEFAEDFE", "FEEDFACF", "CFFAEDFE") & (size >= 8), mach)
         .otherwise(unknown)
     )

@@ -109,7 +109,16 @@ def find_bytes(files: DataFrame, needle: bytes | None, limit: int = 10_000) -> D
     )
 
 
-@F.pandas_udf("array<struct<offset:int,length:int,side:string>>")
+REGION = T.StructType(
+    [
+        T.StructField("offset", T.IntegerType()),
+        T.StructField("length", T.IntegerType()),
+        T.StructField("side", T.StringType()),
+    ]
+)
+
+
+@F.pandas_udf(T.ArrayType(REGION))
 def _regions(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for lefts, rights in batches:
         out = []

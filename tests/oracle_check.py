@@ -72,7 +72,12 @@ def main(argv: list[str]) -> None:
 
     sf_dir = "/root/testdata/sf0.01"
     wanted = [a for a in argv if not a.startswith("-")]
-    names = [n for n in entry.queries() if not wanted or any(w in n for w in wanted)]
+    areas = {fn.__module__.rsplit(".", 1)[-1]: None for fn in entry.queries().values()}
+    names = [
+        n
+        for n, fn in entry.queries().items()
+        if not wanted or n in wanted or fn.__module__.rsplit(".", 1)[-1] in [w for w in wanted if w in areas]
+    ]
     spark, con = local_session(8), duck(sf_dir)
     bad = 0
     for name in names:
