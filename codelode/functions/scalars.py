@@ -214,13 +214,13 @@ def shannon_entropy(text: Column) -> Column:
     units = (F.length(wide) / 4).cast("int")
     low_bytes = F.regexp_extract_all(wide, F.lit("..(..)"), F.lit(1))
     start = F.struct(F.lit("").alias("prev"), F.lit(0).alias("run"), F.lit(0.0).alias("total"))
-    closed = lambda acc: acc.total + F.when(acc.run > 1, acc.run * F.log2(acc.run.cast("double"))).otherwise(0.0)
+    count = units.cast("double")
+    share = lambda acc: acc.run / count
+    closed = lambda acc: acc.total - F.when(acc.run > 0, share(acc) * F.log2(share(acc))).otherwise(0.0)
     step = lambda acc, b: F.when(
         acc.prev == b, F.struct(b.alias("prev"), (acc.run + 1).alias("run"), acc.total.alias("total"))
     ).otherwise(F.struct(b.alias("prev"), F.lit(1).alias("run"), closed(acc).alias("total")))
-    summed = F.aggregate(F.array_sort(low_bytes), start, step, closed)
-    count = units.cast("double")
-    return F.when(units > 0, F.log2(count) - summed / count).otherwise(F.lit(0.0))
+    return F.when(units > 0, F.aggregate(F.array_sort(low_bytes), start, step, closed)).otherwise(F.lit(0.0))
 
 
 def control_char_heavy(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["usage", "text", "versions"]
+AREAS = ["usage", "text", "versions", "analysis"]
 
 
 def load_all():

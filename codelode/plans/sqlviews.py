@@ -88,7 +88,7 @@ VIEWS: dict[str, str] = {
         WHEN 18 THEN ['println','exec','append','getInstance','exit','add','loadLibrary'][CAST(l_linenumber AS INT)] END AS ref_name,
       CASE sel WHEN 12 THEN {method_desc('l_suppkey')} WHEN 13 THEN '([C)V' WHEN 14 THEN 'I' WHEN 18 THEN '()V' END AS ref_desc,
       CASE WHEN sel IN (2,3,8,9,10) THEN 'int' WHEN sel=7 THEN 'string' END AS const_kind,
-      CASE WHEN sel=7 THEN (CASE WHEN l_linenumber=1 THEN 'https://h'||(l_suppkey%9)||'.example/q?'||(l_partkey%7) ELSE 'lit'||(l_suppkey%50) END) END AS const_str,
+      CASE WHEN sel=7 THEN (CASE WHEN l_linenumber=1 THEN 'https://h'||(l_suppkey%9)||'.example/q?'||(l_partkey%7) WHEN l_linenumber=2 THEN 'ghijklmnopqrstuvwxyz'||upper(md5(CAST(l_suppkey AS VARCHAR)))||md5(CAST(l_suppkey AS VARCHAR)) ELSE 'lit'||(l_suppkey%50) END) END AS const_str,
       CAST(CASE sel WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 8 THEN floor(l_extendedprice) WHEN 9 THEN qty WHEN 10 THEN qty*100 END AS BIGINT) AS const_long,
       CASE WHEN sel=16 THEN qty*2 END AS switch_cases,
       CASE WHEN sel=19 THEN (CASE WHEN l_suppkey%10=0 THEN 'com/licel/stringer/Boot' ELSE 'java/lang/invoke/Factory' END) END AS bsm_owner,
@@ -98,8 +98,8 @@ VIEWS: dict[str, str] = {
       'q'||(p_partkey%4) AS name, {method_desc('p_partkey')} AS "desc",
       CAST(CASE WHEN p_size%10=0 THEN 257 WHEN p_size%2=0 THEN 9 ELSE 1 END AS INT) AS access FROM part""",
     "code_classes": f"""SELECT 'a'||(p_partkey%5) AS archive_id, {cls('p_partkey')} AS owner,
-      coalesce(CASE p_partkey%17 WHEN 0 THEN 'a' WHEN 1 THEN 'IlIl1' WHEN 2 THEN 'Il1O0Il1O0Il1O0Il1O0Il1O0' WHEN 3 THEN 'Größe' WHEN 4 THEN 'StringerHelper' END, 'C'||p_partkey) AS simple_name,
-      'k'||(p_partkey%20)||'/'||coalesce(CASE p_partkey%17 WHEN 0 THEN 'a' WHEN 1 THEN 'IlIl1' WHEN 2 THEN 'Il1O0Il1O0Il1O0Il1O0Il1O0' WHEN 3 THEN 'Größe' WHEN 4 THEN 'StringerHelper' END, 'C'||p_partkey) AS internal_name
+      coalesce(CASE WHEN p_partkey%17<8 THEN (CASE p_partkey%5 WHEN 0 THEN 'a' WHEN 1 THEN 'IlIl1' WHEN 2 THEN 'Il1O0Il1O0Il1O0Il1O0Il1O0' WHEN 3 THEN 'Größe' WHEN 4 THEN 'StringerHelper' END) END, 'C'||p_partkey) AS simple_name,
+      'k'||(p_partkey%20)||'/'||coalesce(CASE WHEN p_partkey%17<8 THEN (CASE p_partkey%5 WHEN 0 THEN 'a' WHEN 1 THEN 'IlIl1' WHEN 2 THEN 'Il1O0Il1O0Il1O0Il1O0Il1O0' WHEN 3 THEN 'Größe' WHEN 4 THEN 'StringerHelper' END) END, 'C'||p_partkey) AS internal_name
       FROM part WHERE p_partkey*4 < {NP}""",
     "code_resources": """SELECT 'a'||(page_id%5) AS archive_id,
       CASE page_id%40 WHEN 3 THEN 'META-INF/proguard/rules.pro' WHEN 4 THEN 'lib/natives/native0.so' WHEN 6 THEN 'META-INF/ALLATORI'
@@ -113,6 +113,15 @@ VIEWS: dict[str, str] = {
       CASE s_suppkey%4 WHEN 0 THEN s_suppkey*53-3 WHEN 1 THEN (s_suppkey//4)%3 END AS const_long FROM supplier""",
     "try_catch": """SELECT archive_id, owner, method, "desc", min(label) AS start_label, max(label) AS end_label, max(label) AS handler_label
       FROM instructions WHERE label IS NOT NULL GROUP BY ALL HAVING min(label) < max(label)""",
+    "code_annotations": f"""SELECT 'a'||(p_partkey%5) AS archive_id, 'class' AS target_kind, {cls('p_partkey')} AS owner, '' AS member, '' AS member_desc,
+       CASE WHEN p_partkey%4=0 THEN 'La.bad;' ELSE 'Lkotlin/Metadata;' END AS "desc", p_partkey%9<>0 AS visible FROM part WHERE p_partkey%6=0
+      UNION ALL SELECT 'a'||((p_partkey//4)%5), 'method', {cls('p_partkey//4')}, 'q'||(p_partkey%4), {method_desc('p_partkey')}, CASE WHEN p_partkey%3=0 THEN 'L<x>;' ELSE 'La/Test;' END, false FROM part WHERE p_partkey%5=0""",
+    "code_headers": """SELECT * REPLACE ('a'||(CAST(substr(simple_name,2) AS BIGINT)%5) AS archive_id) FROM classes""",
+    "method_counts": """SELECT c.*, coalesce(j,0) AS jump_label_count FROM (SELECT archive_id, owner, method AS name, "desc", CAST(count(*) FILTER (WHERE opcode>=0) AS INT) AS real_count,
+       CAST(count(*) FILTER (WHERE pseudo_kind='LABEL') AS INT) AS label_count, CAST(count(*) FILTER (WHERE pseudo_kind='LINE') AS INT) AS line_count FROM instructions GROUP BY ALL) c
+      LEFT JOIN (SELECT i.archive_id, i.owner, i.method AS name, i."desc", CAST(count(*) AS INT) AS j FROM instructions i WHERE i.label IS NOT NULL AND (i.archive_id, i.owner, i.method, i."desc", i.label) IN
+       (SELECT archive_id, owner, method, "desc", CAST(unnest(jump_targets) AS INT) FROM instructions UNION SELECT archive_id, owner, method, "desc", start_label FROM try_catch UNION SELECT archive_id, owner, method, "desc", end_label FROM try_catch) GROUP BY ALL) r
+      USING (archive_id, owner, name, "desc")""",
     "doc_lines": """SELECT d.*, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) AS ordinal FROM documents d""",
     "constant_strings": """SELECT 'app' AS archive_id, source||'.D'||doc_id AS class_name, value, CAST(ordinal AS INT) AS ordinal FROM doc_lines""",
     "string_sites": """SELECT 'app' AS archive_id, source AS in_class, 'd'||doc_id AS in_member, '()V' AS in_desc, 'LDC' AS source, value, CAST(ordinal AS INT) AS line FROM doc_lines""",
@@ -165,6 +174,8 @@ _NEEDS = {
     "insn_lab": ["insn_raw"],
     "instructions": ["insn_lab"],
     "try_catch": ["instructions"],
+    "method_counts": ["try_catch"],
+    "code_headers": ["classes"],
     "constant_strings": ["doc_lines"],
     "string_sites": ["doc_lines"],
     "resource_kinds": ["resources"],

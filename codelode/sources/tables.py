@@ -205,6 +205,9 @@ def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = lambda *cs: F.filter(F.array(*cs), lambda x: x.isNotNull())
     text_const = F.when(
         F.col("l_linenumber") == 1, F.concat(F.lit("https://h"), _s(s % 9), F.lit(".example/q?"), _s(k % 7))
+    ).when(
+        F.col("l_linenumber") == 2,
+        F.concat(F.lit("ghijklmnopqrstuvwxyz"), F.upper(F.md5(_s(s).cast("binary"))), F.md5(_s(s).cast("binary"))),
     ).otherwise(F.concat(F.lit("lit"), _s(s % 50)))
     ref_owner = pick(
         {
@@ -310,7 +313,7 @@ def code_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes that own the code methods, some with tell-tale names, in five archives."""
     k = F.col("p_partkey")
     np = part_count(spark, sf_dir)
-    odd = _case(k % 17, {i: F.lit(v) for i, v in ODD_NAMES.items()})
+    odd = F.when(k % 17 < 8, _case(k % 5, {i: F.lit(v) for i, v in ODD_NAMES.items()}))
     simple = F.coalesce(odd, F.concat(F.lit("C"), _s(k)))
     package = F.concat(F.lit("k"), _s(k % 20))
     return (
@@ -353,6 +356,33 @@ def code_local_vars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def code_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class annotations on every sixth part's class and method annotations on some methods."""
+    k = F.col("p_partkey")
+    cls = class_name(k)
+    on_class = read(spark, sf_dir, "part").filter(k % 6 == 0).select(
+        class_archive(k).alias("archive_id"), F.lit("class").alias("target_kind"), cls.alias("owner"),
+        F.lit("").alias("member"), F.lit("").alias("member_desc"),
+        F.when(k % 4 == 0, "La.bad;").otherwise("Lkotlin/Metadata;").alias("desc"), (k % 9 != 0).alias("visible"),
+    )
+    on_method = read(spark, sf_dir, "part").filter(k % 5 == 0).select(
+        code_archive(k).alias("archive_id"), F.lit("method").alias("target_kind"), class_name(_div(k, 4)).alias("owner"),
+        F.concat(F.lit("q"), _s(k % 4)).alias("member"), _method_desc(k).alias("member_desc"),
+        F.when(k % 3 == 0, "L<x>;").otherwise("La/Test;").alias("desc"), F.lit(False).alias("visible"),
+    )
+    return on_class.unionByName(on_method)
+
+
+def class_archive(key: Column) -> Column:
+    return F.concat(F.lit("a"), _s(key % 5))
+
+
+def code_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`classes` in the five archives of the code tables."""
+    key = F.substring("simple_name", 2, 20).cast("long")
+    return classes(spark, sf_dir).withColumn("archive_id", class_archive(key))
+
+
 def code_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     kind = F.when(k % 4 == 0, "int").when(k % 4 == 1, "long").when(k % 4 == 2, "string")
