@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelode.session import cut_lineage
+
 
 def carry_forward(
     rows: DataFrame, keys: list[str], order: str, values: dict[str, Column], block: int = 1 << 16
@@ -31,3 +33,25 @@ def carry_forward(
         local = local.withColumn(f"_l_{n}", F.last(f"_v_{n}", ignorenulls=True).over(inside))
     joined = local.join(carried, [*keys, "_block"], "left")
     return joined.select(*rows.columns, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in values])
+
+
+def number_rows(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Number rows 0, 1, 2, ... per ``group`` in ``order`` without gathering a group in one task.
+
+    Rows are range-partitioned by group and order, numbered within their partition, and shifted by the
+    counts of the partitions before.  Placement is written down first: range boundaries are sampled,
+    and a recomputed sample could place a row elsewhere.
+    """
+    placed = cut_lineage(
+        rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id())
+    )
+    inside = Window.partitionBy("_part", *group).orderBy(*order)
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = placed.groupBy("_part", *group).agg(F.count("*").alias("_n")).select(
+        "_part", *group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")
+    )
+    return (
+        placed.withColumn("_at", F.row_number().over(inside) - 1)
+        .join(shifts, ["_part", *group])
+        .select(*rows.columns, (F.col("_at") + F.col("_shift")).cast("long").alias(name))
+    )

@@ -363,10 +363,14 @@ def _matching(corpus: Corpus, target: str, predicates: list[Predicate]) -> DataF
 
 def evaluate(corpus: Corpus, target: str, *predicates: Predicate) -> DataFrame:
     """One row per match: ``archive_id, kind, class_name, member, desc``."""
-    hits = _matching(corpus, target, list(predicates)).filter("_match")
+    return _result_rows(_matching(corpus, target, list(predicates)).filter("_match"), target)
+
+
+def _result_rows(hits: DataFrame, target: str, *extra: str) -> DataFrame:
     is_class = target == "class"
     nothing = F.lit(None).cast("string")
     return hits.select(
+        *extra,
         "archive_id",
         F.lit(target.upper()).alias("kind"),
         S.dotted(F.col("internal_name" if is_class else "owner")).alias("class_name"),
@@ -375,6 +379,25 @@ def evaluate(corpus: Corpus, target: str, *predicates: Predicate) -> DataFrame:
     )
 
 
+def evaluate_all(corpus: Corpus, patterns: dict[str, tuple[str, list[Predicate]]]) -> DataFrame:
+    """Many named patterns at once: :func:`evaluate` rows with a ``pattern`` column.
+
+    Patterns on the same kind of target share one scan of each table they read.
+    """
+    out = None
+    for target in ("class", "method", "field"):
+        named = {n: preds for n, (t, preds) in patterns.items() if t == target}
+        if not named:
+            continue
+        scope = _Scope(target)
+        matches = {n: reduce(lambda a, b: a & b, [p.compile(scope) for p in preds], F.lit(True)) for n, preds in named.items()}
+        hit = F.filter(F.array(*[F.when(m, F.lit(n)) for n, m in matches.items()]), lambda x: x.isNotNull())
+        rows = _with_flags(corpus, corpus.table(target), scope).withColumn("pattern", F.explode(hit))
+        found = _result_rows(rows, target, "pattern")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def method_counts(instructions: DataFrame, try_catch: DataFrame) -> DataFrame:
     """Node counts per method: real instructions, labels, labels that code refers to, line markers."""
     key = ["archive_id", "owner", "method", "desc"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["usage", "text", "versions", "analysis"]
+AREAS = ["usage", "text", "versions", "analysis", "rewrites"]
 
 
 def load_all():

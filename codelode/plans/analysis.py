@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,9 +62,7 @@ _call = lambda *xs: "(opcode BETWEEN 182 AND 185 AND ref_owner||'.'||ref_name IN
     _M.format(n="exit callers", c=_call("java/lang/System.exit"), more=""),
 ])))
 def pattern_library(spark, sf):
-    corpus = _corpus(spark, sf)
-    found = [P.evaluate(corpus, target, *preds).withColumn("pattern", F.lit(n)) for n, (target, preds) in P.library().items()]
-    return reduce(DataFrame.unionByName, found)
+    return P.evaluate_all(_corpus(spark, sf), P.library())
 
 
 def _nested(q: str) -> str:

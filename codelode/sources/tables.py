@@ -9,7 +9,7 @@ column pruning still reach the Parquet scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 APP = "app"
@@ -45,35 +45,36 @@ def _method_desc(key: Column) -> Column:
 # --- classes and members -----------------------------------------------------------------------
 
 
+def class_name_sql(key: str) -> str:
+    return f"concat('k', ({key}) % 20, '/C', {key})"
+
+
+def _method_desc_sql(key: str) -> str:
+    return f"CASE ({key}) % 3 WHEN 0 THEN '{STRING_DESC}' WHEN 1 THEN '{INT_STRING_DESC}' ELSE '()V' END"
+
+
+# The three views that most queries read are written as SQL text: building a plan then costs one call
+# to the JVM per column instead of one per operator.
+
+
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, size = F.col("p_partkey"), F.col("p_size")
-    name = class_name(k)
-    access = (
-        F.when(size % 6 == 0, 0x4001)
-        .when(size % 6 == 1, 0x0601)
-        .when(size % 6 == 2, 0x0401)
-        .when(size % 6 == 3, 0x10001)
-        .when(size % 6 == 4, 0x2201)
-        .otherwise(0x0021)
-    )
-    return read(spark, sf_dir, "part").select(
-        F.lit(APP).alias("archive_id"),
-        name.alias("internal_name"),
-        F.translate(name, "/", ".").alias("name"),
-        F.concat(F.lit("k"), _s(k % 20)).alias("package_name"),
-        F.concat(F.lit("C"), _s(k)).alias("simple_name"),
-        F.when(k == 0, "java/lang/Object").otherwise(class_name(_div(k, 4))).alias("super_name"),
-        F.array(F.concat(F.lit("i/"), F.col("p_brand"))).alias("interfaces"),
-        access.cast("int").alias("access"),
-        (F.lit(43) + size % 30).cast("int").alias("major"),
-        (size % 3).cast("int").alias("runtime_version"),
-        F.when(k % 4 == 0, F.concat(F.lit("C"), _s(k), F.lit(".java")))
-        .when(k % 4 == 1, F.lit(None))
-        .when(k % 4 == 2, F.lit("x.bin"))
-        .otherwise(F.concat(F.lit("C"), _s(k), F.lit(".kt")))
-        .cast("string")
-        .alias("source_file"),
-        F.encode("p_name", "UTF-8").alias("bytes"),
+    own = class_name_sql("p_partkey")
+    return read(spark, sf_dir, "part").selectExpr(
+        f"'{APP}' AS archive_id",
+        f"{own} AS internal_name",
+        f"translate({own}, '/', '.') AS name",
+        "concat('k', p_partkey % 20) AS package_name",
+        "concat('C', p_partkey) AS simple_name",
+        f"CASE WHEN p_partkey = 0 THEN 'java/lang/Object' ELSE {class_name_sql('p_partkey div 4')} END AS super_name",
+        "array(concat('i/', p_brand)) AS interfaces",
+        # enum, interface, abstract, record, annotation, plain; all but the last public
+        """CAST(CASE p_size % 6 WHEN 0 THEN 16385 WHEN 1 THEN 1537 WHEN 2 THEN 1025 WHEN 3 THEN 65537
+             WHEN 4 THEN 8705 ELSE 33 END AS INT) AS access""",
+        "CAST(43 + p_size % 30 AS INT) AS major",
+        "CAST(p_size % 3 AS INT) AS runtime_version",
+        """CASE p_partkey % 4 WHEN 0 THEN concat('C', p_partkey, '.java') WHEN 2 THEN 'x.bin'
+             WHEN 3 THEN concat('C', p_partkey, '.kt') END AS source_file""",
+        "encode(p_name, 'UTF-8') AS bytes",
     )
 
 
@@ -114,36 +115,22 @@ def version_fields(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
 
 
 def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flag = F.concat("l_returnflag", "l_linestatus")
-    kind = (
-        F.when(flag == "AF", "INVOKE_VIRTUAL")
-        .when(flag == "AO", "INVOKE_STATIC")
-        .when(flag == "RO", "INVOKE_INTERFACE")
-        .when(flag == "NF", "GETFIELD")
-        .when(flag == "NO", "PUTSTATIC")
-        .otherwise("NEW")
-    )
-    member = _s(F.col("l_suppkey") % 7 + 1)
-    is_field = flag.isin("NF", "NO")
-    is_call = flag.isin("AF", "AO", "RO")
     np = part_count(spark, sf_dir)
-    return read(spark, sf_dir, "lineitem").select(
-        F.lit(APP).alias("archive_id"),
-        class_name(F.col("l_orderkey") % np).alias("in_class"),
-        F.concat(F.lit("m"), _s(F.col("l_linenumber"))).alias("in_method"),
-        F.lit("()V").alias("in_desc"),
-        kind.alias("kind"),
-        class_name(F.col("l_partkey")).alias("target_owner"),
-        F.when(is_field, F.concat(F.lit("f"), member))
-        .when(is_call, F.concat(F.lit("m"), member))
-        .otherwise("")
-        .alias("target_name"),
-        F.when(is_field, "I").when(is_call, "()V").otherwise("").alias("target_desc"),
-        F.col("l_quantity").cast("int").alias("line"),
-        (
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000000
-            + F.round(F.col("l_extendedprice") * 100).cast("long")
-        ).alias("site_idx"),
+    flags = "concat(l_returnflag, l_linestatus)"
+    member = "l_suppkey % 7 + 1"
+    return read(spark, sf_dir, "lineitem").selectExpr(
+        f"'{APP}' AS archive_id",
+        f"{class_name_sql(f'l_orderkey % {np}')} AS in_class",
+        "concat('m', l_linenumber) AS in_method",
+        "'()V' AS in_desc",
+        f"""CASE {flags} WHEN 'AF' THEN 'INVOKE_VIRTUAL' WHEN 'AO' THEN 'INVOKE_STATIC' WHEN 'RO' THEN 'INVOKE_INTERFACE'
+              WHEN 'NF' THEN 'GETFIELD' WHEN 'NO' THEN 'PUTSTATIC' ELSE 'NEW' END AS kind""",
+        f"{class_name_sql('l_partkey')} AS target_owner",
+        f"""CASE WHEN {flags} IN ('NF','NO') THEN concat('f', {member}) WHEN {flags} IN ('AF','AO','RO')
+              THEN concat('m', {member}) ELSE '' END AS target_name""",
+        f"CASE WHEN {flags} IN ('NF','NO') THEN 'I' WHEN {flags} IN ('AF','AO','RO') THEN '()V' ELSE '' END AS target_desc",
+        "CAST(l_quantity AS INT) AS line",
+        "(l_orderkey * 10 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS site_idx",
     )
 
 
@@ -177,111 +164,69 @@ def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A real method holds at most 65 535 bytes of code, so a window over one method is always small.
     """
-    k, s, qty = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("int")
-    sel = F.col("sel")
-    by_method = Window.partitionBy("l_partkey").orderBy(
-        "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"
-    )
-    rows = read(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity",
-        ((s * 7 + F.col("l_linenumber") * 3 + qty) % 20).alias("sel"),
-    ).withColumn("idx", F.row_number().over(by_method))
-    label = F.when(sel == 0, F.col("idx"))
-    after = F.first(label, ignorenulls=True).over(by_method.rowsBetween(1, Window.unboundedFollowing))
-    before = F.last(label, ignorenulls=True).over(by_method.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("next_label", after).withColumn("prev_label", before)
-    pick = lambda pairs, default=None: _case(sel, pairs, default)
-    callee = (
-        F.when(F.col("l_linenumber") == 1, "java/io/PrintStream.println")
-        .when(F.col("l_linenumber") == 2, "java/lang/Runtime.exec")
-        .when(F.col("l_linenumber") == 3, "java/lang/StringBuilder.append")
-        .when(F.col("l_linenumber") == 4, "java/security/MessageDigest.getInstance")
-        .when(F.col("l_linenumber") == 5, "java/lang/System.exit")
-        .when(F.col("l_linenumber") == 6, "java/util/List.add")
-        .otherwise("java/lang/System.loadLibrary")
-    )
-    own = class_name(_div(k, 4))
-    jumps = F.coalesce(F.col("next_label"), F.col("prev_label"))
-    some = lambda *cs: F.filter(F.array(*cs), lambda x: x.isNotNull())
-    text_const = F.when(
-        F.col("l_linenumber") == 1, F.concat(F.lit("https://h"), _s(s % 9), F.lit(".example/q?"), _s(k % 7))
-    ).when(
-        F.col("l_linenumber") == 2,
-        F.concat(F.lit("ghijklmnopqrstuvwxyz"), F.upper(F.md5(_s(s).cast("binary"))), F.md5(_s(s).cast("binary"))),
-    ).otherwise(F.concat(F.lit("lit"), _s(s % 50)))
-    ref_owner = pick(
-        {
-            12: class_name(_div(s, 4)),
-            13: F.lit("java/lang/String"),
-            14: class_name(s),
-            17: F.when(s % 2 == 1, own).otherwise("java/lang/Thread"),
-            18: F.substring_index(callee, ".", 1),
-        }
-    )
-    ref_name = pick(
-        {
-            12: F.concat(F.lit("q"), _s(s % 4)),
-            13: F.lit("<init>"),
-            14: F.concat(F.lit("f"), _s(s)),
-            18: F.substring_index(callee, ".", -1),
-        }
-    )
-    ref_desc = pick({12: _method_desc(s), 13: F.lit("([C)V"), 14: F.lit("I"), 18: F.lit("()V")})
-    opcode = pick({i: F.lit(v) for i, v in OPCODE_BY_SELECTOR.items()})
-    return rows.select(
-        code_archive(k).alias("archive_id"),
-        own.alias("owner"),
-        F.concat(F.lit("q"), _s(k % 4)).alias("method"),
-        _method_desc(k).alias("desc"),
-        F.col("idx").cast("int").alias("idx"),
-        opcode.cast("int").alias("opcode"),
-        pick({i: F.lit(v) for i, v in MNEMONIC_BY_SELECTOR.items()}).alias("mnemonic"),
-        pick({0: F.lit("LABEL"), 1: F.lit("LINE")}).alias("pseudo_kind"),
-        F.when(sel == 1, qty).cast("int").alias("line"),
-        label.cast("int").alias("label"),
-        F.when(sel.isin(4, 5, 6), some(jumps))
-        .when(sel == 16, some(F.col("next_label"), F.col("prev_label")))
-        .otherwise(F.array())
-        .cast("array<int>")
-        .alias("jump_targets"),
-        ref_owner.alias("ref_owner"),
-        ref_name.alias("ref_name"),
-        ref_desc.alias("ref_desc"),
-        pick(
-            {2: F.lit("int"), 3: F.lit("int"), 7: F.lit("string"), 8: F.lit("int"), 9: F.lit("int"), 10: F.lit("int")}
-        ).alias("const_kind"),
-        F.when(sel == 7, text_const).alias("const_str"),
-        pick(
-            {
-                2: F.lit(0),
-                3: F.lit(1),
-                8: F.floor(F.col("l_extendedprice")),
-                9: qty,
-                10: qty * 100,
-            }
-        )
-        .cast("long")
-        .alias("const_long"),
-        F.lit(None).cast("double").alias("const_double"),
-        F.when(sel == 16, qty * 2).cast("int").alias("switch_cases"),
-        F.when(sel == 19, F.when(s % 10 == 0, "com/licel/stringer/Boot").otherwise("java/lang/invoke/Factory")).alias(
-            "bsm_owner"
-        ),
-        F.when(sel == 19, F.array(F.concat(F.lit("recipe"), _s(s % 5)))).alias("bsm_strings"),
-        F.concat_ws(" ", pick({i: F.lit(v) for i, v in MNEMONIC_BY_SELECTOR.items()}), ref_owner, ref_name, ref_desc).alias("text"),
-    )
-
-
-# --- fixed values: opcodes of the instruction set, by row selector -----------------------------
-OPCODE_BY_SELECTOR = {
-    0: -1, 1: -1, 2: 3, 3: 4, 4: 153, 5: 154, 6: 167, 7: 18, 8: 18, 9: 16,
-    10: 17, 11: 130, 12: 184, 13: 183, 14: 178, 15: 172, 16: 170, 17: 187, 18: 182, 19: 186,
-}
-MNEMONIC_BY_SELECTOR = {
-    0: "LABEL", 1: "LINE", 2: "ICONST_0", 3: "ICONST_1", 4: "IFEQ", 5: "IFNE", 6: "GOTO", 7: "LDC", 8: "LDC",
-    9: "BIPUSH", 10: "SIPUSH", 11: "IXOR", 12: "INVOKESTATIC", 13: "INVOKESPECIAL", 14: "GETSTATIC",
-    15: "IRETURN", 16: "TABLESWITCH", 17: "NEW", 18: "INVOKEVIRTUAL", 19: "INVOKEDYNAMIC",
-}
+    own = class_name_sql("l_partkey div 4")
+    by_method = "PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice"
+    numbered = read(spark, sf_dir, "lineitem").selectExpr(
+        "l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "CAST(l_quantity AS INT) AS qty",
+        "(l_suppkey * 7 + l_linenumber * 3 + CAST(l_quantity AS INT)) % 20 AS sel",
+        f"CAST(row_number() OVER ({by_method}) AS INT) AS idx",
+    )
+    labelled = numbered.selectExpr(
+        "*",
+        "CASE WHEN sel = 0 THEN idx END AS label",
+        """min(CASE WHEN sel = 0 THEN idx END) OVER (PARTITION BY l_partkey ORDER BY idx
+             ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_label""",
+        """max(CASE WHEN sel = 0 THEN idx END) OVER (PARTITION BY l_partkey ORDER BY idx
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_label""",
+    )
+    opcodes = ", ".join(str(OPCODES[i]) for i in range(20))
+    names = ", ".join(f"'{MNEMONICS[i]}'" for i in range(20))
+    mnemonic = f"element_at(array({names}), CAST(sel AS INT) + 1)"
+    ref_owner = f"""CASE sel WHEN 12 THEN {class_name_sql('l_suppkey div 4')} WHEN 13 THEN 'java/lang/String'
+        WHEN 14 THEN {class_name_sql('l_suppkey')} WHEN 17 THEN if(l_suppkey % 2 = 1, {own}, 'java/lang/Thread')
+        WHEN 18 THEN element_at(array('java/io/PrintStream','java/lang/Runtime','java/lang/StringBuilder',
+          'java/security/MessageDigest','java/lang/System','java/util/List','java/lang/System'), l_linenumber) END"""
+    ref_name = """CASE sel WHEN 12 THEN concat('q', l_suppkey % 4) WHEN 13 THEN '<init>' WHEN 14 THEN concat('f', l_suppkey)
+        WHEN 18 THEN element_at(array('println','exec','append','getInstance','exit','add','loadLibrary'), l_linenumber) END"""
+    ref_desc = f"CASE sel WHEN 12 THEN {_method_desc_sql('l_suppkey')} WHEN 13 THEN '([C)V' WHEN 14 THEN 'I' WHEN 18 THEN '()V' END"
+    text = """CASE l_linenumber WHEN 1 THEN concat('https://h', l_suppkey % 9, '.example/q?', l_partkey % 7)
+        WHEN 2 THEN concat('ghijklmnopqrstuvwxyz', upper(md5(CAST(CAST(l_suppkey AS STRING) AS BINARY))), md5(CAST(CAST(l_suppkey AS STRING) AS BINARY)))
+        ELSE concat('lit', l_suppkey % 50) END"""
+    some = lambda labels: f"filter(array({labels}), x -> x IS NOT NULL)"
+    return labelled.selectExpr(
+        "concat('a', (l_partkey div 4) % 5) AS archive_id",
+        f"{own} AS owner",
+        "concat('q', l_partkey % 4) AS method",
+        f"{_method_desc_sql('l_partkey')} AS desc",
+        "idx",
+        f"element_at(array({opcodes}), CAST(sel AS INT) + 1) AS opcode",
+        f"{mnemonic} AS mnemonic",
+        "CASE sel WHEN 0 THEN 'LABEL' WHEN 1 THEN 'LINE' END AS pseudo_kind",
+        "CASE WHEN sel = 1 THEN qty END AS line",
+        "label",
+        f"""CASE WHEN sel IN (4, 5, 6) THEN {some('coalesce(next_label, prev_label)')}
+             WHEN sel = 16 THEN {some('next_label, prev_label')} ELSE CAST(array() AS ARRAY<INT>) END AS jump_targets""",
+        f"{ref_owner} AS ref_owner",
+        f"{ref_name} AS ref_name",
+        f"{ref_desc} AS ref_desc",
+        "CASE WHEN sel IN (2, 3, 8, 9, 10) THEN 'int' WHEN sel = 7 THEN 'string' END AS const_kind",
+        f"CASE WHEN sel = 7 THEN {text} END AS const_str",
+        """CAST(CASE sel WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 8 THEN floor(l_extendedprice) WHEN 9 THEN qty
+             WHEN 10 THEN qty * 100 END AS BIGINT) AS const_long""",
+        "CAST(NULL AS DOUBLE) AS const_double",
+        "CASE WHEN sel = 16 THEN qty * 2 END AS switch_cases",
+        "CASE WHEN sel = 19 THEN if(l_suppkey % 10 = 0, 'com/licel/stringer/Boot', 'java/lang/invoke/Factory') END AS bsm_owner",
+        "CASE WHEN sel = 19 THEN array(concat('recipe', l_suppkey % 5)) END AS bsm_strings",
+        f"concat_ws(' ', {mnemonic}, {ref_owner}, {ref_name}, {ref_desc}) AS text",
+    )
+
+
+# --- fixed values: opcodes and mnemonics of the instruction set, by row selector ---------------
+OPCODES = [-1, -1, 3, 4, 153, 154, 167, 18, 18, 16, 17, 130, 184, 183, 178, 172, 170, 187, 182, 186]
+MNEMONICS = (
+    "LABEL LINE ICONST_0 ICONST_1 IFEQ IFNE GOTO LDC LDC BIPUSH SIPUSH IXOR INVOKESTATIC INVOKESPECIAL "
+    "GETSTATIC IRETURN TABLESWITCH NEW INVOKEVIRTUAL INVOKEDYNAMIC"
+).split()
 
 
 def _case(sel: Column, pairs: dict, default=None) -> Column:
