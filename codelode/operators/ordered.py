@@ -9,10 +9,13 @@ from codelode.session import cut_lineage
 
 
 def carry_forward(
-    rows: DataFrame, keys: list[str], order: str, values: dict[str, Column], block: int = 1 << 16
-) -> DataFrame:
+    rows: DataFrame, keys: list[str], order: str, values: dict[str, Column],
+    block: int = 1 << 16, inclusive: bool = True,
+) -> DataFrame:
     """Last non-null ``values`` at or before each row, per key in ``order`` (an integer column).
 
+    With ``inclusive`` off the row itself does not count.
+
     Groups are cut into blocks of ``order``: a window runs within each block, the few block
     summaries are carried forward among themselves and joined back.  A group of any length is
     spread over tasks, and the join reuses the partitioning of the window.
@@ -20,7 +23,8 @@ def carry_forward(
     blocked = rows.withColumn("_block", F.floor(F.col(order) / block))
     for name, value in values.items():
         blocked = blocked.withColumn(f"_v_{name}", value)
-    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    upto = 0 if inclusive else -1
+    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, upto)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     ends = blocked.groupBy(*keys, "_block").agg(
         *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(f"_e_{n}") for n in values]

@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codelode.functions import scalars as S
 from codelode.functions.access import bit
@@ -438,43 +439,44 @@ def strip_after_terminators(instructions: DataFrame, try_catch: DataFrame) -> tu
     return _without(instructions, removed), counter(removed, "unreachable-after-terminator", "instructions-removed")
 
 
-_DEAD_SCHEMA = "archive_id string, owner string, method string, desc string, idx int"
-
-
-def _dead_rows(code: pd.DataFrame, handlers: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one method that no flow or handler edge reaches; none when the flow is malformed."""
-    code = code.sort_values("idx").reset_index(drop=True)
-    nothing = code.iloc[:0][["archive_id", "owner", "method", "desc", "idx"]]
-    size = len(code)
-    place = {int(label): i for i, label in enumerate(code["label"]) if pd.notna(label)}
-    ops = code["opcode"].tolist()
-    targets = code["jump_targets"].tolist()
-    spans = [
-        (place.get(int(s), -1), place.get(int(e), size), place.get(int(h), -1))
-        for s, e, h in zip(handlers["start_label"], handlers["end_label"], handlers["handler_label"])
-    ]
-    if not size or any(s < 0 or h < 0 for s, _, h in spans):
-        return nothing
+def _dead_positions(ops, labels, targets, markers, spans) -> list[int]:
+    """Positions of one method that no flow or handler edge reaches; none when the flow is malformed."""
+    size = len(ops)
+    place = {label: i for i, label in enumerate(labels) if label >= 0}
+    ranges = [(place.get(s, -1), place.get(e, size), place.get(h, -1)) for s, e, h in spans]
+    if any(start < 0 or handler < 0 for start, _, handler in ranges):
+        return []
     stops = set(TERMINATORS)
     reached = [False] * size
     todo = [0]
     while todo:
         at = todo.pop()
         if at >= size:
-            return nothing
+            return []
         if reached[at]:
             continue
         reached[at] = True
         if ops[at] >= 0:
             for label in targets[at]:
-                if int(label) not in place:
-                    return nothing
-                todo.append(place[int(label)])
+                if label not in place:
+                    return []
+                todo.append(place[label])
         if ops[at] not in stops:
             todo.append(at + 1)
-        todo.extend(h for s, e, h in spans if s <= at < e)
-    dead = [not r for r in reached] & ~code["pseudo_kind"].isin(["LABEL", "LINE"])
-    return code[dead][["archive_id", "owner", "method", "desc", "idx"]]
+        todo.extend(handler for start, end, handler in ranges if start <= at < end)
+    return [i for i in range(size) if not reached[i] and not markers[i]]
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _dead(ops: pd.Series, labels: pd.Series, targets: pd.Series, markers: pd.Series, spans: pd.Series) -> pd.Series:
+    """One method per row; a batch holds many methods."""
+    ints = lambda xs: [int(x) for x in xs]
+    return pd.Series(
+        [
+            _dead_positions(ints(o), ints(l), [ints(t) for t in ts], list(m), [ints(x) for x in sp])
+            for o, l, ts, m, sp in zip(ops, labels, targets, markers, spans)
+        ]
+    )
 
 
 def remove_dead_code(instructions: DataFrame, try_catch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -491,8 +493,26 @@ def remove_dead_code(instructions: DataFrame, try_catch: DataFrame) -> tuple[Dat
     code = instructions.select(*METHOD_KEY, "idx", "opcode", "pseudo_kind", "label", "jump_targets").join(
         suspects, METHOD_KEY, "left_semi"
     )
-    spans = try_catch.select(*METHOD_KEY, "start_label", "end_label", "handler_label")
-    spans = spans.toDF(*spans.columns)  # fresh columns: handlers may be derived from the same table
-    removed = code.groupBy(*METHOD_KEY).cogroup(spans.groupBy(*METHOD_KEY)).applyInPandas(_dead_rows, _DEAD_SCHEMA)
+    marker = F.coalesce(F.col("pseudo_kind").isin("LABEL", "LINE"), F.lit(False))
+    bodies = code.groupBy(*METHOD_KEY).agg(
+        F.sort_array(
+            F.collect_list(
+                F.struct("idx", "opcode", F.coalesce("label", F.lit(-1)).alias("label"), "jump_targets", marker.alias("marker"))
+            )
+        ).alias("b")
+    )
+    spans = try_catch.groupBy(*METHOD_KEY).agg(
+        F.collect_list(F.array("start_label", "end_label", "handler_label")).alias("spans")
+    )
+    no_spans = F.array().cast("array<array<int>>")
+    removed = (
+        bodies.join(spans, METHOD_KEY, "left")
+        .select(
+            *METHOD_KEY,
+            F.col("b.idx").alias("at"),
+            F.explode(_dead("b.opcode", "b.label", "b.jump_targets", "b.marker", F.coalesce("spans", no_spans))).alias("dead"),
+        )
+        .select(*METHOD_KEY, F.get("at", F.col("dead")).alias("idx"))
+    )
     return _without(instructions, removed), counter(removed, "dead-code-removal", "instructions-removed")
 

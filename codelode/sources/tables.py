@@ -472,6 +472,10 @@ def mapping_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots_of(read(spark, sf_dir, "events"))
+
+
+def snapshots_of(events: DataFrame) -> DataFrame:
     """Events as polled runtime snapshots: ``pid``, ``tick`` and one JSON object per poll."""
     u, v = F.col("user_id"), F.col("value")
     used = F.round(v * 100).cast("long") * 104857
@@ -504,15 +508,19 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("user.id"), _s(u), F.lit("Event.Type"), F.col("event_type"), F.lit("os.props"), F.col("props")
         ).alias("systemProperties"),
     )
-    return read(spark, sf_dir, "events").select(
+    return events.select(
         (u % 8).alias("pid"), F.col("event_id").alias("tick"), F.to_json(body).alias("json")
     )
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attempts_of(read(spark, sf_dir, "events"))
+
+
+def attempts_of(events: DataFrame) -> DataFrame:
     """Events as engine attempts: one chain per user and day, ordered by time."""
     e = F.col("event_type")
-    return read(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("u"), _s(F.col("user_id"))).alias("key"),
         F.concat(F.lit("u"), _s(F.col("user_id")), F.lit("@"), F.date_format("ts", "dd")).alias("chain"),
         F.col("event_id").alias("attempt_no"),
