@@ -77,9 +77,11 @@ def _is_valid_regex(frame: DataFrame, java_regex: str) -> bool:
 
 def resource_lines(resources: DataFrame) -> DataFrame:
     """Lines of the textual resources, numbered from 1; trailing empty lines are kept."""
+    # Bytes that are no UTF-8 become replacement characters instead of failing the job.
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     return (
         resources.filter(F.col("kind").isin(TEXT_KINDS))
-        .select("archive_id", "path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n", -1)).alias("pos", "text"))
+        .select("archive_id", "path", F.posexplode(F.split(text, "\n", -1)).alias("pos", "text"))
         .select("archive_id", "path", (F.col("pos") + 1).cast("int").alias("line_no"), "text")
     )
 

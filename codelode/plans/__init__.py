@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["usage", "text", "versions", "analysis", "rewrites", "streams"]
+AREAS = ["usage", "text", "versions", "analysis", "rewrites", "streams", "ingest"]
 
 
 def load_all():

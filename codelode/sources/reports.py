@@ -16,15 +16,19 @@ def write_report_json(report: DataFrame, path: str, mode: str = "overwrite") ->
     report_lines(report).coalesce(1).write.mode(mode).text(path)
 
 
-def write_facts(tables: dict[str, DataFrame], folder: str, mode: str = "overwrite") -> None:
-    """Fact tables as Parquet, partitioned by archive.
+def write_facts(tables: dict[str, DataFrame], folder: str, mode: str = "overwrite", directories: bool = False) -> None:
+    """Fact tables as Parquet, clustered by archive and owner.
 
-    Rows are clustered by archive and file-sorted by owner, so that a lookup prunes to a few row groups.
-    Archives are spread over tasks by archive and owner: a single huge archive does not end up in one.
+    Rows are range-partitioned, so a small archive lands in one file and a huge one is spread over many,
+    and the number of files stays near the number of tasks.  Look-ups by archive or owner prune on the
+    files' minima and maxima; ``directories`` adds one folder per archive, for corpora of few archives.
     """
     for name, table in tables.items():
-        cluster = [c for c in ("owner", "internal_name", "in_class", "path", "target_owner") if c in table.columns][:1]
-        laid_out = table.repartition("archive_id", *cluster) if cluster else table
-        laid_out.sortWithinPartitions("archive_id", *cluster).write.mode(mode).partitionBy("archive_id").parquet(
-            f"{folder}/{name}"
-        )
+        cluster = ["archive_id"] + [
+            c for c in ("target_owner", "owner", "internal_name", "in_class", "path", "value") if c in table.columns
+        ][:1]
+        laid_out = table.repartitionByRange(*cluster).sortWithinPartitions(*cluster)
+        writer = laid_out.write.mode(mode)
+        if directories:
+            writer = writer.partitionBy("archive_id")
+        writer.parquet(f"{folder}/{name}")

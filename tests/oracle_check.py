@@ -61,8 +61,9 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str, int]:
         return False, f"columns {sorted(df.columns)} != {sorted(cols)}", len(got)
     if got == want:
         return True, "match", len(got)
-    extra = [r for r in got if r not in set(want)][:3]
-    missing = [r for r in want if r not in set(got)][:3]
+    have, expected = set(got), set(want)
+    extra = [r for r in got if r not in expected][:3]
+    missing = [r for r in want if r not in have][:3]
     return False, f"rows {len(got)} vs {len(want)}; only spark {extra}; only duckdb {missing}", len(got)
 
 
