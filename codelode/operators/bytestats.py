@@ -109,43 +109,41 @@ def find_bytes(files: DataFrame, needle: bytes | None, limit: int = 10_000) -> D
     )
 
 
-REGION = T.StructType(
-    [
-        T.StructField("offset", T.IntegerType()),
-        T.StructField("length", T.IntegerType()),
-        T.StructField("side", T.StringType()),
-    ]
-)
-
-
-@F.pandas_udf(T.ArrayType(REGION))
-def _regions(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for lefts, rights in batches:
-        out = []
-        for left, right in zip(lefts, rights):
-            a = np.frombuffer(left or b"", dtype=np.uint8)
-            b = np.frombuffer(right or b"", dtype=np.uint8)
-            common = min(len(a), len(b))
-            rows = []
-            if common:
-                same = a[:common] == b[:common]
-                starts = np.flatnonzero(np.r_[True, same[1:] != same[:-1]])
-                ends = np.r_[starts[1:], common]
-                rows = [
-                    {"offset": int(s), "length": int(e - s), "side": "SAME" if same[s] else "CHANGED"}
-                    for s, e in zip(starts, ends)
-                ]
-            if len(a) != len(b):
-                side = "ONLY_LEFT" if len(a) > len(b) else "ONLY_RIGHT"
-                rows.append({"offset": common, "length": abs(len(a) - len(b)), "side": side})
-            out.append(rows)
-        yield pd.Series(out)
+SIDES = np.array(["CHANGED", "SAME", "ONLY_LEFT", "ONLY_RIGHT"], dtype=object)
+
+
+def _runs(left: bytes, right: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, lengths and sides (as numbers) of the runs of one pair."""
+    a, b = np.frombuffer(left or b"", dtype=np.uint8), np.frombuffer(right or b"", dtype=np.uint8)
+    common = min(len(a), len(b))
+    same = a[:common] == b[:common]
+    starts = np.flatnonzero(np.r_[common > 0, same[1:] != same[:-1]]) if common else np.empty(0, dtype=np.int64)
+    sides = same[starts].astype(np.int64)
+    ends = np.r_[starts[1:], common][: len(starts)]
+    if len(a) != len(b):
+        starts, sides = np.r_[starts, common], np.r_[sides, 2 if len(a) > len(b) else 3]
+        ends = np.r_[ends, max(len(a), len(b))]
+    return starts, ends - starts, sides
 
 
 def byte_diff(pairs: DataFrame) -> DataFrame:
     """Run-length encoded positional diff of ``left`` and ``right``."""
-    keys = [c for c in pairs.columns if c not in ("left", "right")]
-    return pairs.select(*keys, F.explode(_regions("left", "right")).alias("r")).select(*keys, "r.*")
+    keys = [f for f in pairs.schema.fields if f.name not in ("left", "right")]
+    region = [("offset", T.IntegerType()), ("length", T.IntegerType()), ("side", T.StringType())]
+    schema = T.StructType(keys + [T.StructField(n, t) for n, t in region])
+    names = [f.name for f in keys]
+
+    def diff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            # A few pairs at a time: one pair can have as many runs as bytes.
+            for at in range(0, len(batch), 64):
+                part = batch.iloc[at : at + 64]
+                runs = [_runs(a, b) for a, b in zip(part["left"], part["right"])]
+                rows = part[names].iloc[np.repeat(np.arange(len(part)), [len(r[0]) for r in runs])].reset_index(drop=True)
+                offsets, lengths, sides = (np.concatenate([r[i] for r in runs]) for i in range(3))
+                yield rows.assign(offset=offsets, length=lengths, side=SIDES[sides.astype(np.int64)])
+
+    return pairs.select(*names, "left", "right").mapInPandas(diff, schema)
 
 
 def bytes_per_side(regions: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions import scalars as S
 from codelode.operators.ordered import carry_forward
+from codelode.session import cut_lineage
 
 FORMATS = [
     "PROGUARD", "TINY_V1", "TINY_V2", "SRG", "XSRG", "TSRG", "TSRG_V2", "CSRG", "JOBF", "ENIGMA", "RECAF",
@@ -39,12 +40,14 @@ def read_mapping(spark: SparkSession, path: str, fmt: str | None = None) -> Data
     """Mapping rows of all files under ``path``; without ``fmt`` each file's format is detected."""
     lines = read_mapping_lines(spark, path)
     if fmt is not None:
-        return parse_mapping_lines(lines.withColumn("format", F.lit(fmt)))
+        return parse_mapping_lines(lines.withColumn("format", F.lit(fmt)), [fmt])
     formats = detect_formats(lines).withColumn(
         "format",
         F.coalesce("format", F.raise_error(F.concat(F.lit("cannot detect mapping format of "), "mapping_id"))),
     )
-    return parse_mapping_lines(lines.join(formats, "mapping_id"))
+    formats = cut_lineage(formats)
+    present = [r["format"] for r in formats.select("format").distinct().collect()]  # eleven at most
+    return parse_mapping_lines(lines.join(formats, "mapping_id"), present)
 
 
 def _trim(line: Column) -> Column:
@@ -112,140 +115,148 @@ def _last(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def parse_mapping_lines(lines: DataFrame) -> DataFrame:
-    """Parse ``(mapping_id, format, line_no, line)`` rows; a key given twice keeps its last target."""
-    fmt, line = F.col("format"), F.col("line")
-    t = _trim(line)
+def parse_mapping_lines(lines: DataFrame, formats: list[str] | None = None) -> DataFrame:
+    """Parse ``(mapping_id, format, line_no, line)`` rows; a key given twice keeps its last target.
+
+    Each of ``formats`` (those that can occur) is a branch of its own with a few expressions per line.
+    """
+    line = F.col("line")
     usable = (F.regexp_replace(line, r"\s", "") != "") & ~line.startswith("#")
-    tidy = lines.filter(usable).withColumn("t", t).withColumn("p", F.split("t", r"\s+")).withColumn(
-        "tabs", F.split("line", "\t", -1)
-    )
+    tidy = lines.filter(usable).withColumn("t", _trim(line))
+    found = None
+    for fmt in formats or FORMATS:
+        rows = tidy.filter(F.col("format") == fmt).withColumn("p", F.split("t", r"\s+"))
+        branch = _parse_nested(rows) if fmt == "ENIGMA" else _parse_lines_of(rows, fmt)
+        branch = branch.filter(F.col("e").isNotNull()).select("mapping_id", "line_no", "e.*")
+        found = branch if found is None else found.unionByName(branch)
+    return last_targets(found, "line_no")
+
+
+def _after_header(rows: DataFrame, fmt: str) -> DataFrame:
+    """Drop the header line; a header is only a header on the first line of its file."""
+    first = rows.groupBy("mapping_id").agg(F.min("line_no").alias("first_no"))
+    rows = rows.join(first, "mapping_id")
+    is_first = F.col("line_no") == F.col("first_no")
+    if fmt == "TSRG_V2":
+        return rows.filter(~(is_first & F.col("t").startswith("tsrg2")))
+    missing = F.raise_error(F.concat(F.lit("Tiny v2 header missing in "), F.col("mapping_id"))).cast("boolean")
+    return rows.filter(F.when(is_first, F.when(F.col("line").rlike("^tiny\t2\t[^\t]*\t[^\t]*\t"), False).otherwise(missing)).otherwise(True))
+
+
+def _parse_lines_of(rows: DataFrame, fmt: str) -> DataFrame:
+    """``(mapping_id, line_no, e)`` of one line-by-line format."""
+    if fmt in ("TINY_V2", "TSRG_V2"):
+        rows = _after_header(rows, fmt)
+    rows = rows.withColumn("tabs", F.split("line", "\t", -1))
+    line, cur = F.col("line"), F.col("cur")
     p = lambda i: F.get("p", i)
     tab = lambda i: F.get("tabs", i)
     n, ntab = F.size("p"), F.size("tabs")
     indent = F.length(F.regexp_extract("line", "^(\t*)", 1))
-    plain = tidy.filter(fmt != "ENIGMA")
-
-    # A header is only a header on the first line of its file.
-    headed = plain.filter(fmt.isin("TINY_V2", "TSRG_V2"))
-    first = headed.groupBy("mapping_id").agg(F.min("line_no").alias("first_no"))
-    plain = plain.join(first, "mapping_id", "left")
-    is_first = F.col("line_no") == F.col("first_no")
-    tiny_head = (ntab >= 5) & (tab(0) == "tiny") & (tab(1) == "2")
-    line_checked = F.when(
-        (fmt == "TINY_V2") & is_first & ~tiny_head,
-        F.raise_error(F.concat(F.lit("Tiny v2 header missing in "), F.col("mapping_id"))).cast("string"),
-    ).otherwise(line)
-    header = (is_first & (fmt == "TINY_V2")) | (is_first & (fmt == "TSRG_V2") & F.col("t").startswith("tsrg2"))
-    plain = plain.withColumn("line", line_checked).filter(~F.coalesce(header, F.lit(False)))
-
     indented = line.startswith("\t") | line.startswith(" ")
-    new_class = (
-        F.when((fmt == "PROGUARD") & line.rlike(CLASS_LINE), _slash(F.regexp_extract(line, CLASS_LINE, 2)))
-        .when((fmt == "TINY_V2") & (ntab >= 3) & (tab(0) == "c"), tab(1))
-        .when((fmt == "TSRG") & ~indented & (n >= 2) & (p(0) != "tsrg2"), p(0))
-        .when((fmt == "TSRG_V2") & (indent == 0) & (n >= 2), p(0))
-    )
-    blocks = carry_forward(plain.filter(fmt.isin(_CLASS_BLOCKS)), ["mapping_id"], "line_no", {"cur": new_class})
-    flat = plain.filter(~fmt.isin(_CLASS_BLOCKS)).withColumn("cur", F.lit(None).cast("string"))
-    rows = blocks.unionByName(flat)
-    cur = F.col("cur")
-
-    member = lambda i: F.regexp_extract(line, MEMBER_LINE, i)
-    is_method_line = line.rlike(r"\([^)]*\)\s*(?::\d+:\d+)?\s*->")
-    proguard = F.when(
-        line.rlike(CLASS_LINE), _entry("class", cur, _slash(F.regexp_extract(line, CLASS_LINE, 1)))
-    ).when(
-        line.rlike(MEMBER_LINE) & cur.isNotNull(),
-        F.when(
-            is_method_line,
-            _entry(
-                "method", cur, member(2), member(4),
-                F.concat(F.lit("("), S.parameters_to_descriptor(member(3)), F.lit(")"), S.type_to_descriptor(member(1))),
-            ),
-        ).otherwise(_entry("field", cur, member(2), member(4), S.type_to_descriptor(member(1)))),
-    )
-    tiny1 = (
-        F.when((tab(0) == "CLASS") & (ntab >= 3), _entry("class", tab(1), tab(2)))
-        .when((tab(0) == "FIELD") & (ntab >= 5), _entry("field", tab(1), tab(4), tab(3), tab(2)))
-        .when((tab(0) == "METHOD") & (ntab >= 5), _entry("method", tab(1), tab(4), tab(3), tab(2)))
-    )
-    changed = lambda new, old: (new != "") & (new != old)
-    tiny2_member = (ntab >= 5) & (tab(0) == "") & cur.isNotNull() & changed(tab(4), tab(3))
-    tiny2 = (
-        F.when((tab(0) == "c") & (ntab >= 3) & changed(tab(2), tab(1)), _entry("class", tab(1), tab(2)))
-        .when(tiny2_member & (tab(1) == "f"), _entry("field", cur, tab(4), tab(3), tab(2)))
-        .when(tiny2_member & (tab(1) == "m"), _entry("method", cur, tab(4), tab(3), tab(2)))
-    )
-    both = lambda a, b: (_head(a) != "") & (_head(b) != "")
-    srg_class = (p(0) == "CL:") & (n >= 3)
-    srg_method = (p(0) == "MD:") & (n >= 5) & both(p(1), p(3))
-    md = _entry("method", _head(p(1)), _last(p(3)), _last(p(1)), p(2))
-    srg = (
-        F.when(srg_class, _entry("class", p(1), p(2)))
-        .when((p(0) == "FD:") & (n >= 3) & both(p(1), p(2)), _entry("field", _head(p(1)), _last(p(2)), _last(p(1))))
-        .when(srg_method, md)
-    )
-    xsrg = (
-        F.when(srg_class, _entry("class", p(1), p(2)))
-        .when((p(0) == "FD:") & (n >= 5) & both(p(1), p(3)), _entry("field", _head(p(1)), _last(p(3)), _last(p(1)), p(2)))
-        .when(srg_method, md)
-    )
-    tsrg = (
-        F.when(~indented & (n >= 2) & (p(0) != "tsrg2"), _entry("class", p(0), p(1)))
-        .when(indented & cur.isNotNull() & (n == 2), _entry("field", cur, p(1), p(0)))
-        .when(indented & cur.isNotNull() & (n >= 3), _entry("method", cur, p(2), p(0), p(1)))
-    )
-    tsrg2 = (
-        F.when((indent == 0) & (n >= 2), _entry("class", p(0), p(1)))
-        .when((indent == 1) & cur.isNotNull() & (n >= 3) & p(1).startswith("("), _entry("method", cur, p(2), p(0), p(1)))
-        .when((indent == 1) & cur.isNotNull() & (n >= 2), _entry("field", cur, p(1), p(0)))
-    )
-    csrg = (
-        F.when(n == 2, _entry("class", p(0), p(1)))
-        .when(n == 3, _entry("field", p(0), p(2), p(1)))
-        .when((n == 4) & p(2).startswith("("), _entry("method", p(0), p(3), p(1), p(2)))
-    )
-    before_paren = F.substring_index(p(1), "(", 1)
-    dotted_owner = lambda x: F.regexp_extract(x, r"^(.+)\.[^.]*\z", 1)
-    dotted_name = lambda x: F.substring_index(x, ".", -1)
-    paren_part = lambda x: F.regexp_extract(x, r"^[^(]*(\(.*)\z", 1)
-    jobf = F.when(F.col("t").startswith("//") | (n < 3), None).otherwise(
-        F.when(p(0) == ".class_map", _entry("class", _slash(p(1)), _slash(p(2))))
-        .when(
-            (p(0) == ".field_map") & (dotted_owner(p(1)) != ""),
-            _entry("field", _slash(dotted_owner(p(1))), p(2), dotted_name(p(1))),
+    opens_class = {
+        "PROGUARD": F.when(line.rlike(CLASS_LINE), _slash(F.regexp_extract(line, CLASS_LINE, 2))),
+        "TINY_V2": F.when((ntab >= 3) & (tab(0) == "c"), tab(1)),
+        "TSRG": F.when(~indented & (n >= 2) & (p(0) != "tsrg2"), p(0)),
+        "TSRG_V2": F.when((indent == 0) & (n >= 2), p(0)),
+    }
+    if fmt in opens_class:
+        rows = carry_forward(rows, ["mapping_id"], "line_no", {"cur": opens_class[fmt]})
+
+    if fmt == "PROGUARD":
+        member = lambda i: F.regexp_extract(line, MEMBER_LINE, i)
+        method_desc = F.concat(F.lit("("), S.parameters_to_descriptor(member(3)), F.lit(")"), S.type_to_descriptor(member(1)))
+        entry = F.when(
+            line.rlike(CLASS_LINE), _entry("class", cur, _slash(F.regexp_extract(line, CLASS_LINE, 1)))
+        ).when(
+            line.rlike(MEMBER_LINE) & cur.isNotNull(),
+            F.when(line.rlike(r"\([^)]*\)\s*(?::\d+:\d+)?\s*->"), _entry("method", cur, member(2), member(4), method_desc))
+            .otherwise(_entry("field", cur, member(2), member(4), S.type_to_descriptor(member(1)))),
         )
-        .when(
-            (p(0) == ".method_map") & p(1).contains("(") & (dotted_owner(before_paren) != ""),
-            _entry("method", _slash(dotted_owner(before_paren)), p(2), dotted_name(before_paren), paren_part(p(1))),
+    elif fmt == "TINY_V1":
+        entry = (
+            F.when((tab(0) == "CLASS") & (ntab >= 3), _entry("class", tab(1), tab(2)))
+            .when((tab(0) == "FIELD") & (ntab >= 5), _entry("field", tab(1), tab(4), tab(3), tab(2)))
+            .when((tab(0) == "METHOD") & (ntab >= 5), _entry("method", tab(1), tab(4), tab(3), tab(2)))
         )
-    )
-    left_head = F.substring_index(p(0), "(", 1)
-    has_paren = p(0).contains("(") & (left_head != "")
-    recaf = F.when(n == 2, (
-        F.when(
-            has_paren & (dotted_owner(left_head) != ""),
-            _entry("method", dotted_owner(left_head), p(1), dotted_name(left_head), paren_part(p(0))),
+    elif fmt == "TINY_V2":
+        changed = lambda new, old: (new != "") & (new != old)
+        member = (ntab >= 5) & (tab(0) == "") & cur.isNotNull() & changed(tab(4), tab(3))
+        entry = (
+            F.when((tab(0) == "c") & (ntab >= 3) & changed(tab(2), tab(1)), _entry("class", tab(1), tab(2)))
+            .when(member & (tab(1) == "f"), _entry("field", cur, tab(4), tab(3), tab(2)))
+            .when(member & (tab(1) == "m"), _entry("method", cur, tab(4), tab(3), tab(2)))
         )
-        .when(~has_paren & (dotted_owner(p(0)) != ""), _entry("field", dotted_owner(p(0)), p(1), dotted_name(p(0))))
-        .otherwise(_entry("class", p(0), p(1)))
-    ))
-    entry = (
-        F.when(fmt == "PROGUARD", proguard)
-        .when(fmt == "TINY_V1", tiny1)
-        .when(fmt == "TINY_V2", tiny2)
-        .when(fmt == "SRG", srg)
-        .when(fmt == "XSRG", xsrg)
-        .when(fmt == "TSRG", tsrg)
-        .when(fmt == "TSRG_V2", tsrg2)
-        .when(fmt == "CSRG", csrg)
-        .when(fmt == "JOBF", jobf)
-        .when(fmt == "RECAF", recaf)
-    )
-    parsed = rows.select("mapping_id", "line_no", entry.alias("e")).unionByName(_parse_nested(tidy.filter(fmt == "ENIGMA")))
-    flat_rows = parsed.filter(F.col("e").isNotNull()).select("mapping_id", "line_no", "e.*")
-    return last_targets(flat_rows, "line_no")
+    elif fmt in ("SRG", "XSRG"):
+        both = lambda a, b: (_head(a) != "") & (_head(b) != "")
+        named = p(2) if fmt == "SRG" else p(3)
+        enough = 3 if fmt == "SRG" else 5
+        desc = None if fmt == "SRG" else p(2)
+        entry = (
+            F.when((p(0) == "CL:") & (n >= 3), _entry("class", p(1), p(2)))
+            .when((p(0) == "FD:") & (n >= enough) & both(p(1), named), _entry("field", _head(p(1)), _last(named), _last(p(1)), desc))
+            .when((p(0) == "MD:") & (n >= 5) & both(p(1), p(3)), _entry("method", _head(p(1)), _last(p(3)), _last(p(1)), p(2)))
+        )
+    elif fmt == "TSRG":
+        inside = indented & cur.isNotNull()
+        entry = (
+            F.when(~indented & (n >= 2) & (p(0) != "tsrg2"), _entry("class", p(0), p(1)))
+            .when(inside & (n == 2), _entry("field", cur, p(1), p(0)))
+            .when(inside & (n >= 3), _entry("method", cur, p(2), p(0), p(1)))
+        )
+    elif fmt == "TSRG_V2":
+        inside = (indent == 1) & cur.isNotNull()
+        entry = (
+            F.when((indent == 0) & (n >= 2), _entry("class", p(0), p(1)))
+            .when(inside & (n >= 3) & p(1).startswith("("), _entry("method", cur, p(2), p(0), p(1)))
+            .when(inside & (n >= 2), _entry("field", cur, p(1), p(0)))
+        )
+    elif fmt == "CSRG":
+        entry = (
+            F.when(n == 2, _entry("class", p(0), p(1)))
+            .when(n == 3, _entry("field", p(0), p(2), p(1)))
+            .when((n == 4) & p(2).startswith("("), _entry("method", p(0), p(3), p(1), p(2)))
+        )
+    elif fmt == "JOBF":
+        before = F.substring_index(p(1), "(", 1)
+        entry = F.when(F.col("t").startswith("//") | (n < 3), None).otherwise(
+            F.when(p(0) == ".class_map", _entry("class", _slash(p(1)), _slash(p(2))))
+            .when(
+                (p(0) == ".field_map") & (_before_dot(p(1)) != ""),
+                _entry("field", _slash(_before_dot(p(1))), p(2), _after_dot(p(1))),
+            )
+            .when(
+                (p(0) == ".method_map") & p(1).contains("(") & (_before_dot(before) != ""),
+                _entry("method", _slash(_before_dot(before)), p(2), _after_dot(before), _from_paren(p(1))),
+            )
+        )
+    elif fmt == "RECAF":
+        head = F.substring_index(p(0), "(", 1)
+        has_paren = p(0).contains("(") & (head != "")
+        entry = F.when(
+            n == 2,
+            F.when(
+                has_paren & (_before_dot(head) != ""),
+                _entry("method", _before_dot(head), p(1), _after_dot(head), _from_paren(p(0))),
+            )
+            .when(~has_paren & (_before_dot(p(0)) != ""), _entry("field", _before_dot(p(0)), p(1), _after_dot(p(0))))
+            .otherwise(_entry("class", p(0), p(1))),
+        )
+    else:
+        raise ValueError(f"unknown mapping format {fmt}")
+    return rows.select("mapping_id", "line_no", entry.alias("e"))
+
+
+def _before_dot(x: Column) -> Column:
+    return F.regexp_extract(x, r"^(.+)\.[^.]*\z", 1)
+
+
+def _after_dot(x: Column) -> Column:
+    return F.substring_index(x, ".", -1)
+
+
+def _from_paren(x: Column) -> Column:
+    return F.regexp_extract(x, r"^[^(]*(\(.*)\z", 1)
 
 
 def last_targets(rows: DataFrame, order: str) -> DataFrame:
@@ -253,9 +264,6 @@ def last_targets(rows: DataFrame, order: str) -> DataFrame:
     return rows.groupBy("mapping_id", "kind", "owner", "name", "desc").agg(F.max_by("target", order).alias("target"))
 
 
-MAX_NESTING = 16
-
-
 def _parse_nested(lines: DataFrame) -> DataFrame:
     """The tab-nested format: inner classes are ``outer$inner`` by their place in the file.
 
@@ -267,6 +275,8 @@ def _parse_nested(lines: DataFrame) -> DataFrame:
     n = F.size("p")
     rows = lines.filter(~F.col("t").startswith("#")).withColumn("indent", F.length(F.regexp_extract("line", "^(\t*)", 1)))
     is_class = (p(0) == "CLASS") & (n >= 2)
+    deepest = rows.agg(F.max(F.when(is_class, F.col("indent")))).first()[0]
+    nesting = 1 + (deepest or 0)
     opened = F.struct(
         (is_class).alias("open"), p(1).alias("obf"), F.when(n >= 3, p(2)).alias("named")
     )
@@ -275,11 +285,11 @@ def _parse_nested(lines: DataFrame) -> DataFrame:
     )
     levels = {
         f"at{j}": F.when(is_class & (F.col("indent") == j), opened).when(F.col("indent") <= j, closed)
-        for j in range(MAX_NESTING)
+        for j in range(nesting)
     }
     carried = carry_forward(rows, ["mapping_id"], "line_no", levels)
     stack = F.filter(
-        F.array(*[F.when(F.col("indent") > j, F.col(f"at{j}")) for j in range(MAX_NESTING)]),
+        F.array(*[F.when(F.col("indent") > j, F.col(f"at{j}")) for j in range(nesting)]),
         lambda s: F.coalesce(s["open"], F.lit(False)),
     )
 

@@ -68,10 +68,17 @@ def _usage(u: Column) -> Column:
 
 
 def parse_snapshots(polls: DataFrame) -> DataFrame:
-    """Add the parsed document ``s``; text that is no JSON object gives a null ``s``."""
-    return polls.withColumn("s", F.from_json("json", SNAPSHOT, {"mode": "PERMISSIVE"}).cast(SNAPSHOT)).withColumn(
-        "s", F.when(F.ltrim("json").startswith("{"), F.col("s"))
-    )
+    """Add the parsed document ``s``; text that is no JSON object gives a null ``s``.
+
+    The parse is handed on through a generator: filters and projections on ``s`` cannot be pushed
+    below one, so each document is parsed once.
+    """
+    with_error = SNAPSHOT.removesuffix(">") + ", _corrupt: STRING>"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    is_object = F.ltrim("json").startswith("{")
+    parsed = F.array(F.when(is_object, F.from_json("json", with_error, options)))
+    found = polls.select("*", F.explode(parsed).alias("s"))
+    return found.withColumn("s", F.when(F.col("s")["_corrupt"].isNull(), F.col("s").dropFields("_corrupt")))
 
 
 def valid_snapshots(parsed: DataFrame) -> DataFrame:
@@ -254,12 +261,11 @@ def status_change_stream(stream: DataFrame) -> DataFrame:
 
     def advance(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         latest = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("attempt_no")
-        before = rows["status"].shift(1)
-        before.iloc[0] = latest
+        rows = pd.concat(list(batches), ignore_index=True).sort_values("attempt_no", ignore_index=True)
+        previous = [latest, *rows["status"].tolist()[:-1]]
         state.update((str(rows["status"].iloc[-1]),))
-        changed = rows[before.isna() | (before != rows["status"])]
-        yield changed.assign(previous=before[changed.index].where(before.notna(), None))[
+        rows["previous"] = pd.Series(previous, dtype="object")
+        yield rows[[p is None or p != s for p, s in zip(previous, rows["status"])]][
             ["key", "attempt_no", "status", "previous"]
         ]
 
