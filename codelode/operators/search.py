@@ -67,11 +67,12 @@ def _result(rows: DataFrame, kind: str | Column, path, label, line, text, contex
 def _is_valid_regex(frame: DataFrame, java_regex: str) -> bool:
     """Ask the JVM whether the pattern compiles."""
     from py4j.protocol import Py4JJavaError
+    from pyspark.errors import IllegalArgumentException
 
     try:
         frame.sparkSession._jvm.java.util.regex.Pattern.compile(java_regex)
         return True
-    except Py4JJavaError:
+    except (IllegalArgumentException, Py4JJavaError):
         return False
 
 

@@ -28,7 +28,7 @@ _CLASS_BLOCKS = ["PROGUARD", "TINY_V2", "TSRG", "TSRG_V2"]
 
 def read_mapping_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(mapping_id, line_no, line)`` of every file under ``path``; the file is the mapping."""
-    files = spark.read.option("wholetext", True).text(path).select(
+    files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("mapping_id"), F.col("value")
     )
     return files.select(
@@ -41,11 +41,10 @@ def read_mapping(spark: SparkSession, path: str, fmt: str | None = None) -> Data
     lines = read_mapping_lines(spark, path)
     if fmt is not None:
         return parse_mapping_lines(lines.withColumn("format", F.lit(fmt)), [fmt])
-    formats = detect_formats(lines).withColumn(
-        "format",
-        F.coalesce("format", F.raise_error(F.concat(F.lit("cannot detect mapping format of "), "mapping_id"))),
-    )
-    formats = cut_lineage(formats)
+    formats = cut_lineage(detect_formats(lines))
+    unknown = formats.filter(F.col("format").isNull()).first()
+    if unknown:
+        raise ValueError(f"cannot detect mapping format of {unknown['mapping_id']}")
     present = [r["format"] for r in formats.select("format").distinct().collect()]  # eleven at most
     return parse_mapping_lines(lines.join(formats, "mapping_id"), present)
 
@@ -127,7 +126,6 @@ def parse_mapping_lines(lines: DataFrame, formats: list[str] | None = None) -> D
     for fmt in formats or FORMATS:
         rows = tidy.filter(F.col("format") == fmt).withColumn("p", F.split("t", r"\s+"))
         branch = _parse_nested(rows) if fmt == "ENIGMA" else _parse_lines_of(rows, fmt)
-        branch = branch.filter(F.col("e").isNotNull()).select("mapping_id", "line_no", "e.*")
         found = branch if found is None else found.unionByName(branch)
     return last_targets(found, "line_no")
 
@@ -139,8 +137,11 @@ def _after_header(rows: DataFrame, fmt: str) -> DataFrame:
     is_first = F.col("line_no") == F.col("first_no")
     if fmt == "TSRG_V2":
         return rows.filter(~(is_first & F.col("t").startswith("tsrg2")))
-    missing = F.raise_error(F.concat(F.lit("Tiny v2 header missing in "), F.col("mapping_id"))).cast("boolean")
-    return rows.filter(F.when(is_first, F.when(F.col("line").rlike("^tiny\t2\t[^\t]*\t[^\t]*\t"), False).otherwise(missing)).otherwise(True))
+    is_head = F.col("line").rlike("^tiny\t2\t[^\t]*\t[^\t]*\t")
+    bad = rows.filter(is_first & ~is_head).first()
+    if bad:
+        raise ValueError(f"Tiny v2 header missing in {bad['mapping_id']}")
+    return rows.filter(~is_first)
 
 
 def _parse_lines_of(rows: DataFrame, fmt: str) -> DataFrame:
@@ -244,7 +245,12 @@ def _parse_lines_of(rows: DataFrame, fmt: str) -> DataFrame:
         )
     else:
         raise ValueError(f"unknown mapping format {fmt}")
-    return rows.select("mapping_id", "line_no", entry.alias("e"))
+    return _entries_of(rows, entry)
+
+
+def _entries_of(rows: DataFrame, entry: Column) -> DataFrame:
+    """The entries of lines that have one; a generator, so that the entry is worked out once per line."""
+    return rows.select("mapping_id", "line_no", F.inline(F.filter(F.array(entry), lambda e: e.isNotNull())))
 
 
 def _before_dot(x: Column) -> Column:
@@ -309,7 +315,7 @@ def _parse_nested(lines: DataFrame) -> DataFrame:
         .when((p(0) == "FIELD") & in_class, _entry("field", owner, p(2), p(1), p(3)))
         .when((p(0) == "METHOD") & in_class, _entry("method", owner, p(2), p(1), p(3)))
     )
-    return placed.select("mapping_id", "line_no", entry.alias("e"))
+    return _entries_of(placed, entry)
 
 
 # --- writing -----------------------------------------------------------------------------------
