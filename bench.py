@@ -18,7 +18,7 @@ HEADLINE = (
     "usage_rollup usage_class usage_batch external_references call_site_build ancestors subtypes call_graph_both2 "
     "recursive_callers call_degrees call_tree_callees search_strings search_regex search_names search_numbers "
     "string_distribution archive_report class_diff method_diff mapping_diff mapping_compose mapping_invert "
-    "mapping_apply_sites mapping_parse pattern_library pattern_nested_all detector_scores decrypt_candidates "
+    "mapping_apply_sites mapping_write pattern_library pattern_nested_all detector_scores decrypt_candidates "
     "encrypted_call_sites static_inlining opaque_predicates unreachable_code dead_code entropy_windowed byte_diff "
     "checksums snapshot_samples last60 status_changes archive_scan decoded_code"
 ).split()

@@ -43,13 +43,19 @@ def class_features(classes: DataFrame, own_prefix: str | None = None) -> DataFra
     if own_prefix:
         rows = rows.filter(~F.col("internal_name").startswith(own_prefix))
     s, n = F.col("simple_name"), F.col("internal_name")
-    marked = lambda cond, alias: F.count_distinct(F.when(cond, n)).alias(alias)
-    return rows.groupBy("archive_id").agg(
-        F.count_if("decoded").alias("class_count"),
-        F.count_if((F.length(s) <= 2) & s.rlike(r"^[a-zA-Z]+\z")).alias("short_named"),
-        F.count_if(s.rlike(r"^[IlL1]{4,}\z")).alias("lookalike_named"),
-        F.count_if((S.utf16_length(s) > 20) & s.rlike(r"^[IlO01]+\z")).alias("long_confusable_named"),
-        F.count_if(s.rlike(r"[^\x00-\x7F]")).alias("unicode_named"),
+    # Marker names count once per archive however often they are repeated, name shapes once per entry:
+    # counting the entries of each name first answers both without distinct aggregates.
+    named = rows.groupBy("archive_id", "internal_name", "simple_name").agg(
+        F.count("*").alias("n"), F.count_if("decoded").alias("readable")
+    )
+    entries = lambda cond, alias: F.sum(F.when(cond, F.col("n")).otherwise(0)).alias(alias)
+    marked = lambda cond, alias: F.count_if(cond).alias(alias)
+    return named.groupBy("archive_id").agg(
+        F.sum("readable").alias("class_count"),
+        entries((F.length(s) <= 2) & s.rlike(r"^[a-zA-Z]+\z"), "short_named"),
+        entries(s.rlike(r"^[IlL1]{4,}\z"), "lookalike_named"),
+        entries((S.utf16_length(s) > 20) & s.rlike(r"^[IlO01]+\z"), "long_confusable_named"),
+        entries(s.rlike(r"[^\x00-\x7F]"), "unicode_named"),
         marked(_any_contains(n, "StringerHelper", "StringerRT", "com/licel/stringer", "stringer/"), "stringer_classes"),
         marked(_any_contains(n, "Skidfuscator", "$SKID", "$skid$", "skidfuscator/"), "skid_classes"),
         marked(_any_contains(n, "paramorphism", "Paramorphism"), "paramorphism_classes"),

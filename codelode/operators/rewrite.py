@@ -424,19 +424,18 @@ def strip_after_terminators(instructions: DataFrame, try_catch: DataFrame) -> tu
     Line markers stay.  Whether a row is dead is told by the last terminator or referenced label before it.
     """
     used = _referenced_labels(instructions, try_catch).withColumn("used", F.lit(True))
-    light = instructions.select(*METHOD_KEY, "idx", "opcode", "pseudo_kind", "label")
-    labels = light.filter(F.col("label").isNotNull()).join(used, [*METHOD_KEY, "label"], "left").select(
-        *light.columns, F.coalesce("used", F.lit(False)).alias("used")
+    # Only label rows are joined; whole rows then pass through the one window, so nothing is joined back.
+    labels = instructions.filter(F.col("label").isNotNull()).join(used, [*METHOD_KEY, "label"], "left").select(
+        *instructions.columns, F.coalesce("used", F.lit(False)).alias("used")
     )
-    others = light.filter(F.col("label").isNull()).withColumn("used", F.lit(False))
+    others = instructions.filter(F.col("label").isNull()).withColumn("used", F.lit(False))
     event = F.when(F.col("opcode").isin(TERMINATORS), "dead").when(F.col("used"), "live")
-    dead = F.last(event, ignorenulls=True).over(_before()) == "dead"
-    removed = (
-        labels.unionByName(others)
-        .withColumn("dead", F.coalesce(dead, F.lit(False)))
-        .filter(F.col("dead") & ~F.col("used") & (F.coalesce("pseudo_kind", F.lit("")) != "LINE"))
+    after_end = F.coalesce(F.last(event, ignorenulls=True).over(_before()) == "dead", F.lit(False))
+    goes = F.col("dead") & ~F.col("used") & (F.coalesce("pseudo_kind", F.lit("")) != "LINE")
+    judged = labels.unionByName(others).withColumn("dead", after_end)
+    return judged.filter(~goes).select(*instructions.columns), counter(
+        judged.filter(goes), "unreachable-after-terminator", "instructions-removed"
     )
-    return _without(instructions, removed), counter(removed, "unreachable-after-terminator", "instructions-removed")
 
 
 def _dead_positions(ops, labels, targets, markers, spans) -> list[int]:
