@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codelode.llm import decontaminate, linededup, minhash, mixing, pii, quality, sharding, substring, suffixarray, topk
 from codelode.llm.common import table
 
-WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,25 +67,25 @@ PLANS = {
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _mask_key(words: str, at: str, mask: tuple[int, ...]) -> str:
-    return " || ' ' || ".join(f"{words}[{at} + {o}]" for o in mask)
+def _mask_key(words: str, pos: str, mask: tuple[int, ...]) -> str:
+    return " || ' ' || ".join(f"{words}[{pos} + {o}]" for o in mask)
 
 
 def _seeds(name: str, columns: str, rows: str) -> str:
     return " UNION ALL ".join(
-        f"SELECT {columns}, {m} AS mask, at, {_mask_key('w', 'at', mask)} AS key FROM "
-        f"(SELECT *, unnest(range(1, len(w) - {mask[-1]} + 1)) AS at FROM {rows})"
+        f"SELECT {columns}, {m} AS mask, pos, {_mask_key('w', 'pos', mask)} AS key FROM "
+        f"(SELECT *, unnest(range(1, len(w) - {mask[-1]} + 1)) AS pos FROM {rows})"
         for m, mask in enumerate(decontaminate.MASKS)
     )
 
 
-_SAME = "+".join(f"coalesce((d.w[s.at + {{0}} + {k}] = i.w[s.item_at + {{0}} + {k}] AND s.at + {{0}} + {k} > 0 AND s.item_at + {{0}} + {k} > 0)::INT, 0)" for k in range(13))
+_SAME = "+".join(f"coalesce((d.w[s.pos + {{0}} + {k}] = i.w[s.item_pos + {{0}} + {k}] AND s.pos + {{0}} + {k} > 0 AND s.item_pos + {{0}} + {k} > 0)::INT, 0)" for k in range(13))
 
 ORACLES = {
     "op1_minhash": f"""
         WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(_LOWER)} AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-              ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),
+              ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
         p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
         l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
@@ -94,21 +94,21 @@ ORACLES = {
         SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(top) AS component_id, doc_id = min(top) AS kept
         FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
     "op2_topk": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
-                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         p AS (SELECT q.vec_id AS query_id, c.vec_id,
-                     CAST(list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i])) AS BIGINT) AS score
+                     CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
               FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM p)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op3_decontaminate": f"""
-        WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '') AS w FROM documents),
-        i AS (SELECT min(item_id) AS item_id, w FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '') AS w FROM benchmark) GROUP BY w),
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+        i AS (SELECT min(item_id) AS item_id, w FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark) GROUP BY w),
         ds AS ({_seeds('d', 'doc_id', 'd')}), si AS ({_seeds('i', 'item_id', 'i')}),
-        s AS (SELECT doc_id, item_id, ds.at AS at, si.at AS item_at FROM ds JOIN si USING (mask, key)),
-        m AS (SELECT s.doc_id, s.item_id, s.at, len(i.w) AS n, greatest({', '.join(_SAME.format(k - 6) for k in range(7))}) AS same
+        s AS (SELECT doc_id, item_id, ds.pos AS pos, si.pos AS item_pos FROM ds JOIN si USING (mask, key)),
+        m AS (SELECT s.doc_id, s.item_id, s.pos, len(i.w) AS n, greatest({', '.join(_SAME.format(k - 6) for k in range(7))}) AS same
               FROM s JOIN d USING (doc_id) JOIN i USING (item_id))
-        SELECT doc_id, item_id, count(*) AS hits, CAST(min(at) - 1 AS BIGINT) AS first_word FROM m
+        SELECT doc_id, item_id, count(*) AS hits, CAST(min(pos) - 1 AS BIGINT) AS first_word FROM m
         WHERE same >= CASE WHEN n >= 13 THEN 11 ELSE n - floor(n * 2 / 13) END GROUP BY doc_id, item_id""",
     "op4_mixing": f"""
         WITH d AS (SELECT doc_id, source, CAST(len({WORDS.format('text')}) AS BIGINT) AS size FROM documents),
@@ -129,11 +129,11 @@ ORACLES = {
         FROM p""",
     "op9_substring": f"""
         WITH d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents),
-        g AS (SELECT doc_id, at, array_to_string(w[at:at + 12], ' ') AS seq FROM (SELECT *, unnest(range(1, len(w) - 11)) AS at FROM d)),
+        g AS (SELECT doc_id, pos, array_to_string(w[pos:pos + 12], ' ') AS seq FROM (SELECT *, unnest(range(1, len(w) - 11)) AS pos FROM d)),
         m AS (SELECT seq, min(doc_id) AS low FROM g GROUP BY seq),
-        c AS (SELECT DISTINCT doc_id, unnest(range(at, at + 13)) AS at FROM g JOIN m USING (seq) WHERE low < doc_id),
-        k AS (SELECT doc_id, list(at) AS gone FROM c GROUP BY doc_id)
+        c AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos FROM g JOIN m USING (seq) WHERE low < doc_id),
+        k AS (SELECT doc_id, list(pos) AS gone FROM c GROUP BY doc_id)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
-               sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), i -> NOT coalesce(list_contains(gone, i), FALSE)), i -> w[i]), ' '), '')) AS kept_sha256
+               sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT coalesce(list_contains(gone, i), FALSE)), lambda i: w[i]), ' '), '')) AS kept_sha256
         FROM d LEFT JOIN k USING (doc_id)""",
 }
