@@ -157,7 +157,8 @@ def _rest_pairs(rest: DataFrame, sets: DataFrame, classes: DataFrame, percent: i
     spare = F.floor(F.col("n") - F.ceil(F.col("n") * percent / 100)).cast("int")
     offered = F.slice("order", 1, F.greatest(F.lit(0), spare + 1 - (F.col("n") - F.size("order"))))
     prefix = stored(
-        known.select("node", "component", F.explode(offered).alias("o")).select("node", "component", F.col("o.gram").alias("gram")),
+        known.select("node", "component", F.size("order").alias("m"), F.explode(offered).alias("o"))
+        .select("node", "component", "m", F.col("o.gram").alias("gram")),
         "prefix",
     )
     shares = prefix.groupBy("gram", "component").agg(F.count("*").alias("k"))
@@ -165,9 +166,12 @@ def _rest_pairs(rest: DataFrame, sets: DataFrame, classes: DataFrame, percent: i
     mixed = prefix.join(major, "gram")
     sig = ["n", *[f"s{i}" for i in range(_WORDS)]]
     signed = mixed.join(classes.select("node", *sig), "node")
+    sig = [*sig, "m"]
+    # What a text alone holds cannot be common: the overlap is at most the smaller rest.
+    enough = (100 + percent) * F.least("a_m", "b_m") >= percent * (F.col("a_n") + F.col("b_n"))
     seek = signed.where("component <> major").select("gram", F.col("node").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"a_{c}") for c in sig])
     offer = signed.select("gram", F.col("node").alias("b"), F.col("component").alias("cb"), *[F.col(c).alias(f"b_{c}") for c in sig])
-    met = seek.join(offer, (seek["gram"] == offer["gram"]) & (F.col("ca") != F.col("cb")) & _may_link(percent))
+    met = seek.join(offer, (seek["gram"] == offer["gram"]) & (F.col("ca") != F.col("cb")) & enough & _may_link(percent))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
