@@ -43,7 +43,7 @@ def forget(*tables: DataFrame) -> None:
 
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK), "")
 
 
 def word_count(text: Column) -> Column:

@@ -18,7 +18,7 @@ _SPAN = _BEFORE + WINDOW
 
 def _hashes(text: Column) -> Column:
     """Hashes of the words of a text: runs of letters and digits in lower case."""
-    runs = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    runs = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
     return F.transform(runs, lambda w: F.xxhash64(w))
 
 

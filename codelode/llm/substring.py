@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm.common import forget, stored
-from codelode.llm.hashing import anchors, lists, shingles, text_bytes, word_hashes, word_spans
+from codelode.llm.hashing import FACTORS, anchors, as_longs, lists, mix, shingles, text_bytes, word_hashes, word_spans
 
 
 def _grams(hashes: np.ndarray, bounds: np.ndarray, length: int, gram: int):
@@ -58,8 +58,9 @@ def _seeder(length: int, gram: int):
     return run, "doc_id long, n_words long, whole_sha256 string, anchors array<long>"
 
 
-def _windower(length: int, gram: int):
-    """Windows whose anchor is shared: ``doc_id, anchor, start, seq`` (a hash of the window's words)."""
+def _blocker(length: int, gram: int):
+    """The windows of each shared anchor as one block: ``doc_id, anchor, start`` (of the first), ``seqs`` (a hash of each
+    window's words) and ``block`` (a hash of them all)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,14 +72,20 @@ def _windower(length: int, gram: int):
                 keys = grams[at]
                 where = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
                 start = np.flatnonzero(shared[where] == keys)
-                if len(start):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(start), ids[i], np.int64)), pa.array(keys[start].view(np.int64)),
-                         pa.array(start.astype(np.int32)), pa.array(whole[low + start].view(np.int64))],
-                        names=["doc_id", "anchor", "start", "seq"],
-                    )
-
-    return run, "doc_id long, anchor long, start int, seq long"
+                if not len(start):
+                    continue
+                first = np.flatnonzero(np.append(True, (np.diff(start) != 1) | (np.diff(at[start]) != 0)))
+                sizes = np.diff(np.append(first, len(start)))
+                seqs = whole[low + start]
+                place = np.arange(len(start)) - np.repeat(first, sizes)
+                block = mix(np.add.reduceat(seqs * FACTORS[place], first) + sizes.astype(np.uint64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), ids[i], np.int64)), as_longs(keys[start[first]]),
+                     pa.array(start[first].astype(np.int32)), lists(seqs, sizes.tolist()), as_longs(block)],
+                    names=["doc_id", "anchor", "start", "seqs", "block"],
+                )
+
+    return run, "doc_id long, anchor long, start int, seqs array<long>, block long"
 
 
 def _cutter(length: int):
@@ -115,8 +122,8 @@ def repeated_spans(docs: DataFrame, length: int = 13, gram: int = 5) -> DataFram
 
     Seeds are the winnowed anchors: the smallest of each window's ``gram``-word hashes (the rightmost of equals).  Equal windows have equal
     anchors, so only documents that meet at an anchor can share a window.  Around each shared anchor the match is
-    extended both ways, to every window the anchor stands for, and the sequence of each is looked up with the
-    smallest document that has it; covered words merge to maximal repeats.  Windows are joined by value, never document by document, so
+    extended both ways, to the block of all windows the anchor stands for; each distinct block is taken apart once, and the sequence of each
+    window is looked up with the smallest document that has it; covered words merge to maximal repeats.  Windows are joined by value, never document by document, so
     a passage that a third of all documents hold costs a row per holder.
 
     A null, empty or blank text has no words; texts shorter than ``length`` lose nothing.  A row without doc_id lends and loses nothing.
@@ -130,13 +137,18 @@ def repeated_spans(docs: DataFrame, length: int = 13, gram: int = 5) -> DataFram
     shared = stored(shared, "shared")
     met = stored(slots.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "met")
     forget(shared)
-    window, schema = _windower(length, gram)
-    windows = stored(docs.join(met, "doc_id").mapInArrow(window, schema), "windows")
-    first = windows.groupBy("anchor", "seq").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    first = stored(first.select("anchor", "seq", "low"), "first")
-    covered = windows.join(first, ["anchor", "seq"]).where("low < doc_id")
-    covered = stored(covered.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "covered")
-    forget(windows, first, met)
+    block, schema = _blocker(length, gram)
+    blocks = stored(docs.join(met, "doc_id").mapInArrow(block, schema), "blocks")
+    # Copies of a passage have equal blocks, so only distinct blocks are taken apart into windows.
+    same = blocks.groupBy("anchor", "block").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("seqs").alias("seqs"))
+    windows = stored(same.select("anchor", "block", "low", "high", F.posexplode("seqs").alias("k", "seq")), "windows")
+    first = windows.groupBy("anchor", "seq").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last")
+    known = windows.join(first.select("anchor", "seq", "first"), ["anchor", "seq"])
+    known = stored(known.groupBy("anchor", "block").agg(F.collect_list(F.struct("k", "first")).alias("known")), "known")
+    earlier = F.transform(F.filter("known", lambda w: w["first"] < F.col("doc_id")), lambda w: F.col("start") + w["k"])
+    hits = blocks.drop("seqs").join(known, ["anchor", "block"]).select("doc_id", earlier.alias("starts")).where(F.size("starts") > 0)
+    covered = stored(hits.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "covered")
+    forget(blocks, windows, known, met)
     cut, schema = _cutter(length)
     changed = docs.join(covered, "doc_id").mapInArrow(cut, schema)
     kept = seeded.join(covered.select("doc_id"), "doc_id", "left_anti").select(
