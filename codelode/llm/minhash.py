@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from codelode.llm.common import components, forget, stored
 from codelode.llm.hashing import FACTORS, lists, mix, shingles, text_bytes, word_hashes
 
-#: Signature: HASHES minima, of which BITS low bits are kept; BANDS bands of HASHES / BANDS whole minima name candidates.
-HASHES, BITS, BANDS = 128, 2, 32
+#: Signature: HASHES minima, of which BITS low bits are kept; BANDS bands of ROWS whole minima name candidates.
+HASHES, BITS, BANDS, ROWS = 512, 2, 32, 4
 _MULTIPLY = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 64, HASHES, dtype=np.uint64) | np.uint64(1)
 _LOW = 0x5555555555555555
 _WORDS = HASHES * BITS // 64
@@ -75,10 +75,10 @@ def _sketcher(size: int, fold: bool):
                     continue
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-                for i in range(0, len(found), 2048):
-                    np.minimum(least, (found[i : i + 2048, None] * _MULTIPLY).min(axis=0), out=least)
-                least = mix(least).reshape(BANDS, -1)
-                keys = (least * FACTORS[: least.shape[1]]).sum(axis=1, dtype=np.uint64)
+                for i in range(0, len(found), 512):
+                    np.minimum(least, (found[i : i + 512, None] * _MULTIPLY).min(axis=0), out=least)
+                least = mix(least)
+                keys = (least[: BANDS * ROWS].reshape(BANDS, ROWS) * FACTORS[:ROWS]).sum(axis=1, dtype=np.uint64)
                 bands.append(mix(keys + np.arange(BANDS, dtype=np.uint64) * FACTORS[200]))
                 low = (least.reshape(_WORDS, -1) & np.uint64((1 << BITS) - 1)) << np.arange(0, 64, BITS, dtype=np.uint64)
                 packed.append(np.bitwise_or.reduce(low, axis=1))
@@ -157,8 +157,8 @@ def _rest_pairs(rest: DataFrame, sets: DataFrame, classes: DataFrame, percent: i
     spare = F.floor(F.col("n") - F.ceil(F.col("n") * percent / 100)).cast("int")
     offered = F.slice("order", 1, F.greatest(F.lit(0), spare + 1 - (F.col("n") - F.size("order"))))
     prefix = stored(
-        known.select("node", "component", F.size("order").alias("m"), F.explode(offered).alias("o"))
-        .select("node", "component", "m", F.col("o.gram").alias("gram")),
+        known.select("node", "component", F.size("order").alias("m"), F.transform(offered, lambda o: o["gram"]).alias("p"))
+        .select("node", "component", "m", "p", F.explode("p").alias("gram")),
         "prefix",
     )
     shares = prefix.groupBy("gram", "component").agg(F.count("*").alias("k"))
@@ -166,12 +166,15 @@ def _rest_pairs(rest: DataFrame, sets: DataFrame, classes: DataFrame, percent: i
     mixed = prefix.join(major, "gram")
     sig = ["n", *[f"s{i}" for i in range(_WORDS)]]
     signed = mixed.join(classes.select("node", *sig), "node")
-    sig = [*sig, "m"]
+    sig = [*sig, "m", "p"]
+    # Both lists are in one order: a pair is formed at the first shingle they have in common, and only there.
+    once = F.col("g") == F.get(F.array_intersect("a_p", "b_p"), F.lit(0))
     # What a text alone holds cannot be common: the overlap is at most the smaller rest.
     enough = (100 + percent) * F.least("a_m", "b_m") >= percent * (F.col("a_n") + F.col("b_n"))
     seek = signed.where("component <> major").select("gram", F.col("node").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"a_{c}") for c in sig])
     offer = signed.select("gram", F.col("node").alias("b"), F.col("component").alias("cb"), *[F.col(c).alias(f"b_{c}") for c in sig])
-    met = seek.join(offer, (seek["gram"] == offer["gram"]) & (F.col("ca") != F.col("cb")) & enough & _may_link(percent))
+    offer = offer.withColumnRenamed("gram", "g")
+    met = seek.join(offer, (F.col("gram") == F.col("g")) & (F.col("ca") != F.col("cb")) & enough & _may_link(percent) & once)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
