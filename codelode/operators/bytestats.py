@@ -85,8 +85,8 @@ def parse_needle(text: str, mode: str = "Auto") -> bytes | None:
     return text.encode("ascii", "replace")
 
 
-def find_bytes(files: DataFrame, needle: bytes | None, limit: int = 10_000) -> DataFrame:
-    """First ``limit`` offsets of the needle in each file, overlapping matches included."""
+def find_bytes(files: DataFrame, needle: bytes | None) -> DataFrame:
+    """Every offset of the needle in each file, overlapping matches included."""
     keys = [c for c in files.columns if c != "content"]
     if not needle:
         return files.select(*keys, F.lit(0).alias("start"), F.lit(0).alias("end")).limit(0)
@@ -97,7 +97,7 @@ def find_bytes(files: DataFrame, needle: bytes | None, limit: int = 10_000) -> D
             found = []
             for content in contents:
                 at, hits = -1, []
-                while len(hits) < limit and (at := (content or b"").find(needle, at + 1)) >= 0:
+                while (at := (content or b"").find(needle, at + 1)) >= 0:
                     hits.append(at)
                 found.append(hits)
             yield pd.Series(found)

@@ -9,7 +9,6 @@ from codelode.functions import scalars as S
 from codelode.functions.access import bit
 from codelode.operators.detect import DECRYPTOR_DESCS
 from codelode.operators.usage import METHOD_KEY, with_current_line
-from codelode.session import fits_broadcast
 
 # --- fixed values: owners whose calls are neither rewarded nor penalised -----------------------
 NEUTRAL_OWNERS = ["java/lang/StringBuilder", "java/lang/Integer", "java/lang/Character"]
@@ -77,7 +76,7 @@ def encrypted_call_sites(instructions: DataFrame, candidates: DataFrame) -> Data
         idx.alias("idx"),
         F.when(op < 0, "skip").when(is_text, "text").when(is_push, "push").when(is_number, "int").when(is_any_ldc, "ldc").otherwise("other").alias("kind"),
         F.col("const_str").alias("text"),
-        F.when(op.between(2, 8), op - 3).otherwise(F.col("const_long")).cast("int").alias("number"),
+        F.when(op.between(2, 8), op - 3).when(is_number, F.col("const_long").try_cast("int")).alias("number"),
     )
     wanted = candidates.select(
         "archive_id", F.col("owner").alias("ref_owner"), F.col("name").alias("ref_name"), F.col("desc").alias("ref_desc")
@@ -85,7 +84,7 @@ def encrypted_call_sites(instructions: DataFrame, candidates: DataFrame) -> Data
     # Methods without a decryptor-shaped static call need no window at all.
     callers = (
         instructions.filter((op == 184) & F.col("ref_desc").isin(DECRYPTOR_DESCS))
-        .join(F.broadcast(wanted) if fits_broadcast(candidates) else wanted, ["archive_id", "ref_owner", "ref_name", "ref_desc"], "left_semi")
+        .join(wanted, ["archive_id", "ref_owner", "ref_name", "ref_desc"], "left_semi")
         .select(*METHOD_KEY)
         .distinct()
     )

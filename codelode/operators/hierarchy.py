@@ -43,7 +43,7 @@ def direct_implementers(edges: DataFrame, interface: str) -> DataFrame:
     )
 
 
-def ancestor_chains(seeds: DataFrame, classes: DataFrame, max_depth: int = 256) -> DataFrame:
+def ancestor_chains(seeds: DataFrame, classes: DataFrame) -> DataFrame:
     """Superclass chain of every ``seeds(archive_id, internal_name)``: rows ``(start, level, node)``.
 
     Level 0 is the root-most ancestor.  The walk ends after the first class outside the archive and
@@ -57,7 +57,7 @@ def ancestor_chains(seeds: DataFrame, classes: DataFrame, max_depth: int = 256)
         F.array("internal_name").alias("path"),
     )
     done: list[DataFrame] = []
-    for _ in range(max_depth):
+    while True:
         step = cut_lineage(
             open_chains.join(supers, ["archive_id", "node"], "left").withColumn(
                 "grows", F.col("next").isNotNull() & ~F.array_contains("path", F.coalesce("next", F.lit("")))
@@ -69,8 +69,6 @@ def ancestor_chains(seeds: DataFrame, classes: DataFrame, max_depth: int = 256)
         )
         if open_chains.isEmpty():
             break
-    else:
-        done.append(open_chains.select("archive_id", "start", "path"))
     chains = done[0]
     for more in done[1:]:
         chains = chains.unionByName(more)
@@ -79,7 +77,7 @@ def ancestor_chains(seeds: DataFrame, classes: DataFrame, max_depth: int = 256)
     )
 
 
-def subtype_closure(seeds: DataFrame, edges: DataFrame, max_depth: int = 256) -> DataFrame:
+def subtype_closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """All subtypes of each seed, itself included: ``(archive_id, root, node)`` without repeats."""
     down = cut_lineage(
         edges.select("archive_id", F.col("parent").alias("node"), F.col("child").alias("sub")).distinct()
@@ -89,7 +87,7 @@ def subtype_closure(seeds: DataFrame, edges: DataFrame, max_depth: int = 256) ->
     )
     rounds = [frontier]
     visited = frontier
-    for _ in range(max_depth):
+    while True:
         found = (
             frontier.join(down, ["archive_id", "node"])
             .select("archive_id", "root", F.col("sub").alias("node"))
@@ -103,7 +101,7 @@ def subtype_closure(seeds: DataFrame, edges: DataFrame, max_depth: int = 256) ->
     return visited
 
 
-def subtype_tree(seeds: DataFrame, edges: DataFrame, max_depth: int = 256) -> DataFrame:
+def subtype_tree(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Subtype tree rows ``(root, parent, node, path, expanded)`` in depth-first order of ``path``.
 
     Children are sorted by name.  A class reached twice opens its children only where a depth-first
@@ -121,7 +119,7 @@ def subtype_tree(seeds: DataFrame, edges: DataFrame, max_depth: int = 256) -> Da
         ).distinct()
     )
     frontier = best
-    for _ in range(max_depth):
+    while True:
         reached = (
             frontier.join(down, ["archive_id", "node"])
             .filter(~F.array_contains("path", F.col("sub")))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.functions import scalars as S
-from codelode.session import fits_broadcast
 
 ITEM = ["kind", "owner", "name", "desc"]
 
@@ -21,11 +20,6 @@ def _class_targets(mappings: DataFrame, target: str = "target") -> DataFrame:
     return _kind(mappings, "class").select(F.col("owner").alias("class_key"), F.col("target").alias(target))
 
 
-def _small(side: DataFrame, source: DataFrame) -> DataFrame:
-    """Broadcast ``side`` when the size of the table it is projected from is proven small."""
-    return F.broadcast(side) if fits_broadcast(source) else side
-
-
 def mapping_counts(mappings: DataFrame) -> DataFrame:
     return mappings.groupBy("kind").agg(F.count("*").alias("n"))
 
@@ -33,7 +27,7 @@ def mapping_counts(mappings: DataFrame) -> DataFrame:
 def lookup(items: DataFrame, mappings: DataFrame) -> DataFrame:
     """Mapped name of each ``(kind, owner, name, desc)``; the item's own name when unmapped."""
     own = F.when(F.col("kind") == "class", F.col("owner")).otherwise(F.col("name"))
-    found = _small(mappings.select(*ITEM, "target"), mappings)
+    found = mappings.select(*ITEM, "target")
     return items.join(found, ITEM, "left").withColumn("target", F.coalesce("target", own))
 
 
@@ -64,7 +58,7 @@ def compose(first: DataFrame, second: DataFrame) -> DataFrame:
     second_classes = _class_targets(second, "chained")
     classes = (
         _kind(first, "class")
-        .join(_small(second_classes, second), F.col("target") == F.col("class_key"), "left")
+        .join(second_classes, F.col("target") == F.col("class_key"), "left")
         .select(*ITEM, F.coalesce("chained", "target").alias("target"))
     )
     mentioned = _kind(first, "class").select(F.explode(F.array("owner", "target")).alias("owner")).distinct()
@@ -72,7 +66,7 @@ def compose(first: DataFrame, second: DataFrame) -> DataFrame:
     via = F.coalesce("named_owner", "owner")
     members = (
         first.filter(F.col("kind") != "class")
-        .join(_small(_class_targets(first, "named_owner"), first), F.col("owner") == F.col("class_key"), "left")
+        .join(_class_targets(first, "named_owner"), F.col("owner") == F.col("class_key"), "left")
         .select(*ITEM, "target", via.alias("via_owner"))
     )
     second_members = second.filter(F.col("kind") != "class").select(
@@ -80,7 +74,7 @@ def compose(first: DataFrame, second: DataFrame) -> DataFrame:
     )
     chained = (
         members.withColumn("via_name", F.col("target"))
-        .join(_small(second_members, second), ["kind", "via_owner", "via_name", "desc"], "left")
+        .join(second_members, ["kind", "via_owner", "via_name", "desc"], "left")
         .select(*ITEM, F.coalesce("chained", "target").alias("target"))
     )
     return classes.unionByName(extra).unionByName(chained)
@@ -106,9 +100,9 @@ def invert(mappings: DataFrame) -> DataFrame:
     )
     members = (
         mappings.filter(F.col("kind") != "class")
-        .join(_small(_class_targets(mappings, "mapped"), mappings), F.col("owner") == F.col("class_key"), "left")
+        .join(_class_targets(mappings, "mapped"), F.col("owner") == F.col("class_key"), "left")
         .withColumn("reverse_key", F.coalesce("mapped", "owner"))
-        .join(_small(reverse, mappings), "reverse_key", "left")
+        .join(reverse, "reverse_key", "left")
         .select("kind", F.coalesce("back", "owner").alias("owner"), F.col("target").alias("new_name"), "desc", "name")
         .groupBy("kind", "owner", "new_name", "desc")
         .agg(F.min("name").alias("target"))
@@ -137,7 +131,7 @@ class Renamer:
         for key, column in pairs.items():
             keyed = keyed.withColumnRenamed(key, f"_k_{key}")
             cond = cond & (F.col(column) == F.col(f"_k_{key}"))
-        return rows.join(_small(keyed, self.source), cond, "left").drop(*[f"_k_{k}" for k in pairs])
+        return rows.join(keyed, cond, "left").drop(*[f"_k_{k}" for k in pairs])
 
     def class_column(self, rows: DataFrame, column: str) -> DataFrame:
         out = self._join(rows, self.classes, {"class_key": column})

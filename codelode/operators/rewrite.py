@@ -15,7 +15,7 @@ from codelode.functions import scalars as S
 from codelode.functions.access import bit
 from codelode.operators.ordered import number_rows
 from codelode.operators.usage import METHOD_KEY
-from codelode.session import cut_lineage, fits_broadcast
+from codelode.session import cut_lineage
 
 KOTLIN = "Lkotlin/Metadata;"
 
@@ -194,8 +194,8 @@ def component_accessors(annotations: DataFrame, instructions: DataFrame) -> Data
         F.count_if(F.coalesce(good, F.lit(False))).alias("good"), F.max(F.when(at == 2, F.col("ref_name"))).alias("field")
     )
     return checked.filter(F.col("good") == 3).select(
-        "archive_id", "owner", F.regexp_extract("method", r"(\d+)\z", 1).cast("int").alias("component"), "field"
-    ).groupBy("archive_id", "owner", "component").agg(F.max("field").alias("field"))
+        "archive_id", "owner", F.regexp_extract("method", r"(\d+)\z", 1).try_cast("int").alias("component"), "field"
+    ).filter(F.col("component").isNotNull()).groupBy("archive_id", "owner", "component").agg(F.max("field").alias("field"))
 
 
 def source_files(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -269,17 +269,11 @@ def _inline(instructions: DataFrame, constants: DataFrame, on: list[str], applie
     values = constants.select(
         *on, F.struct("const_kind", "const_str", "const_long", "const_double").alias("_value")
     )
-    if fits_broadcast(constants):
-        keyed = values.select(*[F.col(c).alias(f"_k_{c}") for c in on], "_value")
-        cond = applies
-        for c in on:
-            cond = cond & (F.col(c) == F.col(f"_k_{c}"))
-        joined = instructions.join(F.broadcast(keyed), cond, "left").select(*instructions.columns, "_value")
-    else:
-        # Only the instructions that can match are shuffled by what they name.
-        hits = instructions.filter(applies).join(values, on, "left").select(*instructions.columns, "_value")
-        rest = instructions.filter(~applies).withColumn("_value", F.lit(None).cast(values.schema["_value"].dataType))
-        joined = hits.unionByName(rest)
+    # Only the instructions that can match are shuffled by what they name, unless Spark measures the values to be small.
+    can = F.coalesce(applies, F.lit(False))
+    hits = instructions.filter(can).join(values, on, "left").select(*instructions.columns, "_value")
+    rest = instructions.filter(~can).withColumn("_value", F.lit(None).cast(values.schema["_value"].dataType))
+    joined = hits.unionByName(rest)
     value = F.col("_value")
     done = value.isNotNull()
     push = push_form(value["const_kind"], value["const_long"], value["const_double"])
@@ -358,7 +352,7 @@ def _without(instructions: DataFrame, removed: DataFrame) -> DataFrame:
     return instructions.join(removed.select(*METHOD_KEY, "idx"), [*METHOD_KEY, "idx"], "left_anti")
 
 
-def simplify_opaque_predicates(instructions: DataFrame, max_rounds: int = 64) -> tuple[DataFrame, DataFrame]:
+def simplify_opaque_predicates(instructions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """IFEQ/IFNE behind a literal 0 or 1: always taken becomes GOTO, never taken goes away.
 
     The node just before the jump goes too.  Removing a pair can put a literal in front of the next
@@ -369,7 +363,7 @@ def simplify_opaque_predicates(instructions: DataFrame, max_rounds: int = 64) ->
     candidates = instructions.filter(op.isin(153, 154)).select(*METHOD_KEY).distinct()
     work = instructions.select(*METHOD_KEY, "idx", "opcode").join(candidates, METHOD_KEY, "left_semi")
     changes: list[DataFrame] = []
-    for _ in range(max_rounds):
+    while True:
         seen = work.withColumn("literal", F.when(last_real.isin(3, 4), last_real - 3))
         decided = F.when(op.isin(153, 154) & F.col("literal").isNotNull(), (op == 153) == (F.col("literal") == 0))
         step = cut_lineage(

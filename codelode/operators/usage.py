@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import scalars as S
-from codelode.session import fits_broadcast
 
 # --- fixed values: opcodes that name another member or type ------------------------------------
 SITE_KINDS = {
@@ -105,13 +104,11 @@ def usages_of_class(call_sites: DataFrame, owner: str) -> DataFrame:
 def usages_of_members(call_sites: DataFrame, targets: DataFrame) -> DataFrame:
     """Batch form: ``targets(target_owner, target_name, target_desc)`` against all sites.
 
-    A target list is sent to every executor only when its size is proven small.  Otherwise both
-    sides shuffle on the member, and AQE splits the partitions of much-used members.
+    Both sides shuffle on the member, unless Spark measures the targets to be small; AQE splits the
+    partitions of much-used members.
     """
     keys = ["target_owner", "target_name", "target_desc"]
     wanted = targets.select(*keys).distinct()
-    if fits_broadcast(targets):
-        wanted = F.broadcast(wanted)
     return call_sites.join(wanted, keys, "left_semi")
 
 

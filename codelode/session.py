@@ -62,11 +62,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def fits_broadcast(df: DataFrame, limit_bytes: int = 64 << 20) -> bool:
-    """Does the optimizer's size estimate prove that ``df`` can be broadcast?
-
-    The estimate comes from file sizes, so it bounds scans and projections from above; anything it
-    cannot bound (joins, aggregates over big inputs) reports a large number and is not broadcast.
-    """
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit_bytes
