@@ -112,15 +112,15 @@ def top_k(vectors: DataFrame, query_ids: DataFrame, k: int = 10, scale: int = 10
     aside first and a vector that a third of all rows hold costs k + 1 candidates.
 
     A vector that is null, holds null or a non-finite component, has a null vec_id, or a scaled component of 2**26 or more takes
-    no part; missing trailing components count as 0.  A query never finds its own vec_id.  An empty table gives an empty result.
+    no part; missing trailing components count as 0.  Rows that repeat a vec_id are one vector, the smallest.  A query never finds its own vec_id.  An empty table gives an empty result.
     """
-    every = stored(scaled(vectors, scale), "vectors")
+    every = stored(scaled(vectors, scale).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     width = every.agg(F.max(F.size("v"))).first()[0]
     width = max(1, -(-(width or 1) // lists))
     same = Window.partitionBy(F.xxhash64("v"), F.md5(F.array_join("v", ",").cast("binary"))).orderBy("vec_id")
     kept = every.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= k + 1).drop("_copy")
     wanted = query_ids.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
-    queries = stored(every.join(wanted, "vec_id", "left_semi").dropDuplicates(["vec_id"]), "queries")
+    queries = stored(every.join(wanted, "vec_id", "left_semi"), "queries")
     count = queries.count()
     blocks = max(1, -(-count // BLOCK))
     home = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
@@ -164,7 +164,7 @@ def top_k(vectors: DataFrame, query_ids: DataFrame, k: int = 10, scale: int = 10
     )
     known = known.withColumn("most", F.col("known") + (F.lit(lists) - F.col("seen")) * F.greatest(F.lit(0), F.col("share") - 1))
     left = known.join(kth(known), "query_id").where("most >= least").select("query_id", "vec_id")
-    exact = left.join(every.dropDuplicates(["vec_id"]), "vec_id").join(
+    exact = left.join(every, "vec_id").join(
         queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id"
     )
     score = F.aggregate(
