@@ -120,18 +120,38 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _star_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _signed(nodes: DataFrame, classes: DataFrame, side: str) -> DataFrame:
+    """``nodes`` with the size and signature of the class ``side``."""
+    sig = ["n", *[f"s{i}" for i in range(_WORDS)]]
+    return nodes.join(classes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in sig]), side)
+
+
+def _star_pairs(members: DataFrame, classes: DataFrame, percent: int, salt: list[str]) -> DataFrame:
     """Each member of a bucket against the bucket's centre, where size and signature allow a link.
 
-    Centres are the members with the smallest hash, so one text is the centre of most buckets it is in, and
-    a group of copies brings about one pair per member rather than one per bucket.
+    Centres are the members with the smallest hash of the node and ``salt``.  Without salt one text is the centre of most
+    buckets it is in, and a group of copies brings about one pair per member rather than one per bucket.  With
+    the key as salt, a member meets a centre of its own in each of its buckets.  Members of the centre's component are passed over.
     """
-    sig = ["n", *[f"s{i}" for i in range(_WORDS)]]
-    a = classes.select(F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in sig])
-    b = classes.select(F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in sig])
-    centres = members.groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("b"))
-    pairs = members.join(centres, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    return pairs.join(a, "a").join(b, "b").where(_may_link(percent)).select("a", "b")
+    centres = members.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", *salt)).alias("c"))
+    pairs = (
+        members.join(centres, "key").where(F.col("component") != F.col("c.component"))
+        .select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
+    )
+    return _signed(_signed(pairs, classes, "a"), classes, "b").where(_may_link(percent)).select("a", "b")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The rows of ``members (key, node, component, ...)`` in buckets that hold several components."""
+    spread = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return members.join(spread.where("low < high").select("key"), "key")
+
+
+def _joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels (node, component)`` after ``links (a, b)`` of nodes."""
+    edges = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+    top = components(edges).toDF("node", "top")
+    return labels.select("node").join(top, "node", "left").select("node", F.coalesce("top", "node").alias("component"))
 
 
 def _may_link(percent: int) -> Column:
@@ -139,43 +159,28 @@ def _may_link(percent: int) -> Column:
     return sizes & (matches("a_s", "b_s") >= least_matches(percent))
 
 
-def _rest_pairs(rest: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that could still link, complete for ``rest (node, component)``.
+def _rest_links(rest: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """All links between different components that meet in a bucket of ``rest (key, node, component)``.
 
-    A text that shares fewer than ``percent`` of its shingles with others can link with none, and two that link share one of
-    their rarest shingles.  So each text offers only its rarest ``n - percent * n + 1`` shingles, those it has alone
-    not counted, and texts meet at a common one.  Where a shingle joins a large component to others, only the
-    others look for partners; pairs within a component are never formed.
+    Where a bucket joins a large component to others, only the others look for partners, and pairs within a component are
+    never formed.  Size, signature and the full sets are tried inside the join, at the first bucket that a pair has in
+    common, so what leaves it are links.  A row holds one set, however long: the join's memory does not grow with a bucket.
     """
-    grams = sets.join(rest, "node").select("node", "component", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    often = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    # Rarest first within each text; the text's own size bounds the list.
-    known = grams.join(often, "gram").groupBy("node", "component", "n").agg(
-        F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("order")
+    shares = rest.groupBy("key", "component").agg(F.count("*").alias("k"))
+    major = shares.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("major"))
+    sig = ["n", *[f"s{i}" for i in range(_WORDS)], "earlier", "grams"]
+    signed = classes.select("node", "bands", *sig[:-2])
+    full = rest.join(major, "key").join(signed, "node").join(sets, "node").withColumn("earlier", F.slice("bands", F.lit(1), F.col("band")))
+    a = full.where("component <> major").select(
+        F.col("key").alias("a_key"), "major", F.col("node").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"a_{c}") for c in sig]
     )
-    # Shingles held alone come first in the order and use up the text's share of misses.
-    spare = F.floor(F.col("n") - F.ceil(F.col("n") * percent / 100)).cast("int")
-    offered = F.slice("order", 1, F.greatest(F.lit(0), spare + 1 - (F.col("n") - F.size("order"))))
-    prefix = stored(
-        known.select("node", "component", F.size("order").alias("m"), F.transform(offered, lambda o: o["gram"]).alias("p"))
-        .select("node", "component", "m", "p", F.explode("p").alias("gram")),
-        "prefix",
-    )
-    shares = prefix.groupBy("gram", "component").agg(F.count("*").alias("k"))
-    major = shares.groupBy("gram").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1").select("gram", "major")
-    mixed = prefix.join(major, "gram")
-    sig = ["n", *[f"s{i}" for i in range(_WORDS)]]
-    signed = mixed.join(classes.select("node", *sig), "node")
-    sig = [*sig, "m", "p"]
-    # Both lists are in one order: a pair is formed at the first shingle they have in common, and only there.
-    once = F.col("g") == F.get(F.array_intersect("a_p", "b_p"), F.lit(0))
-    # What a text alone holds cannot be common: the overlap is at most the smaller rest.
-    enough = (100 + percent) * F.least("a_m", "b_m") >= percent * (F.col("a_n") + F.col("b_n"))
-    seek = signed.where("component <> major").select("gram", F.col("node").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"a_{c}") for c in sig])
-    offer = signed.select("gram", F.col("node").alias("b"), F.col("component").alias("cb"), *[F.col(c).alias(f"b_{c}") for c in sig])
-    offer = offer.withColumnRenamed("gram", "g")
-    met = seek.join(offer, (F.col("gram") == F.col("g")) & (F.col("ca") != F.col("cb")) & enough & _may_link(percent) & once)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    b = full.select(F.col("key").alias("b_key"), F.col("node").alias("b"), F.col("component").alias("cb"), *[F.col(c).alias(f"b_{c}") for c in sig])
+    apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
+    once = ~F.arrays_overlap("a_earlier", "b_earlier")
+    both = F.size(F.array_intersect("a_grams", "b_grams"))
+    linked = 100 * both >= percent * (F.col("a_n") + F.col("b_n") - both)
+    met = a.join(b, (F.col("a_key") == F.col("b_key")) & apart & _may_link(percent) & once & linked)
+    return met.select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, fold: bool = True) -> DataFrame:
@@ -186,8 +191,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, fold: boo
 
     Equal sets are one class, so exact copies cost one row each.  Classes meet in buckets of equal bands (a link at
     the threshold is missed with chance (1 - 0.8**4)**32 < 1e-7); each is tried against its bucket's centre,
-    first by packed low bits, then on the full sets.  Buckets that still hold several components are searched
-    completely through their rarest shingles.  No group is paired with itself.
+    first by packed low bits, then on the full sets.  Buckets that still hold several components
+    elect centres of their own, and those that even then hold several are searched completely.  No group is paired with itself.
 
     A null or empty text, or one of blanks, has no shingles and stands alone.  A row without doc_id links with
     nothing, has no component_id and is kept.  Rows that repeat a doc_id are one document's and share its component.  Other
@@ -201,22 +206,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, fold: boo
         .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), *[F.first(s).alias(s) for s in sig], F.first("bands").alias("bands")),
         "classes",
     )
-    slots = classes.select("node", F.explode("bands").alias("key"))
+    slots = classes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = slots.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     members = stored(slots.join(shared, "key"), "members")
     nodes = members.select("node").distinct()
     sets = stored(
         shingle_sets(docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi"), size, fold), "sets"
     )
-    links = stored(_confirmed(_star_pairs(members, classes, percent), sets, percent), "links")
-    own = nodes.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    labels = stored(own, "labels")
-    placed = members.join(labels, "node")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = stored(placed.join(open_keys, "key").select("node", "component").distinct(), "rest")
-    more = _confirmed(_rest_pairs(rest, sets, classes, percent), sets, percent)
-    merged = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    final = stored(components(merged), "components")
+    alone = nodes.select("node", F.col("node").alias("component"))
+    links = stored(_confirmed(_star_pairs(members.withColumn("component", F.col("node")), classes, percent, []), sets, percent), "links")
+    first = stored(_joined_by(alone, links), "labels")
+    unsettled = stored(_open(members.join(first, "node")), "open")
+    more = stored(_confirmed(_star_pairs(unsettled, classes, percent, ["key"]), sets, percent), "links")
+    second = stored(_joined_by(first, more), "labels")
+    rest = stored(_open(unsettled.drop("component").join(second, "node")), "rest")
+    last = stored(_rest_links(rest, sets, classes, percent), "links")
+    final = stored(_joined_by(second, last), "components")
     by_digest = (
         classes.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     )
@@ -226,5 +231,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, fold: boo
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))),
         "near",
     )
-    forget(sketched, classes, members, sets, links, labels, rest, final)
+    forget(sketched, classes, members, sets, links, first, unsettled, more, second, rest, last, final)
     return out
