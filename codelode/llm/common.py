@@ -82,34 +82,35 @@ def running_sum(rows: DataFrame, group: list[str], order: list[str], value: Colu
     )
 
 
+def _are_stars(pairs: DataFrame) -> bool:
+    """True when every ``u`` of ``pairs (u, v)`` has one ``v``, which is no ``u`` itself; ends are counted before the shuffle."""
+    ends = pairs.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(pairs.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+    places = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return not places.agg(F.count_if(F.expr("ups > 1 or (ups = 1 and least = 0)"))).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node reachable over ``edges (a, b)``, for every node that has an edge.
 
-    Alternates large and small stars until nothing changes, which takes a number of rounds logarithmic in the
+    Alternates large and small stars until only stars are left, which takes a number of rounds logarithmic in the
     longest path.  Minima are combined before the shuffle and joined back, so a hub's edges may be split.
     """
     pairs = stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    last = None
-    while True:
+    while not _are_stars(pairs):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # An own minimum keeps its star: its edges all point at it already.
-        large = large.distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         )
         done = stored(small, "stars")
-        now = tuple(done.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.max("v")).first())
         forget(pairs)
         pairs = done
-        if now == last:
-            break
-        last = now
     tops = pairs.select(F.col("v").alias("node")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         tops.select("node", F.col("node").alias("component"))

@@ -114,10 +114,10 @@ def shingle_sets(docs: DataFrame, size: int, fold: bool) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets reach the threshold."""
+    """``a, b`` of components: the ends ``ca, cb`` of the pairs ``a, b`` of nodes whose full sets reach the threshold."""
     joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return joined.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return joined.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
 
 def _signed(nodes: DataFrame, classes: DataFrame, side: str) -> DataFrame:
@@ -136,9 +136,9 @@ def _star_pairs(members: DataFrame, classes: DataFrame, percent: int, salt: list
     centres = members.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", *salt)).alias("c"))
     pairs = (
         members.join(centres, "key").where(F.col("component") != F.col("c.component"))
-        .select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
+        .select(F.col("node").alias("a"), F.col("c.node").alias("b"), F.col("component").alias("ca"), F.col("c.component").alias("cb")).distinct()
     )
-    return _signed(_signed(pairs, classes, "a"), classes, "b").where(_may_link(percent)).select("a", "b")
+    return _signed(_signed(pairs, classes, "a"), classes, "b").where(_may_link(percent)).select("a", "b", "ca", "cb")
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -148,10 +148,9 @@ def _open(members: DataFrame) -> DataFrame:
 
 
 def _joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels (node, component)`` after ``links (a, b)`` of nodes."""
-    edges = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
-    top = components(edges).toDF("node", "top")
-    return labels.select("node").join(top, "node", "left").select("node", F.coalesce("top", "node").alias("component"))
+    """``labels (node, component)`` after ``links (a, b)`` of components."""
+    top = components(links).toDF("component", "top")
+    return labels.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
 
 
 def _may_link(percent: int) -> Column:
@@ -160,7 +159,7 @@ def _may_link(percent: int) -> Column:
 
 
 def _rest_links(rest: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """All links between different components that meet in a bucket of ``rest (key, node, component)``.
+    """All links between different components that meet in a bucket of ``rest (key, node, component)``, as ``a, b`` of components.
 
     Where a bucket joins a large component to others, only the others look for partners, and pairs within a component are
     never formed.  Size, signature and the full sets are tried inside the join, at the first bucket that a pair has in
@@ -180,7 +179,7 @@ def _rest_links(rest: DataFrame, sets: DataFrame, classes: DataFrame, percent: i
     both = F.size(F.array_intersect("a_grams", "b_grams"))
     linked = 100 * both >= percent * (F.col("a_n") + F.col("b_n") - both)
     met = a.join(b, (F.col("a_key") == F.col("b_key")) & apart & _may_link(percent) & once & linked)
-    return met.select("a", "b")
+    return met.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, fold: bool = True) -> DataFrame:
