@@ -156,6 +156,14 @@ def first_match(text: Column, java_regex: str) -> Column:
     )
 
 
+def utf16_slice(text: Column, start: Column, end: Column) -> Column:
+    """The UTF-16 units ``start`` to ``end`` of a text; a character that an edge would halve is left out."""
+    units = F.encode(text, "UTF-16BE")
+    halved = lambda at: F.hex(F.substring(units, 2 * at + 1, F.lit(1))).between("DC", "DF").cast("int")
+    low, high = start + halved(start), end - halved(end)
+    return F.decode(F.substring(units, 2 * low + 1, F.greatest(F.lit(0), 2 * (high - low))), "UTF-16BE")
+
+
 def literal_regex(text: str, whole_word: bool = False, case_sensitive: bool = False) -> str:
     """Java regex that finds ``text`` verbatim."""
     quoted = "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
@@ -191,19 +199,19 @@ def source_snippet(text: Column, line_no: Column, width: int = 120) -> Column:
     line = F.get(F.split(text, "\n", -1), line_no - 1)
     clean = F.regexp_replace(F.regexp_replace(line, r"[ \t\r]+\z", ""), r"^[ \t]+", "")
     cut = F.when(
-        F.length(clean) > width, F.concat(F.substring(clean, 1, width - 1), F.lit("…"))
+        utf16_length(clean) > width, F.concat(utf16_slice(clean, F.lit(0), F.lit(width - 1)), F.lit("…"))
     ).otherwise(clean)
     return F.when((line_no > 0) & (clean != ""), cut)
 
 
 def match_snippet(text: Column, start: Column, end: Column, before: int = 40, after: int = 80) -> Column:
-    """The match with up to ``before``/``after`` characters around it, marked where text was left out."""
-    size = F.length(text)
+    """The match with up to ``before``/``after`` UTF-16 units around it, marked where text was left out."""
+    size = utf16_length(text)
     lo = F.greatest(F.lit(0), start - before)
     hi = F.least(size, end + after)
     return F.concat(
         F.when(lo > 0, "…").otherwise(""),
-        F.substring(text, lo + 1, hi - lo),
+        utf16_slice(text, lo, hi),
         F.when(hi < size, "…").otherwise(""),
     )
 

@@ -252,71 +252,70 @@ def detectors() -> list[Detector]:
     arg_n = F.when(c("variables") > 0, c("arg_n_variables") / c("variables")).otherwise(0.0)
     return [
         Detector("ProGuard / R8", "NAME_STRIPPER", [
-            _signal(short > 0.25, cap(0.6, short), share(short, "of classes have 1-2 char names"), short),
-            _signal(c("proguard_config"), 0.35, "Found ProGuard configuration in META-INF/", 0.9),
-            _signal(c("android_files"), 0.1, "Android-style resources suggest R8", 0.3),
-            _signal(c("mapping_file"), 0.2, "ProGuard mapping/seeds file present", 0.7),
+            _signal(short > 0.25, cap(0.6, short), share(short, "of class names are one or two characters long"), short),
+            _signal(c("proguard_config"), 0.35, "a shrinker configuration lies under META-INF", 0.9),
+            _signal(c("android_files"), 0.1, "files of an Android build", 0.3),
+            _signal(c("mapping_file"), 0.2, "a mapping or seeds file is packed along", 0.7),
         ]),
         Detector("ZKM (Zelix KlassMaster)", "STRING_ENCRYPTION", [
-            _signal(lookalike > 0.15, cap(0.55, lookalike * 1.3), share(lookalike, "of classes use I/l/1 confusable-char names"), lookalike),
+            _signal(lookalike > 0.15, cap(0.55, lookalike * 1.3), share(lookalike, "of class names are made of look-alike letters"), lookalike),
             _signal(c("decryptors") >= 5, cap(0.35, c("decryptors") / 80.0),
-                    told("decryptors", " static String-decryptor methods matching ZKM shape"), cap(1.0, c("decryptors") / 30.0)),
+                    told("decryptors", " static methods are shaped like string decryptors"), cap(1.0, c("decryptors") / 30.0)),
             _signal(some("big_switches"), cap(0.25, c("big_switches") / 40.0),
-                    told("big_switches", " method(s) with tableswitch > 50 cases (control-flow flattening)"), cap(1.0, c("big_switches") / 10.0)),
+                    told("big_switches", " methods dispatch over more than 50 cases"), cap(1.0, c("big_switches") / 10.0)),
             _signal((c("average_entropy") > 5.5) & (c("literals") > 50), 0.15,
-                    F.format_string("High average string entropy %.1f bits/char", c("average_entropy")), 0.5),
+                    F.format_string("literals average %.1f bits a character", c("average_entropy")), 0.5),
         ]),
         Detector("Allatori", "NAME_STRIPPER", [
-            _signal(confusable > 0.1, cap(0.6, confusable * 1.5), share(confusable, "of classes have long I/l/1/O/0 confusable names"), confusable),
-            _signal(c("allatori_file"), 0.4, "Found 'allatori' reference in resources", 0.95),
-            _signal((unicode > 0.15) & (unicode < 0.9), 0.2, share(unicode, "of classes have non-ASCII chars in names"), unicode),
+            _signal(confusable > 0.1, cap(0.6, confusable * 1.5), share(confusable, "of class names are long runs of look-alike characters"), confusable),
+            _signal(c("allatori_file"), 0.4, "a resource is named after the tool", 0.95),
+            _signal((unicode > 0.15) & (unicode < 0.9), 0.2, share(unicode, "of class names leave ASCII"), unicode),
         ]),
         Detector("native-obfuscator (radioegor146)", "NATIVE", [
             _signal(libs > 0, cap(0.25, libs / 12.0),
-                    F.concat(F.lit("Found "), libs.cast("string"), F.lit(" native libraries bundled ("), told("dlls", " .dll, "),
-                             told("sos", " .so, "), told("dylibs", " .dylib)")), cap(1.0, libs / 4.0)),
-            _signal(c("natives_layout"), 0.5, "Found 'natives/' directory with native0.* libs (radioegor146 pattern)", 0.95),
-            _signal(some("native_classes"), cap(0.15, c("native_classes") / 60.0), told("native_classes", " classes declare native methods"),
+                    F.concat(F.lit("native libraries: "), told("dlls", " dll, "), told("sos", " so, "), told("dylibs", " dylib")), cap(1.0, libs / 4.0)),
+            _signal(c("natives_layout"), 0.5, "libraries are numbered under natives/", 0.95),
+            _signal(some("native_classes"), cap(0.15, c("native_classes") / 60.0), told("native_classes", " classes hold native methods"),
                     cap(1.0, c("native_classes") / 10.0)),
-            _signal(some("native_strings"), 0.35, "LDC strings reference native-obfuscator library names", 0.85),
+            _signal(some("native_strings"), 0.35, "literals name the tool's libraries", 0.85),
             _signal((c("kotlin_classes") > 100) & ~hard, -0.6,
-                    F.concat(F.lit("Likely legitimate JNI — jar contains "), told("kotlin_classes", " Kotlin/Kotlin-compiler classes and no radioegor146 signature")), -0.6),
+                    told("kotlin_classes", " Kotlin classes and no mark of the tool: ordinary native code"), -0.6),
         ], lambda total: F.when(hard, total).otherwise(cap(0.4, total))),
         Detector("Stringer (Licel)", "STRING_ENCRYPTION", [
-            _signal(some("stringer_classes"), 0.6, F.concat(F.lit("Found "), told("stringer_classes", " Stringer helper class(es)")), 0.95),
-            _signal(some("stringer_bootstraps"), 0.4, told("stringer_bootstraps", " InvokeDynamic bootstraps point to Stringer owner"), 0.9),
+            _signal(some("stringer_classes"), 0.6, told("stringer_classes", " classes are named like the tool's helpers"), 0.95),
+            _signal(some("stringer_bootstraps"), 0.4, told("stringer_bootstraps", " dynamic calls are bootstrapped by the tool"), 0.9),
             _signal((c("dynamic_sites") > 50) & (c("encrypted_literals") > 20), 0.2,
-                    F.concat(told("dynamic_sites", " invokedynamic sites + "), told("encrypted_literals", " encrypted-looking LDC strings")), 0.6),
+                    F.concat(told("dynamic_sites", " dynamic calls beside "), told("encrypted_literals", " literals that look encrypted")), 0.6),
         ]),
         Detector("Skidfuscator", "FLOW_OBFUSCATION", [
-            _signal(some("skid_classes"), 0.7, F.concat(F.lit("Found "), told("skid_classes", " Skidfuscator-marked class(es)")), 0.98),
-            _signal(some("skid_strings"), 0.35, F.concat(F.lit("LDC strings reference Skidfuscator ("), told("skid_strings", " occurrences)")), 0.98),
-            _signal((c("big_switches") > 10) & (c("dynamic_sites") > 30), 0.15, "Heavy tableswitch + invokedynamic pattern (possible Skidfuscator flow)", 0.4),
+            _signal(some("skid_classes"), 0.7, told("skid_classes", " classes bear the tool's mark"), 0.98),
+            _signal(some("skid_strings"), 0.35, told("skid_strings", " literals mention the tool"), 0.98),
+            _signal((c("big_switches") > 10) & (c("dynamic_sites") > 30), 0.15, "many wide switches together with dynamic calls", 0.4),
         ]),
         Detector("Paramorphism", "ANTI_ANALYSIS", [
-            _signal((c("variables") > 50) & (arg_n > 0.4), cap(0.7, arg_n), share(arg_n, "of local variables renamed to argN pattern"), arg_n),
-            _signal(some("paramorphism_classes"), 0.4, "Found Paramorphism-marked class(es)", 0.95),
+            _signal((c("variables") > 50) & (arg_n > 0.4), cap(0.7, arg_n), share(arg_n, "of local variables are called arg and a number"), arg_n),
+            _signal(some("paramorphism_classes"), 0.4, "class names bear the tool's mark", 0.95),
         ]),
         Detector("Binscure", "ANTI_ANALYSIS", [
-            _signal(some("binscure_classes"), 0.55, "Found Binscure-marked class(es)", 0.95),
+            _signal(some("binscure_classes"), 0.55, "class names bear the tool's mark", 0.95),
             _signal((c("crasher_classes") > c("class_count") * 0.3) & (c("class_count") > 20), 0.35,
-                    told("crasher_classes", " classes match Binscure crasher pattern"), 0.7),
+                    told("crasher_classes", " classes are built to crash readers"), 0.7),
         ]),
         Detector("Caesium", "FLOW_OBFUSCATION", [
-            _signal(some("caesium_classes"), 0.8, F.concat(F.lit("Found "), told("caesium_classes", " Caesium-marked class(es)")), 0.95),
-            _signal(some("caesium_strings"), 0.3, "LDC strings mention Caesium", 0.8),
+            _signal(some("caesium_classes"), 0.8, told("caesium_classes", " classes bear the tool's mark"), 0.95),
+            _signal(some("caesium_strings"), 0.3, "literals mention the tool", 0.8),
         ]),
         Detector("QProtect", "OTHER", [
-            _signal(some("qprotect_classes"), 0.7, told("qprotect_classes", " QProtect-marked class(es)"), 0.95),
-            _signal(some("qprotect_bootstraps"), 0.35, told("qprotect_bootstraps", " InvokeDynamic bootstrap(s) owned by QProtect"), 0.95),
+            _signal(some("qprotect_classes"), 0.7, told("qprotect_classes", " classes bear the tool's mark"), 0.95),
+            _signal(some("qprotect_bootstraps"), 0.35, told("qprotect_bootstraps", " dynamic calls are bootstrapped by the tool"), 0.95),
         ]),
         Detector("DashO", "NAME_STRIPPER", [
-            _signal(c("dasho_file"), 0.7, "Found DashO artifacts in resources", 0.9),
-            _signal(some("dasho_strings"), 0.3, "LDC strings reference DashO / PreEmptive", 0.8),
+            _signal(c("dasho_file"), 0.7, "resources left by the tool", 0.9),
+            _signal(some("dasho_strings"), 0.3, "literals mention the tool or its maker", 0.8),
         ]),
         Detector("yGuard", "NAME_STRIPPER", [
-            _signal(c("yguard_file"), 0.7, "Found yGuard reference in resources", 0.9),
-            _signal(some("yguard_strings"), 0.3, "LDC strings reference yGuard", 0.85),
+            _signal(c("yguard_file"), 0.7, "a resource mentions the tool", 0.9),
+            _signal(some("yguard_strings"), 0.3, "literals mention the tool", 0.85),
         ]),
     ]
 
@@ -353,7 +352,7 @@ def top_detection(detections: DataFrame) -> DataFrame:
         "archive_id",
         F.coalesce(d["name"], F.lit("None / Unknown")).alias("name"),
         F.coalesce(d["confidence"], F.lit(0.0)).alias("confidence"),
-        F.when(d.isNull(), "No strong obfuscation patterns detected")
-        .otherwise(F.coalesce(d["reason"], F.lit("Detected by heuristics")))
+        F.when(d.isNull(), "nothing points to an obfuscator")
+        .otherwise(F.coalesce(d["reason"], F.lit("its weights alone")))
         .alias("reason"),
     )

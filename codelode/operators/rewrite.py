@@ -150,29 +150,37 @@ def kotlin_marker_count(annotations: DataFrame) -> DataFrame:
 def kotlin_singletons(annotations: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Renames of companion and singleton fields to Companion and INSTANCE in Kotlin classes.
 
-    The first fitting static final field is renamed unless the class has a field of that name.
+    The first fitting static final field is renamed unless the class has a field of that name.  Companions come first; a field
+    that fits both ends as INSTANCE, and both renames count.  The counters also tell how many classes were looked at.
     """
-    access = F.col("access")
-    rows = fields.join(kotlin_classes(annotations), ["archive_id", "owner"], "left_semi")
+    access, name = F.col("access"), F.col("name")
+    marked = kotlin_classes(annotations)
+    rows = fields.join(marked, ["archive_id", "owner"], "left_semi")
     static_final = bit(access, "static", "field") & bit(access, "final", "field")
     type_name = F.regexp_extract("desc", r"^L(.*);\z", 1)
-    wanted = {
-        "Companion": static_final & type_name.endswith("$Companion"),
-        "INSTANCE": static_final & (type_name == F.col("owner")),
-    }
-    out = None
-    for new, fits in wanted.items():
-        pick = rows.groupBy("archive_id", "owner").agg(
-            F.bool_or(F.col("name") == new).alias("taken"), F.min(F.when(fits, F.struct("ordinal", "name"))).alias("s")
-        )
-        renames = pick.filter(~F.col("taken") & F.col("s").isNotNull()).select(
-            "archive_id", "owner", F.col("s.name").alias("old_name"), F.lit(new).alias("new_name")
-        )
-        out = renames if out is None else out.unionByName(renames)
-    # One field cannot take both names: the companion comes first.
-    out = out.groupBy("archive_id", "owner", "old_name").agg(F.min("new_name").alias("new_name"))
+    first = lambda fits: F.min(F.when(static_final & fits, F.struct("ordinal", "name")))
+    picks = rows.groupBy("archive_id", "owner").agg(
+        F.bool_or(name == "Companion").alias("has_companion"), first(type_name.endswith("$Companion")).alias("companion"),
+        F.bool_or(name == "INSTANCE").alias("has_instance"), first(type_name == F.col("owner")).alias("instance"),
+    )
+    to_companion = ~F.col("has_companion") & F.col("companion").isNotNull()
+    # A field called INSTANCE that became the companion leaves its name free.
+    freed = to_companion & (F.col("companion.name") == "INSTANCE")
+    to_instance = (~F.col("has_instance") | freed) & F.col("instance").isNotNull()
+    rename = lambda done, old, new: F.when(done, F.struct(old.alias("old_name"), F.lit(new).alias("new_name")))
+    both = F.array_compact(F.array(
+        rename(to_companion, F.col("companion.name"), "Companion"), rename(to_instance, F.col("instance.name"), "INSTANCE")
+    ))
+    events = picks.select("archive_id", "owner", F.explode(both).alias("e")).select("archive_id", "owner", "e.*")
+    out = events.groupBy("archive_id", "owner", "old_name").agg(F.max("new_name").alias("new_name")).filter("old_name <> new_name")
     label = F.when(F.col("new_name") == "Companion", "companion-fields-restored").otherwise("instance-fields-restored")
-    return out, counter(out, "kotlin-data-class-restoration", label)
+    pass_name = "kotlin-data-class-restoration"
+    return out, counter(marked, pass_name, "kotlin-classes-seen").unionByName(counter(events, pass_name, label))
+
+
+def component_accessor_count(accessors: DataFrame) -> DataFrame:
+    """The counter of the rows of ``component_accessors``."""
+    return counter(accessors, "kotlin-data-class-restoration", "component-accessors-mapped")
 
 
 def component_accessors(annotations: DataFrame, instructions: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -137,12 +138,17 @@ def search_code(instructions: DataFrame, q: Search) -> DataFrame:
 def parse_number(text: str) -> tuple[int | float, bool] | None:
     """``(value, is_floating)`` of a numeric query, or None when it is not a number."""
     s = (text or "").strip()
+    if "_" in s or any(c.isspace() for c in s):
+        return None
     try:
         if s[:2] in ("0x", "0X"):
             return int(s[2:], 16), False
         if s[-1:] in ("L", "l"):
             return int(s[:-1]), False
-        if s[-1:] in ("F", "f", "D", "d"):
+        if s[-1:] in ("F", "f"):
+            # A float constant holds the nearest single-precision value.
+            return float(np.float32(s[:-1])), True
+        if s[-1:] in ("D", "d"):
             return float(s[:-1]), True
         if any(c in s for c in ".eE"):
             return float(s), True

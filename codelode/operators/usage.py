@@ -140,17 +140,20 @@ def with_overriders(usages: DataFrame, overriders: DataFrame) -> DataFrame:
 
 
 def usage_rollup(usages: DataFrame) -> DataFrame:
-    """Counts per class and method, per class, and overall (nulls mark the rolled-up levels).
+    """Counts per archive, class and method, per class, per archive, and overall (nulls mark the rolled-up levels).
 
     Sites are first counted per method, so the roll-up expands counts instead of sites.
     """
-    per_method = usages.groupBy("in_class", "in_method", "in_desc").agg(F.count("*").alias("n"))
+    per_method = usages.groupBy("archive_id", "in_class", "in_method", "in_desc").agg(F.count("*").alias("n"))
     signature = F.concat("in_method", "in_desc").alias("in_member")
     return (
-        per_method.select("in_class", signature, "n")
-        .rollup("in_class", "in_member")
-        .agg(F.sum("n").alias("sites"), F.count_distinct("in_class").alias("classes"))
-        .orderBy(F.lower("in_class").asc_nulls_first(), F.lower("in_member").asc_nulls_first(), "in_class", "in_member")
+        per_method.select("archive_id", "in_class", signature, F.struct("archive_id", "in_class").alias("class"), "n")
+        .rollup("archive_id", "in_class", "in_member")
+        .agg(F.sum("n").alias("sites"), F.count_distinct("class").alias("classes"))
+        .orderBy(
+            F.col("archive_id").asc_nulls_first(), F.lower("in_class").asc_nulls_first(), F.lower("in_member").asc_nulls_first(),
+            "in_class", "in_member",
+        )
     )
 
 

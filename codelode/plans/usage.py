@@ -74,8 +74,8 @@ def usage_filter_bar(spark, sf):
     return U.usage_filter(T.call_sites(spark, sf), ".C12", ["invoke", "write"]).select(*SITE_COLS)
 
 
-@query(with_views("call_sites", """SELECT in_class, in_method||in_desc AS in_member, count(*) AS sites, count(DISTINCT in_class) AS classes
-  FROM call_sites GROUP BY ROLLUP(in_class, in_method||in_desc)"""))
+@query(with_views("call_sites", """SELECT archive_id, in_class, in_method||in_desc AS in_member, count(*) AS sites,
+  count(DISTINCT archive_id||'|'||in_class) AS classes FROM call_sites GROUP BY ROLLUP(archive_id, in_class, in_method||in_desc)"""))
 def usage_rollup(spark, sf):
     return U.usage_rollup(T.call_sites(spark, sf))
 

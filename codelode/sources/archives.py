@@ -73,9 +73,9 @@ def _entries(path: str, data: bytes) -> tuple[Iterator[tuple[str, bytes]], list[
     if jmod:
         data = data[4:]
     if data[:4] != LOCAL and (begin := data.find(LOCAL)) > 0:
-        notes.append(f"Polyglot file: ZIP begins at offset {begin} (first 4 bytes: {data[:4].hex(' ')}).")
+        notes.append(f"leading-bytes:{begin}")
     if data.rfind(END, max(0, len(data) - 65557)) < 0:
-        notes.append("End-of-Central-Directory record missing or unreachable.")
+        notes.append("no-end-record")
 
     def logical(name: str) -> str:
         if not jmod:
@@ -96,7 +96,7 @@ def _entries(path: str, data: bytes) -> tuple[Iterator[tuple[str, bytes]], list[
             seen.add(info.filename)
             infos.append(info)
         if repeated:
-            notes.append(f"Deduplicated {repeated} duplicate CD entries.")
+            notes.append(f"repeated-directory-entries:{repeated}")
 
         def stored():
             for info in infos:
@@ -106,8 +106,8 @@ def _entries(path: str, data: bytes) -> tuple[Iterator[tuple[str, bytes]], list[
                     continue
 
         return stored(), notes
-    except zipfile.BadZipFile as ex:
-        notes.append(f"Standard ZIP parser rejected the file: {ex}")
+    except zipfile.BadZipFile:
+        notes.append("unreadable-directory")
     found = []
     for name, body in _walk_local_headers(data):
         if name.endswith("/"):
@@ -118,7 +118,7 @@ def _entries(path: str, data: bytes) -> tuple[Iterator[tuple[str, bytes]], list[
         seen.add(name)
         found.append((logical(name), body))
     if repeated:
-        notes.append(f"Deduplicated {repeated} repeated entries (local headers).")
+        notes.append(f"repeated-local-entries:{repeated}")
     return iter(found), notes
 
 

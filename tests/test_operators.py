@@ -189,3 +189,16 @@ def test_ordered_helpers(spark):
     assert [r["c"] for r in strict] == [None] + ["v%d" % ((i - 1) // 7 * 7) for i in range(1, 100)]
     numbered = number_rows(frame.withColumn("g", F.lit("x")), ["g"], ["i"], "n").orderBy("i").collect()
     assert [r["n"] for r in numbered] == list(range(100))
+
+
+def test_a_self_typed_companion_field_ends_as_instance(spark):
+    from codelode.operators import rewrite as Z
+
+    owner = "X$Companion"
+    marks = spark.createDataFrame([("a", owner, "class", Z.KOTLIN, True)], "archive_id string, owner string, target_kind string, desc string, visible boolean")
+    fields = spark.createDataFrame([("a", owner, 0, "q", f"L{owner};", 0x18)], "archive_id string, owner string, ordinal int, name string, desc string, access int")
+    renames, counts = Z.kotlin_singletons(marks, fields)
+    assert [(r.old_name, r.new_name) for r in renames.collect()] == [("q", "INSTANCE")]
+    assert {r["counter"]: r.n for r in counts.collect()} == {
+        "kotlin-classes-seen": 1, "companion-fields-restored": 1, "instance-fields-restored": 1
+    }

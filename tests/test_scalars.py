@@ -115,7 +115,16 @@ def test_packages(spark):
 
 def test_numbers():
     assert parse_number("0xDEADBEEF") == (0xDEADBEEF, False)
-    assert parse_number("3.14f") == (3.14, True) and parse_number("1L") == (1, False) and parse_number("abc") is None
+    # The F suffix means single precision, as float constants are stored.
+    assert parse_number("3.14f") == (3.140000104904175, True) and parse_number("1_000") is None and parse_number("1L") == (1, False) and parse_number("abc") is None
+
+
+def test_snippets_count_utf16_units(spark):
+    text = "\U0001f600" * 10 + " alpha needle omega"
+    cut = lambda before, after: lambda c: S.match_snippet(c, S.first_match(c, "needle")["start"], S.first_match(c, "needle")["end"], before, after)
+    assert one(spark, cut(3, 3), text) == "…ha needle om…"
+    assert one(spark, cut(8, 99), text) == "… alpha needle omega"
+    assert one(spark, lambda c: S.source_snippet(c, F.lit(1), 6), text) == "\U0001f600" * 2 + "…"
 
 
 def test_flags_and_versions(spark):
