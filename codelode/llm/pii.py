@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,22 @@ SCRIPTS = {
     "[а-я]": ("аеиоу", "бвгдзклмнпрст", "н", "а"),
     "[α-ω]": ("αειου", "βγδζκλμνπρτ", "ν", "α"),
 }
+#: Draws that keep a name's ending, and draws of the same length; after them a replacement is one letter or digit longer each time.
+STRICT, SAME_LENGTH = 3, 5
+
+
+def _alphabets() -> list[tuple[str, str]]:
+    """The small letters of every script that has capitals, by code point, and those that stand for them."""
+    by: dict[str, str] = {}
+    for c in map(chr, range(0x80, 0x20000)):
+        if unicodedata.category(c) == "Ll" and len(c.upper()) == 1 and c.upper() != c and c.upper().lower() == c:
+            script = unicodedata.name(c).split(" SMALL ")[0].split(" LETTER ")[0]
+            by[script] = by.get(script, "") + c
+    own = {"LATIN": "aeiou", "CYRILLIC": "".join(SCRIPTS["[а-я]"][:2]), "GREEK": "".join(SCRIPTS["[α-ω]"][:2])}
+    return [(by[s], own.get(s, by[s] if len(by[s]) > 4 else own["LATIN"])) for s in sorted(by, key=lambda s: (s not in own, s))]
+
+
+ALPHABETS = _alphabets()
 
 
 def kind_of(entity: Column) -> Column:
@@ -71,14 +89,22 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda s, d: s + d)
 
 
+def _longer(kind: Column, norm: Column, by: Column) -> Column:
+    """``norm`` with ``by`` more characters to be drawn: before an address, at the end of anything else."""
+    fill = F.when(kind == "person", F.substr(norm, F.length(norm), F.lit(1))).otherwise(F.lit("0"))
+    return F.when(kind == "email", F.concat(F.repeat(F.lit("a"), by), norm)).otherwise(F.concat(norm, F.repeat(fill, by)))
+
+
 def _with_surrogate(named: DataFrame, key: str) -> DataFrame:
     """``named (kind, norm, attempt, ...)`` with ``new``, the replacement of the normalised entity, itself normalised.
 
     Each step is a column of its own, so nothing is worked out once per character.
     """
-    kind, norm, rnd, chars = F.col("kind"), F.col("norm"), F.col("_rnd"), F.col("_chars")
+    kind, norm, rnd, chars, more = F.col("kind"), F.col("_long"), F.col("_rnd"), F.col("_chars"), F.col("_more")
     value = lambda i: F.get(rnd, i)
-    steps = named.withColumn("_rnd", _bytes(key, kind, norm, F.col("attempt"))).withColumn("_chars", F.split(norm, ""))
+    steps = named.withColumn("_more", F.greatest(F.col("attempt") - F.lit(SAME_LENGTH - 1), F.lit(0)).cast("int"))
+    steps = steps.withColumn("_long", _longer(kind, F.col("norm"), more))
+    steps = steps.withColumn("_rnd", _bytes(key, kind, norm, F.col("attempt"))).withColumn("_chars", F.split(norm, ""))
     steps = steps.withColumn("_hex", (kind == "secret") & F.regexp_like(norm, F.lit("^[0-9a-fA-F]+$")))
     low, up = F.lit("[a-z]"), F.lit("[A-Z]")
     steps = steps.withColumn(
@@ -93,18 +119,22 @@ def _with_surrogate(named: DataFrame, key: str) -> DataFrame:
     ).withColumn("_plain", F.array_join("_mapped", ""))
     # A card stays valid, or invalid: its last digit is set anew.
     digits = lambda a: F.transform(a, lambda c: F.coalesce(c.try_cast("int"), F.lit(0)))
-    steps = steps.withColumn("_sum", _luhn(digits(chars)) % 10)
+    steps = steps.withColumn("_sum", _luhn(digits(F.split(F.col("norm"), ""))) % 10)
     steps = steps.withColumn("_body", _luhn(F.concat(digits(F.slice("_mapped", 1, F.size("_mapped") - 1)), F.array(F.lit(0)))) % 10)
     card = F.concat(F.substr("_plain", F.lit(1), F.length("_plain") - 1), ((F.col("_sum") + 10 - F.col("_body")) % 10).cast("string"))
     # An address keeps its last label, a name its script, length, words and gender.
     mail = F.concat(F.regexp_replace("_plain", r"\.[^.]*$", ""), F.regexp_extract(norm, r"(\.[^.]*)$", 1))
     ip = F.concat_ws(".", (F.get(rnd, F.lit(0)) % 223 + 1).cast("string"), *[F.get(rnd, F.lit(i)).cast("string") for i in (1, 2, 3)])
+    ip = F.when(more == 0, ip).otherwise(F.concat_ws(".", ip, F.array_join(F.slice(rnd, 5, more).cast("array<string>"), ".")))
     steps = steps.withColumn("_female", F.regexp_like(norm, F.lit("^f ")))
 
     def letter(c, i):
-        last = (i == F.size(chars) - 1) | (F.get(chars, i + 1) == " ")
+        last = (F.col("attempt") < STRICT) & ((i == F.size(chars) - 1) | (F.get(chars, i + 1) == " "))
+        out = F.when(F.regexp_like(c, F.lit(r"\p{L}")), _pick("aeiou", value(i))).otherwise(c)
+        for letters, stand in reversed(ALPHABETS):
+            out = F.when(F.instr(F.lit(letters), c) > 0, _pick(stand, value(i))).otherwise(out)
         plain = F.when(last, F.when(F.col("_female"), F.lit("a")).otherwise(F.lit("n"))).otherwise(_pick("aeiou", value(i)))
-        out = F.when(F.regexp_like(c, F.lit(r"\p{IsLatin}")), plain).otherwise(c)
+        out = F.when(F.regexp_like(c, F.lit(r"\p{IsLatin}")), plain).otherwise(out)
         for script, (vowels, consonants, male, female) in SCRIPTS.items():
             inner = F.when(F.regexp_like(c, F.lit(f"[{vowels}]")), _pick(vowels, value(i))).otherwise(_pick(consonants, value(i)))
             ending = F.when(F.col("_female"), F.lit(female)).otherwise(F.lit(male))
@@ -123,22 +153,27 @@ def laid_out(kind: Column, entity: Column, replacement: Column) -> Column:
     chars = F.split(entity, "")
     before = lambda i: F.length(F.regexp_replace(F.substr(entity, F.lit(1), i + 1), "[^0-9]", ""))
     number = F.transform(chars, lambda c, i: F.when(F.regexp_like(c, F.lit("[0-9]")), F.substr(replacement, before(i), F.lit(1))).otherwise(c))
+    # What a lengthened replacement has more.
+    number = F.concat(F.array_join(number, ""), F.substr(replacement, before(F.length(entity)) + 1))
     name = F.concat(F.regexp_extract(entity, rf"^({_TITLED})", 1), F.initcap(F.substr(replacement, F.lit(3))))
-    part = lambda i: F.substr(replacement, i + 1, F.lit(1))
+    head = F.length(replacement) - F.length(entity)
+    part = lambda i: F.substr(replacement, head + i + 1, F.lit(1))
     cased = F.transform(chars, lambda c, i: F.when(c != F.lower(c), F.upper(part(i))).otherwise(part(i)))
     return (
-        F.when(kind.isin("phone", "card", "ssn"), F.array_join(number, "")).when(kind == "person", name)
-        .when(kind == "email", F.array_join(cased, "")).otherwise(replacement)
+        F.when(kind.isin("phone", "card", "ssn"), number).when(kind == "person", name)
+        .when(kind == "email", F.concat(F.substr(replacement, F.lit(1), head), F.array_join(cased, ""))).otherwise(replacement)
     )
 
 
-def surrogates(entities: DataFrame, key: str, tries: int = 64) -> DataFrame:
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``kind, norm, new`` for distinct ``entities (kind, norm)``, no two of a kind with one replacement and none with a real entity's.
 
     Of several with one replacement the smallest norm keeps it; the others, and those that read like a real one, are drawn again.
+    A format may hold fewer replacements than the data has entities, or none: draws first give up a name's ending, then the length.
+    Each draw that is one longer has at least five times the replacements of the last, so the rest always finds one.
     """
     now = stored(_with_surrogate(entities.withColumn("attempt", F.lit(0)), key), "entities")
-    for _ in range(tries):
+    while True:
         holder = now.groupBy("kind", "new").agg(F.min(F.struct("attempt", "norm"))["norm"].alias("holder"))
         real = now.select("kind", F.col("norm").alias("new"), F.lit(True).alias("real"))
         told = now.join(holder, ["kind", "new"]).join(real, ["kind", "new"], "left")
@@ -147,7 +182,6 @@ def surrogates(entities: DataFrame, key: str, tries: int = 64) -> DataFrame:
             return now.select("kind", "norm", "new")
         again = _with_surrogate(told.where("clash").select("kind", "norm", (F.col("attempt") + 1).alias("attempt")), key)
         now = stored(told.where("not clash").select("kind", "norm", "attempt", "new").unionByName(again), "entities")
-    raise RuntimeError("more entities of a kind than replacements of their format")
 
 
 def pseudonymise(docs: DataFrame, key: str = "surrogates") -> DataFrame:
@@ -156,7 +190,8 @@ def pseudonymise(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     Mail and network addresses, phone, card and social security numbers, secrets and titled names are found by one pattern.  A replacement is
     drawn from the SHA-256 of the key, the kind and the normalised entity, so an entity reads the same wherever it stands and
     however it is spelled, and keeps its format: separators, capitals, length, top-level label, validity of a card's check
-    digit, a name's title, script, words and gender.  The distinct entities, a small table beside the texts, are checked for replacements that
+    digit, a name's title, script, words and gender; where a format has no replacement left, its length grows.
+    The distinct entities, a small table beside the texts, are checked for replacements that
     two share or that are someone's real data, and those are drawn again.
 
     Only texts with an entity are shuffled.  The pieces between entities are kept byte for byte.  Null stays null; a text without

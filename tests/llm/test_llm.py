@@ -109,6 +109,30 @@ def test_surrogates(spark):
     assert re.search(r"Frau [A-Z]\w+a [A-Z]\w+a at", new)
 
 
+def test_surrogates_of_small_formats(spark):
+    short = ["Mr " + c + v for c in "BCDFGHKLMNPRSTVW" for v in "aeiou"]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}@{b}.co" for a in letters for b in letters]
+    others = ["Mr Արմեն", "Mr Անի", "Г-н Її", "_@-.com", "+@-.com"]
+    every = short + mails + others
+    df = spark.createDataFrame(list(enumerate(f"see {e} there" for e in every)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    new = [re.fullmatch(r"see (.*) there", got[i].text).group(1) for i in range(len(every))]
+    assert all(got[i].n_entities == 1 for i in got) and len(set(new)) == len(every) and not set(new) & set(every)
+    assert all(n.startswith("Mr ") for n in new[: len(short)]) and all(re.fullmatch(r"\w+@\w\.co", n) for n in new[len(short) : -len(others)])
+    assert re.fullmatch(r"Mr [Ա-Ֆ][ա-ֆ]{4,}", new[-5]) and re.fullmatch(r"Г-н [\u0400-\u04FF]{2,}", new[-3]) and new[-2].endswith("_@-.com")
+
+
+def test_numbers_grow_when_their_format_is_full(spark):
+    kinds = [("ssn", "123-45-6789", "123456789"), ("card", "4111 1111 1111 1111", "4111111111111111"), ("phone", "+1 23 45", "12345"), ("ip", "10.1.2.3", "10.1.2.3")]
+    df = spark.createDataFrame([(*k, pii.SAME_LENGTH + 1) for k in kinds], "kind string, entity string, norm string, attempt int")
+    laid = pii._with_surrogate(df, "k").select("kind", "new", pii.laid_out(F.col("kind"), F.col("entity"), F.col("new")).alias("out")).collect()
+    out = {r.kind: r.out for r in laid}
+    assert re.fullmatch(r"\d{3}-\d{2}-\d{6}", out["ssn"]) and re.fullmatch(r"\+\d \d{2} \d{4}", out["phone"]) and re.fullmatch(r"\d+(\.\d+){5}", out["ip"])
+    digits = [int(c) for c in out["card"].replace(" ", "")]
+    assert len(digits) == 18 and sum(d if i % 2 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+
+
 def test_templates(spark):
     rows = [(i, f"user {i} logged in from host\nunique {i * 'x'} thing is here now{i}") for i in range(8)] + [(20, None), (21, "")]
     out = {r.doc_id: r for r in linededup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
