@@ -14,9 +14,11 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
 
 
-def _masked():
-    """The tokens of a line, those with digits as variable fields."""
-    return F.transform(words(F.col("line")), lambda t: F.when(F.regexp_like(t, F.lit("[0-9]")), F.lit(FIELD)).otherwise(t))
+def _tokens(min_tokens: int):
+    """The tokens of a line; of ``min_tokens`` or more, those with digits are variable fields."""
+    plain = words(F.col("line"))
+    masked = F.transform(plain, lambda t: F.when(F.regexp_like(t, F.lit("[0-9]")), F.lit(FIELD)).otherwise(t))
+    return F.when(F.size(plain) < min_tokens, plain).otherwise(masked)
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 4, depth: int = 2, constant: float = 0.6) -> DataFrame:
@@ -25,15 +27,16 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 4, dep
     A line falls through a tree of fixed depth: by its number of tokens, then by its ``depth`` leading tokens (those with
     digits are variable).  In its leaf, a token stays constant where at least ``min_docs`` lines of documents have it in its
     place; the others are generalised to variable fields.  A line of which less than the share ``constant`` stays
-    constant is its own template.  Equal lines are counted once per document and first of all, so a line that a third of
+    constant is its own template, and so is a line of fewer than ``min_tokens`` tokens, digits and all, in a leaf of its own.  Equal lines are counted once per document and first of all, so a line that a third of
     all documents hold is one row of its leaf, and leaves too small to recur go before any token is looked at.
 
-    Lines of fewer than ``min_tokens`` tokens never recur.  Null and empty texts have none; rows without doc_id take no part;
+    Blank lines have no template.  Null and empty texts have none; rows without doc_id take no part;
     rows that repeat a doc_id count as one document.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tokens = _lines(docs).withColumn("tokens", _masked()).where(F.size("tokens") >= min_tokens)
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
+    tokens = _lines(docs).withColumn("tokens", _tokens(min_tokens)).where(F.size("tokens") > 0)
+    short = F.size("tokens") < min_tokens
+    leaf = F.xxhash64(F.size("tokens"), F.when(short, F.col("tokens")).otherwise(F.slice("tokens", 1, depth)))
     digest = F.unhex(F.md5(F.array_join("tokens", " ").cast("binary")))
     narrow = stored(tokens.select("doc_id", "line_no", leaf.alias("leaf"), digest.alias("digest")), "lines")
     leaves = narrow.select("leaf", "doc_id").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
@@ -47,8 +50,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 4, dep
         .select("w.digest", F.element_at("all", F.col("w.line_no") + 1).alias("line"))
         .dropDuplicates(["digest"])
     )
-    known = stored(taken.select("digest", _masked().alias("tokens")).join(per_line, "digest"), "known")
-    slots = known.select("leaf", "digest", "n", F.posexplode("tokens").alias("pos", "token"))
+    known = stored(taken.select("digest", _tokens(min_tokens).alias("tokens")).join(per_line, "digest"), "known")
+    slots = known.where(F.size("tokens") >= min_tokens).select("leaf", "digest", "n", F.posexplode("tokens").alias("pos", "token"))
     support = slots.where(F.col("token") != FIELD).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("s")).where(F.col("s") >= min_docs)
     fixed = slots.join(support, ["leaf", "pos", "token"]).groupBy("digest").agg(F.collect_list("pos").alias("fixed"))
     general = F.transform("tokens", lambda t, i: F.when(F.array_contains("fixed", i), t).otherwise(F.lit(FIELD)))

@@ -139,6 +139,16 @@ def test_templates(spark):
     assert all(out[i].n_dropped >= 1 and "logged" not in out[i].text for i in range(8)) and out[20].text is None and out[21].text == ""
 
 
+def test_short_lines_recur_as_they_are(spark):
+    rows = [(i, f"Read more\nbody number {'abcdefgh'[i]} stands here alone\n\nPage {i}\n  All rights  reserved.\nMenu\n<*>") for i in range(8)]
+    rows += [(30 + i, "Read less\nMenu") for i in range(4)] + [(40, "Read more please"), (41, "Page 3"), (42, None)]
+    out = {r.doc_id: r for r in linededup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i].text == f"\nPage {i}" for i in range(8))
+    assert all(out[30 + i].text == "Read less" for i in range(4)) and (out[40].n_dropped, out[41].n_dropped, out[42].text) == (0, 0, None)
+    body = [(i, f"Menu\nText {i * 'x'}y\n\n") for i in range(4)]
+    assert all(r.n_dropped == 0 for r in linededup.drop_recurring(spark.createDataFrame(body, "doc_id long, text string")).collect())
+
+
 def test_shards_are_even_and_keep_groups(docs):
     rows = sharding.shard(docs, shards=3).collect()
     assert len(rows) == len(ROWS) and {r.law for r in rows} == {"bytes"}
