@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codelode.llm.common import forget, stored
 from codelode.llm.hashing import anchors, lists, shingles, text_bytes, word_hashes
+from codelode.llm.substring import _blocker
 
 #: Words per block, and blocks of context on either side of a position that the order looks at.
 BLOCK, SIDE = 8, 6
@@ -94,6 +95,36 @@ def _equal_run(columns: list[str], other: str):
     return total
 
 
+def _holders(docs: DataFrame, met: DataFrame, length: int) -> DataFrame:
+    """``x, y (doc_id, pos)``: each document that holds a window of ``length`` words with the first document that holds it.
+
+    The smallest 8-word hash of a window is the smallest of some two thirds of it, so equal windows stand at shared
+    positions.  The windows of a position are one block; of equal blocks only one is taken apart.
+    """
+    run, schema = _blocker(length, BLOCK)
+    blocks = stored(docs.join(met, "doc_id").mapInArrow(run, schema), "blocks")
+    place = F.struct("doc_id", "start")
+    same = blocks.groupBy("anchor", "block").agg(F.min(place).alias("low"), F.max("doc_id").alias("high"), F.first("seqs").alias("seqs"))
+    windows = stored(same.select("anchor", "block", "low", "high", F.posexplode("seqs").alias("k", "seq")), "windows")
+    at = F.struct(F.col("low.doc_id").alias("doc_id"), (F.col("low.start") + F.col("k")).cast("long").alias("pos"))
+    first = windows.groupBy("anchor", "seq").agg(F.min(at).alias("y"), F.max("high").alias("last")).where("y.doc_id < last")
+    # Windows of a block that lead to one place of one document along one shift are one candidate.
+    shift = F.col("y.pos") - F.col("k")
+    known = windows.join(first, ["anchor", "seq"]).groupBy("anchor", "block", F.col("y.doc_id").alias("first_id"), shift.alias("shift")).agg(F.min("k").alias("k"))
+    known = stored(known, "holders")
+    met_at = blocks.select("doc_id", "start", "anchor", "block").join(known, ["anchor", "block"]).where("doc_id <> first_id")
+    pos = (F.col("start") + F.col("k")).cast("long")
+    out = stored(
+        met_at.select(
+            F.struct("doc_id", pos.alias("pos")).alias("x"),
+            F.struct(F.col("first_id").alias("doc_id"), (F.col("shift") + F.col("k")).cast("long").alias("pos")).alias("y"),
+        ),
+        "held",
+    )
+    forget(blocks, windows, known)
+    return out
+
+
 def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """Maximal repeats of ``length`` or more words between two of ``docs (doc_id, text, ...)``: ``doc_id, start, length`` (words) of the
     later and ``other_id, other_start`` of the earlier document.
@@ -102,8 +133,9 @@ def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     passage.  Those whose first block only one document has go at once.  The others are sorted by
     the blocks to their right, then by those to their left; equal contexts are one entry, whose documents are matched with its first.
     Entries are compared with their neighbours, and where agreeing blocks leave room for ``length`` words the two documents are extended
-    left and right, word by word, along that shift.  A repeated passage is found in each document that holds it: its selected positions sort next to
-    another copy's.  Not every pair of holders is listed.
+    left and right, word by word, along that shift.  Neighbours alone miss passages whose positions lie in a part that many others share, so
+    each holder of a window of ``length`` words is also matched with the first document that holds it: a repeated
+    passage is found in each document that holds it, whatever sorts between.  Not every pair of holders is listed.
 
     The sort is by range, so a passage that a third of all documents hold is spread; neighbours across two ranges are
     met through the ranges' ends.  Null, empty and short texts hold no repeat; rows without doc_id take no part; rows that
@@ -138,7 +170,7 @@ def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     several = placed.where("first.doc_id < last.doc_id").select(*[F.col(c).alias(f"_{c}") for c in order], "first")
     equal = reduce(lambda p, q: p & q, [F.col(c) == F.col(f"_{c}") for c in order])
     copies = suffixes.join(several, equal).select(at.alias("x"), F.col("first").alias("y"))
-    found = neighbours.unionByName(copies).where("x.doc_id <> y.doc_id").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+    found = neighbours.unionByName(copies).unionByName(_holders(docs, met, length)).where("x.doc_id <> y.doc_id").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
     tried = stored(
         found.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.collect_set(F.col("x.pos") - F.col("y.pos")).alias("shifts")),
         "tried",

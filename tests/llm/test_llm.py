@@ -191,6 +191,25 @@ def test_repeats_are_extended(docs):
     assert plain(suffixarray.repeats(docs)) == [(10, 1, 120, 9, 0)]
 
 
+def test_repeats_behind_a_hot_part_are_found(spark):
+    rng = np.random.default_rng(1)
+    draw = lambda n: [f"v{k}" for k in rng.integers(0, 10**9, n)]
+    hot, rows = draw(33), []
+    for pair in range(40):
+        own, tail = draw(17), draw(12)
+        rows += [(2 * pair + side, " ".join(draw(60) + own + hot + (tail if pair % 2 else []) + draw(60))) for side in (0, 1)]
+    rows += [(1000 + i, " ".join(draw(60) + hot + draw(60))) for i in range(400)]
+    held, want = {}, set()
+    for i, text in rows:
+        w = text.split(" ")
+        for k in range(len(w) - 49):
+            held.setdefault(tuple(w[k : k + 50]), []).append(i)
+    for ids in held.values():
+        want |= {(i, ids[0]) for i in ids if i != ids[0]}
+    got = {(r.doc_id, r.other_id) for r in suffixarray.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) == 40 and got == want
+
+
 def test_empty_tables(spark, docs, labels, benchmark):
     none = docs.limit(0)
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
