@@ -11,6 +11,10 @@ from codelode.llm.common import stored
 
 #: Positions that each mask reads; whichever two of WINDOW words are substituted, one of the masks still fits between them.
 MASKS = ((0, 1, 4, 7, 8, 9), (0, 1, 3, 4, 5, 6))
+#: For items that MASKS fit, but of fewer than COVERED words: the first at an item's start, the second at its end; one word replaced spares one of them.
+SHORT, COVERED = ((0, 1, 2), (0, 1, 2, 3)), 10
+_EVERY = MASKS + SHORT
+_LEAST = 1 + min(m[-1] for m in MASKS)
 WINDOW, SUBSTITUTIONS = 13, 2
 _BEFORE = WINDOW - 1 - min(m[-1] for m in MASKS)
 _SPAN = _BEFORE + WINDOW
@@ -23,14 +27,22 @@ def _hashes(text: Column) -> Column:
 
 
 def _seed(h: str, mask: int, at: Column) -> Column:
-    return F.xxhash64(F.lit(mask), *[F.get(F.col(h), at + o) for o in MASKS[mask]])
+    return F.xxhash64(F.lit(mask), *[F.get(F.col(h), at + o) for o in _EVERY[mask]])
 
 
 def _starts(h: str, mask: int) -> Column:
-    last = F.size(h) - 1 - MASKS[mask][-1]
+    last = F.size(h) - 1 - _EVERY[mask][-1]
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
+def _item_starts(h: str, mask: int) -> Column:
+    """Where an item is read under a mask."""
+    if mask < len(MASKS):
+        return _starts(h, mask)
+    at = F.lit(0) if mask == len(MASKS) else F.size(h) - len(_EVERY[mask])
+    return F.when(F.size(h).between(_LEAST, COVERED - 1), F.array(at)).otherwise(F.array().cast("array<int>"))
+
+
 def _around(h: str, at: Column, blank: int) -> Column:
     """The words of every window that contains the seed at ``at``; ``blank`` stands for words beyond the text."""
     padded = F.concat(F.array_repeat(F.lit(blank).cast("long"), _BEFORE), F.col(h), F.array_repeat(F.lit(blank).cast("long"), WINDOW))
@@ -61,7 +73,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, bits: int = 20) -> DataFrame
     of every document is hashed under each mask and looked up in a bit table of fixed size that the items' seeds have set;
     what passes is joined to the items by the full hash, carrying its surroundings along, and the words of
     the windows around are counted off.  A word beyond an end counts as replaced.  Items of fewer than WINDOW words must be held whole, with
-    substitutions in proportion; items shorter than the masks that fit them nowhere match nothing, as chance would.
+    substitutions in proportion; items of fewer than COVERED words are also looked up by their first three and last four words, under masks
+    that documents are hashed with only if there are such items.  Items shorter than the masks that fit them nowhere match nothing, as chance would.
 
     Words are compared without case and punctuation.  Null and empty texts, and rows without doc_id or item_id, match nothing.  Items of equal text are
     one, under their smallest id; rows that repeat a document raise ``hits``.  An empty table on either side gives an empty result.
@@ -69,8 +82,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, bits: int = 20) -> DataFrame
     items = benchmark.where("item_id is not null").select("item_id", _hashes(F.col("text")).alias("h"))
     items = items.groupBy("h").agg(F.min("item_id").alias("item_id"))
     seeds = None
-    for m in range(len(MASKS)):
-        one = items.select("item_id", "h", F.explode(_starts("h", m)).alias("at")).select(
+    masks = range(len(_EVERY) if items.where(F.size("h").between(_LEAST, COVERED - 1)).take(1) else len(MASKS))
+    for m in masks:
+        one = items.select("item_id", "h", F.explode(_item_starts("h", m)).alias("at")).select(
             "item_id", F.size("h").alias("n"), _seed("h", m, F.col("at")).alias("key"), F.col("at").alias("item_at"), _around("h", F.col("at"), -1).alias("theirs")
         )
         seeds = one if seeds is None else seeds.unionByName(one)
@@ -95,7 +109,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, bits: int = 20) -> DataFrame
         hit = F.filter(_starts("h", m), lambda i: passes(_seed("h", m, i)))
         return F.transform(hit, lambda i: F.struct(_seed("h", m, i).alias("key"), i.alias("at"), _around("h", i, 0).alias("ours")))
 
-    met = hashed.select("doc_id", F.explode(F.concat(*[found(m) for m in range(len(MASKS))])).alias("s")).select("doc_id", "s.*").join(seeds, "key")
+    met = hashed.select("doc_id", F.explode(F.concat(*[found(m) for m in masks])).alias("s")).select("doc_id", "s.*").join(seeds, "key")
     same = F.zip_with("ours", "theirs", lambda a, b: (a == b).cast("int"))
     best = F.array_max(
         F.transform(

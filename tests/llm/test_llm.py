@@ -1,6 +1,7 @@
 """The training-data operators on small inputs: brute force, awkward rows, empty tables."""
 
 import hashlib
+import itertools
 import re
 
 import brute
@@ -76,6 +77,21 @@ def test_overlaps_find_substitutions(spark, benchmark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 1)}
 
 
+def test_overlaps_find_every_substitution_of_short_items(spark):
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(7, 14)]
+    rows, want = [], set()
+    for n, text in items:
+        for count in range(4):
+            for gone in itertools.combinations(range(n), count):
+                words = [f"x{k}" if k in gone else w for k, w in enumerate(text.split(" "))]
+                rows.append((len(rows), " ".join(["pre", "fix", *words, "post"])))
+                if count <= 2 * n // 13:
+                    want.add((rows[-1][0], n))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.overlaps(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
 def test_mix_reaches_targets(docs):
     rows = mixing.taken(docs).collect()
     assert len(rows) == len(ROWS) and all(0 <= r.taken <= 2 * r.size for r in rows)
