@@ -24,7 +24,7 @@ KINDS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A text without any of these holds nothing that PATTERN finds.
-HINT = rf"\d|@|{_TITLED}|[A-F]{{32}}"
+HINT = rf"\d|@|{_TITLED}|[A-F]{{32}}|[a-f]{{32}}|AKIA|(?:sk|pk|gh[pousr])[_-]"
 #: Letters that stand for one another in names, per script: vowels, consonants, endings of male and female names.
 SCRIPTS = {
     "[a-z]": ("aeiou", "bcdfghklmnprstvw", "n", "a"),

@@ -125,6 +125,13 @@ def test_surrogates(spark):
     assert re.search(r"Frau [A-Z]\w+a [A-Z]\w+a at", new)
 
 
+def test_secrets_without_digits_are_found(spark):
+    secrets = ["ghp_" + "abXY" * 9, "sk-" + "abcdWXYZ" * 3, "AKIA" + "QRST" * 4, "abcdef" * 6]
+    df = spark.createDataFrame([(i, f"key {s} end") for i, s in enumerate(secrets)], "doc_id long, text string")
+    got = pii.pseudonymise(df).collect()
+    assert all(r.n_entities == 1 and secrets[r.doc_id] not in r.text for r in got)
+
+
 def test_surrogates_of_small_formats(spark):
     short = ["Mr " + c + v for c in "BCDFGHKLMNPRSTVW" for v in "aeiou"]
     letters = "abcdefghijklmnopqrstuvwxyz"
