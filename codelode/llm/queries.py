@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import decontaminate, linededup, minhash, mixing, pii, quality, sharding, substring, suffixarray, topk
+from codelode.llm import alignment, collocation, decontaminate, linededup, minhash, mixing, pii, quality, sharding, substring, suffixarray, tokencount, topk
 from codelode.llm.common import table
 
 WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -56,11 +57,24 @@ def op10_suffixarray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixarray.repeats(table(spark, sf_dir, "documents"), length=50)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return alignment.align(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))[0]
+
+
+def op12_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"), least=30, longest=4, top=2000)
+
+
+def op13_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
 PLANS = {
     f.__name__: f
     for f in (
         op1_minhash, op2_topk, op3_decontaminate, op4_mixing, op5_pii, op6_linededup, op7_sharding, op8_quality,
-        op9_substring, op10_suffixarray,
+        op9_substring, op10_suffixarray, op11_alignment, op12_collocation, op13_tokencount,
     )
 }
 
@@ -136,4 +150,21 @@ ORACLES = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
                sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT coalesce(list_contains(gone, i), FALSE)), lambda i: w[i]), ' '), '')) AS kept_sha256
         FROM d LEFT JOIN k USING (doc_id)""",
+    "op12_collocation": r"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+        w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+        g AS (SELECT lang, unnest(flatten(list_transform(range(1, 5), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])))) AS g FROM w),
+        f AS (SELECT lang, g, count(*) AS a FROM g GROUP BY lang, g),
+        n AS (SELECT lang, sum(a) AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+        c AS (SELECT * FROM f WHERE len(g) > 1 AND a >= 30),
+        s AS (SELECT c.lang, c.g, c.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a::HUGEINT + y.a) AS score
+              FROM (SELECT *, unnest(range(1, len(g))) AS k FROM c) c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+        m AS (SELECT lang, g, a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score) AS score FROM s GROUP BY lang, g, a),
+        i AS (SELECT lang, unnest(flatten(list_transform(range(2, len(g)), lambda k: list_transform(range(1, len(g) - k + 2), lambda i: g[i:i + k - 1])))) AS g, a FROM c WHERE len(g) > 2),
+        b AS (SELECT lang, g, max(a) AS a FROM i GROUP BY lang, g),
+        o AS (SELECT m.lang, array_to_string(m.g, ' ') AS phrase, m.a, l, r, score FROM m LEFT JOIN b ON b.lang = m.lang AND b.g = m.g
+              WHERE b.a IS NULL OR 100::HUGEINT * b.a < 80::HUGEINT * m.a),
+        z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+        SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM z JOIN n USING (lang) WHERE rank <= 2000""",
 }
