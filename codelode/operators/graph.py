@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import scalars as S
+from codelode.operators.adjacency import FAR, NEAR, Adjacency, stored_edges
+from codelode.operators.strong import strong_components
 from codelode.operators.usage import method_calls
 from codelode.session import cut_lineage
 
+MEMBER = ["owner", "name", "desc"]
+
 
 def class_node_id(fqn: Column) -> Column:
     return F.concat(F.lit("C:"), fqn)
@@ -45,8 +50,22 @@ def call_edges(call_sites: DataFrame, mode: str) -> DataFrame:
     )
 
 
+def method_edges(call_sites: DataFrame) -> DataFrame:
+    """Edges between methods ``(archive_id, src, dst, src_*, dst_*, n, line)``: number of sites and line of the first one."""
+    calls = method_calls(call_sites)
+    ends = {"src": ("in_class", "in_method", "in_desc"), "dst": ("target_owner", "target_name", "target_desc")}
+    parts = [F.col(c).alias(f"{end}_{part}") for end, cols in ends.items() for c, part in zip(cols, MEMBER)]
+    counted = (
+        calls.select("archive_id", *parts, "site_idx", "line")
+        .groupBy("archive_id", *[f"{end}_{part}" for end in ends for part in MEMBER])
+        .agg(F.count("*").alias("n"), F.min(F.struct("site_idx", "line"))["line"].alias("line"))
+    )
+    key = lambda end: S.method_key(*[F.col(f"{end}_{part}") for part in MEMBER]).alias(end)
+    return counted.select("*", key("src"), key("dst"))
+
+
 def call_graph(
-    call_sites: DataFrame,
+    call_sites: DataFrame | Adjacency,
     roots: DataFrame,
     mode: str = "CLASS",
     direction: str = "OUT",
@@ -55,25 +74,25 @@ def call_graph(
 ) -> tuple[DataFrame, DataFrame]:
     """Breadth-first call graph around ``roots(archive_id, node)``: ``(nodes, edges)``.
 
-    Nodes above ``depth`` are expanded; every neighbour but the root must pass the package prefix.
-    An edge weighs its number of sites once per expanded end, so with direction BOTH an edge between
-    two expanded nodes counts double.  Self edges are left out.
+    Takes call sites, or the table that ``Adjacency.build(call_edges(call_sites, mode), path)`` wrote.  Nodes above ``depth`` are
+    expanded; every neighbour but the root must pass the package prefix.  An edge weighs its number of sites once
+    per expanded end, so with direction BOTH an edge between two expanded nodes counts double.  Self edges are left out.
     """
-    edges = cut_lineage(call_edges(call_sites, mode))
+    table = stored_edges(call_sites, lambda sites: call_edges(sites, mode))
     ways = {"OUT": ["OUT"], "IN": ["IN"], "BOTH": ["OUT", "IN"]}[direction]
-    passes = lambda fqn: S.included_by_prefix(F.col(fqn), package_filter)
-    frontier = roots.select("archive_id", "node", F.lit(0).alias("level")).distinct()
+    frontier = cut_lineage(roots.select("archive_id", "node", F.lit(0).alias("level")).distinct())
     nodes = frontier
     seen_edges: list[DataFrame] = []
     for level in range(depth):
-        around = []
-        for way in ways:
-            near, far = ("src", "dst") if way == "OUT" else ("dst", "src")
-            around.append(
-                edges.filter(passes(f"{far}_fqn"))
-                .join(frontier.select("archive_id", F.col("node").alias(near)), ["archive_id", near])
-                .select("archive_id", "src", "dst", "n", F.col(far).alias("reached"))
-            )
+        buckets = table.touched(frontier)
+        if not buckets:
+            break
+        around = [
+            table.around(frontier.select("archive_id", "node"), way, buckets)
+            .filter(S.included_by_prefix(F.col(f"{FAR[way]}_fqn"), package_filter))
+            .select("archive_id", "src", "dst", "n", F.col(FAR[way]).alias("reached"))
+            for way in ways
+        ]
         step = cut_lineage(reduce(DataFrame.unionByName, around))
         seen_edges.append(step)
         frontier = cut_lineage(
@@ -83,10 +102,8 @@ def call_graph(
             .withColumn("level", F.lit(level + 1))
         )
         nodes = nodes.unionByName(frontier)
-        if level + 1 < depth and frontier.isEmpty():
-            break
     if not seen_edges:
-        empty = edges.select("archive_id", "src", "dst", F.col("n").alias("weight")).limit(0)
+        empty = table.edges.select("archive_id", "src", "dst", F.col("n").alias("weight")).limit(0)
         return nodes, empty
     weighted = (
         reduce(DataFrame.unionByName, seen_edges)
@@ -105,50 +122,100 @@ def incoming(edges: DataFrame, node: str) -> DataFrame:
     return edges.filter(F.col("dst") == node)
 
 
+def _first_callers(rows: DataFrame, by: list[str], per_node: int | None) -> DataFrame:
+    """``cut``: whether callers of the row's callee were left out; at most ``per_node`` of them stay, the first by key."""
+    if per_node is None:
+        return rows.withColumn("cut", F.lit(False))
+    ordered = Window.partitionBy(*by, "dst").orderBy("src")
+    # One row past the limit tells that there is more, so Spark may still trim each task's rows before the shuffle.
+    some = rows.withColumn("rank", F.row_number().over(ordered)).filter(F.col("rank") <= per_node + 1)
+    more = F.max("rank").over(Window.partitionBy(*by, "dst")) > per_node
+    return some.withColumn("cut", more).filter(F.col("rank") <= per_node).drop("rank")
+
+
+def caller_dag(
+    call_sites: DataFrame | Adjacency, roots: DataFrame, depth: int | None = None, per_node: int | None = None
+) -> DataFrame:
+    """Everything that calls ``roots(archive_id, owner, name, desc)``, directly or not: one row per caller and callee.
+
+    ``(archive_id, root, caller, callee, level, line, sites, cyclic, truncated)``: ``level`` is the least number of calls from the caller to
+    the root over this edge, ``line`` that of the edge's first site, and ``cyclic`` says that the callee also reaches the caller, so
+    following callers up this edge would come back.  Each method is expanded once per root, at its first level, so there are as
+    many rows as edges however many ways lead up.  Takes call sites, or the table that ``Adjacency.build(method_edges(...), path)`` wrote.
+
+    There is no limit unless the caller sets one: ``depth`` ends the walk, ``per_node`` keeps the first callers of a method by
+    key.  ``truncated`` marks rows whose callee has more callers than shown, or whose caller was not expanded although it has some.
+    """
+    table = stored_edges(call_sites, method_edges)
+    by = ["archive_id", "root"]
+    key = S.method_key(F.col("owner"), F.col("name"), F.col("desc"))
+    frontier = cut_lineage(roots.select("archive_id", key.alias("root"), key.alias("node")).distinct())
+    seen, steps, level = frontier, [], 0
+    while (buckets := table.touched(frontier)) and (depth is None or level < depth):
+        level += 1
+        edges = _first_callers(table.around(frontier, "IN", buckets), by, per_node)
+        known = seen.select(*by, F.col("node").alias("src"), F.lit(True).alias("known"))
+        step = cut_lineage(
+            edges.join(known, [*by, "src"], "left").select(
+                *by, "src", "dst", F.lit(level).alias("level"), "line", F.col("n").alias("sites"), "cut", F.col("known").isNull().alias("new")
+            )
+        )
+        steps.append(step.drop("new"))
+        frontier = cut_lineage(step.filter("new").select(*by, F.col("src").alias("node")).distinct())
+        seen = seen.unionByName(frontier)
+    if not steps:
+        columns = [F.lit(None).cast(t).alias(c) for c, t in (("caller", "string"), ("callee", "string"), ("level", "int"), ("line", "int"),
+                                                              ("sites", "long"), ("cyclic", "boolean"), ("truncated", "boolean"))]
+        return frontier.select(*by, *columns).limit(0)
+    dag = reduce(DataFrame.unionByName, steps)
+    more = table.around(frontier, "IN", buckets).select(*by, F.col("node").alias("src"), F.lit(True).alias("more")).distinct()
+    parts = strong_components(dag, by)
+    end = lambda name: parts.select(*by, F.col("node").alias(name), F.col("component").alias(f"{name}_part"))
+    told = dag.join(end("src"), [*by, "src"], "left").join(end("dst"), [*by, "dst"], "left").join(more, [*by, "src"], "left")
+    cyclic = F.coalesce(F.col("src_part") == F.col("dst_part"), F.lit(False)) | (F.col("src") == F.col("dst"))
+    return told.select(
+        *by, F.col("src").alias("caller"), F.col("dst").alias("callee"), "level", "line", "sites", cyclic.alias("cyclic"),
+        (F.col("cut") | F.col("more").isNotNull()).alias("truncated"),
+    )
+
+
 def recursive_callers(
-    call_sites: DataFrame, roots: DataFrame, depth: int = 5, per_node: int = 50
+    call_sites: DataFrame | Adjacency, roots: DataFrame, depth: int | None = 5, per_node: int | None = None
 ) -> DataFrame:
     """Caller trees of ``roots(archive_id, owner, name, desc)``: one row per tree node.
 
-    ``(root, level, path, method_key, line, cyclic)``; a caller already on its path is shown once more
-    with ``cyclic`` set and not expanded.  At most ``per_node`` callers are shown under a node, the
-    first by key: every node of one method has the same callers, so the limit is applied per method
-    once (Spark cuts each task's rows to the limit before the shuffle) and the fan-out stays bounded.
+    ``(root, level, path, method_key, line, cyclic, truncated)``; a caller already on its path is shown once more with ``cyclic`` set
+    and not expanded.  A method with several ways up appears under each of them, so a tree grows with the number of
+    ways: ``depth`` ends it (None: only cycles do), ``per_node`` keeps the first callers by key, and ``truncated`` marks nodes that have
+    callers which are not shown.  ``caller_dag`` has everything without limits.
     """
-    sites = method_calls(call_sites).select(
-        "archive_id",
-        S.method_key(F.col("target_owner"), F.col("target_name"), F.col("target_desc")).alias("callee"),
-        S.method_key(F.col("in_class"), F.col("in_method"), F.col("in_desc")).alias("caller"),
-        "site_idx",
-        "line",
-    )
-    first_site = sites.groupBy("archive_id", "callee", "caller").agg(
-        F.min(F.struct("site_idx", "line"))["line"].alias("line")
-    )
-    by_key = Window.partitionBy("archive_id", "callee").orderBy("caller")
-    callers = cut_lineage(
-        first_site.withColumn("rank", F.row_number().over(by_key)).filter(F.col("rank") <= per_node).drop("rank")
-    )
+    table = stored_edges(call_sites, method_edges)
     key = S.method_key(F.col("owner"), F.col("name"), F.col("desc"))
-    level = roots.select(
+    level = cut_lineage(roots.select(
         "archive_id", key.alias("root"), F.lit(0).alias("level"), F.array(key).alias("path"),
         key.alias("method_key"), F.lit(0).alias("line"), F.lit(False).alias("cyclic"),
-    ).distinct()
-    levels = [level]
-    for i in range(depth):
+    ).distinct())
+    levels = []
+    by = ["archive_id", "root", "path"]
+    for i in count():
+        frontier = level.filter(~F.col("cyclic")).select(*by, F.col("method_key").alias("node"))
+        buckets = table.touched(frontier)
+        last = not buckets or (depth is not None and i >= depth)
+        edges = table.around(frontier, "IN", buckets)
+        if last:
+            cut = edges.select(*by).distinct().withColumn("cut", F.lit(True))
+        else:
+            edges = cut_lineage(_first_callers(edges, by, per_node))
+            cut = edges.filter("cut").select(*by, "cut").distinct()
+        levels.append(level.join(cut, by, "left").withColumn("truncated", F.coalesce("cut", F.lit(False))).drop("cut"))
+        if last:
+            break
         level = cut_lineage(
-            level.filter(~F.col("cyclic"))
-            .select("archive_id", "root", "path", F.col("method_key").alias("callee"))
-            .join(callers, ["archive_id", "callee"])
-            .select(
-                "archive_id", "root", F.lit(i + 1).alias("level"),
-                F.array_append("path", F.col("caller")).alias("path"), F.col("caller").alias("method_key"),
-                "line", F.array_contains("path", F.col("caller")).alias("cyclic"),
+            edges.select(
+                "archive_id", "root", F.lit(i + 1).alias("level"), F.array_append("path", F.col("src")).alias("path"),
+                F.col("src").alias("method_key"), "line", F.array_contains("path", F.col("src")).alias("cyclic"),
             )
-        )
-        levels.append(level)
-        if i + 1 < depth and level.isEmpty():
-            break
+        )
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -170,39 +237,34 @@ def degrees(call_sites: DataFrame) -> DataFrame:
 
 
 def call_tree_children(
-    call_sites: DataFrame, methods: DataFrame, direction: str = "OUT", level: int = 0, max_depth: int = 30
+    call_sites: DataFrame | Adjacency, methods: DataFrame, direction: str = "OUT", level: int = 0, max_depth: int | None = None
 ) -> DataFrame:
     """Children of ``methods(archive_id, owner, name, desc)`` in the call tree.
 
-    Sites with the same other end merge into one row with their number and first line.  The callers
-    and callees of the child itself are counted unless it ends the branch.
+    Sites with the same other end merge into one row with their number and first line.  The callers and callees of the
+    child itself are counted, from its own edges only, unless it ends the branch: where it is its own parent, or
+    where the caller sets ``max_depth`` and ``level`` is the last one above it.
     """
-    calls = method_calls(call_sites)
-    here = ("in_class", "in_method", "in_desc")
-    there = ("target_owner", "target_name", "target_desc")
-    near, far = (here, there) if direction == "OUT" else (there, here)
-    key = ["owner", "name", "desc"]
-    named = lambda cols, prefix="": [F.col(c).alias(prefix + k) for c, k in zip(cols, key)]
-    merged = (
-        calls.select("archive_id", *named(near), *named(far, "child_"), "site_idx", "line")
-        .join(methods.select("archive_id", *key).distinct(), ["archive_id", *key])
-        .groupBy("archive_id", *key, *[f"child_{k}" for k in key])
-        .agg(F.count("*").alias("sites"), F.min(F.struct("site_idx", "line"))["line"].alias("first_line"))
-    )
-    terminal = (F.lit(level + 1 >= max_depth)) | (
-        (F.col("child_owner") == F.col("owner"))
-        & (F.col("child_name") == F.col("name"))
-        & (F.col("child_desc") == F.col("desc"))
-    )
-    counts = degrees(call_sites).select(
-        "archive_id", *[F.col(k).alias(f"child_{k}") for k in key], "callers", "callees"
-    )
-    shown = lambda c: F.when(F.col("terminal"), 0).otherwise(F.coalesce(c, F.lit(0))).cast("long").alias(f"child_{c}")
+    table = stored_edges(call_sites, method_edges)
+    near, far = NEAR[direction], FAR[direction]
+    key = S.method_key(F.col("owner"), F.col("name"), F.col("desc"))
+    asked = cut_lineage(methods.select("archive_id", *MEMBER, key.alias("node")).distinct())
+    merged = cut_lineage(
+        table.around(asked, direction).select(
+            "archive_id", *MEMBER, *[F.col(f"{far}_{k}").alias(f"child_{k}") for k in MEMBER], F.col("n").alias("sites"),
+            F.col("line").alias("first_line"), F.col(far).alias("child"),
+            (F.col(near) == F.col(far)).alias("own") if max_depth is None or level + 1 < max_depth else F.lit(True).alias("own"),
+        )
+    )
+    children = cut_lineage(merged.filter("not own").select("archive_id", F.col("child").alias("node")).distinct())
+    buckets = table.touched(children)
+    total = lambda way, name: table.around(children, way, buckets).groupBy("archive_id", F.col("node").alias("child")).agg(F.sum("n").alias(name))
+    shown = lambda c: F.when(F.col("own"), 0).otherwise(F.coalesce(c, F.lit(0))).cast("long").alias(f"child_{c}")
     return (
-        merged.withColumn("terminal", terminal)
-        .join(counts, ["archive_id", *[f"child_{k}" for k in key]], "left")
+        merged.join(total("IN", "callers"), ["archive_id", "child"], "left")
+        .join(total("OUT", "callees"), ["archive_id", "child"], "left")
         .select(
-            "archive_id", *key, *[f"child_{k}" for k in key], "sites", "first_line", "terminal",
+            "archive_id", *MEMBER, *[f"child_{k}" for k in MEMBER], "sites", "first_line", F.col("own").alias("terminal"),
             shown("callers"), shown("callees"),
         )
     )

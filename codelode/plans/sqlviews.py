@@ -45,6 +45,9 @@ VIEWS: dict[str, str] = {
       CAST(43 + p_size%30 AS INT) AS major, CAST(p_size%3 AS INT) AS runtime_version,
       CASE p_partkey%4 WHEN 0 THEN 'C'||p_partkey||'.java' WHEN 1 THEN NULL WHEN 2 THEN 'x.bin' ELSE 'C'||p_partkey||'.kt' END AS source_file,
       p_name AS bytes FROM part""",
+    "hub_calls": f"""SELECT {cls('l_partkey')}||'#m()V' AS caller,
+      CASE WHEN l_linenumber<3 AND l_partkey<100 THEN 'h/S'||(l_suppkey%5) WHEN l_linenumber=7 AND l_partkey%8=5 AND l_partkey*2<{NP} THEN {cls('l_partkey*2')} ELSE {cls('l_partkey//2')} END||'#m()V' AS callee,
+      CAST(l_quantity AS INT) AS line, (l_orderkey*10+l_linenumber)*100000000 + CAST(round(l_extendedprice*100) AS BIGINT) AS site_idx FROM lineitem""",
     "edges_h": """SELECT internal_name AS child, super_name AS parent, 'EXTENDS' AS edge_kind FROM classes
       UNION ALL SELECT internal_name, interface, 'IMPLEMENTS' FROM classes""",
     "ver_a": version("A"),

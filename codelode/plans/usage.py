@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -9,10 +10,43 @@ from pyspark.sql import functions as F
 from codelode.operators import graph as G
 from codelode.operators import hierarchy as H
 from codelode.operators import usage as U
+from codelode.operators.adjacency import Adjacency
 from codelode.plans.registry import query
 from codelode.plans.sqlviews import with_views
+from codelode.session import shared_folder
 from codelode.sources import tables as T
 
+#: Edge tables of this session by what they were made from; a corpus is indexed once and asked often.
+_TABLES: dict[tuple, Adjacency] = {}
+
+
+def _table(spark, sf, kind: str, source: str, make) -> Adjacency:
+    """The stored edge table ``kind`` of a corpus; written anew when files of its ``source`` table change."""
+    jvm, root = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{source}.parquet")
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    seen = [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in system.listStatus(root)]
+    key = (spark.sparkContext.applicationId, sf, kind, tuple(sorted(seen)))
+    if key not in _TABLES:
+        _TABLES[key] = Adjacency.build(make(), f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _TABLES[key]
+
+
+def _class_calls(spark, sf) -> Adjacency:
+    return _table(spark, sf, "class_calls", "lineitem", lambda: G.call_edges(T.call_sites(spark, sf), "CLASS"))
+
+
+def _method_node_calls(spark, sf) -> Adjacency:
+    return _table(spark, sf, "method_node_calls", "lineitem", lambda: G.call_edges(T.call_sites(spark, sf), "METHOD"))
+
+
+def _method_calls(spark, sf) -> Adjacency:
+    return _table(spark, sf, "method_calls", "lineitem", lambda: G.method_edges(T.call_sites(spark, sf)))
+
+
+def _types(spark, sf) -> Adjacency:
+    return _table(spark, sf, "types", "part", lambda: H.type_edges(H.hierarchy_edges(T.classes(spark, sf))))
+
+
 SITE_COLS = ["in_class", "in_method", "in_desc", "kind", "target_owner", "target_name", "target_desc", "line"]
 SITES = ", ".join(SITE_COLS)
 KEYS = "target_owner||'#'||target_name||target_desc"
@@ -119,8 +153,8 @@ def native_symbol_match(spark, sf):
 
 def _seed(spark, sf, *names):
     """Seeds that must exist in the corpus as a class or an interface."""
-    edges = H.hierarchy_edges(T.classes(spark, sf))
-    return edges.filter(F.col("parent").isin(list(names))).select("archive_id", F.col("parent").alias("internal_name")).distinct()
+    wanted = spark.createDataFrame([(T.APP, n) for n in names], "archive_id string, node string")
+    return _types(spark, sf).around(wanted, "IN").select("archive_id", F.col("node").alias("internal_name")).distinct()
 
 
 @query(with_views("edges_h", "SELECT child, parent, edge_kind FROM edges_h"))
@@ -147,8 +181,7 @@ def ancestors(spark, sf):
   SELECT r AS root, r AS node FROM (VALUES ('i/Brand#2'),('k1/C1'),('k2/C2')) t(r) WHERE r IN (SELECT parent FROM edges_h)
   UNION SELECT d.root, e.child FROM down d JOIN edges_h e ON e.parent=d.node) SELECT root, node FROM down"""))
 def subtypes(spark, sf):
-    edges = H.hierarchy_edges(T.classes(spark, sf))
-    return H.subtype_closure(_seed(spark, sf, "i/Brand#2", "k1/C1", "k2/C2"), edges).select("root", "node")
+    return H.subtype_closure(_seed(spark, sf, "i/Brand#2", "k1/C1", "k2/C2"), _types(spark, sf)).select("root", "node")
 
 
 @query(with_views("edges_h", """WITH RECURSIVE paths AS (
@@ -159,8 +192,7 @@ def subtypes(spark, sf):
   SELECT k.root, k.parent, k.node, array_to_string(k.path,' > ') AS path, coalesce(k.path=b.path,false) AS expanded FROM kids k LEFT JOIN best b ON b.root=k.root AND b.node=k.node
   UNION ALL SELECT DISTINCT root, NULL, root, root, true FROM best"""))
 def subtype_tree(spark, sf):
-    edges = H.hierarchy_edges(T.classes(spark, sf))
-    tree = H.subtype_tree(_seed(spark, sf, "i/Brand#2", "k1/C1"), edges)
+    tree = H.subtype_tree(_seed(spark, sf, "i/Brand#2", "k1/C1"), _types(spark, sf))
     return tree.select("root", "parent", "node", F.concat_ws(" > ", "path").alias("path"), "expanded")
 
 
@@ -169,11 +201,10 @@ def subtype_tree(spark, sf):
   SELECT d.root AS declaring, m.name, m."desc", m.owner AS internal_name, m.access FROM down d JOIN call_methods m ON m.owner=d.node
   WHERE d.node<>d.root AND m.name='m2' AND m.access&8=0 AND m.access&2=0"""))
 def overriders(spark, sf):
-    classes = T.classes(spark, sf)
     targets = _seed(spark, sf, "k1/C1").select(
         "archive_id", F.col("internal_name").alias("declaring"), F.lit("m2").alias("name"), F.lit("()V").alias("desc")
     )
-    found = H.overriders(targets, H.hierarchy_edges(classes), T.call_methods(spark, sf))
+    found = H.overriders(targets, _types(spark, sf), T.call_methods(spark, sf))
     return found.drop("archive_id")
 
 
@@ -183,11 +214,10 @@ def overriders(spark, sf):
   SELECT m.owner, '(override)', m."desc", 'INVOKE_SPECIAL', 'k1/C1', m.name, m."desc", 0 FROM down d JOIN call_methods m ON m.owner=d.node
   WHERE d.node<>d.root AND m.name='m2' AND m.access&8=0 AND m.access&2=0"""))
 def usage_with_overriders(spark, sf):
-    classes = T.classes(spark, sf)
     targets = _seed(spark, sf, "k1/C1").select(
         "archive_id", F.col("internal_name").alias("declaring"), F.lit("m2").alias("name"), F.lit("()V").alias("desc")
     )
-    found = H.overriders(targets, H.hierarchy_edges(classes), T.call_methods(spark, sf))
+    found = H.overriders(targets, _types(spark, sf), T.call_methods(spark, sf))
     direct = U.usages_of_member(T.call_sites(spark, sf), "k1/C1", "m2", "()V")
     return U.with_overriders(direct, found).select(*SITE_COLS)
 
@@ -196,8 +226,7 @@ def usage_with_overriders(spark, sf):
   SELECT 'i/Brand#3' AS root, 'i/Brand#3' AS node UNION SELECT d.root, e.child FROM down d JOIN edges_h e ON e.parent=d.node)
   SELECT root, node FROM down WHERE root<>node"""))
 def implementers(spark, sf):
-    edges = H.hierarchy_edges(T.classes(spark, sf))
-    return H.implementers(_seed(spark, sf, "i/Brand#3"), edges).select("root", "node")
+    return H.implementers(_seed(spark, sf, "i/Brand#3"), _types(spark, sf)).select("root", "node")
 
 
 @query(with_views("edges_h", """SELECT 'implementer' AS what, child AS name FROM edges_h WHERE edge_kind='IMPLEMENTS' AND parent='i/Brand#2'
@@ -241,38 +270,79 @@ def _root(spark, sf, node):
 
 @query(_bfs_sql("OUT", "CLASS", 2, "C:k7.C7"))
 def call_graph_out2(spark, sf):
-    return G.call_graph(T.call_sites(spark, sf), _root(spark, sf, "C:k7.C7"), "CLASS", "OUT", 2)[1].drop("archive_id")
+    return G.call_graph(_class_calls(spark, sf), _root(spark, sf, "C:k7.C7"), "CLASS", "OUT", 2)[1].drop("archive_id")
 
 
 @query(_bfs_sql("BOTH", "CLASS", 2, "C:k7.C7"))
 def call_graph_both2(spark, sf):
-    return G.call_graph(T.call_sites(spark, sf), _root(spark, sf, "C:k7.C7"), "CLASS", "BOTH", 2)[1].drop("archive_id")
+    return G.call_graph(_class_calls(spark, sf), _root(spark, sf, "C:k7.C7"), "CLASS", "BOTH", 2)[1].drop("archive_id")
 
 
 @query(_bfs_sql("IN", "METHOD", 4, "M:k7.C7#m3()V"))
 def call_graph_method_in(spark, sf):
-    return G.call_graph(T.call_sites(spark, sf), _root(spark, sf, "M:k7.C7#m3()V"), "METHOD", "IN", 4)[1].drop("archive_id")
+    return G.call_graph(_method_node_calls(spark, sf), _root(spark, sf, "M:k7.C7#m3()V"), "METHOD", "IN", 4)[1].drop("archive_id")
 
 
 @query(_bfs_sql("OUT", "CLASS", 2, "C:k7.C7", package="k1"))
 def call_graph_package(spark, sf):
-    return G.call_graph(T.call_sites(spark, sf), _root(spark, sf, "C:k7.C7"), "CLASS", "OUT", 2, "k1*")[1].drop("archive_id")
+    return G.call_graph(_class_calls(spark, sf), _root(spark, sf, "C:k7.C7"), "CLASS", "OUT", 2, "k1*")[1].drop("archive_id")
 
 
 @query(_bfs_sql("BOTH", "CLASS", 1, "C:k7.C7", nodes=True))
 def call_graph_nodes(spark, sf):
-    return G.call_graph(T.call_sites(spark, sf), _root(spark, sf, "C:k7.C7"), "CLASS", "BOTH", 1)[0].drop("archive_id")
+    return G.call_graph(_class_calls(spark, sf), _root(spark, sf, "C:k7.C7"), "CLASS", "BOTH", 1)[0].drop("archive_id")
 
 
 @query(with_views("calls", f"""WITH RECURSIVE first AS (SELECT {KEYS} AS callee, {CALLER} AS caller, arg_min(line, {{'a': site_idx, 'b': line}}) AS line FROM calls GROUP BY 1,2),
-  capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY caller) AS rk FROM first) WHERE rk<=50),
   tree AS (SELECT 'k7/C7#m3()V' AS method_key, ['k7/C7#m3()V'] AS path, 0 AS level, 0 AS line, false AS cyclic UNION ALL
-   SELECT c.caller, list_append(t.path, c.caller), t.level+1, c.line, list_contains(t.path, c.caller) FROM tree t JOIN capped c ON c.callee=t.method_key WHERE NOT t.cyclic AND t.level<5)
-  SELECT method_key, array_to_string(path,' < ') AS path, CAST(level AS INT) AS level, CAST(line AS INT) AS line, cyclic FROM tree"""))
+   SELECT c.caller, list_append(t.path, c.caller), t.level+1, c.line, list_contains(t.path, c.caller) FROM tree t JOIN first c ON c.callee=t.method_key WHERE NOT t.cyclic AND t.level<5)
+  SELECT method_key, array_to_string(path,' < ') AS path, CAST(level AS INT) AS level, CAST(line AS INT) AS line, cyclic,
+   NOT cyclic AND level=5 AND method_key IN (SELECT callee FROM first) AS truncated FROM tree"""))
 def recursive_callers(spark, sf):
     roots = _root(spark, sf, "").select("archive_id", F.lit("k7/C7").alias("owner"), F.lit("m3").alias("name"), F.lit("()V").alias("desc"))
-    tree = G.recursive_callers(T.call_sites(spark, sf), roots)
-    return tree.select("method_key", F.concat_ws(" < ", "path").alias("path"), "level", "line", "cyclic")
+    tree = G.recursive_callers(_method_calls(spark, sf), roots)
+    return tree.select("method_key", F.concat_ws(" < ", "path").alias("path"), "level", "line", "cyclic", "truncated")
+
+
+def _hub_calls(spark, sf) -> Adjacency:
+    return _table(spark, sf, "hub_calls", "lineitem", lambda: G.method_edges(T.hub_calls(spark, sf)))
+
+
+#: Edges with their first line, and the least number of calls from each method to the root.  An edge is on a circle if both ends are in
+#: the component of a pivot, or if one leads back to the other around that component.
+_HUBS = """WITH RECURSIVE e AS (SELECT caller, callee, count(*) AS sites, arg_min(line, {'a': site_idx, 'b': line}) AS line FROM hub_calls GROUP BY 1,2),
+  walk AS (SELECT 'h/S1#m()V' AS node, 0 AS level UNION SELECT e.caller, walk.level+1 FROM walk JOIN e ON e.callee=walk.node WHERE walk.level<40),
+  up AS (SELECT node, min(level) AS level FROM walk GROUP BY 1),
+  dag AS (SELECT e.caller, e.callee, up.level+1 AS level, e.line, e.sites FROM up JOIN e ON e.callee=up.node),
+"""
+
+
+@query(with_views("hub_calls", _HUBS + """centre AS (SELECT caller AS node FROM dag WHERE caller<>callee GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+  fw AS (SELECT node FROM centre UNION SELECT d.callee FROM fw JOIN dag d ON d.caller=fw.node),
+  bw AS (SELECT node FROM centre UNION SELECT d.caller FROM bw JOIN dag d ON d.callee=bw.node),
+  big AS (SELECT node FROM fw INTERSECT SELECT node FROM bw),
+  rest AS (SELECT caller, callee FROM dag WHERE caller NOT IN (SELECT node FROM big) AND callee NOT IN (SELECT node FROM big)),
+  core AS (SELECT * FROM rest WHERE caller IN (SELECT callee FROM rest) AND callee IN (SELECT caller FROM rest)),
+  far AS (SELECT caller AS a, callee AS b FROM core UNION SELECT far.a, core.callee FROM far JOIN core ON core.caller=far.b),
+  back AS (SELECT a, b FROM far)
+  SELECT 'h/S1#m()V' AS root, caller, callee, CAST(level AS INT) AS level, CAST(line AS INT) AS line, sites,
+    caller=callee OR (caller IN (SELECT node FROM big) AND callee IN (SELECT node FROM big) AND (SELECT count(*) FROM big)>1) OR (callee, caller) IN (SELECT a, b FROM back) AS cyclic,
+    false AS truncated FROM dag"""))
+def caller_dag(spark, sf):
+    roots = _root(spark, sf, "").select("archive_id", F.lit("h/S1").alias("owner"), F.lit("m").alias("name"), F.lit("()V").alias("desc"))
+    return G.caller_dag(_hub_calls(spark, sf), roots).drop("archive_id")
+
+
+@query(with_views("hub_calls", _HUBS + """ranked AS (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY caller) AS rk, count(*) OVER (PARTITION BY callee) AS callers FROM e),
+  one AS (SELECT * FROM ranked WHERE callee='h/S1#m()V' AND rk<=60),
+  two AS (SELECT * FROM ranked WHERE callee IN (SELECT caller FROM one) AND callee<>'h/S1#m()V' AND rk<=60),
+  met AS (SELECT callee AS node FROM one UNION SELECT caller FROM one),
+  shown AS (SELECT *, 1 AS level FROM one UNION ALL SELECT *, 2 FROM two)
+  SELECT 'h/S1#m()V' AS root, caller, callee, CAST(level AS INT) AS level, CAST(line AS INT) AS line, sites,
+    callers>60 OR (caller NOT IN (SELECT node FROM met) AND caller IN (SELECT callee FROM e)) AS truncated FROM shown"""))
+def caller_dag_limited(spark, sf):
+    roots = _root(spark, sf, "").select("archive_id", F.lit("h/S1").alias("owner"), F.lit("m").alias("name"), F.lit("()V").alias("desc"))
+    return G.caller_dag(_hub_calls(spark, sf), roots, depth=2, per_node=60).drop("archive_id", "cyclic")
 
 
 @query(with_views("calls", """WITH o AS (SELECT in_class AS owner, in_method AS name, in_desc AS "desc", count(*) AS callees FROM calls GROUP BY ALL),
@@ -298,18 +368,18 @@ def _children_sql(near: str, far: str) -> str:
 @query(_children_sql("in", "target"))
 def call_tree_callees(spark, sf):
     wanted = T.call_methods(spark, sf).filter(F.col("access").bitwiseAND(1) != 0)
-    return G.call_tree_children(T.call_sites(spark, sf), wanted, "OUT").drop("archive_id")
+    return G.call_tree_children(_method_calls(spark, sf), wanted, "OUT").drop("archive_id")
 
 
 @query(_children_sql("target", "in"))
 def call_tree_callers(spark, sf):
     wanted = T.call_methods(spark, sf).filter(F.col("access").bitwiseAND(1) != 0)
-    return G.call_tree_children(T.call_sites(spark, sf), wanted, "IN").drop("archive_id")
+    return G.call_tree_children(_method_calls(spark, sf), wanted, "IN").drop("archive_id")
 
 
 @query(with_views("calls", """WITH e AS (SELECT 'C:'||replace(in_class,'/','.') AS src, 'C:'||replace(target_owner,'/','.') AS dst, count(*) AS n FROM calls GROUP BY 1,2)
   SELECT 'out' AS way, src, dst, n FROM e WHERE src='C:k7.C7' UNION ALL SELECT 'in', src, dst, n FROM e WHERE dst='C:k7.C7'"""))
 def graph_edges_at(spark, sf):
-    edges = G.call_edges(T.call_sites(spark, sf), "CLASS").select("src", "dst", "n")
-    tag = lambda df, way: df.select(F.lit(way).alias("way"), "src", "dst", "n")
-    return tag(G.outgoing(edges, "C:k7.C7"), "out").unionByName(tag(G.incoming(edges, "C:k7.C7"), "in"))
+    root = _root(spark, sf, "C:k7.C7")
+    at = lambda way: _class_calls(spark, sf).around(root, way.upper()).select(F.lit(way).alias("way"), "src", "dst", "n")
+    return at("out").unionByName(at("in"))

@@ -134,6 +134,25 @@ def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hub_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call sites with five hubs that many methods call, long chains above them, and some circles: a class calls the one with half
+    of its number, one in eight by its seventh items the one with twice its number."""
+    np = part_count(spark, sf_dir)
+    return read(spark, sf_dir, "lineitem").selectExpr(
+        f"'{APP}' AS archive_id",
+        f"{class_name_sql('l_partkey')} AS in_class",
+        "'m' AS in_method",
+        "'()V' AS in_desc",
+        "'INVOKE_STATIC' AS kind",
+        f"""CASE WHEN l_linenumber < 3 AND l_partkey < 100 THEN concat('h/S', l_suppkey % 5)
+              WHEN l_linenumber = 7 AND l_partkey % 8 = 5 AND l_partkey * 2 < {np} THEN {class_name_sql('l_partkey * 2')} ELSE {class_name_sql('l_partkey div 2')} END AS target_owner""",
+        "'m' AS target_name",
+        "'()V' AS target_desc",
+        "CAST(l_quantity AS INT) AS line",
+        "(l_orderkey * 10 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS site_idx",
+    )
+
+
 def call_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Methods that contain call sites."""
     np = part_count(spark, sf_dir)
