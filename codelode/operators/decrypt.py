@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from codelode.functions import scalars as S
 from codelode.functions.access import bit
 from codelode.operators.detect import DECRYPTOR_DESCS
-from codelode.operators.usage import METHOD_KEY, with_current_line
+from codelode.operators.identity import method_key
+from codelode.operators.usage import with_current_line
 
 # --- fixed values: owners whose calls are neither rewarded nor penalised -----------------------
 NEUTRAL_OWNERS = ["java/lang/StringBuilder", "java/lang/Integer", "java/lang/Character"]
@@ -22,6 +23,8 @@ def decrypt_candidates(methods: DataFrame, instructions: DataFrame) -> DataFrame
     rule a method out.  Only instructions that score are shuffled, one small row per method after
     the map side has combined them.
     """
+    own_id = [c for c in ("class_id",) if c in methods.columns and c in instructions.columns]
+    key = ["archive_id", *own_id, "owner", "name", "desc"]
     op, owner, called = F.col("opcode"), F.col("ref_owner"), F.col("ref_name")
     is_call = op.between(182, 185)
     on_string = is_call & (owner == "java/lang/String")
@@ -40,7 +43,8 @@ def decrypt_candidates(methods: DataFrame, instructions: DataFrame) -> DataFrame
     )
     scored = (
         instructions.filter(F.col("desc").isin(DECRYPTOR_DESCS) & (is_call | op.isin(188, *ARITHMETIC)))
-        .groupBy("archive_id", "owner", F.col("method").alias("name"), "desc")
+        .withColumnRenamed("method", "name")
+        .groupBy(*key)
         .agg(
             F.sum(points).alias("points"),
             F.bool_or(op.isin(ARITHMETIC)).alias("arithmetic"),
@@ -55,8 +59,8 @@ def decrypt_candidates(methods: DataFrame, instructions: DataFrame) -> DataFrame
     )
     # Without a scoring instruction the score is 0, so the join may drop those methods.
     return (
-        shaped.join(scored.filter(~F.col("barred")), ["archive_id", "owner", "name", "desc"])
-        .select("archive_id", "owner", "name", "desc", nodes.cast("int").alias("nodes"), score.cast("int").alias("score"))
+        shaped.join(scored.filter(~F.col("barred")), key)
+        .select(*key, nodes.cast("int").alias("nodes"), score.cast("int").alias("score"))
         .filter(F.col("score") > 0)
     )
 
@@ -67,6 +71,7 @@ def encrypted_call_sites(instructions: DataFrame, candidates: DataFrame) -> Data
     The walk back is short (7 nodes for the string, 5 or 11 where an integer is involved) and stops at
     any instruction that is not a constant push, so it is a fixed window over the ordered method.
     """
+    own = method_key(instructions)
     op, idx = F.col("opcode"), F.col("idx")
     is_text = op.isin(18, 19) & (F.col("const_kind") == "string")
     is_any_ldc = op.isin(18, 19, 20)
@@ -85,11 +90,11 @@ def encrypted_call_sites(instructions: DataFrame, candidates: DataFrame) -> Data
     callers = (
         instructions.filter((op == 184) & F.col("ref_desc").isin(DECRYPTOR_DESCS))
         .join(wanted, ["archive_id", "ref_owner", "ref_name", "ref_desc"], "left_semi")
-        .select(*METHOD_KEY)
+        .select(*own)
         .distinct()
     )
-    near = Window.partitionBy(*METHOD_KEY).orderBy("idx").rowsBetween(-11, -1)
-    rows = with_current_line(instructions.join(callers, METHOD_KEY, "left_semi")).withColumn(
+    near = Window.partitionBy(*own).orderBy("idx").rowsBetween(-11, -1)
+    rows = with_current_line(instructions.join(callers, own, "left_semi")).withColumn(
         "before", F.reverse(F.collect_list(node).over(near))
     )
     calls = rows.filter((op == 184) & F.col("ref_desc").isin(DECRYPTOR_DESCS)).join(
@@ -118,7 +123,7 @@ def encrypted_call_sites(instructions: DataFrame, candidates: DataFrame) -> Data
     number = F.when(desc == DECRYPTOR_DESCS[1], ahead).when(desc == DECRYPTOR_DESCS[2], number_of(last_number))
     return (
         calls.select(
-            "archive_id", F.col("owner").alias("in_class"), F.col("method").alias("in_method"), F.col("desc").alias("in_desc"),
+            *[c for c in own if c in ("archive_id", "class_id")], F.col("owner").alias("in_class"), F.col("method").alias("in_method"), F.col("desc").alias("in_desc"),
             F.col("ref_owner").alias("target_owner"), F.col("ref_name").alias("target_name"), desc.alias("target_desc"),
             F.col("current_line").cast("int").alias("line"), F.col("idx"), literal.alias("encrypted"), number.alias("int_arg"),
         )

@@ -9,6 +9,23 @@ from pyspark.sql import functions as F
 METHOD_KEY = ["archive_id", "class_id", "owner", "method", "desc"]
 
 
+def method_key(*facts: DataFrame) -> list[str]:
+    """The columns that name a method in all of the tables; ``class_id`` counts where every table has it."""
+    return [c for c in METHOD_KEY if all(c in f.columns for f in facts)]
+
+
+def class_key(*facts: DataFrame) -> list[str]:
+    """The same for its class."""
+    return [c for c in method_key(*facts) if c in METHOD_KEY[:3]]
+
+
+def base_members(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of the classes that are not for a certain runtime version; all of them where the tables do not tell."""
+    if "class_id" not in members.columns or "class_id" not in classes.columns:
+        return members
+    return members.join(classes.where(is_base(classes)).select("archive_id", "class_id"), ["archive_id", "class_id"], "left_semi")
+
+
 def with_class_id(facts: DataFrame, owner: str = "owner") -> DataFrame:
     """``class_id``, the path of the class's entry in its archive; facts without it come from archives that hold a name once."""
     return facts if "class_id" in facts.columns else facts.withColumn("class_id", F.col(owner))

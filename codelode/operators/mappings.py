@@ -31,13 +31,14 @@ def lookup(items: DataFrame, mappings: DataFrame) -> DataFrame:
     return items.join(found, ITEM, "left").withColumn("target", F.coalesce("target", own))
 
 
-def mapping_diff(base: DataFrame, updated: DataFrame) -> DataFrame:
-    """Items added, removed or renamed between two mappings."""
-    old = base.select(*ITEM, F.col("target").alias("old_target"))
-    new = updated.select(*ITEM, F.col("target").alias("new_target"))
+def mapping_diff(base: DataFrame, updated: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Items added, removed or renamed between two mappings; tables of many are told apart ``by`` columns such as ``mapping_id``."""
+    item = [*by, *ITEM]
+    old = base.select(*item, F.col("target").alias("old_target"))
+    new = updated.select(*item, F.col("target").alias("new_target"))
     o, n = F.col("old_target"), F.col("new_target")
     change = F.when(o.isNull(), "ADDED").when(n.isNull(), "REMOVED").when(o != n, "RENAMED")
-    return old.join(new, ITEM, "full").withColumn("change", change).filter(F.col("change").isNotNull())
+    return old.join(new, item, "full").withColumn("change", change).filter(F.col("change").isNotNull())
 
 
 def mapping_diff_counts(diff: DataFrame) -> DataFrame:
@@ -49,33 +50,31 @@ def mapping_diff_counts(diff: DataFrame) -> DataFrame:
     )
 
 
-def compose(first: DataFrame, second: DataFrame) -> DataFrame:
-    """A→B followed by B→C.
+def compose(first: DataFrame, second: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A→B followed by B→C; in tables of many, each with its own second ``by`` columns such as ``mapping_id``.
 
     Unmatched entries of the first survive.  Classes known only to the second are kept unless the
     first has them as key or target; members known only to the second are dropped.
     """
-    second_classes = _class_targets(second, "chained")
+    of = list(by)
+    targets = lambda table, key, name: _kind(table, "class").select(*of, F.col("owner").alias(key), F.col("target").alias(name))
     classes = (
         _kind(first, "class")
-        .join(second_classes, F.col("target") == F.col("class_key"), "left")
-        .select(*ITEM, F.coalesce("chained", "target").alias("target"))
+        .join(targets(second, "target", "chained"), [*of, "target"], "left")
+        .select(*of, *ITEM, F.coalesce("chained", "target").alias("target"))
     )
-    mentioned = _kind(first, "class").select(F.explode(F.array("owner", "target")).alias("owner")).distinct()
-    extra = _kind(second, "class").join(mentioned, "owner", "left_anti").select(*ITEM, "target")
-    via = F.coalesce("named_owner", "owner")
+    mentioned = _kind(first, "class").select(*of, F.explode(F.array("owner", "target")).alias("owner")).distinct()
+    extra = _kind(second, "class").join(mentioned, [*of, "owner"], "left_anti").select(*of, *ITEM, "target")
     members = (
         first.filter(F.col("kind") != "class")
-        .join(_class_targets(first, "named_owner"), F.col("owner") == F.col("class_key"), "left")
-        .select(*ITEM, "target", via.alias("via_owner"))
+        .join(targets(first, "owner", "named_owner"), [*of, "owner"], "left")
+        .select(*of, *ITEM, "target", F.coalesce("named_owner", "owner").alias("via_owner"), F.col("target").alias("via_name"))
     )
     second_members = second.filter(F.col("kind") != "class").select(
-        "kind", F.col("owner").alias("via_owner"), F.col("name").alias("via_name"), "desc", F.col("target").alias("chained")
+        *of, "kind", F.col("owner").alias("via_owner"), F.col("name").alias("via_name"), "desc", F.col("target").alias("chained")
     )
-    chained = (
-        members.withColumn("via_name", F.col("target"))
-        .join(second_members, ["kind", "via_owner", "via_name", "desc"], "left")
-        .select(*ITEM, F.coalesce("chained", "target").alias("target"))
+    chained = members.join(second_members, [*of, "kind", "via_owner", "via_name", "desc"], "left").select(
+        *of, *ITEM, F.coalesce("chained", "target").alias("target")
     )
     return classes.unionByName(extra).unionByName(chained)
 
@@ -138,12 +137,16 @@ class Renamer:
         return out.withColumn(column, F.coalesce("new_class", column)).drop("new_class")
 
     def class_array(self, rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
-        """Rename the elements of an array column, keeping their order."""
-        parts = rows.select(*keys, F.posexplode(column).alias("_pos", "_item"))
-        renamed = self.class_column(parts, "_item").groupBy(*keys).agg(
+        """Rename the elements of an array column, keeping their order.
+
+        Each distinct array is rewritten once and joined by its content, so rows that share ``keys`` keep their own.
+        """
+        arrays = rows.select(F.col(column).alias("_old")).filter(F.size("_old") > 0).distinct()
+        renamed = self.class_column(arrays.select("_old", F.posexplode("_old").alias("_pos", "_item")), "_item").groupBy("_old").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_item"))), lambda s: s["_item"]).alias("_new")
         )
-        return rows.join(renamed, keys, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+        joined = rows.join(renamed, rows[column] == F.col("_old"), "left")
+        return joined.withColumn(column, F.coalesce("_new", column)).drop("_old", "_new")
 
     def descriptor_column(self, rows: DataFrame, column: str) -> DataFrame:
         """Rename every object type inside a descriptor; each distinct descriptor is rewritten once."""

@@ -6,15 +6,13 @@ pass only shuffles the columns it decides on, and only for methods it can touch.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codelode.functions import scalars as S
 from codelode.functions.access import bit
+from codelode.operators.identity import class_key, definitions, method_key
 from codelode.operators.ordered import number_rows
-from codelode.operators.usage import METHOD_KEY
 from codelode.session import cut_lineage
 
 KOTLIN = "Lkotlin/Metadata;"
@@ -24,13 +22,13 @@ TERMINATORS = [172, 173, 174, 175, 176, 177, 191, 167, 170, 171]
 CONDITIONAL = [*range(153, 167), 198, 199]
 
 
-def _flow() -> WindowSpec:
+def _flow(instructions: DataFrame) -> WindowSpec:
     """One method in instruction order: at most 65 535 bytes of code, so always a small window."""
-    return Window.partitionBy(*METHOD_KEY).orderBy("idx")
+    return Window.partitionBy(*method_key(instructions)).orderBy("idx")
 
 
-def _before() -> WindowSpec:
-    return _flow().rowsBetween(Window.unboundedPreceding, -1)
+def _before(instructions: DataFrame) -> WindowSpec:
+    return _flow(instructions).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def counter(rows: DataFrame, pass_name: str, name: str | Column, amount: Column | None = None) -> DataFrame:
@@ -63,20 +61,25 @@ def illegal_name_mapping(classes: DataFrame, methods: DataFrame, fields: DataFra
     blank = F.lit("")
     bad = lambda c: ~S.is_legal_identifier(c) | S.is_java_word(c)
     package = F.regexp_extract("internal_name", r"^(.*/)[^/]*\z", 1)
+    place = lambda facts, own: (F.col("class_id") if "class_id" in facts.columns else F.col(own)).alias("class_id")
     named = (
         classes.filter(bad(S.simple_name(F.col("internal_name"))))
-        .select("archive_id", F.lit("class").alias("kind"), F.col("internal_name").alias("owner"), F.lit(0).alias("ordinal"),
+        .select("archive_id", F.lit("class").alias("kind"), F.col("internal_name").alias("owner"), place(classes, "internal_name"), F.lit(0).alias("ordinal"),
                 blank.alias("name"), blank.alias("desc"), F.concat(package, F.lit("C_")).alias("stem"))
         .unionByName(
             methods.filter(~F.col("name").startswith("<") & bad(F.col("name"))).select(
-                "archive_id", F.lit("method").alias("kind"), "owner", "ordinal", "name", "desc", F.lit("m_").alias("stem"))
+                "archive_id", F.lit("method").alias("kind"), "owner", place(methods, "owner"), "ordinal", "name", "desc", F.lit("m_").alias("stem"))
         )
         .unionByName(
             fields.filter(bad(F.col("name"))).select(
-                "archive_id", F.lit("field").alias("kind"), "owner", "ordinal", "name", "desc", F.lit("f_").alias("stem"))
+                "archive_id", F.lit("field").alias("kind"), "owner", place(fields, "owner"), "ordinal", "name", "desc", F.lit("f_").alias("stem"))
         )
     )
-    numbered = number_rows(named, ["archive_id", "kind"], ["owner", "ordinal", "name", "desc"], "n")
+    if all("class_id" in facts.columns for facts in (classes, methods, fields)):
+        # A name that an archive holds several times gets one stand-in, so renamed references stay whole.
+        item = ["archive_id", "kind", "owner", "name", "desc", "stem"]
+        named = named.groupBy(*item).agg(F.min(F.struct("class_id", "ordinal")).alias("at")).select(*item, "at.*")
+    numbered = number_rows(named, ["archive_id", "kind"], ["owner", "class_id", "ordinal", "name", "desc"], "n")
     mapping = numbered.select(
         "archive_id", "kind", "owner", "name", "desc", F.concat("stem", F.col("n").cast("string")).alias("target")
     )
@@ -88,7 +91,7 @@ def rename_in_class(
     fields: DataFrame, instructions: DataFrame, renames: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Apply field renames ``(archive_id, owner, old_name, new_name)`` inside the declaring class only."""
-    key = ["archive_id", "owner"]
+    key = class_key(fields, instructions, renames)
     new_fields = fields.join(
         renames.withColumnRenamed("old_name", "name"), [*key, "name"], "left"
     ).withColumn("name", F.coalesce("new_name", "name")).select(*fields.columns)
@@ -106,16 +109,17 @@ def enum_constant_names(classes: DataFrame, fields: DataFrame, instructions: Dat
     In the class initialiser: NEW self, DUP, a string, then — before any other NEW — the constructor
     call and the store to a static field.
     """
-    enums = classes.filter(bit(F.col("access"), "enum", "class")).select("archive_id", F.col("internal_name").alias("owner"))
+    key = class_key(instructions, fields, classes.withColumnRenamed("internal_name", "owner"))
+    enums = classes.filter(bit(F.col("access"), "enum", "class")).withColumnRenamed("internal_name", "owner").select(*key)
     code = (
         instructions.filter((F.col("method") == "<clinit>") & (F.col("desc") == "()V") & (F.col("opcode") >= 0))
-        .select(*METHOD_KEY, "idx", "opcode", "ref_owner", "ref_name", "const_kind", "const_str")
-        .join(enums, ["archive_id", "owner"], "left_semi")
+        .select(*method_key(instructions), "idx", "opcode", "ref_owner", "ref_name", "const_kind", "const_str")
+        .join(enums, key, "left_semi")
     )
     own = F.col("ref_owner") == F.col("owner")
     op = F.col("opcode")
-    ahead = _flow().rowsBetween(3, Window.unboundedFollowing)
-    after = lambda c, n=1: F.lead(c, n).over(_flow())
+    ahead = _flow(instructions).rowsBetween(3, Window.unboundedFollowing)
+    after = lambda c, n=1: F.lead(c, n).over(_flow(instructions))
     built = own & (op == 183) & (F.col("ref_name") == "<init>")
     stored = F.when((after("opcode") == 179) & (after("ref_owner") == F.col("owner")), after("ref_name"))
     marked = code.withColumn("event", F.when(built | (op == 187), F.struct(built.alias("built"), stored.alias("field"))))
@@ -124,11 +128,10 @@ def enum_constant_names(classes: DataFrame, fields: DataFrame, instructions: Dat
         .withColumn("dup", after("opcode") == 89)
         .withColumn("literal", F.when((after("opcode", 2).isin(18, 19)) & (after("const_kind", 2) == "string"), after("const_str", 2)))
         .filter((op == 187) & own & F.col("dup") & F.col("literal").isNotNull() & F.col("next.built") & F.col("next.field").isNotNull())
-        .select("archive_id", "owner", "idx", F.col("next.field").alias("old_name"), F.col("literal").alias("new_name"))
+        .select(*key, "idx", F.col("next.field").alias("old_name"), F.col("literal").alias("new_name"))
         .filter(F.col("new_name").rlike(r"^\p{javaJavaIdentifierStart}\p{javaJavaIdentifierPart}*\z") & (F.col("new_name") != F.col("old_name")))
     )
-    known = fields.select("archive_id", "owner", F.col("name").alias("old_name"))
-    key = ["archive_id", "owner"]
+    known = fields.select(*key, F.col("name").alias("old_name")).distinct()
     first_use = found.join(known, [*key, "old_name"], "left_semi").groupBy(*key, "new_name").agg(
         F.min(F.struct("idx", "old_name")).alias("s")
     )
@@ -189,7 +192,7 @@ def component_accessors(annotations: DataFrame, instructions: DataFrame) -> Data
     code = (
         instructions.filter((number != "") & F.col("desc").startswith("()") & (F.col("opcode") >= 0))
         .join(kotlin_classes(annotations), ["archive_id", "owner"], "left_semi")
-        .select(*METHOD_KEY, "idx", "opcode", "ref_owner", "ref_name", "const_long", F.row_number().over(_flow()).alias("at"))
+        .select(*method_key(instructions), "idx", "opcode", "ref_owner", "ref_name", "const_long", F.row_number().over(_flow(instructions)).alias("at"))
         .filter(F.col("at") <= 3)
     )
     op, at = F.col("opcode"), F.col("at")
@@ -198,7 +201,7 @@ def component_accessors(annotations: DataFrame, instructions: DataFrame) -> Data
         .when(at == 2, (op == 180) & (F.col("ref_owner") == F.col("owner")))
         .otherwise(op.between(172, 176))
     )
-    checked = code.groupBy(*METHOD_KEY).agg(
+    checked = code.groupBy(*method_key(instructions)).agg(
         F.count_if(F.coalesce(good, F.lit(False))).alias("good"), F.max(F.when(at == 2, F.col("ref_name"))).alias("field")
     )
     return checked.filter(F.col("good") == 3).select(
@@ -296,9 +299,18 @@ def _inline(instructions: DataFrame, constants: DataFrame, on: list[str], applie
     return out, counter(joined.filter(done), pass_name, label)
 
 
-def inline_static_values(instructions: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Reads of static final constants, in any class of the archive, become pushes."""
+def inline_static_values(
+    instructions: DataFrame, fields: DataFrame, classes: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Reads of static final constants, in any class of the archive, become pushes.
+
+    Fields with a ``class_id`` count in the class that defines the name: by ``classes``, or the first by path without them.
+    """
     access = F.col("access")
+    if "class_id" in fields.columns:
+        # Who refers to a name that an archive holds several times means its first class.
+        first = fields.groupBy("archive_id", "owner").agg(F.min("class_id").alias("class_id")) if classes is None else definitions(classes, "class_id").withColumnRenamed("internal_name", "owner")
+        fields = fields.join(first, ["archive_id", "owner", "class_id"], "left_semi")
     constants = fields.filter(
         bit(access, "static", "field") & bit(access, "final", "field") & F.col("const_kind").isNotNull()
     ).select(
@@ -320,9 +332,10 @@ def constant_methods(instructions: DataFrame, methods: DataFrame) -> DataFrame:
     able = methods.filter(
         bit(access, "static", "method") & ~bit(access, "abstract", "method") & ~bit(access, "native", "method")
         & F.col("desc").startswith("()")
-    ).select("archive_id", "owner", F.col("name").alias("method"), "desc")
+    ).withColumnRenamed("name", "method")
+    own = method_key(instructions, able)
     real = instructions.filter((F.col("opcode") >= 0) & F.col("desc").startswith("()"))
-    ends = real.groupBy(*METHOD_KEY).agg(
+    ends = real.groupBy(*method_key(instructions)).agg(
         F.count("*").alias("n"),
         F.min(F.struct("idx", "opcode", "const_kind", "const_str", "const_long", "const_double")).alias("a"),
         F.max(F.struct("idx", "opcode")).alias("b"),
@@ -335,9 +348,9 @@ def constant_methods(instructions: DataFrame, methods: DataFrame) -> DataFrame:
         ends.filter((F.col("n") == 2) & pushes)
         .withColumn("kind", kind)
         .filter(fits)
-        .join(able, METHOD_KEY, "left_semi")
+        .join(able, own, "left_semi")
         .select(
-            "archive_id", "owner", F.col("method").alias("ref_name"), F.col("desc").alias("ref_desc"),
+            *[c for c in own if c not in ("method", "desc")], F.col("method").alias("ref_name"), F.col("desc").alias("ref_desc"),
             F.col("kind").alias("const_kind"), F.col("a.const_str").alias("const_str"),
             F.col("a.const_long").alias("const_long"), F.col("a.const_double").alias("const_double"),
         )
@@ -348,7 +361,7 @@ def inline_call_results(instructions: DataFrame, methods: DataFrame) -> tuple[Da
     """Calls of constant methods of the same class become pushes."""
     applies = (F.col("opcode") == 184) & (F.col("ref_owner") == F.col("owner"))
     return _inline(
-        instructions, constant_methods(instructions, methods), ["archive_id", "owner", "ref_name", "ref_desc"], applies,
+        instructions, constant_methods(instructions, methods), [*class_key(instructions, methods), "ref_name", "ref_desc"], applies,
         "call-result-inlining", "calls-inlined",
     )
 
@@ -357,7 +370,8 @@ def inline_call_results(instructions: DataFrame, methods: DataFrame) -> tuple[Da
 
 
 def _without(instructions: DataFrame, removed: DataFrame) -> DataFrame:
-    return instructions.join(removed.select(*METHOD_KEY, "idx"), [*METHOD_KEY, "idx"], "left_anti")
+    at = [*method_key(instructions, removed), "idx"]
+    return instructions.join(removed.select(*at), at, "left_anti")
 
 
 def simplify_opaque_predicates(instructions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -367,28 +381,28 @@ def simplify_opaque_predicates(instructions: DataFrame) -> tuple[DataFrame, Data
     jump, so rounds repeat on the methods that changed until none does.
     """
     op = F.col("opcode")
-    last_real = F.last(F.when(op >= 0, op), ignorenulls=True).over(_before())
-    candidates = instructions.filter(op.isin(153, 154)).select(*METHOD_KEY).distinct()
-    work = instructions.select(*METHOD_KEY, "idx", "opcode").join(candidates, METHOD_KEY, "left_semi")
+    last_real = F.last(F.when(op >= 0, op), ignorenulls=True).over(_before(instructions))
+    candidates = instructions.filter(op.isin(153, 154)).select(*method_key(instructions)).distinct()
+    work = instructions.select(*method_key(instructions), "idx", "opcode").join(candidates, method_key(instructions), "left_semi")
     changes: list[DataFrame] = []
     while True:
         seen = work.withColumn("literal", F.when(last_real.isin(3, 4), last_real - 3))
         decided = F.when(op.isin(153, 154) & F.col("literal").isNotNull(), (op == 153) == (F.col("literal") == 0))
         step = cut_lineage(
             seen.withColumn("taken", decided)
-            .withColumn("eaten", F.lead("taken").over(_flow()).isNotNull())
+            .withColumn("eaten", F.lead("taken").over(_flow(instructions)).isNotNull())
             .withColumn("change", F.when(F.col("taken"), "GOTO").when(~F.col("taken"), "DROP").when(F.col("eaten"), "EATEN"))
             .drop("literal", "eaten")
         )
         changed = step.filter(F.col("change").isNotNull())
         if changed.isEmpty():
             break
-        changes.append(changed.select(*METHOD_KEY, "idx", "change"))
-        touched = changed.select(*METHOD_KEY).distinct()
+        changes.append(changed.select(*method_key(instructions), "idx", "change"))
+        touched = changed.select(*method_key(instructions)).distinct()
         work = (
-            step.join(touched, METHOD_KEY, "left_semi")
+            step.join(touched, method_key(instructions), "left_semi")
             .filter(F.col("change").isNull() | (F.col("change") == "GOTO"))
-            .select(*METHOD_KEY, "idx", F.when(F.col("change") == "GOTO", 167).otherwise(op).alias("opcode"))
+            .select(*method_key(instructions), "idx", F.when(F.col("change") == "GOTO", 167).otherwise(op).alias("opcode"))
         )
     if not changes:
         none = instructions.limit(0).select(F.lit("").alias("pass"), F.lit("").alias("counter"), F.lit(0).cast("long").alias("n"))
@@ -396,7 +410,7 @@ def simplify_opaque_predicates(instructions: DataFrame) -> tuple[DataFrame, Data
     edits = changes[0]
     for more in changes[1:]:
         edits = edits.unionByName(more)
-    joined = instructions.join(edits, [*METHOD_KEY, "idx"], "left")
+    joined = instructions.join(edits, [*method_key(instructions), "idx"], "left")
     is_goto = F.col("change") == "GOTO"
     out = joined.filter(F.col("change").isNull() | is_goto).select(
         *[
@@ -412,10 +426,10 @@ def simplify_opaque_predicates(instructions: DataFrame) -> tuple[DataFrame, Data
 
 def _referenced_labels(instructions: DataFrame, try_catch: DataFrame) -> DataFrame:
     """Labels that code or handlers refer to, and the first label of each method."""
-    jumps = instructions.filter(F.size("jump_targets") > 0).select(*METHOD_KEY, F.explode("jump_targets").alias("label"))
-    handlers = try_catch.select(*METHOD_KEY, F.explode(F.array("start_label", "end_label", "handler_label")).alias("label"))
+    jumps = instructions.filter(F.size("jump_targets") > 0).select(*method_key(instructions), F.explode("jump_targets").alias("label"))
+    handlers = try_catch.select(*method_key(instructions), F.explode(F.array("start_label", "end_label", "handler_label")).alias("label"))
     first = (
-        instructions.filter(F.col("label").isNotNull()).groupBy(*METHOD_KEY).agg(F.min_by("label", "idx").alias("label"))
+        instructions.filter(F.col("label").isNotNull()).groupBy(*method_key(instructions)).agg(F.min_by("label", "idx").alias("label"))
     )
     return jumps.unionByName(handlers).unionByName(first).distinct()
 
@@ -427,12 +441,12 @@ def strip_after_terminators(instructions: DataFrame, try_catch: DataFrame) -> tu
     """
     used = _referenced_labels(instructions, try_catch).withColumn("used", F.lit(True))
     # Only label rows are joined; whole rows then pass through the one window, so nothing is joined back.
-    labels = instructions.filter(F.col("label").isNotNull()).join(used, [*METHOD_KEY, "label"], "left").select(
+    labels = instructions.filter(F.col("label").isNotNull()).join(used, [*method_key(instructions), "label"], "left").select(
         *instructions.columns, F.coalesce("used", F.lit(False)).alias("used")
     )
     others = instructions.filter(F.col("label").isNull()).withColumn("used", F.lit(False))
     event = F.when(F.col("opcode").isin(TERMINATORS), "dead").when(F.col("used"), "live")
-    after_end = F.coalesce(F.last(event, ignorenulls=True).over(_before()) == "dead", F.lit(False))
+    after_end = F.coalesce(F.last(event, ignorenulls=True).over(_before(instructions)) == "dead", F.lit(False))
     goes = F.col("dead") & ~F.col("used") & (F.coalesce("pseudo_kind", F.lit("")) != "LINE")
     judged = labels.unionByName(others).withColumn("dead", after_end)
     return judged.filter(~goes).select(*instructions.columns), counter(
@@ -440,80 +454,80 @@ def strip_after_terminators(instructions: DataFrame, try_catch: DataFrame) -> tu
     )
 
 
-def _dead_positions(ops, labels, targets, markers, spans) -> list[int]:
-    """Positions of one method that no flow or handler edge reaches; none when the flow is malformed."""
-    size = len(ops)
-    place = {label: i for i, label in enumerate(labels) if label >= 0}
-    ranges = [(place.get(s, -1), place.get(e, size), place.get(h, -1)) for s, e, h in spans]
-    if any(start < 0 or handler < 0 for start, _, handler in ranges):
-        return []
-    stops = set(TERMINATORS)
-    reached = [False] * size
-    todo = [0]
-    while todo:
-        at = todo.pop()
-        if at >= size:
-            return []
-        if reached[at]:
-            continue
-        reached[at] = True
-        if ops[at] >= 0:
-            for label in targets[at]:
-                if label not in place:
-                    return []
-                todo.append(place[label])
-        if ops[at] not in stops:
-            todo.append(at + 1)
-        todo.extend(handler for start, end, handler in ranges if start <= at < end)
-    return [i for i in range(size) if not reached[i] and not markers[i]]
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _dead(ops: pd.Series, labels: pd.Series, targets: pd.Series, markers: pd.Series, spans: pd.Series) -> pd.Series:
-    """One method per row; a batch holds many methods."""
-    ints = lambda xs: [int(x) for x in xs]
-    return pd.Series(
-        [
-            _dead_positions(ints(o), ints(l), [ints(t) for t in ts], list(m), [ints(x) for x in sp])
-            for o, l, ts, m, sp in zip(ops, labels, targets, markers, spans)
-        ]
+def _flow_edges(code: DataFrame, try_catch: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``(edges, malformed)`` of ``code (*key, idx, opcode, label, jump_targets, run, prev)``.
+
+    An edge ``(*key, run, last, to_run, to)`` says: who has entered the run at or before ``last`` also gets to position ``to`` of run
+    ``to_run`` (null where the label is missing).  Malformed are methods whose handlers lack a start or a handler.
+    """
+    labels = code.filter(F.col("label").isNotNull()).groupBy(*key, "label").agg(F.max(F.struct("idx", "run", "prev")).alias("at"))
+    at = lambda name, fields: labels.select(*key, F.col("label").alias(f"{name}_label"), *[F.col(f"at.{f}").alias(f"{name}_{f}") for f in fields])
+    jumps = (
+        code.filter((F.col("opcode") >= 0) & (F.size("jump_targets") > 0))
+        .select(*key, "run", F.col("idx").alias("last"), F.explode("jump_targets").alias("to_label"))
+        .join(at("to", ["idx", "run"]), [*key, "to_label"], "left")
+        .select(*key, "run", "last", "to_run", F.col("to_idx").alias("to"))
+    )
+    spans = (
+        try_catch.select(*key, "start_label", "end_label", "handler_label")
+        .join(code.select(*key).distinct(), key, "left_semi")
+        .join(at("start", ["idx"]), [*key, "start_label"], "left")
+        .join(at("end", ["idx", "prev"]), [*key, "end_label"], "left")
+        .join(at("handler", ["idx", "run"]), [*key, "handler_label"], "left")
     )
+    known = F.col("start_idx").isNotNull() & F.col("handler_idx").isNotNull()
+    runs = code.groupBy(*key, "run").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
+    # A run is covered up to its end, or to the row before the end label.
+    covered = F.when(F.col("end_idx").isNull() | (F.col("end_idx") > F.col("last_idx")), F.col("last_idx")).when(F.col("end_idx") > F.col("first_idx"), F.col("end_prev"))
+    handlers = (
+        spans.filter(known).join(runs, key).withColumn("last", covered).filter(F.col("last") >= F.col("start_idx"))
+        .select(*key, "run", "last", F.col("handler_run").alias("to_run"), F.col("handler_idx").alias("to"))
+    )
+    return jumps.unionByName(handlers), spans.filter(~known).select(*key).distinct()
 
 
 def remove_dead_code(instructions: DataFrame, try_catch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drop instructions unreachable over flow and handler edges; labels and lines stay.
 
-    Only methods with a terminator before their last instruction can have dead code.  Those go to a
-    walk per method, whose size the class-file format bounds (65 535 bytes of code).
+    A method is cut into runs that end after each instruction that never falls through.  Who enters a run reaches all that follows in
+    it, so a run is known by its first entered position, and only jumps and handlers lead from run to run.  All methods
+    that can have dead code take part in one search: a round moves entries along the edges of runs that were entered
+    earlier than before.  Methods whose flow runs into a missing label or off the end stay as they are.
     """
+    key = method_key(instructions, try_catch)
     op = F.col("opcode")
-    shape = instructions.groupBy(*METHOD_KEY).agg(
+    shape = instructions.groupBy(*key).agg(
         F.min(F.when(op.isin(TERMINATORS), F.col("idx"))).alias("stop"), F.max(F.when(op >= 0, F.col("idx"))).alias("last")
     )
-    suspects = shape.filter(F.col("stop") < F.col("last")).select(*METHOD_KEY)
-    code = instructions.select(*METHOD_KEY, "idx", "opcode", "pseudo_kind", "label", "jump_targets").join(
-        suspects, METHOD_KEY, "left_semi"
-    )
+    suspects = shape.filter(F.col("stop") < F.col("last")).select(*key)
     marker = F.coalesce(F.col("pseudo_kind").isin("LABEL", "LINE"), F.lit(False))
-    bodies = code.groupBy(*METHOD_KEY).agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct("idx", "opcode", F.coalesce("label", F.lit(-1)).alias("label"), "jump_targets", marker.alias("marker"))
-            )
-        ).alias("b")
+    ended = F.coalesce(F.sum(op.isin(TERMINATORS).cast("int")).over(_before(instructions)), F.lit(0))
+    code = cut_lineage(
+        instructions.select(*key, "idx", "opcode", "label", "jump_targets", marker.alias("marker"))
+        .join(suspects, key, "left_semi")
+        .withColumn("run", ended.cast("int"))
+        .withColumn("prev", F.lag("idx").over(_flow(instructions)))
     )
-    spans = try_catch.groupBy(*METHOD_KEY).agg(
-        F.collect_list(F.array("start_label", "end_label", "handler_label")).alias("spans")
-    )
-    no_spans = F.array().cast("array<array<int>>")
+    edges, malformed = _flow_edges(code, try_catch, key)
+    edges = cut_lineage(edges)
+    entered = cut_lineage(code.groupBy(*key).agg(F.min("idx").alias("entry")).withColumn("run", F.lit(0)).withColumn("news", F.lit(True)))
+    node = [*key, "run"]
+    while True:
+        moved = (
+            entered.filter("news").join(edges, node).filter("entry <= last and to_run is not null")
+            .groupBy(*key, F.col("to_run").alias("run")).agg(F.min("to").alias("to"))
+        )
+        news = F.coalesce(F.col("to") < F.col("entry"), F.col("to").isNotNull())
+        entered = cut_lineage(entered.drop("news").join(moved, node, "full").select(*node, F.least("entry", "to").alias("entry"), news.alias("news")))
+        if entered.filter("news").isEmpty():
+            break
+    entered = entered.drop("news")
+    lost = edges.filter("to_run is null").join(entered, node).filter("entry <= last").select(*key)
+    tail = code.groupBy(*key).agg(F.max(F.struct("idx", "run", op.isin(TERMINATORS).alias("ends"))).alias("t"))
+    fallen = tail.filter(~F.col("t.ends")).select(*key, F.col("t.run").alias("run")).join(entered, node, "left_semi").select(*key)
     removed = (
-        bodies.join(spans, METHOD_KEY, "left")
-        .select(
-            *METHOD_KEY,
-            F.col("b.idx").alias("at"),
-            F.explode(_dead("b.opcode", "b.label", "b.jump_targets", "b.marker", F.coalesce("spans", no_spans))).alias("dead"),
-        )
-        .select(*METHOD_KEY, F.get("at", F.col("dead")).alias("idx"))
-    )
+        code.join(entered, node, "left").filter((F.col("entry").isNull() | (F.col("idx") < F.col("entry"))) & ~F.col("marker"))
+        .join(malformed.unionByName(lost).unionByName(fallen).distinct(), key, "left_anti")
+        .select(*key, "idx")
+    )
     return _without(instructions, removed), counter(removed, "dead-code-removal", "instructions-removed")
-

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from codelode.functions import scalars as S
+from codelode.operators.identity import base_members, is_base
 from codelode.functions.scalars import TEXT_KINDS
 from codelode.operators.usage import with_current_line
 
@@ -112,7 +113,11 @@ def search_regex(strings: DataFrame, lines: DataFrame, q: Search) -> DataFrame:
 
 
 def search_names(classes: DataFrame, methods: DataFrame, fields: DataFrame, q: Search) -> DataFrame:
-    """Class names (line 0), then method and field names numbered within their own list."""
+    """Class names (line 0), then method and field names numbered within their own list.
+
+    Classes for a certain runtime version repeat the names of those they stand in for, so they and their members are left out.
+    """
+    methods, fields, classes = base_members(methods, classes), base_members(fields, classes), classes.where(is_base(classes))
     if q.blank or not q.in_classes:
         q = Search("x", in_classes=False)
     regex = q.literal()

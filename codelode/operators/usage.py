@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import scalars as S
+from codelode.operators.identity import class_key, definitions, method_key, with_class_id
 
 # --- fixed values: opcodes that name another member or type ------------------------------------
 SITE_KINDS = {
@@ -28,9 +29,6 @@ WRITE_KINDS = ["PUTFIELD", "PUTSTATIC"]
 TYPE_KINDS = ["NEW", "CHECKCAST", "INSTANCEOF", "ANEWARRAY", "MULTIANEWARRAY", "TYPE_IN_SIGNATURE", "CLASS_LITERAL"]
 FAMILIES = {"invoke": INVOKE_KINDS, "read": READ_KINDS, "write": WRITE_KINDS, "type": TYPE_KINDS}
 
-METHOD_KEY = ["archive_id", "owner", "method", "desc"]
-
-
 def kind_family(kind: Column) -> Column:
     out = F.when(F.lit(False), "")
     for family, kinds in FAMILIES.items():
@@ -43,20 +41,25 @@ def with_current_line(instructions: DataFrame) -> DataFrame:
 
     A method's code is at most 65 535 bytes, so each window holds a bounded number of rows.
     """
-    so_far = Window.partitionBy(*METHOD_KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy(*method_key(instructions)).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     seen = F.last(F.when(F.col("pseudo_kind") == "LINE", F.col("line")), ignorenulls=True).over(so_far)
     return instructions.withColumn("current_line", F.coalesce(seen, F.lit(0)))
 
 
 def build_call_sites(instructions: DataFrame, classes: DataFrame) -> DataFrame:
-    """Every reference from code plus the superclass and interface references of class headers."""
+    """Every reference from code plus the superclass and interface references of class headers.
+
+    Where both tables have a ``class_id``, the sites have it too: two classes of one name keep their lines apart.
+    """
+    own_id = [c for c in ("class_id",) if c in instructions.columns and c in classes.columns]
     kinds = F.create_map(*[F.lit(x) for kv in SITE_KINDS.items() for x in kv])
     # Only line markers and referring instructions take part in the shuffle.
     relevant = instructions.filter(
         F.col("opcode").isin(list(SITE_KINDS)) | (F.col("pseudo_kind") == "LINE")
-    ).select(*METHOD_KEY, "idx", "opcode", "pseudo_kind", "line", "ref_owner", "ref_name", "ref_desc")
+    ).select(*method_key(instructions), "idx", "opcode", "pseudo_kind", "line", "ref_owner", "ref_name", "ref_desc")
     code = with_current_line(relevant).filter(F.col("opcode").isin(list(SITE_KINDS))).select(
         "archive_id",
+        *own_id,
         F.col("owner").alias("in_class"),
         F.col("method").alias("in_method"),
         F.col("desc").alias("in_desc"),
@@ -72,13 +75,14 @@ def build_call_sites(instructions: DataFrame, classes: DataFrame) -> DataFrame:
     )
     headers = classes.select(
         "archive_id",
+        *own_id,
         F.col("internal_name").alias("in_class"),
         F.lit("<class>").alias("in_method"),
         F.lit("").alias("in_desc"),
         F.lit("TYPE_IN_SIGNATURE").alias("kind"),
         F.posexplode(parents).alias("site_idx", "target_owner"),
     ).select(
-        "archive_id", "in_class", "in_method", "in_desc", "kind", "target_owner",
+        "archive_id", *own_id, "in_class", "in_method", "in_desc", "kind", "target_owner",
         F.lit("").alias("target_name"), F.lit("").alias("target_desc"),
         F.lit(0).alias("line"), F.col("site_idx").cast("long").alias("site_idx"),
     )
@@ -158,13 +162,20 @@ def usage_rollup(usages: DataFrame) -> DataFrame:
 
 
 def enrich_classes(nodes: DataFrame, classes: DataFrame, methods: DataFrame, fields: DataFrame) -> DataFrame:
-    """Add access, method and field counts to ``nodes(archive_id, internal_name)``; 0 when outside."""
-    counted = lambda members, out: members.groupBy("archive_id", F.col("owner").alias("internal_name")).agg(
-        F.count("*").cast("int").alias(out)
-    )
+    """Add access, method and field counts to ``nodes(archive_id, internal_name)``; 0 when outside.
+
+    A name that an archive holds several times takes all three from the class that defines it (``definitions``).
+    """
     key = ["archive_id", "internal_name"]
+    known = definitions(with_class_id(classes, "internal_name"), "access", "class_id")
+
+    def counted(members: DataFrame, out: str) -> DataFrame:
+        told = class_key(members, classes.withColumnRenamed("internal_name", "owner"))
+        per_class = members.groupBy(*told).agg(F.count("*").cast("int").alias(out)).withColumnRenamed("owner", "internal_name")
+        return per_class.join(known.select("archive_id", "class_id"), ["archive_id", "class_id"], "left_semi").drop("class_id") if "class_id" in told else per_class
+
     joined = (
-        nodes.join(classes.select(*key, "access"), key, "left")
+        nodes.join(known.drop("class_id"), key, "left")
         .join(counted(methods, "method_count"), key, "left")
         .join(counted(fields, "field_count"), key, "left")
     )

@@ -190,7 +190,7 @@ def search_regex(spark, sf):
 
 
 @query(with_views("classes call_methods fields_a", """WITH n AS (
-   SELECT 'CLASS_NAME' AS kind, name AS path, 0 AS line, name AS text, 'class' AS context FROM classes
+   SELECT 'CLASS_NAME' AS kind, name AS path, 0 AS line, name AS text, 'class' AS context FROM classes WHERE runtime_version=0
    UNION ALL SELECT 'CLASS_METHOD', replace(owner,'/','.'), ordinal+1, name, 'method' FROM call_methods
    UNION ALL SELECT 'CLASS_FIELD', replace(owner,'/','.'), 1, name, 'field' FROM fields_a)
   SELECT kind, path, split_part(path,'.',2) AS label, CAST(line AS INT) AS line, text, CAST(instr(text,'1')-1 AS INT) AS start, CAST(instr(text,'1') AS INT) AS "end", context

@@ -66,6 +66,24 @@ def call_site_build(spark, sf):
     return U.build_call_sites(T.instructions(spark, sf), T.classes(spark, sf))
 
 
+_TWIN = "CAST(regexp_extract({0}, 'C([0-9]+)$', 1) AS BIGINT)%5=0"
+
+
+@query(with_views("instructions classes", f"""WITH twins AS (
+  SELECT archive_id, owner||'.class' AS class_id, owner, method, "desc", idx, opcode, line, ref_owner, ref_name, ref_desc FROM instructions UNION ALL
+  SELECT archive_id, 'META-INF/versions/9/'||owner||'.class', owner, method, "desc", idx, opcode, line+1000, ref_owner, ref_name, ref_desc FROM instructions WHERE idx%2=0 AND {_TWIN.format('owner')}),
+  seen AS (SELECT *, coalesce(last_value(line IGNORE NULLS) OVER (PARTITION BY archive_id, class_id, method, "desc" ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS cur FROM twins),
+  heads AS (SELECT internal_name||'.class' AS class_id, * FROM classes UNION ALL SELECT 'META-INF/versions/9/'||internal_name||'.class', * FROM classes WHERE {_TWIN.format('internal_name')})
+  SELECT archive_id, class_id, owner AS in_class, method AS in_method, "desc" AS in_desc,
+    CASE opcode WHEN 182 THEN 'INVOKE_VIRTUAL' WHEN 183 THEN 'INVOKE_SPECIAL' WHEN 184 THEN 'INVOKE_STATIC' WHEN 178 THEN 'GETSTATIC' ELSE 'NEW' END AS kind,
+    ref_owner AS target_owner, coalesce(ref_name,'') AS target_name, coalesce(ref_desc,'') AS target_desc, CAST(cur AS INT) AS line, CAST(idx AS BIGINT) AS site_idx
+  FROM seen WHERE opcode IN (182,183,184,178,187)
+  UNION ALL SELECT 'app', class_id, internal_name, '<class>', '', 'TYPE_IN_SIGNATURE', super_name, '', '', 0, 0 FROM heads
+  UNION ALL SELECT 'app', class_id, internal_name, '<class>', '', 'TYPE_IN_SIGNATURE', interface, '', '', 0, 1 FROM heads"""))
+def call_site_twins(spark, sf):
+    return U.build_call_sites(T.twin_instructions(spark, sf), T.twin_classes(spark, sf))
+
+
 @query(with_views("call_sites", f"SELECT {SITES} FROM call_sites WHERE target_owner='k7/C7' AND target_name='m3' AND target_desc='()V'"))
 def usage_method(spark, sf):
     return U.usages_of_member(T.call_sites(spark, sf), "k7/C7", "m3", "()V").select(*SITE_COLS)
@@ -121,14 +139,14 @@ def external_references(spark, sf):
     return U.external_references(T.call_sites(spark, sf), known)
 
 
-@query(with_views("call_sites call_methods classes", """SELECT DISTINCT archive_id, target_owner AS internal_name,
+@query(with_views("call_sites call_methods classes fields_a", """SELECT DISTINCT archive_id, target_owner AS internal_name,
   coalesce((SELECT max(access) FROM classes c WHERE c.internal_name=s.target_owner AND CAST(substr(c.simple_name,2) AS INT)%3<>0),0) AS access,
-  CAST(coalesce((SELECT count(*) FROM call_methods m WHERE m.owner=s.target_owner),0) AS INT) AS method_count, 0 AS field_count FROM call_sites s"""))
+  CAST(coalesce((SELECT count(*) FROM call_methods m WHERE m.owner=s.target_owner),0) AS INT) AS method_count,
+  CAST(coalesce((SELECT count(*) FROM fields_a f WHERE f.owner=s.target_owner),0) AS INT) AS field_count FROM call_sites s"""))
 def class_enrichment(spark, sf):
     nodes = T.call_sites(spark, sf).select("archive_id", F.col("target_owner").alias("internal_name")).distinct()
     known = T.classes(spark, sf).filter(F.substring("simple_name", 2, 20).cast("int") % 3 != 0)
-    fields = T.version_fields(spark, sf, "A").filter(F.col("name") == "none")
-    return U.enrich_classes(nodes, known, T.call_methods(spark, sf), fields)
+    return U.enrich_classes(nodes, known, T.call_methods(spark, sf), T.version_fields(spark, sf, "A"))
 
 
 @query(with_views("", r"""WITH sym AS (SELECT s_suppkey AS k, 'Java_k'||(s_suppkey%20)||'_C'||s_suppkey||'_m_1'||s_suppkey||CASE WHEN s_suppkey%2=0 THEN '__ILjava_lang_String_2' ELSE '' END AS symbol FROM supplier

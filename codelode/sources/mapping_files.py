@@ -17,12 +17,6 @@ from codelode.session import cut_lineage
 FORMATS = [
     "PROGUARD", "TINY_V1", "TINY_V2", "SRG", "XSRG", "TSRG", "TSRG_V2", "CSRG", "JOBF", "ENIGMA", "RECAF",
 ]
-# --- fixed values: line shapes of the original-to-obfuscated format ----------------------------
-CLASS_LINE = r"^([\w$.]+(?:\[\])*)\s*->\s*([\w$.]+(?:\[\])*):\z"
-MEMBER_LINE = (
-    r"^\s+(?:\d+:\d+:)?([\w$.\[\]]+)\s+([\w$<>]+)(?:\(([^)]*)\))?\s*(?::\d+:\d+)?\s*->\s*([\w$<>]+)\z"
-)
-
 _CLASS_BLOCKS = ["PROGUARD", "TINY_V2", "TSRG", "TSRG_V2"]
 
 
@@ -144,6 +138,38 @@ def _after_header(rows: DataFrame, fmt: str) -> DataFrame:
     return rows.filter(~is_first)
 
 
+def _only(text: Column, marks: str) -> Column:
+    """Nothing but word characters and the given marks, and something."""
+    return (text != "") & ~text.rlike(f"[^A-Za-z0-9_{marks}]")
+
+
+def _arrow_class(line: Column) -> tuple[Column, Column, Column]:
+    """``original -> new:`` at the start of a line: whether it is that, and both names."""
+    sides = F.split(line, r"\s*->\s*")
+    old, new = F.get(sides, 0), F.get(sides, 1)
+    bare = F.substring_index(new, ":", 1)
+    names = _only(old, r"$.\[\]") & _only(bare, r"$.\[\]")
+    return F.coalesce((F.size(sides) == 2) & (new == F.concat(bare, F.lit(":"))) & names, F.lit(False)), old, bare
+
+
+def _arrow_member(line: Column) -> tuple[Column, Column, Column, Column, Column, Column]:
+    """``type name -> new`` or ``type name(parameters) -> new``, indented, with line ranges before the type and after the
+    member: whether it is that, whether it is a method, and type, name, parameters and new name."""
+    sides = F.split(line, r"\s*->\s*")
+    new = F.get(sides, 1)
+    # A range is two numbers with a colon each; what is left of the arrow reads: range, type, blank, member, range.
+    words = F.split(F.regexp_replace(F.trim(F.translate(F.get(sides, 0), "\t", " ")), r"^\d+:\d+:", ""), r"\s+", 2)
+    kind, rest = F.get(words, 0), F.get(words, 1)
+    is_method = rest.contains("(")
+    inside = F.substring_index(F.substring_index(rest, ")", 1), "(", -1)
+    name = F.trim(F.substring_index(F.when(is_method, F.substring_index(rest, "(", 1)).otherwise(rest), ":", 1))
+    after = F.when(is_method, F.substring_index(rest, ")", -1)).otherwise(F.regexp_replace(rest, r"^[^:]*", ""))
+    ranged = F.regexp_replace(after, r"\s", "").rlike(r"^(:\d+:\d+)?\z")
+    closed = ~is_method | (F.regexp_count(rest, F.lit(r"\)")) == 1) & (F.instr(rest, "(") < F.instr(rest, ")"))
+    good = line.rlike(r"^\s") & (F.size(sides) == 2) & _only(kind, r"$.\[\]") & _only(name, "$<>") & _only(new, "$<>") & ranged & closed
+    return F.coalesce(good, F.lit(False)), is_method, kind, name, F.when(is_method, inside).otherwise(F.lit("")), new
+
+
 def _parse_lines_of(rows: DataFrame, fmt: str) -> DataFrame:
     """``(mapping_id, line_no, e)`` of one line-by-line format."""
     if fmt in ("TINY_V2", "TSRG_V2"):
@@ -156,7 +182,7 @@ def _parse_lines_of(rows: DataFrame, fmt: str) -> DataFrame:
     indent = F.length(F.regexp_extract("line", "^(\t*)", 1))
     indented = line.startswith("\t") | line.startswith(" ")
     opens_class = {
-        "PROGUARD": F.when(line.rlike(CLASS_LINE), _slash(F.regexp_extract(line, CLASS_LINE, 2))),
+        "PROGUARD": F.when(_arrow_class(line)[0], _slash(_arrow_class(line)[2])),
         "TINY_V2": F.when((ntab >= 3) & (tab(0) == "c"), tab(1)),
         "TSRG": F.when(~indented & (n >= 2) & (p(0) != "tsrg2"), p(0)),
         "TSRG_V2": F.when((indent == 0) & (n >= 2), p(0)),
@@ -165,15 +191,11 @@ def _parse_lines_of(rows: DataFrame, fmt: str) -> DataFrame:
         rows = carry_forward(rows, ["mapping_id"], "line_no", {"cur": opens_class[fmt]})
 
     if fmt == "PROGUARD":
-        member = lambda i: F.regexp_extract(line, MEMBER_LINE, i)
-        method_desc = F.concat(F.lit("("), S.parameters_to_descriptor(member(3)), F.lit(")"), S.type_to_descriptor(member(1)))
-        entry = F.when(
-            line.rlike(CLASS_LINE), _entry("class", cur, _slash(F.regexp_extract(line, CLASS_LINE, 1)))
-        ).when(
-            line.rlike(MEMBER_LINE) & cur.isNotNull(),
-            F.when(line.rlike(r"\([^)]*\)\s*(?::\d+:\d+)?\s*->"), _entry("method", cur, member(2), member(4), method_desc))
-            .otherwise(_entry("field", cur, member(2), member(4), S.type_to_descriptor(member(1)))),
-        )
+        is_class, old, _ = _arrow_class(line)
+        is_member, is_method, kind, name, inside, new = _arrow_member(line)
+        method_desc = F.concat(F.lit("("), S.parameters_to_descriptor(inside), F.lit(")"), S.type_to_descriptor(kind))
+        member = F.when(is_method, _entry("method", cur, name, new, method_desc)).otherwise(_entry("field", cur, name, new, S.type_to_descriptor(kind)))
+        entry = F.when(is_class, _entry("class", cur, _slash(old))).when(is_member & cur.isNotNull(), member)
     elif fmt == "TINY_V1":
         entry = (
             F.when((tab(0) == "CLASS") & (ntab >= 3), _entry("class", tab(1), tab(2)))

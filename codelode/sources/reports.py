@@ -12,8 +12,10 @@ def report_lines(report: DataFrame) -> DataFrame:
 
 
 def write_report_json(report: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One text file of JSON objects; a report has a row per archive, so it is small."""
-    report_lines(report).coalesce(1).write.mode(mode).text(path)
+    """Text files of JSON objects, one per row, in the order of the archives where rows name one; as many files as AQE sees fit."""
+    if "archive_id" in report.columns:
+        report = report.repartitionByRange("archive_id").sortWithinPartitions("archive_id")
+    report_lines(report).write.mode(mode).text(path)
 
 
 def write_facts(tables: dict[str, DataFrame], folder: str, mode: str = "overwrite", directories: bool = False) -> None:

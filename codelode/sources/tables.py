@@ -240,6 +240,25 @@ def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_twins(facts: DataFrame, owner: str) -> DataFrame:
+    """The facts with a ``class_id``, and once more for every fifth class as it is for a later runtime version."""
+    base = facts.withColumn("class_id", F.concat(F.col(owner), F.lit(".class")))
+    fifth = F.regexp_extract(owner, "C([0-9]+)$", 1).try_cast("long") % 5 == 0
+    return base.unionByName(base.where(fifth).withColumn("class_id", F.concat(F.lit("META-INF/versions/9/"), F.col("class_id"))))
+
+
+def twin_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instructions of an archive with classes for two runtime versions; the later ones lack every other row and have other lines."""
+    later = F.col("class_id").startswith("META-INF")
+    twins = with_twins(instructions(spark, sf_dir), "owner").where(~later | (F.col("idx") % 2 == 0))
+    return twins.withColumn("line", F.when(later, F.col("line") + 1000).otherwise(F.col("line")))
+
+
+def twin_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    twins = with_twins(classes(spark, sf_dir), "internal_name")
+    return twins.withColumn("runtime_version", F.when(F.col("class_id").startswith("META-INF"), 9).otherwise(0))
+
+
 # --- fixed values: opcodes and mnemonics of the instruction set, by row selector ---------------
 OPCODES = [-1, -1, 3, 4, 153, 154, 167, 18, 18, 16, 17, 130, 184, 183, 178, 172, 170, 187, 182, 186]
 MNEMONICS = (
