@@ -70,6 +70,10 @@ def word_hashes(
         length = np.diff(np.append(starts[i:j], high))
         at = np.arange(high - low) - np.repeat(starts[i:j] - low, length)
         part = lut[data[low:high]] * _POWERS[at & (len(_POWERS) - 1)]
+        if length.max() > len(_POWERS):
+            # The powers go on: a block of them further, every factor is multiplied by the power of a whole block once more.
+            block = at // len(_POWERS)
+            part *= np.multiply.accumulate(np.append(np.uint64(1), np.full(block.max(), _POWERS[-1], np.uint64)))[block]
         out[i:j] = np.add.reduceat(part, starts[i:j] - low) + (ends[i:j] - starts[i:j]).astype(np.uint64) * FACTORS[255]
         i = j
     return mix(out), bounds
