@@ -340,15 +340,28 @@ def ranked(detections: DataFrame) -> DataFrame:
     )
 
 
-def top_detection(detections: DataFrame) -> DataFrame:
-    """The surest detector per archive (first on ties) with its first evidence as the reason."""
+def undetected(detections: DataFrame) -> DataFrame:
+    """What was looked for and not found: ``(archive_id, position, name)``."""
+    return detections.filter(F.col("level") == "NONE").select("archive_id", "position", "name")
+
+
+def top_detection(detections: DataFrame, features: DataFrame | None = None) -> DataFrame:
+    """The surest detector per archive (first on ties) with its first evidence as the reason.
+
+    With the ``features (archive_id, class_count, ...)`` they were made from, an archive without classes is told apart.
+    """
     seen = F.col("level") != "NONE"
     best = F.max_by(
         F.struct("name", "confidence", F.get("evidence", 0)["description"].alias("reason")),
         F.when(seen, F.struct("confidence", -F.col("position"))),
     )
     d = F.col("d")
-    return detections.groupBy("archive_id").agg(best.alias("d")).select(
+    per_archive = detections.groupBy("archive_id").agg(best.alias("d"))
+    if features is not None:
+        empty = features.filter(F.coalesce("class_count", F.lit(0)) == 0).select("archive_id")
+        none = empty.select("archive_id", F.lit("None").alias("name"), F.lit(0.0).alias("confidence"), F.lit("the archive has no classes").alias("reason"))
+        return top_detection(detections.join(empty, "archive_id", "left_anti")).unionByName(none)
+    return per_archive.select(
         "archive_id",
         F.coalesce(d["name"], F.lit("None / Unknown")).alias("name"),
         F.coalesce(d["confidence"], F.lit(0.0)).alias("confidence"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions import scalars as S
 from codelode.functions.access import flag_list, java_version
+from codelode.operators.ordered import number_rows
 from codelode.operators.usage import FAMILIES, INVOKE_KINDS
 
 
@@ -69,6 +70,68 @@ def resource_rollup(resources: DataFrame) -> DataFrame:
     return folder_rollup(rows, "folder_path", "/", ["archive_id"])
 
 
+# --- fixed values: which kind of node comes first among the children of a node ------------------
+NODE_RANKS = {"PACKAGE": 0, "RESOURCE_FOLDER": 1, "CLASS": 2, "RESOURCE": 3, "MULTI_RELEASE_ROOT": 4, "MULTI_RELEASE_VERSION": 5}
+
+
+def _step(kind: str, label: Column) -> Column:
+    """A node's part of a sort path: children follow their parent, by kind, then by label without regard to case."""
+    return F.concat(F.lit(f"{NODE_RANKS[kind]}\x02"), F.lower(F.upper(label)), F.lit("\x02"), label, F.lit("\x01"))
+
+
+def archive_tree(classes: DataFrame, resources: DataFrame) -> DataFrame:
+    """The tree of every archive in the order it is shown: ``(archive_id, position, depth, kind, label, sort_path)``.
+
+    Packages and classes stand at the top, classes for later runtime versions in packages under ``[Multi-Release]`` and their version,
+    resources in their folders under ``resources``.  A sort path is made of the steps from the top, so sorting by it
+    gives each node before its children.  Folders are made distinct before their ancestors are exploded; an archive of
+    any size is numbered in parts.
+    """
+    version = F.coalesce(F.col("runtime_version"), F.lit(0)) if "runtime_version" in classes.columns else F.lit(0)
+    parts = lambda path, sep: F.when(path == "", F.array().cast("array<string>")).otherwise(F.split(path, f"[{sep}]"))
+    java = F.concat(F.lit("Java "), version.cast("string"))
+    many, none = _step("MULTI_RELEASE_ROOT", F.lit("[Multi-Release]")), F.lit("")
+    leaf = lambda rows, kind, folder_kind, label, folders, top, depth: rows.select(
+        "archive_id", F.lit(kind).alias("kind"), F.lit(folder_kind).alias("folder_kind"), label.alias("label"), folders.alias("folders"),
+        top.alias("top"), depth.cast("int").alias("depth"), (version if kind == "CLASS" else F.lit(0)).alias("version"),
+    )
+    package = parts(F.coalesce("package_name", F.lit("")), ".")
+    later = version > 0
+    leaves = leaf(
+        classes, "CLASS", "PACKAGE", F.col("simple_name"), package,
+        F.when(later, F.concat(many, _step("MULTI_RELEASE_VERSION", java))).otherwise(none), F.when(later, 2).otherwise(0),
+    ).unionByName(
+        leaf(
+            resources, "RESOURCE", "RESOURCE_FOLDER", S.simple_name(F.col("path")), parts(S.parent_path(F.col("path")), "/"),
+            _step("RESOURCE_FOLDER", F.lit("resources")), F.lit(1),
+        )
+    )
+    steps = F.when(F.col("folder_kind") == "PACKAGE", F.transform("folders", lambda x: _step("PACKAGE", x))).otherwise(
+        F.transform("folders", lambda x: _step("RESOURCE_FOLDER", x))
+    )
+    own = F.when(F.col("kind") == "CLASS", _step("CLASS", F.col("label"))).otherwise(_step("RESOURCE", F.col("label")))
+    rows = leaves.select(
+        "archive_id", (F.col("depth") + F.size("folders")).alias("depth"), "kind", "label", F.concat("top", F.array_join(steps, ""), own).alias("sort_path")
+    )
+    held = leaves.select("archive_id", "folder_kind", "folders", "top", "depth").distinct().withColumn("steps", steps)
+    folders = held.filter(F.size("folders") > 0).select("*", F.explode(F.sequence(F.lit(1), F.size("folders"))).alias("n")).select(
+        "archive_id", (F.col("depth") + F.col("n") - 1).alias("depth"), F.col("folder_kind").alias("kind"), F.get("folders", F.col("n") - 1).alias("label"),
+        F.concat("top", F.array_join(F.slice("steps", F.lit(1), F.col("n")), "")).alias("sort_path"),
+    )
+    named = lambda kind, label, depth, path: F.struct(F.lit(depth).alias("depth"), F.lit(kind).alias("kind"), label.alias("label"), path.alias("sort_path"))
+    shown = F.col("version").cast("string")
+    tops = leaves.select("archive_id", "kind", "version", "top").distinct().filter("top <> ''").select(
+        "archive_id",
+        F.explode(
+            F.when(F.col("kind") == "RESOURCE", F.array(named("RESOURCE_FOLDER", F.lit("resources"), 0, F.col("top")))).otherwise(
+                F.array(named("MULTI_RELEASE_ROOT", F.lit("[Multi-Release]"), 0, many), named("MULTI_RELEASE_VERSION", F.concat(F.lit("Java "), shown), 1, F.col("top")))
+            )
+        ).alias("t"),
+    ).select("archive_id", "t.*")
+    nodes = rows.unionByName(folders.unionByName(tops).distinct())
+    return number_rows(nodes, ["archive_id"], ["sort_path"], "position").select("archive_id", "position", "depth", "kind", "label", "sort_path")
+
+
 def member_listing(methods: DataFrame, fields: DataFrame) -> DataFrame:
     """Fields as declared, then initialisers, then methods by name: ``position`` per class.
 

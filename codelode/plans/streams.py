@@ -13,8 +13,8 @@ from codelode.sources import tables as T
 from codelode.streaming import jvmstate as V
 
 
-def _parsed(spark, sf):
-    return V.valid_snapshots(V.parse_snapshots(T.snapshots(spark, sf)))
+def _parsed(spark, sf, sections=V.SECTIONS):
+    return V.valid_snapshots(V.parse_snapshots(T.snapshots(spark, sf), sections))
 
 
 def _events_stream(spark, sf):
@@ -32,7 +32,7 @@ _SAMPLE = "SELECT pid, tick, series, round(value,6) AS value FROM "
 
 @query(with_views("samples", _SAMPLE + "samples"))
 def snapshot_samples(spark, sf):
-    return V.samples(_parsed(spark, sf)).withColumn("value", F.round("value", 6))
+    return V.samples(_parsed(spark, sf, V.SAMPLED)).withColumn("value", F.round("value", 6))
 
 
 _LAST = _SAMPLE + "(SELECT *, row_number() OVER (PARTITION BY pid, series ORDER BY tick DESC) AS k FROM samples) WHERE k<=60"
@@ -40,13 +40,13 @@ _LAST = _SAMPLE + "(SELECT *, row_number() OVER (PARTITION BY pid, series ORDER
 
 @query(with_views("samples", _LAST))
 def last60(spark, sf):
-    return V.last_samples(V.samples(_parsed(spark, sf))).withColumn("value", F.round("value", 6))
+    return V.last_samples(V.samples(_parsed(spark, sf, V.SAMPLED))).withColumn("value", F.round("value", 6))
 
 
 @query(with_views("samples", _LAST))
 def last60_stream(spark, sf):
     polls = T.snapshots_of(_events_stream(spark, sf))
-    history = V.rolling_history(V.samples(V.valid_snapshots(V.parse_snapshots(polls))))
+    history = V.rolling_history(V.samples(V.valid_snapshots(V.parse_snapshots(polls, V.SAMPLED))))
     table = V.run_to_table(history, _work_folder(spark, "last60"), "update")
     return V.latest_per_series(table).withColumn("value", F.round("value", 6))
 
@@ -55,25 +55,25 @@ def last60_stream(spark, sf):
    SELECT pid, tick, 1 AS o, 'Heap (aggregate)' AS name, 'HEAP' AS type, used, used*2 AS committed FROM polls WHERE e<>'view' UNION ALL SELECT pid, tick, 2, 'Non-heap (aggregate)', 'NON_HEAP', used*3, used*6 FROM polls WHERE e<>'view'
    UNION ALL SELECT pid, tick, 3, 'Eden', 'HEAP', used, used*2 FROM polls UNION ALL SELECT pid, tick, 4, 'Code', 'NON_HEAP', used+1, used*2+2 FROM polls)"""))
 def memory_pools(spark, sf):
-    return V.memory_pools(_parsed(spark, sf))
+    return V.memory_pools(_parsed(spark, sf, ["memory", "memoryPools"]))
 
 
 @query(with_views("polls", "SELECT pid, tick, 'G1' AS name, tick AS collections, CAST(0 AS BIGINT) AS time_ms FROM polls"))
 def gc_collectors(spark, sf):
-    return V.collectors(_parsed(spark, sf))
+    return V.collectors(_parsed(spark, sf, ["gc"]))
 
 
 @query(with_views("polls", """SELECT pid, tick, u*10+i AS id, 'T'||(9-i)||'-'||u AS name, CASE WHEN u%2=0 THEN 'RUNNABLE' ELSE 'BLOCKED' END AS state, u+i AS blocked, CAST(0 AS BIGINT) AS waited,
   e='error' AND i=1 AS deadlocked, CASE WHEN e='error' THEN 1 ELSE 0 END AS deadlocked_threads FROM polls, (VALUES (0),(1)) t(i) WHERE e<>'click'"""))
 def thread_rows(spark, sf):
-    return V.threads(_parsed(spark, sf))
+    return V.threads(_parsed(spark, sf, ["threads"]))
 
 
 @query(with_views("polls", """SELECT pid, tick, key, value FROM (SELECT pid, tick, 'user.id' AS key, CAST(u AS VARCHAR) AS value FROM polls UNION ALL SELECT pid, tick, 'Event.Type', e FROM polls UNION ALL SELECT pid, tick, 'os.props', props FROM polls)
   WHERE contains(lower(key),'type') OR contains(lower(value),'7')"""))
 def system_properties(spark, sf):
-    by_type = V.system_properties(_parsed(spark, sf), "TYPE")
-    return by_type.unionByName(V.system_properties(_parsed(spark, sf), "7").filter(~F.lower("key").contains("type")))
+    by_type = V.system_properties(_parsed(spark, sf, ["systemProperties"]), "TYPE")
+    return by_type.unionByName(V.system_properties(_parsed(spark, sf, ["systemProperties"]), "7").filter(~F.lower("key").contains("type")))
 
 
 @query(with_views("polls", """SELECT pid, tick, CAST(0 AS BIGINT) AS loaded_classes, 0 AS processors, CAST(-1 AS DOUBLE) AS "cpuLoad", round(CASE WHEN e<>'signup' THEN v/500-(u%2)*CAST(0.1 AS DOUBLE) ELSE -1 END, 6) AS "processCpuLoad", 3 AS properties FROM polls"""))

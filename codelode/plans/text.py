@@ -302,6 +302,24 @@ def resource_tree(spark, sf):
     return R.resource_rollup(T.resources(spark, sf)).drop("archive_id")
 
 
+_STEP = "'{0}'||chr(2)||lower(upper({1}))||chr(2)||{1}||chr(1)"
+
+
+@query(with_views("classes resources", f"""WITH c AS (SELECT 'CLASS' AS kind, 'PACKAGE' AS folder_kind, simple_name AS label, [package_name] AS folders, runtime_version AS version,
+   CASE WHEN runtime_version>0 THEN {_STEP.format(4, "'[Multi-Release]'")}||{_STEP.format(5, "('Java '||runtime_version)")} ELSE '' END AS top, CASE WHEN runtime_version>0 THEN 2 ELSE 0 END AS depth FROM classes),
+  r AS (SELECT 'RESOURCE', 'RESOURCE_FOLDER', split_part(path,'/',-1), CASE WHEN regexp_extract(path,'^(.*)/[^/]*$',1)='' THEN [] ELSE string_split(regexp_extract(path,'^(.*)/[^/]*$',1),'/') END, 0, {_STEP.format(1, "'resources'")}, 1 FROM resources),
+  l AS (SELECT * FROM c UNION ALL SELECT * FROM r),
+  s AS (SELECT *, list_transform(folders, lambda x: CASE WHEN kind='CLASS' THEN {_STEP.format(0, 'x')} ELSE {_STEP.format(1, 'x')} END) AS steps FROM l),
+  leaves AS (SELECT depth+len(folders) AS depth, kind, label, top||array_to_string(steps,'')||CASE WHEN kind='CLASS' THEN {_STEP.format(2, 'label')} ELSE {_STEP.format(3, 'label')} END AS sort_path FROM s),
+  f AS (SELECT DISTINCT depth+n-1 AS depth, folder_kind AS kind, folders[n] AS label, top||array_to_string(steps[1:n],'') AS sort_path FROM (SELECT *, unnest(range(1, len(folders)+1)) AS n FROM s)),
+  t AS (SELECT DISTINCT 0 AS depth, 'RESOURCE_FOLDER' AS kind, 'resources' AS label, top AS sort_path FROM s WHERE kind='RESOURCE'
+   UNION SELECT 0, 'MULTI_RELEASE_ROOT', '[Multi-Release]', {_STEP.format(4, "'[Multi-Release]'")} FROM s WHERE version>0 UNION SELECT 1, 'MULTI_RELEASE_VERSION', 'Java '||version, top FROM s WHERE version>0),
+  a AS (SELECT * FROM leaves UNION ALL SELECT * FROM f UNION ALL SELECT * FROM t)
+  SELECT CAST(row_number() OVER (ORDER BY sort_path)-1 AS BIGINT) AS position, CAST(depth AS INT) AS depth, kind, label, sort_path FROM a"""))
+def archive_tree(spark, sf):
+    return R.archive_tree(T.classes(spark, sf), T.resources(spark, sf)).drop("archive_id")
+
+
 @query(with_views("call_methods fields_a", """WITH m AS (SELECT owner, 'FIELD' AS kind, name, "desc", 0 AS block, '' AS s, 0 AS ordinal FROM fields_a
    UNION ALL SELECT owner, 'METHOD', CASE WHEN name='m3' THEN '<init>' ELSE name END, "desc", CASE WHEN name='m3' THEN 1 ELSE 2 END, CASE WHEN name='m3' THEN '<init>' ELSE name END, ordinal FROM call_methods)
   SELECT owner, kind, name, "desc", CAST(row_number() OVER (PARTITION BY owner ORDER BY block, s, ordinal, name, "desc") AS INT) AS position FROM m"""))

@@ -7,7 +7,7 @@ line order instead of being held by a reader.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import scalars as S
@@ -21,13 +21,22 @@ _CLASS_BLOCKS = ["PROGUARD", "TINY_V2", "TSRG", "TSRG_V2"]
 
 
 def read_mapping_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(mapping_id, line_no, line)`` of every file under ``path``; the file is the mapping."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("mapping_id"), F.col("value")
-    )
-    return files.select(
-        "mapping_id", F.posexplode(F.split("value", r"\r\n|\r|\n", -1)).alias("line_no", "line")
-    ).withColumn("line_no", F.col("line_no").cast("long"))
+    """``(mapping_id, line_no, line)`` of every file under ``path``; the file is the mapping.
+
+    Files are read by lines, and a large file by several tasks.  A task numbers the lines of its blocks; how many lines lie before
+    a block comes from one row per block.
+    """
+    lines = cut_lineage(
+        spark.read.text(path).select(
+            F.col("_metadata.file_path").alias("mapping_id"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"),
+        )
+    )
+    blocks = lines.groupBy("mapping_id", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    ahead = Window.partitionBy("mapping_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("first")).alias("shift")
+    placed = lines.join(blocks.select("mapping_id", "block", shift), ["mapping_id", "block"])
+    return placed.select("mapping_id", (F.col("at") + F.col("shift")).alias("line_no"), "line")
 
 
 def read_mapping(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
@@ -453,3 +462,15 @@ def write_mapping(mappings: DataFrame, fmt: str, path: str, mode: str = "overwri
     """Write one mapping as text: range-partitioned, so the part files read in order are the file."""
     lines = mapping_lines(mappings, fmt)
     lines.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).select("line").write.mode(mode).text(path)
+
+
+def write_mappings(mappings: DataFrame, fmt: str, path: str, mode: str = "overwrite") -> None:
+    """Write many mappings in one job: a folder ``mapping_id=...`` each, whose part files read in the order of their names are the file.
+
+    Lines are range-partitioned by mapping and place, so small mappings share a task and a large one is spread over several, in order.
+    """
+    lines = mapping_lines(mappings.withColumn("mapping_id", F.coalesce("mapping_id", F.lit("none"))), fmt)
+    # A column that may be null would be sorted once more on its way out, and lines would lose their order.
+    lines = lines.withColumn("mapping_id", F.coalesce("mapping_id", F.lit("none")))
+    laid_out = lines.repartitionByRange("mapping_id", *ORDER).sortWithinPartitions("mapping_id", *ORDER)
+    laid_out.select("mapping_id", "line").write.mode(mode).partitionBy("mapping_id").text(path)

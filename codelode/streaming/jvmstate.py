@@ -6,7 +6,7 @@ with the same result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from typing import Any
 
 import pandas as pd
@@ -18,22 +18,25 @@ from codelode.operators.ordered import carry_forward
 
 # --- fixed values: the snapshot document -------------------------------------------------------
 USAGE = "STRUCT<init: BIGINT, used: BIGINT, committed: BIGINT, max: BIGINT>"
-SNAPSHOT = f"""STRUCT<
- runtime: STRUCT<name: STRING, vmName: STRING, vmVendor: STRING, vmVersion: STRING, specName: STRING,
+SECTIONS = {
+    "runtime": """STRUCT<name: STRING, vmName: STRING, vmVendor: STRING, vmVersion: STRING, specName: STRING,
    specVersion: STRING, specVendor: STRING, classPath: STRING, libraryPath: STRING, bootClassPath: STRING,
-   bootClassPathSupported: BOOLEAN, startTime: BIGINT, uptime: BIGINT, pid: BIGINT, inputArguments: ARRAY<STRING>>,
- classLoading: STRUCT<loadedClassCount: BIGINT, totalLoadedClassCount: BIGINT, unloadedClassCount: BIGINT, verbose: BOOLEAN>,
- compilation: STRUCT<available: BOOLEAN, name: STRING, timeMonitoringSupported: BOOLEAN, totalCompilationTimeMs: BIGINT>,
- os: STRUCT<name: STRING, arch: STRING, version: STRING, availableProcessors: INT, systemLoadAverage: DOUBLE,
+   bootClassPathSupported: BOOLEAN, startTime: BIGINT, uptime: BIGINT, pid: BIGINT, inputArguments: ARRAY<STRING>>""",
+    "classLoading": "STRUCT<loadedClassCount: BIGINT, totalLoadedClassCount: BIGINT, unloadedClassCount: BIGINT, verbose: BOOLEAN>",
+    "compilation": "STRUCT<available: BOOLEAN, name: STRING, timeMonitoringSupported: BOOLEAN, totalCompilationTimeMs: BIGINT>",
+    "os": """STRUCT<name: STRING, arch: STRING, version: STRING, availableProcessors: INT, systemLoadAverage: DOUBLE,
    freeMemorySize: BIGINT, totalMemorySize: BIGINT, committedVirtualMemorySize: BIGINT, freeSwapSpaceSize: BIGINT,
-   totalSwapSpaceSize: BIGINT, processCpuTime: BIGINT, cpuLoad: DOUBLE, processCpuLoad: DOUBLE>,
- memory: STRUCT<heap: {USAGE}, nonHeap: {USAGE}, objectPendingFinalizationCount: BIGINT>,
- memoryPools: ARRAY<STRUCT<name: STRING, type: STRING, usage: {USAGE}, peak: {USAGE}>>,
- gc: ARRAY<STRUCT<name: STRING, collectionCount: BIGINT, collectionTimeMs: BIGINT>>,
- threads: STRUCT<threadCount: INT, peakThreadCount: INT, daemonThreadCount: INT, totalStartedThreadCount: BIGINT,
+   totalSwapSpaceSize: BIGINT, processCpuTime: BIGINT, cpuLoad: DOUBLE, processCpuLoad: DOUBLE>""",
+    "memory": f"STRUCT<heap: {USAGE}, nonHeap: {USAGE}, objectPendingFinalizationCount: BIGINT>",
+    "memoryPools": f"ARRAY<STRUCT<name: STRING, type: STRING, usage: {USAGE}, peak: {USAGE}>>",
+    "gc": "ARRAY<STRUCT<name: STRING, collectionCount: BIGINT, collectionTimeMs: BIGINT>>",
+    "threads": """STRUCT<threadCount: INT, peakThreadCount: INT, daemonThreadCount: INT, totalStartedThreadCount: BIGINT,
    deadlocked: ARRAY<BIGINT>, list: ARRAY<STRUCT<id: BIGINT, name: STRING, state: STRING, blockedCount: BIGINT,
-   waitedCount: BIGINT, stack: ARRAY<STRING>>>>,
- systemProperties: MAP<STRING, STRING>>"""
+   waitedCount: BIGINT, stack: ARRAY<STRING>>>>""",
+    "systemProperties": "MAP<STRING, STRING>",
+}
+#: What ``samples`` looks at.
+SAMPLED = {"memory": f"STRUCT<heap: {USAGE}>", "threads": "STRUCT<threadCount: INT>", "os": "STRUCT<processCpuLoad: DOUBLE>"}
 MINUS_ONE_FIELDS = {
     "os": [
         "systemLoadAverage", "freeMemorySize", "totalMemorySize", "committedVirtualMemorySize", "freeSwapSpaceSize",
@@ -67,13 +70,15 @@ def _usage(u: Column) -> Column:
     return F.when(u.isNotNull(), full)
 
 
-def parse_snapshots(polls: DataFrame) -> DataFrame:
+def parse_snapshots(polls: DataFrame, sections: Collection[str] | dict[str, str] = SECTIONS) -> DataFrame:
     """Add the parsed document ``s``; text that is no JSON object gives a null ``s``.
 
-    The parse is handed on through a generator: filters and projections on ``s`` cannot be pushed
-    below one, so each document is parsed once.
+    Only the asked ``sections`` (names, or names with what is wanted of them) are made into values; of the others the parser reads the
+    syntax alone, so a value of the wrong type is noticed only where it was asked for.  The parse is handed on
+    through a generator: filters and projections on ``s`` cannot be pushed below one, so each document is parsed once.
     """
-    with_error = SNAPSHOT.removesuffix(">") + ", _corrupt: STRING>"
+    types = sections if isinstance(sections, dict) else {name: SECTIONS[name] for name in sections}
+    with_error = "STRUCT<" + ", ".join(f"{name}: {kind}" for name, kind in types.items()) + ", _corrupt: STRING>"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     is_object = F.ltrim("json").startswith("{")
     parsed = F.array(F.when(is_object, F.from_json("json", with_error, options)))
