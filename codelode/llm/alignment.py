@@ -12,12 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.chunks import Bytes, Pieces, cut, distinct, slices, spaced
-from codelode.llm.common import stored
+from codelode.llm.chunks import Bytes, Pieces, cut, distinct, flat, give_back, slices, spaced
+from codelode.llm.common import arrow_rows, stored
 from codelode.llm.hashing import text_bytes
 
 #: Bytes of text in a block of documents.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 3 << 20
+#: Rows that a task takes from Spark at a time; blocks are cut from them by bytes.
+ARROW_ROWS = 1000
 #: Neighbouring elements that one cursor of the search takes in turn.
 LANE = 64
 #: Groups with more links than this are counted by distinct ids instead of link by link.
@@ -90,11 +92,6 @@ class _Table:
         return self.data[np.repeat(self.first[ids], size) + at]
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.array([len(x) for x in lists], np.int64)
-    return np.array([i for x in lists for i in x], np.int64), counts
-
-
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     ahead = np.concatenate([np.zeros(1, np.int64), np.cumsum(values, dtype=np.int64)])
     return ahead[bounds[1:]] - ahead[bounds[:-1]]
@@ -115,11 +112,11 @@ class _Aligner:
         self.separators = self.a.separators & self.b.separators
 
     def align(self, texts: pa.Array) -> dict:
-        chunks = texts.to_pylist()
         data, offsets = text_bytes(texts)
-        ids_a, n_a = _flat(self.a.encode(chunks))
-        ids_b, n_b = _flat(self.b.encode(chunks))
+        ids_a, n_a = flat(self.a.encode, self.table_a.size, texts)
+        ids_b, n_b = flat(self.b.encode, self.table_b.size, texts)
         fine = self._equal(self.table_a, ids_a, n_a, data, offsets) & self._equal(self.table_b, ids_b, n_b, data, offsets)
+        del data
         ids_a, ids_b = ids_a[np.repeat(fine, n_a)], ids_b[np.repeat(fine, n_b)]
         n_a, n_b = np.where(fine, n_a, 0), np.where(fine, n_b, 0)
         ends_a, ends_b = np.cumsum(self.table_a.size[ids_a]), np.cumsum(self.table_b.size[ids_b])
@@ -178,12 +175,15 @@ class _Aligner:
         few = np.flatnonzero(links <= DENSE_LINKS)
         run, place = _spread(links[few])
         g = few[run]
-        keys = [ids_a[first_a[g] + place // size_b[g]] * pieces + ids_b[first_b[g] + place % size_b[g]]]
-        owners, weights = [chunk[g]], [np.ones(len(g), np.int64)]
+        del run
+        key = ids_a[first_a[g] + place // size_b[g]].astype(np.int64) * pieces
+        key += ids_b[first_b[g] + place % size_b[g]]
+        keys, owners, weights = [key], [chunk[g]], [np.ones(len(g), np.int64)]
+        del place, g, key
         for g in np.flatnonzero(links > DENSE_LINKS).tolist():
             a, times_a = np.unique(ids_a[first_a[g] : at_a[g] + 1], return_counts=True)
             b, times_b = np.unique(ids_b[first_b[g] : at_b[g] + 1], return_counts=True)
-            keys.append((a[:, None] * pieces + b[None, :]).ravel())
+            keys.append((a.astype(np.int64)[:, None] * pieces + b[None, :]).ravel())
             owners.append(np.full(len(a) * len(b), chunk[g]))
             weights.append((times_a[:, None] * times_b[None, :]).ravel())
         key, owner, weight = np.concatenate(keys), np.concatenate(owners), np.concatenate(weights)
@@ -242,6 +242,11 @@ def _encoder(path_a: str, path_b: str, block_bytes: int):
                 chunk_of=_row(found["owner"], pa.int32()), pair_of=_row(pair_of, pa.int32()), links_of=_row(found["weights"], pa.int64()),
             )
             block += 1
+            del data, starts, index, texts, row, found, printed, order, key, holder, chunk, pair_of, out, lists, times, digests
+            give_back()
+        # The worker stays for later tasks, its vocabularies need not.
+        aligner = batch = None
+        give_back()
 
     return run
 
@@ -254,7 +259,7 @@ def _held(holder: np.ndarray, chunk: np.ndarray, owner: np.ndarray, pair_of: np.
     ahead = np.cumsum(size)
     low = 0
     while low < len(chunk):
-        high = int(np.searchsorted(ahead, (ahead[low - 1] if low else 0) + (1 << 21), "right"))
+        high = int(np.searchsorted(ahead, (ahead[low - 1] if low else 0) + (1 << 18), "right"))
         high = int(np.searchsorted(holder, holder[max(low, high - 1)], "right"))  # whole rows only
         run, place = _spread(size[low:high])
         if len(run):
@@ -314,7 +319,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK_BY
     its own.  Other columns are ignored, whatever their names.  An empty table gives empty results.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    coded = stored(texts.mapInArrow(_encoder(path_a, path_b, block_bytes), _BLOCK), "coded")
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        coded = stored(texts.mapInArrow(_encoder(path_a, path_b, block_bytes), _BLOCK), "coded")
     pieces = len(Pieces(path_b).pieces)
     uses = coded.where("pairs is not null").select("block", F.posexplode(F.arrays_zip("pairs", "held")).alias("place", "use"))
     uses = uses.select("block", "place", F.col("use.pairs").alias("pair"), F.col("use.held").alias("held"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,8 @@ import pyarrow as pa
 
 from codelode.llm.hashing import text_bytes
 
+#: Bytes of a text made of chunks, and how many such texts go to a library at a time: what it returns is far larger than the ids.
+TEXT, FEW = 1 << 11, 1 << 6
 #: Chunks longer than this are cut further where the vocabulary allows, into parts of about half of it.
 LONG_CHUNK = 1 << 16
 
@@ -65,6 +68,47 @@ def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, pa.Array
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
+def flat(encode: Callable[[list[str]], list[list[int]]], size: np.ndarray, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the chunks in order, and how many each has; ``size`` says how many bytes an id stands for.
+
+    Chunks that may stand next to each other go as one text of about ``TEXT`` bytes, whose ids are dealt to them by bytes.  Where the
+    bytes do not add up to the chunks, those are encoded one by one.
+    """
+    data, offsets = text_bytes(chunks)
+    if not len(chunks):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    last, ends = offsets[1:] - 1, offsets[1:]
+    before = data[np.maximum(last - 1, 0)]
+    closed = ~_WHITE[data[last]] & ~((data[last] >= 128) & _DOUBT[before])
+    opens = _WHITE[data[offsets[:-1]]]
+    firsts = np.append(True, ~closed[:-1] | ~opens[1:] | (np.diff(offsets[:-1] // TEXT) != 0))
+    firsts = np.append(np.flatnonzero(firsts), len(chunks))
+    raw, ids, reached = data.tobytes(), [], []
+    for low in range(0, len(firsts) - 1, FEW):
+        some = firsts[low : low + FEW + 1].tolist()
+        texts = [raw[offsets[x] : offsets[y]].decode() for x, y in zip(some, some[1:])]
+        for x, y, coded in zip(some, some[1:], encode(texts)):
+            coded = np.array(coded, np.int32)
+            at = offsets[x] + np.cumsum(size[coded])
+            hit = np.minimum(np.searchsorted(at, ends[x:y]), max(0, len(at) - 1))
+            if not len(at) or at[-1] != offsets[y] or (at[hit] != ends[x:y]).any():
+                single = [np.array(c, np.int32) for c in encode([raw[offsets[k] : offsets[k + 1]].decode() for k in range(x, y)])]
+                coded, at = np.concatenate(single), np.repeat(ends[x:y], [len(c) for c in single])
+            ids.append(coded)
+            reached.append(at)
+    counts = np.diff(np.searchsorted(np.concatenate(reached), ends, "right"), prepend=0)
+    return np.concatenate(ids), counts
+
+
+def give_back() -> None:
+    """Return freed memory to the machine; between blocks, since large arrays leave holes that a worker would keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
 class Bytes:
     """Byte-level pair encoding from a ``.json`` file of ``tokenizers``."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Smaller Arrow batches for the steps that are written inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete stored steps that nothing reads any more."""
     for df in tables:
