@@ -11,16 +11,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelode.llm.chunks import slices
+from codelode.llm.chunks import give_back, slices
 from codelode.llm.common import forget, running_sum, stored
 from codelode.llm.hashing import text_bytes, word_spans
 
 #: Bytes of text in a block of documents.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 #: A tile spans this many ranks each way; its cells are counted directly when at least one in SPARSE is hit.
 TILE, SPARSE = 1 << 10, 16
-#: Blocks whose cells of a tile are added up together: neighbouring tasks, and neighbouring blocks of a task.
-TASKS, TURNS = 4, 8
+#: What is added up together: the cells of a tile from so many neighbouring tasks, and so many neighbouring blocks of a task.
+TASKS, TURNS = 8, 4
 
 _SPLIT = np.zeros(256, bool)
 _SPLIT[[ord(c) for c in ".,;:!?"]] = True
@@ -64,12 +64,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
                  pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())), _row(counts, pa.int64()), _row(ids, pa.int32())],
                 names=["lang", "part", "turn", "words", "counts", "ids"],
             )
-            turn += 1
+            del ids, words, counts, texts
+        turn += 1
+        give_back()
 
 
 _BLOCK_KEY = ["lang", "part", "turn"]
 _SEQUENCES = "lang string, part long, turn long, words array<int>, grams array<int>"
-_CELLS = "lang string, part long, turn long, high int, low int, cells array<int>, times array<int>"
+_TILE = ["lang", "high", "low"]
+_CELLS = "lang string, part long, turn long, high int, low int, cells array<int>, times array<long>"
 
 
 def _one(table: pa.Table, name: str) -> np.ndarray:
@@ -90,72 +93,138 @@ def _ranked(block: pa.Table, ranks: pa.Table) -> pa.Table:
     return _sequences(block, words, words)
 
 
-def _extended(block: pa.Table, known: pa.Table) -> pa.Table:
-    """A block's phrases of one more word as ranks of the frequent ones."""
-    words, grams = _one(block, "words"), _one(block, "grams")
-    at, keys = _joins(words, grams, int(known["length"][0].as_py()) if known.num_rows else 0)
-    out = np.full(len(grams), -1, np.int32)
-    if known.num_rows and len(at):
-        wanted = known["high"].to_numpy().astype(np.int64) << 32 | known["low"].to_numpy()
-        order = np.argsort(wanted)
-        wanted, ids = wanted[order], known["id"].to_numpy()[order]
-        place = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-        out[at] = np.where(wanted[place] == keys, ids[place], -1)
-    return _sequences(block, words, out)
-
-
 def _joins(words: np.ndarray, grams: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where a frequent phrase of ``length`` words starts whose next one is frequent too; phrase and last word as one number."""
+    """Where a frequent phrase of ``length`` words starts whose next one is frequent too; and the number of its tile and cell."""
     at = np.flatnonzero((grams[:-1] >= 0) & (grams[1:] >= 0))
-    return at, grams[at].astype(np.int64) << 32 | words[at + length]
+    return at, _numbers(grams[at].astype(np.int64), words[at + length].astype(np.int64))
+
+
+def _numbers(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Phrase and last word as one number that sorts by tile first; ids have 31 bits."""
+    return (high // TILE) << 41 | (low // TILE) << 20 | (high % TILE) << 10 | low % TILE
 
 
 def _tiler(length: int):
     """Counts of one block's joins, as the hit cells of each tile."""
 
     def run(block: pa.Table) -> pa.Table:
-        lang, part, turn = (block[c][0].as_py() for c in _BLOCK_KEY)
         _, keys = _joins(_one(block, "words"), _one(block, "grams"), length)
-        high, low = keys >> 32, keys & 0xFFFFFFFF
-        # One number per cell that sorts by tile first.
-        tile = (high // TILE) << 32 | low // TILE
-        order = np.lexsort(((high % TILE) * TILE + low % TILE, tile))
-        tile, cell = tile[order], ((high % TILE) * TILE + low % TILE)[order]
-        new = np.flatnonzero(np.append(True, (np.diff(tile) != 0) | (np.diff(cell) != 0))) if len(keys) else np.zeros(0, np.int64)
-        times = np.diff(np.append(new, len(keys)))
-        tile, cell = tile[new], cell[new]
-        first = np.flatnonzero(np.append(True, np.diff(tile) != 0)) if len(tile) else np.zeros(0, np.int64)
-        bounds = pa.array(np.append(first, len(tile)).astype(np.int32))
-        n = len(first)
-        return pa.table(
-            [pa.array([lang] * n, pa.string()), pa.array(np.full(n, part), pa.int64()), pa.array(np.full(n, turn), pa.int64()),
-             pa.array((tile[first] >> 32).astype(np.int32)), pa.array((tile[first] & 0xFFFFFFFF).astype(np.int32)),
-             pa.ListArray.from_arrays(bounds, pa.array(cell.astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int32)))],
-            names=[c.split()[0] for c in _CELLS.split(", ")],
-        )
+        keys.sort()
+        new = np.flatnonzero(np.append(True, np.diff(keys) != 0)) if len(keys) else np.zeros(0, np.int64)
+        times, keys = np.diff(np.append(new, len(keys))), keys[new]
+        key = [block[c].combine_chunks() for c in _BLOCK_KEY]
+        return _by_tile(key, keys, times.astype(np.int64), pa.int64(), [c.split()[0] for c in _CELLS.split(", ")])
 
     return run
 
 
-def _added(tile: pa.Table) -> pa.Table:
-    """The cells of one tile added up over some blocks: directly by address, or sorted where few of them are hit."""
-    cells = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in tile["cells"].chunks])
-    times = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in tile["times"].chunks])
-    if len(cells) * SPARSE >= TILE * TILE:
-        # Sums stay below 2^53: a block has fewer than 2^31 words.
-        total = np.bincount(cells, weights=times, minlength=TILE * TILE)
-        hit = np.flatnonzero(total)
-        total = total[hit].astype(np.int64)
-    else:
-        order = np.argsort(cells, kind="stable")
-        cells, times = cells[order], times[order]
-        new = np.flatnonzero(np.append(True, np.diff(cells) != 0))
-        hit, total = cells[new], np.add.reduceat(times.astype(np.int64), new)
-    high, low = tile["high"][0].as_py() * TILE + hit // TILE, tile["low"][0].as_py() * TILE + hit % TILE
+def _whole(table: pa.Table, name: str) -> np.ndarray:
+    """The arrays of all rows, one after the other."""
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table[name].chunks])
+
+
+def _keys(table: pa.Table, name: str, of: str = "") -> np.ndarray:
+    """The numbers of all cells in the rows of ``table (high, low, <name>, ...)``; ``of`` stands before the names of the tile."""
+    size = np.concatenate([pa.compute.list_value_length(c).to_numpy(zero_copy_only=False) for c in table[name].chunks])
+    tile = table[f"{of}high"].to_numpy().astype(np.int64) << 41 | table[f"{of}low"].to_numpy().astype(np.int64) << 20
+    return np.repeat(tile, size) | _whole(table, name)
+
+
+def _by_tile(key: list[pa.Array], numbers: np.ndarray, values: np.ndarray, kind: pa.DataType, names: list[str]) -> pa.Table:
+    """A row per tile from sorted cells; ``key``: arrays of one value that all rows share."""
+    tile = numbers >> 20
+    first = np.flatnonzero(np.append(True, np.diff(tile) != 0)) if len(tile) else np.zeros(0, np.int64)
+    bounds = pa.array(np.append(first, len(tile)).astype(np.int32))
+    shared = [pa.array(a.to_pylist() * len(first), a.type) for a in key]
     return pa.table(
-        [pa.array([tile["lang"][0].as_py()] * len(hit), pa.string()), pa.array(high.astype(np.int32)), pa.array(low.astype(np.int32)), pa.array(total)],
-        names=["lang", "high", "low", "a"],
-    )
+        [*shared, pa.array((tile[first] >> 21).astype(np.int32)), pa.array((tile[first] & (1 << 21) - 1).astype(np.int32)),
+         pa.ListArray.from_arrays(bounds, pa.array((numbers & (1 << 20) - 1).astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(values, kind))],
+        names=names,
+    )
+
+
+def _added(tiles: pa.Table) -> pa.Table:
+    """The cells of some tiles added up over some blocks: by address in tiles where many are hit, the others sorted together."""
+    numbers, times = _keys(tiles, "cells"), _whole(tiles, "times")
+    found, hits = np.unique(numbers >> 20, return_counts=True)
+    dense = found[hits * SPARSE >= TILE * TILE] if times.sum() < 1 << 53 else found[:0]
+    out, totals = [], []
+    rest = np.ones(len(numbers), bool)
+    for tile in dense.tolist():
+        here = (numbers >> 20) == tile
+        total = np.bincount(numbers[here] & (1 << 20) - 1, weights=times[here], minlength=TILE * TILE)
+        hit = np.flatnonzero(total)
+        out.append(tile << 20 | hit)
+        totals.append(total[hit].astype(np.int64))
+        rest &= ~here
+    numbers, times = numbers[rest], times[rest]
+    order = np.argsort(numbers, kind="stable")
+    numbers, times = numbers[order], times[order]
+    new = np.flatnonzero(np.append(True, np.diff(numbers) != 0)) if len(numbers) else np.zeros(0, np.int64)
+    out.append(numbers[new])
+    totals.append(np.add.reduceat(times, new) if len(new) else times)
+    numbers, times = np.concatenate(out), np.concatenate(totals)
+    order = np.argsort(numbers)
+    key = [tiles[c].slice(0, 1).combine_chunks() for c in _BLOCK_KEY]
+    done = _by_tile(key, numbers[order], times[order], pa.int64(), [c.split()[0] for c in _CELLS.split(", ")])
+    del numbers, times, out, totals, order, rest
+    give_back()
+    return done
+
+
+def _region(level: int, of: str = "") -> list[Column]:
+    """Tiles that are taken together: by octaves of their place, which hold about as much each, in more parts the more blocks are added up."""
+    octave = lambda c: F.expr(f"cast(floor(log2({c} + 1)) as int)")
+    return [octave(f"{of}high").alias("of_high"), octave(f"{of}low").alias("of_low"), F.expr(f"{of}high % {4 ** level}").alias("slot")]
+
+
+def _summed(cells: DataFrame) -> DataFrame:
+    """One row per tile, its cells added up over all blocks, a bounded number of blocks at a time."""
+    part, turn = cells.agg(F.max("part"), F.max("turn")).first()
+    part, turn, level = part or 0, turn or 0, 0
+    while True:
+        part, turn = part // TASKS, turn // TURNS
+        near = cells.withColumns({"part": F.expr(f"part div {TASKS}"), "turn": F.expr(f"turn div {TURNS}")})
+        cells = near.groupBy("lang", *_region(level), "part", "turn").applyInArrow(_added, _CELLS)
+        if not part and not turn:
+            return cells
+        cells = stored(cells, "sums")
+        level += 1
+
+
+def _named(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The frequent ones among the cells of some tiles with their ids, for some blocks."""
+    names = ["lang", "part", "turn", "high", "low", "cells", "ids"]
+    if not left.num_rows or not right.num_rows:
+        return pa.table([left[c].slice(0, 0) for c in names[:6]] + [pa.array([], pa.list_(pa.int32()))], names=names)
+    wanted, ids = _keys(right, "cell", "in_"), _whole(right, "id")
+    order = np.argsort(wanted)
+    wanted, ids = wanted[order], ids[order]
+    numbers, cells = _keys(left, "cells"), _whole(left, "cells")
+    place = np.minimum(np.searchsorted(wanted, numbers), len(wanted) - 1)
+    known = wanted[place] == numbers
+    size = np.concatenate([pa.compute.list_value_length(c).to_numpy(zero_copy_only=False) for c in left["cells"].chunks])
+    bounds = pa.array(np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(size)])].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(v[known])) for v in (cells, ids[place])]
+    return pa.table([left[c] for c in names[:5]] + lists, names=names)
+
+
+def _extender(length: int):
+    def run(block: pa.Table, known: pa.Table) -> pa.Table:
+        """A block's phrases of one more word as ranks of the frequent ones."""
+        words, grams = _one(block, "words"), _one(block, "grams")
+        out = np.full(len(grams), -1, np.int32)
+        if known.num_rows:
+            at, keys = _joins(words, grams, length)
+            wanted, ids = _keys(known, "cells"), _whole(known, "ids")
+            if len(wanted) and len(at):
+                order = np.argsort(wanted)
+                wanted, ids = wanted[order], ids[order]
+                place = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+                out[at] = np.where(wanted[place] == keys, ids[place], -1)
+        return _sequences(block, words, out)
+
+    return run
 
 
 def _rank(counts: DataFrame, order: list[str]) -> DataFrame:
@@ -168,21 +237,26 @@ def _rank(counts: DataFrame, order: list[str]) -> DataFrame:
 def _next(blocks: DataFrame, length: int, least: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """Frequent phrases of ``length + 1`` words as ``lang, high, low, a, id`` (phrase before, last word), and the blocks in their ids."""
     cells = stored(blocks.groupBy(*_BLOCK_KEY).applyInArrow(_tiler(length), _CELLS), "cells")
-    near = [F.expr(f"part div {TASKS}").alias("tasks"), F.expr(f"turn div {TURNS}").alias("turns")]
-    some = cells.groupBy("lang", "high", "low", *near).applyInArrow(_added, "lang string, high int, low int, a long")
-    often = some.groupBy("lang", "high", "low").agg(F.sum("a").cast("long").alias("a")).where(F.col("a") >= least)
-    grams = stored(_rank(often, ["high", "low"]), "grams")
+    often = F.filter(F.arrays_zip(F.col("cells").alias("cell"), F.col("times").alias("a")), lambda c: c["a"] >= least)
+    grams = _summed(cells).select(*_TILE, F.explode(often).alias("c")).select(
+        "lang", F.expr(f"high * {TILE} + c.cell div {TILE}").cast("int").alias("high"), F.expr(f"low * {TILE} + c.cell % {TILE}").cast("int").alias("low"), F.col("c.a").alias("a")
+    )
+    grams = stored(_rank(grams, ["high", "low"]), "grams")
     if last:
         forget(cells)
         return grams, None
-    each = cells.select(*_BLOCK_KEY, "high", "low", F.explode("cells").alias("cell")).select(
-        "lang", F.col("part").alias("of_part"), F.col("turn").alias("of_turn"),
-        F.expr(f"high * {TILE} + cell div {TILE}").cast("int").alias("high"), F.expr(f"low * {TILE} + cell % {TILE}").cast("int").alias("low"),
-    )
-    known = each.join(grams.select("lang", "high", "low", "id"), ["lang", "high", "low"]).select(
-        F.col("lang").alias("of_lang"), "of_part", "of_turn", "high", "low", "id", F.lit(length).alias("length")
+    # Ids go back the way the counts came: tile by tile, once for each few blocks, then to the blocks.
+    tiles = grams.groupBy("lang", F.expr(f"high div {TILE}").alias("high"), F.expr(f"low div {TILE}").alias("low")).agg(
+        F.collect_list(F.expr(f"cast((high % {TILE}) * {TILE} + low % {TILE} as int)")).alias("cell"), F.collect_list("id").alias("id")
     )
-    longer = blocks.groupBy(*_BLOCK_KEY).cogroup(known.groupBy("of_lang", "of_part", "of_turn")).applyInArrow(_extended, _SEQUENCES)
+    near = {"tasks": F.expr(f"part div {TASKS}"), "turns": F.expr(f"turn div {TURNS}")}
+    few = cells.withColumns(near)
+    held = few.select(*_TILE, *near).distinct()
+    wanted = held.join(tiles, _TILE).withColumnsRenamed({c: f"in_{c}" for c in (*_TILE, *near)})
+    schema = "lang string, part long, turn long, high int, low int, cells array<int>, ids array<int>"
+    known = few.groupBy("lang", *_region(0), *near).cogroup(wanted.groupBy("in_lang", *_region(0, "in_"), *[f"in_{c}" for c in near])).applyInArrow(_named, schema)
+    known = known.where(F.size("cells") > 0).withColumnsRenamed({c: f"of_{c}" for c in _BLOCK_KEY})
+    longer = blocks.groupBy(*_BLOCK_KEY).cogroup(known.groupBy(*[f"of_{c}" for c in _BLOCK_KEY])).applyInArrow(_extender(length), _SEQUENCES)
     longer = stored(longer, "longer")
     forget(cells)
     return grams, longer
@@ -231,9 +305,9 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int =
     first among equals.  Candidates inside a longer one that has ``percent`` of their occurrences go.
 
     Words get ranks by frequency.  In blocks of ``block_bytes`` of text, pairs of ranks are counted per tile of the pair plane; a tile's
-    cells are added up over some blocks at a time by ``bincount``, or sorted where few cells are hit, and Spark adds up what
-    those give.  Frequent pairs get ranks of their own and are paired with the next word, and so on.  A word or pair that is in every document
-    costs a row per block and tile.  Every row's text counts, also of rows that repeat a doc_id; very long texts are a block
+    cells are added up over some blocks at a time by ``bincount``, or sorted where few cells are hit, and the sums likewise, until one
+    is left.  Frequent pairs get ranks of their own and are paired with the next word, and so on.  A word or pair that is in every
+    document costs a cell per block.  Every row's text counts, also of rows that repeat a doc_id; very long texts are a block
     of their own.  Other columns are ignored, whatever their names.  An empty table gives an empty result.
     """
     words, phrases, totals = frequent_phrases(docs, least, longest, block_bytes)

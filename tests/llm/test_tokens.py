@@ -117,18 +117,31 @@ def test_collocations(spark, rows, least, top, block, parts):
     assert got == sorted(brute.collocations(plain, least, 4, top), key=repr)
 
 
-def test_collocations_in_dense_and_sparse_tiles(spark, rows, monkeypatch):
+def test_collocations_in_dense_and_sparse_tiles(monkeypatch):
     import pyarrow as pa
 
     cells = [[0, 5, 5 * 1024 + 3], [5, 1024 * 1024 - 1]]
-    tile = pa.table({"lang": ["en", "en"], "high": pa.array([1, 1], pa.int32()), "low": pa.array([2, 2], pa.int32()),
-                     "cells": pa.array(cells, pa.list_(pa.int32())), "times": pa.array([[1, 2, 3], [4, 5]], pa.list_(pa.int32()))})
+    tile = pa.table({"lang": ["en", "en"], "part": [0, 1], "turn": [3, 3], "high": pa.array([1, 1], pa.int32()), "low": pa.array([2, 2], pa.int32()),
+                     "cells": pa.array(cells, pa.list_(pa.int32())), "times": pa.array([[1, 2, 3], [4, 5]], pa.list_(pa.int64()))})
     sparse = collocation._added(tile).to_pydict()
     monkeypatch.setattr(collocation, "SPARSE", 1 << 20)
     assert collocation._added(tile).to_pydict() == sparse
-    assert sparse["a"] == [1, 6, 3, 5] and sparse["high"] == [1024, 1024, 1029, 2047] and sparse["low"] == [2048, 2053, 2051, 3071]
+    assert (sparse["high"], sparse["low"]) == ([1], [2]) and sparse["cells"] == [[0, 5, 5123, 1048575]] and sparse["times"] == [[1, 6, 3, 5]] and sparse["part"] == [0]
 
 
 def test_collocations_of_nothing(spark):
     df = spark.createDataFrame([], "text string, lang string, lang2 string")
     assert collocation.collocations(df).count() == 0
+
+
+def test_hashes_of_very_long_words_have_no_period():
+    import pyarrow as pa
+
+    from codelode.llm.hashing import text_bytes, word_hashes
+
+    a, b = "a" * 4096, "b" * 4096
+    words = [a + b, b + a, a + a, b + b, a + b + a, b + a + a, a + a + b, "ab" * 4096]
+    hashes, _ = word_hashes(*text_bytes(pa.array(words)))
+    assert len(set(hashes.tolist())) == len(words)
+    again, bounds = word_hashes(*text_bytes(pa.array(["x " + w + " y" for w in words])))
+    assert again[bounds[:-1] + 1].tolist() == hashes.tolist()
