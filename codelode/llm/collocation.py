@@ -178,8 +178,9 @@ def _region(level: int, of: str = "") -> list[Column]:
     return [octave(f"{of}high").alias("of_high"), octave(f"{of}low").alias("of_low"), F.expr(f"{of}high % {4 ** level}").alias("slot")]
 
 
-def _summed(cells: DataFrame) -> DataFrame:
-    """One row per tile, its cells added up over all blocks, a bounded number of blocks at a time."""
+def _summed(cells: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """One row per tile, its cells added up over all blocks, a bounded number of blocks at a time; and the steps stored for it."""
+    steps: list[DataFrame] = []
     part, turn = cells.agg(F.max("part"), F.max("turn")).first()
     part, turn, level = part or 0, turn or 0, 0
     while True:
@@ -187,26 +188,32 @@ def _summed(cells: DataFrame) -> DataFrame:
         near = cells.withColumns({"part": F.expr(f"part div {TASKS}"), "turn": F.expr(f"turn div {TURNS}")})
         cells = near.groupBy("lang", *_region(level), "part", "turn").applyInArrow(_added, _CELLS)
         if not part and not turn:
-            return cells
+            return cells, steps
         cells = stored(cells, "sums")
+        forget(*steps)
+        steps = [cells]
         level += 1
 
 
 def _named(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The frequent ones among the cells of some tiles with their ids, for some blocks."""
-    names = ["lang", "part", "turn", "high", "low", "cells", "ids"]
+    """The frequent ones among the cells of some tiles with their ids, one row per block."""
+    names = ["lang", "part", "turn", "numbers", "ids"]
     if not left.num_rows or not right.num_rows:
-        return pa.table([left[c].slice(0, 0) for c in names[:6]] + [pa.array([], pa.list_(pa.int32()))], names=names)
+        return pa.table([left[c].slice(0, 0) for c in names[:3]] + [pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int32()))], names=names)
     wanted, ids = _keys(right, "cell", "in_"), _whole(right, "id")
     order = np.argsort(wanted)
     wanted, ids = wanted[order], ids[order]
-    numbers, cells = _keys(left, "cells"), _whole(left, "cells")
+    numbers = _keys(left, "cells")
     place = np.minimum(np.searchsorted(wanted, numbers), len(wanted) - 1)
     known = wanted[place] == numbers
     size = np.concatenate([pa.compute.list_value_length(c).to_numpy(zero_copy_only=False) for c in left["cells"].chunks])
-    bounds = pa.array(np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(size)])].astype(np.int32))
-    lists = [pa.ListArray.from_arrays(bounds, pa.array(v[known])) for v in (cells, ids[place])]
-    return pa.table([left[c] for c in names[:5]] + lists, names=names)
+    blocks, of = np.unique(np.stack([left["part"].to_numpy(), left["turn"].to_numpy()]), axis=1, return_inverse=True)
+    of = np.repeat(of.ravel(), size)[known]
+    order = np.argsort(of, kind="stable")
+    bounds = pa.array(np.searchsorted(of[order], np.arange(blocks.shape[1] + 1)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(v[known][order])) for v in (numbers, ids[place])]
+    langs = pa.array([left["lang"][0].as_py()] * blocks.shape[1], pa.string())
+    return pa.table([langs, pa.array(blocks[0]), pa.array(blocks[1]), *lists], names=names)
 
 
 def _extender(length: int):
@@ -216,7 +223,7 @@ def _extender(length: int):
         out = np.full(len(grams), -1, np.int32)
         if known.num_rows:
             at, keys = _joins(words, grams, length)
-            wanted, ids = _keys(known, "cells"), _whole(known, "ids")
+            wanted, ids = _whole(known, "numbers"), _whole(known, "ids")
             if len(wanted) and len(at):
                 order = np.argsort(wanted)
                 wanted, ids = wanted[order], ids[order]
@@ -238,10 +245,12 @@ def _next(blocks: DataFrame, length: int, least: int, last: bool) -> tuple[DataF
     """Frequent phrases of ``length + 1`` words as ``lang, high, low, a, id`` (phrase before, last word), and the blocks in their ids."""
     cells = stored(blocks.groupBy(*_BLOCK_KEY).applyInArrow(_tiler(length), _CELLS), "cells")
     often = F.filter(F.arrays_zip(F.col("cells").alias("cell"), F.col("times").alias("a")), lambda c: c["a"] >= least)
-    grams = _summed(cells).select(*_TILE, F.explode(often).alias("c")).select(
+    sums, steps = _summed(cells)
+    grams = sums.select(*_TILE, F.explode(often).alias("c")).select(
         "lang", F.expr(f"high * {TILE} + c.cell div {TILE}").cast("int").alias("high"), F.expr(f"low * {TILE} + c.cell % {TILE}").cast("int").alias("low"), F.col("c.a").alias("a")
     )
     grams = stored(_rank(grams, ["high", "low"]), "grams")
+    forget(*steps)
     if last:
         forget(cells)
         return grams, None
@@ -253,9 +262,9 @@ def _next(blocks: DataFrame, length: int, least: int, last: bool) -> tuple[DataF
     few = cells.withColumns(near)
     held = few.select(*_TILE, *near).distinct()
     wanted = held.join(tiles, _TILE).withColumnsRenamed({c: f"in_{c}" for c in (*_TILE, *near)})
-    schema = "lang string, part long, turn long, high int, low int, cells array<int>, ids array<int>"
+    schema = "lang string, part long, turn long, numbers array<long>, ids array<int>"
     known = few.groupBy("lang", *_region(0), *near).cogroup(wanted.groupBy("in_lang", *_region(0, "in_"), *[f"in_{c}" for c in near])).applyInArrow(_named, schema)
-    known = known.where(F.size("cells") > 0).withColumnsRenamed({c: f"of_{c}" for c in _BLOCK_KEY})
+    known = known.where(F.size("ids") > 0).withColumnsRenamed({c: f"of_{c}" for c in _BLOCK_KEY})
     longer = blocks.groupBy(*_BLOCK_KEY).cogroup(known.groupBy(*[f"of_{c}" for c in _BLOCK_KEY])).applyInArrow(_extender(length), _SEQUENCES)
     longer = stored(longer, "longer")
     forget(cells)
