@@ -83,15 +83,15 @@ def test_strong_components(spark, rows, seed, nodes, edges):
 def test_caller_dag_without_limits(spark, tmp_path):
     rnd = random.Random(7)
     hub = [(f"h{i}", "t") for i in range(70)]
-    chain = [(f"d{i + 1}", f"d{i}") for i in range(12)] + [("d0", "h3"), ("d4", "d9"), ("t", "h5"), ("h9", "h9")]
-    loose = [(f"h{rnd.randrange(70)}", f"h{rnd.randrange(70)}") for _ in range(40)] + [("z1", "z2")]
+    chain = [(f"d{i + 1}", f"d{i}") for i in range(7)] + [("d0", "h3"), ("d3", "d5"), ("t", "h5"), ("h9", "h9")]
+    loose = [(f"h{rnd.randrange(70)}", f"h{rnd.randrange(70)}") for _ in range(8)] + [("z1", "z2")]
     edges = sorted(set(hub + chain + loose))
     root = spark.createDataFrame([("a", "t", "m", "()V")], ROOT)
     dag = G.caller_dag(table(spark, tmp_path, edges, bucket_edges=40), root)
     name = lambda key: key.split("#")[0]
     got = {(name(r.caller), name(r.callee)): (r.level, r.cyclic) for r in dag.collect()}
     assert got == plain_dag(edges, "t")
-    assert dag.where("truncated").count() == 0 and dag.where("level > 5").count() > 5
+    assert dag.where("truncated").count() == 0 and dag.where("level > 5").count() > 2
 
 
 def test_caller_dag_says_where_it_was_cut(spark):
