@@ -2,89 +2,109 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.common import forget, stored
 
-#: Vectors per tile and queries per block; a block meets a tile in slices of SLICE queries.
-TILE, BLOCK, SLICE = 4096, 8192, 256
+#: Vectors in a strip at least and at most, strips before they grow, queries in a block at most, and scores in memory at once.
+STRIP, LONGEST, STRIPS, BLOCK, SCORES = 2048, 1 << 18, 48, 1 << 16, 1 << 22
 #: Scaled components beyond this could carry a score out of a long.
 LARGEST = 1 << 26
 
 
-def _packer(lists: int, width: int, extra: int):
-    """Pack rows ``(id, values, block[, floor..., cutoff])`` into one row per block slice and list of dimensions."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.array([len(x) for x in batch.column(1)], np.int64)
-            matrix = np.zeros((len(sizes), lists * width), np.int64)
-            matrix[np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = (
-                batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            )
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            blocks = batch.column(2).to_numpy(zero_copy_only=False)
-            more = [batch.column(3 + i).to_numpy(zero_copy_only=False) for i in range(extra)]
-            rows = []
-            for block in np.unique(blocks):
-                at = np.flatnonzero(blocks == block)
-                for i in range(0, len(at), TILE):
-                    part = at[i : i + TILE]
-                    for j in range(lists):
-                        values = np.ascontiguousarray(matrix[part, j * width : (j + 1) * width])
-                        cut = [m[part].astype(np.int64).tobytes() for m in more]
-                        rows.append((int(block), j, ids[part].tobytes(), values.tobytes(), *cut))
-            names = ["block", "list", "ids", "vectors", *[f"x{i}" for i in range(extra)]]
-            kinds = [pa.int64(), pa.int32()] + [pa.binary()] * (2 + extra)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names
-            )
-
-    schema = "block long, list int, ids binary, vectors binary"
-    return run, schema + "".join(f", x{i} binary" for i in range(extra))
-
-
-def _product(queries: np.ndarray, tile: np.ndarray) -> np.ndarray:
-    bound = int(np.abs(queries).max(initial=0)) * int(np.abs(tile).max(initial=0)) * tile.shape[1]
-    if bound < 1 << 53:
-        return (queries.astype(np.float64) @ tile.T.astype(np.float64)).astype(np.int64)
-    return queries @ tile.T
-
-
-def _partials(width: int, k: int, cut: bool):
-    """Partial scores of each query block on each tile of the same list: the k best, or all at or over the cutoff."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, qids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["qids"], np.int64)
-                tile = np.frombuffer(row["vectors"], np.int64).reshape(-1, width)
-                block = np.frombuffer(row["queries"], np.int64).reshape(-1, width)
-                for i in range(0, len(qids), SLICE):
-                    score = _product(block[i : i + SLICE], tile)
-                    own = qids[i : i + SLICE, None] == ids[None, :]
-                    low = np.where(own, np.iinfo(np.int64).max, score).min(axis=1)
-                    if cut:
-                        least = np.frombuffer(row[f"x{row['list']}"], np.int64)[i : i + SLICE]
-                        q, v = np.nonzero((score >= least[:, None]) & ~own)
-                    else:
-                        n = min(k + 1, len(ids))
-                        best = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                        q, v = np.repeat(np.arange(len(score)), n), best.ravel()
-                        keep = ~own[q, v]
-                        q, v = q[keep], v[keep]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(qids[i + q]), pa.array(np.full(len(q), row["list"], np.int32)), pa.array(ids[v]),
-                         pa.array(score[q, v]), pa.array(low[q])],
-                        names=["query_id", "list", "vec_id", "part", "low"],
-                    )
-
-    return run, "query_id long, list int, vec_id long, part long, low long"
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Vectors as rows; missing trailing components are 0."""
+    column = column.combine_chunks()
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(sizes), width), np.int64)
+    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(np.arange(len(sizes)), sizes), at] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def _exact_type(queries: np.ndarray, vectors: np.ndarray) -> type:
+    """The quickest number type in which no sum of products is rounded: none exceeds the product of the lengths."""
+    longest = [np.sqrt((m.astype(np.float64) ** 2).sum(axis=1)).max(initial=0) for m in (queries, vectors)]
+    bound = longest[0] * longest[1] * 1.001
+    return np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
+
+
+def _best_of(parts: list[np.ndarray], own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and scores that can be among the ``k`` best of their row, by the partial scores of the lists.
+
+    ``own`` is the column of the row's own vector, or -1.
+    """
+    count, n = len(parts), parts[0].shape[1]
+    rows = np.arange(len(own))
+    mine = np.flatnonzero(own >= 0)
+    none = np.iinfo(np.int64).min
+    lows = []
+    for p in parts:
+        least, most = (np.iinfo(p.dtype).min, np.iinfo(p.dtype).max) if p.dtype == np.int64 else (-np.inf, np.inf)
+        p[mine, own[mine]] = most
+        lows.append(p.min(axis=1))
+        p[mine, own[mine]] = least
+    fine = (own < 0) | (n > 1)
+    low = np.array([np.where(fine, x, 0) for x in lows]).astype(np.int64)
+    # (1) Each list names its best; the k-th of their scores is reached by k vectors.
+    top = min(k + 1, n)
+    named = np.sort(np.hstack([np.argpartition(p, n - top, axis=1)[:, n - top :] for p in parts]), axis=1)
+    stale = (named == own[:, None]) | np.hstack([np.zeros((len(own), 1), bool), named[:, 1:] == named[:, :-1]])
+    score = sum(np.where(stale, 0, p[rows[:, None], named]).astype(np.int64) for p in parts)
+    score = np.sort(np.where(stale, none, score), axis=1)
+    least = score[:, -k] if score.shape[1] >= k else np.full(len(own), none)
+    above = np.where(least == none, 0, least - low.sum(axis=0))
+    # (2) Whoever reaches it has an even share of it in some list.
+    share = -(-above // count)
+    cut = low + share
+    found = parts[0] >= cut[0].astype(parts[0].dtype)[:, None]
+    for p, c in zip(parts[1:], cut[1:]):
+        found |= p >= c.astype(p.dtype)[:, None]
+    found[mine, own[mine]] = False
+    q, v = np.nonzero(found)
+    each = [p[q, v].astype(np.int64) for p in parts]
+    # (3) What is known and the most that is not must still reach it; those that do are scored in full.
+    seen = [e >= c[q] for e, c in zip(each, cut)]
+    bound = sum(np.where(s, e - x[q], np.maximum(share[q] - 1, 0)) for s, e, x in zip(seen, each, low))
+    left = bound >= above[q]
+    total = sum(e[left] for e in each)
+    q, v = q[left], v[left]
+    whole = total >= least[q]
+    return q[whole], v[whole], total[whole]
+
+
+def _meet(k: int, lists: int):
+    """The ``k`` best vectors of a strip for each query of a block."""
+
+    def run(strip: pa.Table, block: pa.Table) -> pa.Table:
+        names = ["query_id", "vec_id", "score"]
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in names]
+        if strip.num_rows and block.num_rows:
+            sizes = [t["v"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).max(initial=1) for t in (strip, block)]
+            width = -(-int(max(sizes)) // lists)
+            ids, qids = strip["vec_id"].to_numpy(), block["vec_id"].to_numpy()
+            vectors, queries = _matrix(strip["v"], lists * width), _matrix(block["v"], lists * width)
+            kind = _exact_type(queries, vectors)
+            vectors, queries = vectors.astype(kind), queries.astype(kind)
+            order = np.argsort(ids)
+            at = order[np.minimum(np.searchsorted(ids, qids, sorter=order), len(ids) - 1)]
+            own = np.where(ids[at] == qids, at, -1)
+            step = max(1, SCORES // len(ids))
+            for i in range(0, len(qids), step):
+                some = slice(i, i + step)
+                parts = [queries[some, j * width : (j + 1) * width] @ vectors[:, j * width : (j + 1) * width].T for j in range(lists)]
+                q, v, score = _best_of(parts, own[some], k)
+                by = np.lexsort((ids[v], -score, q))
+                q, v, score = q[by], v[by], score[by]
+                keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+                for column, found in zip(out, (qids[some][q[keep]], ids[v[keep]], score[keep])):
+                    column.append(found)
+        return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in out], names=names)
+
+    return run
 
 
 def scaled(vectors: DataFrame, scale: int) -> DataFrame:
@@ -97,81 +117,41 @@ def scaled(vectors: DataFrame, scale: int) -> DataFrame:
     )
 
 
+def _every(name: str, count: int) -> Column:
+    """``name``: a row for each number below ``count``."""
+    return F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
+
+
 def top_k(vectors: DataFrame, query_ids: DataFrame, k: int = 10, scale: int = 1024, lists: int = 2) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best of ``vectors (vec_id, embedding, ...)`` for each of
     ``query_ids (vec_id)``, by integer inner product, ties to the smaller vec_id; all, if there are fewer.
 
-    The dimensions are dealt into ``lists``; a list knows only its part of a score.  (1) Each list names its k best per
-    query; their partial sums give a score that k vectors reach at least.  (2) A vector that beats it must
-    have an even share of it in some list, so each list sends what reaches the share, the safe cutoff travelling
-    with its query block.  (3) Vectors whose upper bound still reaches the k-th lower bound are scored
-    exactly.  Parts are counted from the list's lowest, so that a missing part is never negative.
+    Vectors lie in strips and queries in blocks, and each strip meets each block once; memory is bounded by their sizes.  In a strip the
+    dimensions are dealt into ``lists``; a list knows only its part of a score.  (1) Each list names its k best per query; the
+    k-th of their scores is one that k vectors reach.  (2) A vector that reaches it must have an even share of it in some list, so
+    only those are taken up.  (3) Vectors whose upper bound still reaches the k-th lower bound are scored exactly.  Parts are
+    counted from the list's lowest, so that a missing part is never negative.  At most k vectors per query leave a strip.
 
-    The stated queries meet all rows in blocks: each tile of vectors is sent once per block of queries, and only bounded
-    matrices are in memory.  Of equal vectors only the k + 1 smallest ids can be in a result, so others are set
-    aside first and a vector that a third of all rows hold costs k + 1 candidates.
+    Scores are all computed, in the strips: time grows with queries times vectors.  Rows sent and stored do not: up to ``STRIPS`` *
+    ``LONGEST`` vectors there are at most ``STRIPS`` strips, beyond that one per ``LONGEST``.
 
     A vector that is null, holds null or a non-finite component, has a null vec_id, or a scaled component of 2**26 or more takes
     no part; missing trailing components count as 0.  Rows that repeat a vec_id are one vector, the smallest.  A query never finds its own vec_id.  An empty table gives an empty result.
     """
-    every = stored(scaled(vectors, scale).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    width = every.agg(F.max(F.size("v"))).first()[0]
-    width = max(1, -(-(width or 1) // lists))
-    same = Window.partitionBy(F.xxhash64("v"), F.md5(F.array_join("v", ",").cast("binary"))).orderBy("vec_id")
-    kept = every.withColumn("_copy", F.row_number().over(same)).where(F.col("_copy") <= k + 1).drop("_copy")
+    whole = scaled(vectors, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
+    every = stored(whole.select("vec_id", F.col("v").cast("array<int>").alias("v")), "vectors")
     wanted = query_ids.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
     queries = stored(every.join(wanted, "vec_id", "left_semi"), "queries")
-    count = queries.count()
-    blocks = max(1, -(-count // BLOCK))
-    home = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-
-    pack, schema = _packer(lists, width, 0)
-    tiles = stored(kept.select("vec_id", "v", F.lit(0).cast("long")).mapInArrow(pack, schema), "tiles").drop("block")
-    dealt = tiles.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def met(extra: DataFrame, columns: list[str], cut: bool) -> DataFrame:
-        pack, schema = _packer(lists, width, len(columns))
-        packed = extra.select("vec_id", "v", home, *columns).mapInArrow(pack, schema)
-        packed = packed.withColumnRenamed("ids", "qids").withColumnRenamed("vectors", "queries")
-        run, out = _partials(width, k, cut)
-        return dealt.join(packed, ["block", "list"]).repartition(max(8, 4 * blocks), F.xxhash64("ids", "qids", "list")).mapInArrow(run, out)
-
-    first = stored(met(queries, [], False), "first")
-    best = Window.partitionBy("query_id", "list").orderBy(F.desc("part"), "vec_id")
-    lows = first.groupBy("query_id", "list").agg(F.min("low").alias("low"))
-    tops = first.drop("low").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).join(lows, ["query_id", "list"])
-    sums = tops.groupBy("query_id", "vec_id").agg(F.sum(F.col("part") - F.col("low")).alias("known"))
-
-    def kth(rows: DataFrame) -> DataFrame:
-        down = Window.partitionBy("query_id").orderBy(F.desc("known"), "vec_id")
-        return rows.withColumn("_r", F.row_number().over(down)).where(F.col("_r") <= k).groupBy("query_id").agg(
-            F.when(F.count("*") == k, F.min("known")).otherwise(0).alias("least")
-        )
-
-    share = F.ceil(F.col("least") / F.lit(lists))
-    safe = (
-        kth(sums).join(lows, "query_id").groupBy("query_id", "least")
-        .agg(F.sort_array(F.collect_list(F.struct("list", "low"))).alias("lows"))
-        .select("query_id", share.cast("long").alias("share"), *[F.col("lows")[j]["low"].alias(f"low{j}") for j in range(lists)])
-    )
-    safe = stored(safe, "cutoffs")
-    columns = [(F.col("share") + F.col(f"low{j}")).alias(f"c{j}") for j in range(lists)]
-    with_cut = queries.join(safe.withColumnRenamed("query_id", "vec_id"), "vec_id").select("vec_id", "v", *columns)
-    sent = stored(met(with_cut, [f"c{j}" for j in range(lists)], True).drop("low"), "second")
-    lowest = F.element_at(F.array(*[f"low{j}" for j in range(lists)]), F.col("list") + 1)
-    known = sent.join(safe, "query_id").groupBy("query_id", "vec_id", "share").agg(
-        F.sum(F.col("part") - lowest).alias("known"), F.count("*").alias("seen")
-    )
-    known = known.withColumn("most", F.col("known") + (F.lit(lists) - F.col("seen")) * F.greatest(F.lit(0), F.col("share") - 1))
-    left = known.join(kth(known), "query_id").where("most >= least").select("query_id", "vec_id")
-    exact = left.join(every, "vec_id").join(
-        queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id"
-    )
-    score = F.aggregate(
-        F.zip_with("v", "q", lambda a, b: F.coalesce(a, F.lit(0)) * F.coalesce(b, F.lit(0))), F.lit(0).cast("long"), lambda s, p: s + p
-    )
+    n = every.count()
+    strips = max(1, min(STRIPS, -(-n // STRIP)), -(-n // LONGEST))
+    blocks = max(1, -(-queries.count() // BLOCK))
+    home = lambda salt, count: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(count)).cast("int")
+    keys = ["strip", "block"]
+    dealt = lambda df, strip, block: df.select("vec_id", "v", strip.alias("strip"), block.alias("block")).repartition(2 * strips * blocks, *keys)
+    left = dealt(every, home(1, strips), _every("block", blocks))
+    right = dealt(queries, _every("strip", strips), home(2, blocks))
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_meet(k, lists), "query_id long, vec_id long, score long")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    scored = exact.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(rank))
-    out = stored(scored.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "top")
-    forget(every, queries, tiles, first, safe, sent)
+    out = stored(met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "top")
+    forget(every, queries)
     return out

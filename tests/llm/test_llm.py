@@ -66,6 +66,29 @@ def test_top_k_ties_and_bad_vectors(spark):
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert plain(topk.top_k(df, df.where("vec_id % 100 = 0"), 10)) == sorted(want, key=repr)
 
+def test_top_k_keeps_only_the_best_of_a_strip(spark, monkeypatch):
+    monkeypatch.setattr(topk, "STRIP", 16)
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    for size, spread in ((7, 1.0), (5, 6e4)):
+        rows = [(i, [float(x) for x in spread * rng.normal(size=size)]) for i in range(300)] + [(i, [0.5] * size) for i in range(300, 400)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        fine = {i: np.floor(1024 * np.array(v)).astype(np.int64) for i, v in rows if max(map(abs, v)) * 1024 < topk.LARGEST}
+        want = []
+        for q in (i for i in fine if i % 20 == 0):
+            best = sorted(((-int(fine[q] @ v), i) for i, v in fine.items() if i != q))[:10]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+        assert plain(topk.top_k(df, df.where("vec_id % 20 = 0"), 10)) == sorted(want, key=repr)
+
+
+def test_top_k_lists_take_up_few_vectors():
+    rng = np.random.default_rng(4)
+    parts = [np.round(rng.normal(size=(8, 5000)) * 1000).astype(np.float32) for _ in range(2)]
+    q, v, score = topk._best_of([p.copy() for p in parts], np.full(8, -1), 10)
+    assert len(q) < 8 * 5000 // 20
+    whole = (parts[0] + parts[1]).astype(np.int64)
+    for i in range(8):
+        assert sorted(score[q == i])[-10:] == sorted(whole[i])[-10:]
 
 def test_overlaps_find_substitutions(spark, benchmark):
     passage = [w.upper() for w in BASE[2:18]]
