@@ -256,7 +256,10 @@ def _format_lines(spark, sf):
         F.lit(fmt).alias("mapping_id"), F.lit(fmt).alias("format"), (k * 3 + i).cast("long").alias("line_no"), text.alias("line")
     )
     rows = F.array(*[line(fmt, i, t) for fmt, ts in texts.items() for i, t in enumerate(ts)])
-    body = T.read(spark, sf, "part").select(F.explode(rows).alias("r")).select("r.*")
+    # Keys are few bytes, the lines of a key many: keys are spread before their lines are made.
+    tasks = max(spark.sparkContext.defaultParallelism, T.part_count(spark, sf) // 20_000)
+    keys = T.read(spark, sf, "part").select("p_partkey").repartition(tasks, "p_partkey")
+    body = keys.select(F.explode(rows).alias("r")).select("r.*")
     heads = F.array(*[line(fmt, -1, F.lit(text)) for fmt, text in MF.HEADERS.items()])
     head = T.read(spark, sf, "part").filter(k == 0).select(F.explode(heads).alias("r")).select("r.*")
     return body.unionByName(head)

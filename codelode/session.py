@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +63,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
+
+def written(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """``df`` as files in the shared folder, in a folder per value of ``by``.
+
+    Unlike a checkpoint, files are read in as many tasks as their size asks for, those of a value alone, and a small table
+    is known to be small when a join is planned.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

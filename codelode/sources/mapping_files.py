@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions import scalars as S
 from codelode.operators.ordered import carry_forward
-from codelode.session import cut_lineage
+from codelode.session import cut_lineage, written
 
 FORMATS = [
     "PROGUARD", "TINY_V1", "TINY_V2", "SRG", "XSRG", "TSRG", "TSRG_V2", "CSRG", "JOBF", "ENIGMA", "RECAF",
@@ -63,18 +63,16 @@ def detect_formats(lines: DataFrame) -> DataFrame:
     """
     t = F.col("t")
     wide_field = t.startswith("FD:") & (F.size(F.split(t, r"\s+")) >= 5)
-    told = (
-        lines.withColumn("t", _trim(F.col("line")))
-        .groupBy("mapping_id")
-        .agg(
-            F.min(
-                F.when(
-                    (t != "") & ~t.startswith("#") & ~t.startswith("//"), F.struct("line_no", "t")
-                )
-            )["t"].alias("t"),
-            F.bool_or(wide_field).alias("wide"),
-        )
-    )
+    meant = (t != "") & ~t.startswith("#") & ~t.startswith("//")
+    # Numbers and flags are gathered in place; lines would have to be sorted for it, so the first one is looked up.
+    firsts = written(
+        lines.withColumn("t", _trim(F.col("line"))).groupBy("mapping_id")
+        .agg(F.min(F.when(meant, F.col("line_no"))).alias("line_no"), F.bool_or(wide_field).alias("wide")),
+        "firsts",
+    )
+    found = lines.select("mapping_id", "line_no", "line").join(firsts.select("mapping_id", "line_no"), ["mapping_id", "line_no"])
+    found = found.withColumn("t", _trim(F.col("line"))).filter(meant).groupBy("mapping_id").agg(F.min("t").alias("t"))
+    told = firsts.join(found, "mapping_id", "left").select("mapping_id", "t", "wide")
     starts = lambda *heads: S._any([t.startswith(h) for h in heads])
     parts = F.split(t, r"\s+")
     fmt = (
@@ -120,13 +118,16 @@ def _last(path: Column) -> Column:
 def parse_mapping_lines(lines: DataFrame, formats: list[str] | None = None) -> DataFrame:
     """Parse ``(mapping_id, format, line_no, line)`` rows; a key given twice keeps its last target.
 
-    Each of ``formats`` (those that can occur) is a branch of its own with a few expressions per line.
+    Lines are spread and written down once, by format.  Each of ``formats`` (those that can occur) is a branch of its own with a few
+    expressions per line, and reads its own lines only.
     """
     line = F.col("line")
     usable = (F.regexp_replace(line, r"\s", "") != "") & ~line.startswith("#")
-    tidy = lines.filter(usable).withColumn("t", _trim(line))
+    formats = formats or FORMATS
+    tidy = lines.filter(usable & F.col("format").isin(formats)).withColumn("t", _trim(line)).select("mapping_id", "line_no", "line", "t", "format")
+    tidy = written(tidy.hint("rebalance", "format"), "lines", "format")
     found = None
-    for fmt in formats or FORMATS:
+    for fmt in formats:
         rows = tidy.filter(F.col("format") == fmt).withColumn("p", F.split("t", r"\s+"))
         branch = _parse_nested(rows) if fmt == "ENIGMA" else _parse_lines_of(rows, fmt)
         found = branch if found is None else found.unionByName(branch)

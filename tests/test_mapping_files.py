@@ -69,3 +69,27 @@ def test_arrow_lines(spark, line, want):
     lines = spark.createDataFrame([("m", "PROGUARD", 0, "com.Cur -> c:"), ("m", "PROGUARD", 1, line)], "mapping_id string, format string, line_no long, line string")
     found = MF.parse_mapping_lines(lines, ["PROGUARD"]).where("target <> 'com/Cur'").collect()
     assert [(r.kind, r.owner, r.name, r.desc, r.target) for r in found] == ([want] if want else [])
+
+
+def test_first_lines_are_found_without_sorting_lines(spark, rows, monkeypatch):
+    lines = [("a", 0, " # note"), ("a", 1, "// x"), ("a", 2, "CL: a b"), ("a", 3, "FD: a/f I b/g I"), ("b", 5, "tiny\t2\t0\ta\tb"), ("b", 9, "c\ta\tb"),
+             ("c", 0, "  "), ("c", 1, "# only notes")]
+    plans, keep = [], MF.written
+    monkeypatch.setattr(MF, "written", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, *a))
+    found = MF.detect_formats(spark.createDataFrame(lines, "mapping_id string, line_no long, line string"))
+    assert rows(found) == [("a", "XSRG"), ("b", "TINY_V2"), ("c", None)]
+    assert len(plans) == 1 and "HashAggregate" in plans[0] and "SortAggregate" not in plans[0]
+
+
+def test_lines_are_read_once_and_by_format(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def line(i):
+        made.add(1)
+        return f"p/C{i} q/N{i}"
+
+    lines = spark.range(40).select(F.lit("x").alias("mapping_id"), F.when(F.col("id") < 20, "TSRG").otherwise("CSRG").alias("format"),
+                                   F.col("id").alias("line_no"), line.asNondeterministic()("id").alias("line"))
+    assert MF.parse_mapping_lines(lines, ["TSRG", "CSRG"]).count() == 40
+    assert made.value == 40
