@@ -62,41 +62,63 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.2) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> dict:
-    """A logistic model per question, fitted on at most ``sample`` labelled documents, those with the smallest hashed ids.
-
-    Words are chosen by how their presence separates the labels.  Only the bounded sample comes to the driver, as
-    features.  Without labels the model has no evidence and says 0.
-    """
-    heads = [F.max(F.col(h).cast("int")).alias(h) for h in HEADS]
-    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(*heads).na.drop()
-    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    told = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(chosen, "_id").select("text", *HEADS)
-    rows = told.mapInArrow(_shapes, "shape array<double>, words array<long>, quality int, toxic int").limit(2 * sample).toArrow()
-    model: dict = {"mean": np.zeros(SHAPE), "scale": np.ones(SHAPE), "heads": {}}
-    if not rows.num_rows:
-        return model | {"heads": {h: (np.zeros(0, np.uint64), np.zeros(SHAPE + 1)) for h in HEADS}}
-    shape = np.array(rows["shape"].to_pylist(), np.float64)
-    model["mean"], model["scale"] = shape.mean(axis=0), shape.std(axis=0) + 1e-6
-    shape = (shape - model["mean"]) / model["scale"]
-    sizes = np.array([len(w) for w in rows["words"]], np.int64)
-    flat = np.concatenate([w.values.to_numpy() for w in rows["words"]]).view(np.uint64) if sizes.sum() else np.zeros(0, np.uint64)
+def _solved(shape: np.ndarray, sizes: np.ndarray, flat: np.ndarray, labels: list[np.ndarray], most: int) -> list[tuple]:
+    """``mean, scale, vocabulary, weights`` per question: words chosen by how their presence separates the labels, then a ridge fit."""
+    mean, scale = shape.mean(axis=0), shape.std(axis=0) + 1e-6
+    shape = (shape - mean) / scale
     doc = np.repeat(np.arange(len(sizes)), sizes)
     vocabulary, at = np.unique(flat, return_inverse=True)
-    for h in HEADS:
-        y = rows[h].to_numpy().astype(np.float64)
+    out = []
+    for y in labels:
         ones = np.bincount(at, weights=y[doc], minlength=len(vocabulary))
         every = np.bincount(at, minlength=len(vocabulary))
         share = (y.sum() + 1) / (len(y) + 2)
         gain = (ones - every * share) ** 2 / (every * share * (1 - share) + 1e-9)
         gain[every < 5] = 0
-        best = np.sort(np.argsort(-gain, kind="stable")[: min(words, int((gain > 0).sum()))])
+        best = np.sort(np.argsort(-gain, kind="stable")[: min(most, int((gain > 0).sum()))])
         column = np.full(len(vocabulary), -1)
         column[best] = np.arange(len(best))
         x = np.zeros((len(sizes), len(best)))
         has = column[at] >= 0
         x[doc[has], column[at[has]]] = 1
-        model["heads"][h] = (vocabulary[best], _logistic(np.hstack([shape, x]), y))
+        out.append((mean, scale, vocabulary[best], _logistic(np.hstack([shape, x]), y)))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> dict:
+    """A logistic model per question, fitted on at most ``sample`` labelled documents, those with the smallest hashed ids.
+
+    Words are chosen by how their presence separates the labels.  One task fits the bounded sample; the driver sees the model only.
+    Without labels the model has no evidence and says 0.
+    """
+    heads = [F.max(F.col(h).cast("int")).alias(h) for h in HEADS]
+    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(*heads).na.drop()
+    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    told = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(chosen, "_id").select("text", *HEADS)
+    shapes = told.mapInArrow(_shapes, "shape array<double>, words array<long>, quality int, toxic int").limit(2 * sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        column = lambda c: pa.concat_arrays(rows[c].chunks)
+        flat = column("words").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        sizes = column("words").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        shape = column("shape").flatten().to_numpy(zero_copy_only=False).reshape(-1, SHAPE)
+        found = _solved(shape, sizes, flat, [column(h).to_numpy(zero_copy_only=False).astype(np.float64) for h in HEADS], words)
+        of = lambda i, kind: pa.array([np.asarray(f[i]).view(np.int64 if i == 2 else np.float64).tolist() for f in found], pa.list_(kind))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(HEADS), of(0, pa.float64()), of(1, pa.float64()), of(2, pa.int64()), of(3, pa.float64())],
+            names=["head", "mean", "scale", "vocabulary", "weights"],
+        )
+
+    # After a limit there is one partition, hence one task and at most one model.
+    schema = "head string, mean array<double>, scale array<double>, vocabulary array<long>, weights array<double>"
+    model: dict = {"mean": np.zeros(SHAPE), "scale": np.ones(SHAPE), "heads": {h: (np.zeros(0, np.uint64), np.zeros(SHAPE + 1)) for h in HEADS}}
+    for r in shapes.mapInArrow(run, schema).collect():
+        model["mean"], model["scale"] = np.array(r["mean"]), np.array(r["scale"])
+        model["heads"][r["head"]] = (np.array(r["vocabulary"], np.int64).view(np.uint64), np.array(r["weights"]))
     return model
 
 

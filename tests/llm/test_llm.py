@@ -276,3 +276,12 @@ def test_pipeline_keeps_columns(spark, docs, tmp_path):
         if name != "sharding":
             assert rows.columns == docs.columns
     assert rows.count() > 0
+
+
+def test_driver_sees_the_fitted_model_only(spark, labels, docs, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    want = quality.fit(docs, labels)
+    assert set(want["heads"]) == set(quality.HEADS) and len(want["heads"]["quality"][1]) == quality.SHAPE + 1
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: pytest.fail("features came to the driver"))
+    assert quality.fit(docs, labels)["heads"].keys() == want["heads"].keys()
