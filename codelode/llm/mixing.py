@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,19 +85,38 @@ def _placed(docs: DataFrame, share: float, repeats: int, weights: Sequence[int])
     return before.join(of, before["source"].eqNullSafe(of["_source"])).drop("_source", "_turn")
 
 
-def _words(epoch: Column) -> Column:
-    """Words handed out of a row in a pass over its source."""
-    start = F.col("_before") + epoch * F.col("source_size")
-    return F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - start)).cast("long")
+def _handed_out(at: Column, schedule: Schedule) -> Column:
+    """The share of its target that a source has handed out by the training time ``at``: the integral of its schedule."""
+    pieces = list(zip(schedule, schedule[1:]))
+    whole = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in pieces)
+    total = F.lit(0.0)
+    for (t0, w0), (t1, w1) in pieces:
+        x = F.greatest(F.lit(0.0), F.least(F.lit(t1 - t0), at - F.lit(t0)))
+        total = total + x * (F.lit(w0) + x * F.lit((w1 - w0) / (t1 - t0) / 2))
+    return total / F.lit(whole)
+
+
+def _by_schedule(schedules: Sequence[Schedule], value: Callable[[Schedule], Column]) -> Column:
+    """``value`` of the schedule that the row's source follows."""
+    out = F.lit(None).cast("double")
+    for i, schedule in enumerate(schedules):
+        out = F.when(F.col("_place") % len(schedules) == i, value(schedule)).otherwise(out)
+    return out
 
 
 def _position(epoch: Column, schedules: Sequence[Schedule]) -> Column:
     start = F.col("_before") + epoch * F.col("source_size")
     demand = F.when(F.col("target") > 0, F.least(F.lit(1.0), start / F.col("target"))).otherwise(0.0)
-    at = F.lit(None).cast("double")
-    for i, schedule in enumerate(schedules):
-        at = F.when(F.col("_place") % len(schedules) == i, _time_of(demand, schedule)).otherwise(at)
-    return at
+    return _by_schedule(schedules, lambda schedule: _time_of(demand, schedule))
+
+
+def _words(position: Column, schedules: Sequence[Schedule]) -> Column:
+    """Words handed out of a row that stands at ``position``: what its source's schedule leaves for then and later, at most its size.
+
+    Whole words were handed out before it, so the integral is rounded to them.
+    """
+    gone = F.round(F.col("target") * _by_schedule(schedules, lambda schedule: _handed_out(position, schedule)))
+    return F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - gone.cast("long"))).cast("long")
 
 
 def mix(
@@ -109,15 +129,17 @@ def mix(
     Sources, in code-point order with null last, take ``weights`` and ``schedules`` in turn.  A source's documents stand in
     the order of the MD5 of their ids and are handed out word by word until its target is reached, a further pass
     following the first; only the last document can be taken in part.  A document's position is the time at which
-    the integral of its source's schedule has reached its first word; callers range-sort by ``position``.
+    the integral of its source's schedule has reached its first word, and its words are those that the schedule still
+    has to hand out from then on; callers range-sort by ``position``.
 
     Texts that are null or have no words are of size 0 and give no row; nor do passes that take nothing.  Rows that repeat a document
     count each.  Documents without doc_id come first in their source.  The same rows give the same mix; an empty table gives none.
     """
     placed = _placed(docs, share, repeats, weights)
     passes = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    passes = passes.withColumn("words", _words(F.col("epoch"))).where("words > 0")
-    return passes.withColumn("position", _position(F.col("epoch"), schedules)).drop("_before", "_place")
+    passes = passes.withColumn("position", _position(F.col("epoch"), schedules))
+    passes = passes.withColumn("words", _words(F.col("position"), schedules)).where("words > 0")
+    return passes.select(*[c for c in passes.columns if c not in ("_before", "_place", "position")], "position")
 
 
 def taken(
@@ -127,9 +149,7 @@ def taken(
     """The same mix with one row per row of ``docs``: ``doc_id, size, source_size, target, taken`` (over all passes) and ``position``
     (of the first pass, in which every document stands, with or without words)."""
     placed = _placed(docs, share, repeats, weights)
-    total = _words(F.lit(0))
-    for e in range(1, repeats):
-        total = total + _words(F.lit(e))
-    return placed.select(
-        "doc_id", "size", "source_size", "target", total.alias("taken"), _position(F.lit(0), schedules).alias("position")
-    )
+    for e in range(repeats):
+        placed = placed.withColumn(f"_at{e}", _position(F.lit(e), schedules))
+    total = reduce(lambda a, b: a + b, [_words(F.col(f"_at{e}"), schedules) for e in range(repeats)])
+    return placed.select("doc_id", "size", "source_size", "target", total.alias("taken"), F.col("_at0").alias("position"))

@@ -278,6 +278,17 @@ def test_pipeline_keeps_columns(spark, docs, tmp_path):
     assert rows.count() > 0
 
 
+@pytest.mark.parametrize("schedule", [((0.0, 1.0), (1.0, 0.0)), ((0.0, 0.0), (0.5, 2.0), (0.5001, 0.1), (1.0, 3.0))])
+def test_taken_words_are_what_the_schedule_hands_out(spark, monkeypatch, schedule):
+    rows = [(i, " ".join(["w"] * (i * 37 % 211)), "abc"[i % 3]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    level = {r.doc_id: r.taken for r in mixing.taken(docs, schedules=[mixing.LEVEL]).collect()}
+    assert {r.doc_id: r.taken for r in mixing.taken(docs, schedules=[schedule]).collect()} == level
+    # Without the integral of the schedule nothing says what a position leaves.
+    monkeypatch.setattr(mixing, "_handed_out", lambda at, schedule: F.lit(1.0))
+    assert not any(r.taken for r in mixing.taken(docs, schedules=[schedule]).collect())
+
+
 def test_driver_sees_the_fitted_model_only(spark, labels, docs, monkeypatch):
     from pyspark.sql.classic.dataframe import DataFrame
 
