@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.chunks import give_back, slices
-from codelode.llm.common import forget, running_sum, stored
+from codelode.llm.common import arrow_rows, forget, running_sum, stored
 from codelode.llm.hashing import text_bytes, word_spans
 
 #: Bytes of text in a block of documents.
 BLOCK_BYTES = 4 << 20
 #: A tile spans this many ranks each way; its cells are counted directly when at least one in SPARSE is hit.
 TILE, SPARSE = 1 << 10, 16
-#: What is added up together: the cells of a tile from so many neighbouring tasks, and so many neighbouring blocks of a task.
+#: What is added up together: the cells of a region of tiles from so many neighbouring tasks, and so many neighbouring blocks of a task.
 TASKS, TURNS = 8, 4
 
 _SPLIT = np.zeros(256, bool)
@@ -71,8 +71,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
 
 _BLOCK_KEY = ["lang", "part", "turn"]
 _SEQUENCES = "lang string, part long, turn long, words array<int>, grams array<int>"
-_TILE = ["lang", "high", "low"]
-_CELLS = "lang string, part long, turn long, high int, low int, cells array<int>, times array<long>"
+_REGION = ["of_high", "of_low", "slot"]
+_CELLS = "lang string, part long, turn long, of_high int, of_low int, slot int, high array<int>, low array<int>, sizes array<int>, cells array<int>, times array<long>"
+#: The same of one block, whose counts are small.
+_COUNTED = _CELLS.replace("times array<long>", "times array<int>")
+_TILES = ["lang", "part", "turn", "high", "low", "cells", "times"]
+#: A row holds megabytes, so files of blocks are cut into row groups by bytes, whatever the number of rows.
+_BY_BYTES = {"parquet.block.size": 4 * BLOCK_BYTES, "parquet.page.size.row.check.min": 1}
 
 
 def _one(table: pa.Table, name: str) -> np.ndarray:
@@ -80,17 +85,24 @@ def _one(table: pa.Table, name: str) -> np.ndarray:
     return table[name].chunk(0).flatten().to_numpy(zero_copy_only=False)
 
 
-def _sequences(block: pa.Table, words: np.ndarray, grams: np.ndarray) -> pa.Table:
+def _sequences(block: pa.Table, words: np.ndarray, grams: np.ndarray | None) -> pa.Table:
+    """A block's row; no ``grams`` where they are the words."""
     key = [block[c].combine_chunks() for c in _BLOCK_KEY]
-    return pa.table([*key, _row(words, pa.int32()), _row(grams, pa.int32())], names=[c.split()[0] for c in _SEQUENCES.split(", ")])
+    longer = pa.nulls(1, pa.list_(pa.int32())) if grams is None else _row(grams, pa.int32())
+    return pa.table([*key, _row(words, pa.int32()), longer], names=[c.split()[0] for c in _SEQUENCES.split(", ")])
+
+
+def _sequence(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the only row, and the longer phrases that start at each."""
+    words = _one(block, "words")
+    return words, words if block["grams"].null_count else _one(block, "grams")
 
 
 def _ranked(block: pa.Table, ranks: pa.Table) -> pa.Table:
     """A block's words as ranks; -1 for words that are too rare, and between pieces."""
-    table = np.full(len(_one(block, "words")) + 1, -1, np.int32)
+    table = np.full(block["size"][0].as_py() + 1, -1, np.int32)
     table[ranks["k"].to_numpy()] = ranks["id"].to_numpy()
-    words = table[_one(block, "ids")]
-    return _sequences(block, words, words)
+    return _sequences(block, table[_one(block, "ids")], None)
 
 
 def _joins(words: np.ndarray, grams: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,35 +117,48 @@ def _numbers(high: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def _tiler(length: int):
-    """Counts of one block's joins, as the hit cells of each tile."""
-
-    def run(block: pa.Table) -> pa.Table:
-        _, keys = _joins(_one(block, "words"), _one(block, "grams"), length)
-        keys.sort()
-        new = np.flatnonzero(np.append(True, np.diff(keys) != 0)) if len(keys) else np.zeros(0, np.int64)
-        times, keys = np.diff(np.append(new, len(keys))), keys[new]
-        key = [block[c].combine_chunks() for c in _BLOCK_KEY]
-        return _by_tile(key, keys, times.astype(np.int64), pa.int64(), [c.split()[0] for c in _CELLS.split(", ")])
+    """Counts of each block's joins, as the hit cells of each region."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = pa.Table.from_batches([batch.slice(i, 1)])
+                _, keys = _joins(*_sequence(block), length)
+                keys.sort()
+                new = _firsts(keys)
+                times, keys = np.diff(np.append(new, len(keys))), keys[new]
+                key = [block[c].combine_chunks() for c in _BLOCK_KEY]
+                yield from _packed(_by_tile(key, keys, times.astype(np.int32), pa.int32(), _TILES), 0).to_batches()
+                del block, keys, times, new
+            give_back()
 
     return run
 
 
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.append(True, np.diff(values) != 0)) if len(values) else np.zeros(0, np.int64)
+
+
 def _whole(table: pa.Table, name: str) -> np.ndarray:
     """The arrays of all rows, one after the other."""
     return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table[name].chunks])
 
 
-def _keys(table: pa.Table, name: str, of: str = "") -> np.ndarray:
-    """The numbers of all cells in the rows of ``table (high, low, <name>, ...)``; ``of`` stands before the names of the tile."""
-    size = np.concatenate([pa.compute.list_value_length(c).to_numpy(zero_copy_only=False) for c in table[name].chunks])
-    tile = table[f"{of}high"].to_numpy().astype(np.int64) << 41 | table[f"{of}low"].to_numpy().astype(np.int64) << 20
-    return np.repeat(tile, size) | _whole(table, name)
+def _lengths(table: pa.Table, name: str) -> np.ndarray:
+    return np.concatenate([pa.compute.list_value_length(c).to_numpy(zero_copy_only=False) for c in table[name].chunks])
+
+
+def _keys(table: pa.Table, name: str) -> np.ndarray:
+    """The numbers of all cells in the rows of ``table (high, low, <name>, ...)``."""
+    tile = table["high"].to_numpy().astype(np.int64) << 41 | table["low"].to_numpy().astype(np.int64) << 20
+    return np.repeat(tile, _lengths(table, name)) | _whole(table, name)
 
 
 def _by_tile(key: list[pa.Array], numbers: np.ndarray, values: np.ndarray, kind: pa.DataType, names: list[str]) -> pa.Table:
     """A row per tile from sorted cells; ``key``: arrays of one value that all rows share."""
     tile = numbers >> 20
-    first = np.flatnonzero(np.append(True, np.diff(tile) != 0)) if len(tile) else np.zeros(0, np.int64)
+    first = _firsts(tile)
     bounds = pa.array(np.append(first, len(tile)).astype(np.int32))
     shared = [pa.array(a.to_pylist() * len(first), a.type) for a in key]
     return pa.table(
@@ -160,55 +185,105 @@ def _added(tiles: pa.Table) -> pa.Table:
     numbers, times = numbers[rest], times[rest]
     order = np.argsort(numbers, kind="stable")
     numbers, times = numbers[order], times[order]
-    new = np.flatnonzero(np.append(True, np.diff(numbers) != 0)) if len(numbers) else np.zeros(0, np.int64)
+    new = _firsts(numbers)
     out.append(numbers[new])
     totals.append(np.add.reduceat(times, new) if len(new) else times)
     numbers, times = np.concatenate(out), np.concatenate(totals)
     order = np.argsort(numbers)
     key = [tiles[c].slice(0, 1).combine_chunks() for c in _BLOCK_KEY]
-    done = _by_tile(key, numbers[order], times[order], pa.int64(), [c.split()[0] for c in _CELLS.split(", ")])
+    done = _by_tile(key, numbers[order], times[order], pa.int64(), _TILES)
     del numbers, times, out, totals, order, rest
     give_back()
     return done
 
 
-def _region(level: int, of: str = "") -> list[Column]:
-    """Tiles that are taken together: by octaves of their place, which hold about as much each, in more parts the more blocks are added up."""
-    octave = lambda c: F.expr(f"cast(floor(log2({c} + 1)) as int)")
-    return [octave(f"{of}high").alias("of_high"), octave(f"{of}low").alias("of_low"), F.expr(f"{of}high % {4 ** level}").alias("slot")]
+def _packed(tiles: pa.Table, level: int) -> pa.Table:
+    """Tiles of one block, or of blocks added up, as a row per region: tiles by octaves of their place, which hold about as much each, in
+    more parts the more blocks are added up."""
+    high, low = tiles["high"].to_numpy().astype(np.int64), tiles["low"].to_numpy().astype(np.int64)
+    octave = lambda n: np.frexp(n + 1.0)[1].astype(np.int64) - 1
+    region = (octave(high) << 5 | octave(low)) << 32 | (high * 31 + low) % 16**level
+    order = np.argsort(region, kind="stable")
+    region, tiles = region[order], tiles.take(pa.array(order)).combine_chunks()
+    row = _firsts(region)
+    sizes = _lengths(tiles, "cells") if len(row) else row
+    bounds = np.append(row, len(region))
+    ends = pa.array(np.append(0, np.cumsum(sizes))[bounds].astype(np.int32))
+    bounds = pa.array(bounds.astype(np.int32))
+    of = [pa.array(c.astype(np.int32)) for c in (region[row] >> 37, region[row] >> 32 & 31, region[row] & (1 << 32) - 1)]
+    flat = lambda name: pa.concat_arrays([c.flatten() for c in tiles[name].chunks]) if len(row) else pa.array([], tiles[name].type.value_type)
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(c.astype(np.int32))) for c in (high[order], low[order], sizes)]
+    lists += [pa.ListArray.from_arrays(ends, flat(name)) for name in ("cells", "times")]
+    shared = [tiles[c].take(pa.array(row)).combine_chunks() for c in _BLOCK_KEY]
+    return pa.table([*shared, *of, *lists], names=[c.split()[0] for c in _CELLS.split(", ")])
+
+
+def _unpacked(rows: pa.Table, *values: str) -> pa.Table:
+    """The tiles in some rows of a region, under the key of their row."""
+    tiles = _lengths(rows, "high")
+    key = [rows[c].take(pa.array(np.repeat(np.arange(len(tiles)), tiles))).combine_chunks() for c in _BLOCK_KEY]
+    ends = pa.array(np.append(0, np.cumsum(_whole(rows, "sizes"))).astype(np.int32))
+    place = [pa.array(_whole(rows, c)) for c in ("high", "low")]
+    lists = [pa.ListArray.from_arrays(ends, pa.array(_whole(rows, c), pa.int64() if c == "times" else None)) for c in ("cells", *values)]
+    return pa.table([*key, *place, *lists], names=[*_TILES[:6], *values])
+
+
+def _summer(level: int):
+    """Sums of a region over some blocks, in the smaller regions of the next ``level``."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        done = _packed(_added(_unpacked(rows, "times")), level)
+        give_back()
+        return done
+
+    return run
+
+
+def _chooser(least: int):
+    """The last sums of a region, as a row per cell that has at least ``least``."""
 
+    def run(rows: pa.Table) -> pa.Table:
+        tiles = _added(_unpacked(rows, "times"))
+        numbers, times = _keys(tiles, "cells"), _whole(tiles, "times")
+        often = times >= least
+        numbers, times = numbers[often], times[often]
+        high, low = (numbers >> 41) * TILE + (numbers >> 10) % TILE, (numbers >> 20) % (1 << 21) * TILE + numbers % TILE
+        langs = pa.array([rows["lang"][0].as_py()] * len(numbers), pa.string())
+        return pa.table([langs, pa.array(high.astype(np.int32)), pa.array(low.astype(np.int32)), pa.array(times)], names=["lang", "high", "low", "a"])
 
-def _summed(cells: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """One row per tile, its cells added up over all blocks, a bounded number of blocks at a time; and the steps stored for it."""
+    return run
+
+
+def _frequent(cells: DataFrame, least: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``lang, high, low, a`` of cells with ``least`` over all blocks, a bounded number of rows added up at a time; and the steps stored for it."""
     steps: list[DataFrame] = []
     part, turn = cells.agg(F.max("part"), F.max("turn")).first()
     part, turn, level = part or 0, turn or 0, 0
     while True:
-        part, turn = part // TASKS, turn // TURNS
+        part, turn, level = part // TASKS, turn // TURNS, level + 1
         near = cells.withColumns({"part": F.expr(f"part div {TASKS}"), "turn": F.expr(f"turn div {TURNS}")})
-        cells = near.groupBy("lang", *_region(level), "part", "turn").applyInArrow(_added, _CELLS)
+        near = near.groupBy("lang", *_REGION, "part", "turn")
         if not part and not turn:
-            return cells, steps
-        cells = stored(cells, "sums")
+            return near.applyInArrow(_chooser(least), "lang string, high int, low int, a long"), steps
+        cells = stored(near.applyInArrow(_summer(level), _CELLS), "sums")
         forget(*steps)
         steps = [cells]
-        level += 1
 
 
 def _named(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The frequent ones among the cells of some tiles with their ids, one row per block."""
+    """The frequent ones among the cells of a region with their ids, one row per block."""
     names = ["lang", "part", "turn", "numbers", "ids"]
     if not left.num_rows or not right.num_rows:
         return pa.table([left[c].slice(0, 0) for c in names[:3]] + [pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int32()))], names=names)
-    wanted, ids = _keys(right, "cell", "in_"), _whole(right, "id")
+    wanted, ids = _whole(right, "numbers"), _whole(right, "ids")
     order = np.argsort(wanted)
     wanted, ids = wanted[order], ids[order]
-    numbers = _keys(left, "cells")
+    tiles = _unpacked(left)
+    numbers = _keys(tiles, "cells")
     place = np.minimum(np.searchsorted(wanted, numbers), len(wanted) - 1)
     known = wanted[place] == numbers
-    size = np.concatenate([pa.compute.list_value_length(c).to_numpy(zero_copy_only=False) for c in left["cells"].chunks])
     blocks, of = np.unique(np.stack([left["part"].to_numpy(), left["turn"].to_numpy()]), axis=1, return_inverse=True)
-    of = np.repeat(of.ravel(), size)[known]
+    of = np.repeat(of.ravel(), _lengths(left, "cells"))[known]
     order = np.argsort(of, kind="stable")
     bounds = pa.array(np.searchsorted(of[order], np.arange(blocks.shape[1] + 1)).astype(np.int32))
     lists = [pa.ListArray.from_arrays(bounds, pa.array(v[known][order])) for v in (numbers, ids[place])]
@@ -219,7 +294,7 @@ def _named(left: pa.Table, right: pa.Table) -> pa.Table:
 def _extender(length: int):
     def run(block: pa.Table, known: pa.Table) -> pa.Table:
         """A block's phrases of one more word as ranks of the frequent ones."""
-        words, grams = _one(block, "words"), _one(block, "grams")
+        words, grams = _sequence(block)
         out = np.full(len(grams), -1, np.int32)
         if known.num_rows:
             at, keys = _joins(words, grams, length)
@@ -243,30 +318,29 @@ def _rank(counts: DataFrame, order: list[str]) -> DataFrame:
 
 def _next(blocks: DataFrame, length: int, least: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """Frequent phrases of ``length + 1`` words as ``lang, high, low, a, id`` (phrase before, last word), and the blocks in their ids."""
-    cells = stored(blocks.groupBy(*_BLOCK_KEY).applyInArrow(_tiler(length), _CELLS), "cells")
-    often = F.filter(F.arrays_zip(F.col("cells").alias("cell"), F.col("times").alias("a")), lambda c: c["a"] >= least)
-    sums, steps = _summed(cells)
-    grams = sums.select(*_TILE, F.explode(often).alias("c")).select(
-        "lang", F.expr(f"high * {TILE} + c.cell div {TILE}").cast("int").alias("high"), F.expr(f"low * {TILE} + c.cell % {TILE}").cast("int").alias("low"), F.col("c.a").alias("a")
-    )
-    grams = stored(_rank(grams, ["high", "low"]), "grams")
+    with arrow_rows(blocks.sparkSession, 1):
+        cells = stored(blocks.mapInArrow(_tiler(length), _COUNTED), "cells")
+    sums, steps = _frequent(cells, least)
+    grams = stored(_rank(sums, ["high", "low"]), "grams")
     forget(*steps)
     if last:
         forget(cells)
         return grams, None
-    # Ids go back the way the counts came: tile by tile, once for each few blocks, then to the blocks.
-    tiles = grams.groupBy("lang", F.expr(f"high div {TILE}").alias("high"), F.expr(f"low div {TILE}").alias("low")).agg(
-        F.collect_list(F.expr(f"cast((high % {TILE}) * {TILE} + low % {TILE} as int)")).alias("cell"), F.collect_list("id").alias("id")
+    # Ids go back the way the counts came: region by region, once for each few blocks, then to the blocks.
+    octave = lambda c: F.expr(f"length(bin({c} div {TILE} + 1)) - 1")
+    number = f"shiftleft(cast(high div {TILE} as bigint), 41) | shiftleft(cast(low div {TILE} as bigint), 20) | cast((high % {TILE}) * {TILE} + low % {TILE} as bigint)"
+    regions = grams.groupBy("lang", octave("high").alias("of_high"), octave("low").alias("of_low")).agg(
+        F.collect_list(F.expr(number)).alias("numbers"), F.collect_list("id").alias("ids")
     )
     near = {"tasks": F.expr(f"part div {TASKS}"), "turns": F.expr(f"turn div {TURNS}")}
-    few = cells.withColumns(near)
-    held = few.select(*_TILE, *near).distinct()
-    wanted = held.join(tiles, _TILE).withColumnsRenamed({c: f"in_{c}" for c in (*_TILE, *near)})
+    by = ["lang", "of_high", "of_low", *near]
+    few = cells.drop("times", "slot").withColumns(near)
+    wanted = few.select(*by).distinct().join(regions, by[:3]).withColumnsRenamed({c: f"in_{c}" for c in by})
     schema = "lang string, part long, turn long, numbers array<long>, ids array<int>"
-    known = few.groupBy("lang", *_region(0), *near).cogroup(wanted.groupBy("in_lang", *_region(0, "in_"), *[f"in_{c}" for c in near])).applyInArrow(_named, schema)
+    known = few.groupBy(*by).cogroup(wanted.groupBy(*[f"in_{c}" for c in by])).applyInArrow(_named, schema)
     known = known.where(F.size("ids") > 0).withColumnsRenamed({c: f"of_{c}" for c in _BLOCK_KEY})
     longer = blocks.groupBy(*_BLOCK_KEY).cogroup(known.groupBy(*[f"of_{c}" for c in _BLOCK_KEY])).applyInArrow(_extender(length), _SEQUENCES)
-    longer = stored(longer, "longer")
+    longer = stored(longer, "longer", **_BY_BYTES)
     forget(cells)
     return grams, longer
 
@@ -279,7 +353,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, block_bytes: int
     """``(words, phrases, totals)`` of ``docs (text, lang, ...)``: ``lang, word, a, id`` of words with at least ``least`` occurrences,
     ``lang, ids, a`` of phrases of 1 to ``longest`` words with as many (``ids``: the words' ids), and ``lang, n``, all words."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    raw = stored(texts.mapInArrow(lambda b: _blocks(b, block_bytes), "lang string, part long, turn long, words array<string>, counts array<long>, ids array<int>"), "blocks")
+    raw = stored(texts.mapInArrow(lambda b: _blocks(b, block_bytes), "lang string, part long, turn long, words array<string>, counts array<long>, ids array<int>"), "blocks", **_BY_BYTES)
     each = raw.select(*_BLOCK_KEY, F.posexplode(F.arrays_zip("words", "counts")).alias("k", "use"))
     each = each.select(*_BLOCK_KEY, "k", F.col("use.words").alias("word"), F.col("use.counts").alias("n"))
     heard = each.groupBy("lang", "word").agg(F.sum("n").alias("a"))
@@ -288,8 +362,9 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, block_bytes: int
     ranks = each.join(words.select("lang", "word", "id"), ["lang", "word"]).select(
         F.col("lang").alias("of_lang"), F.col("part").alias("of_part"), F.col("turn").alias("of_turn"), "k", "id"
     )
-    blocks = raw.groupBy(*_BLOCK_KEY).cogroup(ranks.groupBy("of_lang", "of_part", "of_turn")).applyInArrow(_ranked, _SEQUENCES)
-    blocks = stored(blocks, "ranked")
+    coded = raw.select(*_BLOCK_KEY, F.size("words").alias("size"), "ids")
+    blocks = coded.groupBy(*_BLOCK_KEY).cogroup(ranks.groupBy("of_lang", "of_part", "of_turn")).applyInArrow(_ranked, _SEQUENCES)
+    blocks = stored(blocks, "ranked", **_BY_BYTES)
     forget(raw)
     before = words.select("lang", F.array("id").alias("ids"), "a", "id")
     phrases = before.drop("id")
@@ -313,8 +388,8 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int =
     gives ``l`` and ``r``, the occurrences of both parts, and ``floor(2000000 a / (l + r))``; the weakest cut counts, the
     first among equals.  Candidates inside a longer one that has ``percent`` of their occurrences go.
 
-    Words get ranks by frequency.  In blocks of ``block_bytes`` of text, pairs of ranks are counted per tile of the pair plane; a tile's
-    cells are added up over some blocks at a time by ``bincount``, or sorted where few cells are hit, and the sums likewise, until one
+    Words get ranks by frequency.  In blocks of ``block_bytes`` of text, pairs of ranks are counted per tile of the pair plane; tiles travel
+    as one row per region of neighbouring tiles, so a block has a bounded number of rows however many tiles it hits.  A region's cells are added up over some blocks at a time by ``bincount``, or sorted where few cells are hit, and the sums likewise, until one
     is left.  Frequent pairs get ranks of their own and are paired with the next word, and so on.  A word or pair that is in every
     document costs a cell per block.  Every row's text counts, also of rows that repeat a doc_id; very long texts are a block
     of their own.  Other columns are ignored, whatever their names.  An empty table gives an empty result.

@@ -19,14 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, **options) -> DataFrame:
     """Write ``df`` into the folder all executors share and continue from the files.
 
     A lost executor re-reads files instead of replaying the plan.  Shuffle files of the finished step go as
     soon as the driver finds their plan dead, so it is told to look.
     """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     gc.collect()
     df.sparkSession._jvm.System.gc()

@@ -129,6 +129,26 @@ def test_collocations_in_dense_and_sparse_tiles(monkeypatch):
     assert (sparse["high"], sparse["low"]) == ([1], [2]) and sparse["cells"] == [[0, 5, 5123, 1048575]] and sparse["times"] == [[1, 6, 3, 5]] and sparse["part"] == [0]
 
 
+def test_collocation_blocks_have_few_rows_however_many_tiles(spark):
+    import numpy as np
+
+    words = np.random.default_rng(3).integers(0, 1 << 18, 20_000).tolist()
+    block = spark.createDataFrame([("en", 0, 0, words, None)], collocation._SEQUENCES)
+    cells = block.mapInArrow(collocation._tiler(1), collocation._COUNTED).collect()
+    assert len({(r.of_high, r.of_low, r.slot) for r in cells}) == len(cells) <= 100
+    pairs = sorted(zip(words, words[1:]))
+    got = []
+    for r in cells:
+        at = 0
+        for high, low, size in zip(r.high, r.low, r.sizes):
+            got += [(high * 1024 + c // 1024, low * 1024 + c % 1024) for c, n in zip(r.cells[at : at + size], r.times[at : at + size]) for _ in range(n)]
+            at += size
+    assert sorted(got) == pairs
+    few, _ = collocation._frequent(block.mapInArrow(collocation._tiler(1), collocation._COUNTED), 2)
+    twice = {p for p, q in zip(pairs, pairs[1:]) if p == q}
+    assert {(r.high, r.low) for r in few.collect()} == twice
+
+
 def test_collocations_of_nothing(spark):
     df = spark.createDataFrame([], "text string, lang string, lang2 string")
     assert collocation.collocations(df).count() == 0
