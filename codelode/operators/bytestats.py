@@ -10,10 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codelode.session import small_batches
+
 
 def _bits(hist: np.ndarray) -> np.ndarray:
     """Shannon entropy of each histogram row."""
@@ -29,13 +31,18 @@ def _histogram(content: bytes) -> np.ndarray:
 
 
 @F.pandas_udf(T.DoubleType())
-def entropy(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Bits per byte of the whole content; 0 when empty."""
+def _entropy(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for contents in batches:
         hist = [_histogram(c or b"") for c in contents]
         yield pd.Series(_bits(np.vstack(hist)) if hist else [], dtype="float64")
 
 
+def entropy(content: Column | str) -> Column:
+    """Bits per byte of the whole content; 0 when empty."""
+    small_batches(SparkSession.active())
+    return _entropy(content)
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _windowed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for contents, widths in batches:
@@ -58,6 +65,7 @@ def suggested_window(size: Column) -> Column:
 
 def windowed_entropy(files: DataFrame, window: Column | int | None = None) -> DataFrame:
     """``(keys..., window_no, entropy)`` for fixed-size windows; the last one may be short."""
+    small_batches(files.sparkSession)
     width = suggested_window(F.length("content")) if window is None else (
         F.lit(window) if isinstance(window, int) else window
     )
@@ -91,6 +99,8 @@ def find_bytes(files: DataFrame, needle: bytes | None) -> DataFrame:
     if not needle:
         return files.select(*keys, F.lit(0).alias("start"), F.lit(0).alias("end")).limit(0)
 
+    small_batches(files.sparkSession)
+
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def offsets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for contents in batches:
@@ -128,6 +138,7 @@ def _runs(left: bytes, right: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def byte_diff(pairs: DataFrame) -> DataFrame:
     """Run-length encoded positional diff of ``left`` and ``right``."""
+    small_batches(pairs.sparkSession)
     keys = [f for f in pairs.schema.fields if f.name not in ("left", "right")]
     region = [("offset", T.IntegerType()), ("length", T.IntegerType()), ("side", T.StringType())]
     schema = T.StructType(keys + [T.StructField(n, t) for n, t in region])

@@ -64,6 +64,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of content that a Python worker gets at a time.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on bytes of an Arrow batch for rows that hold whole files; it is read when a query starts.
+
+    Otherwise a worker's memory grows with its partition until 10 000 rows or 64 MB are in one batch, several times over.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def written(df: DataFrame, label: str, *by: str) -> DataFrame:
     """``df`` as files in the shared folder, in a folder per value of ``by``.
 

@@ -18,11 +18,11 @@ from codelode.functions import scalars as S
 from codelode.operators.hierarchy import hierarchy_edges
 from codelode.operators.search import build_string_sites, resource_lines
 from codelode.operators.usage import build_call_sites
+from codelode.session import BATCH_BYTES, small_batches
 from codelode.sources.classfile import decode_class
 
 LOCAL, CENTRAL, END = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06"
 JMOD = b"JM\x01\x00"
-BATCH_BYTES = 16 << 20
 
 ENTRY_ROW = "archive_id STRING, entry_no INT, path STRING, content BINARY, diagnostics ARRAY<STRING>"
 
@@ -148,6 +148,7 @@ def scan_archives(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def scan_archive_files(files: DataFrame) -> DataFrame:
     """The same for archives at hand as ``(archive_id, content)`` rows."""
     schema = to_arrow_schema(T.StructType.fromDDL(ENTRY_ROW))
+    small_batches(files.sparkSession)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():

@@ -202,3 +202,31 @@ def test_a_self_typed_companion_field_ends_as_instance(spark):
     assert {r["counter"]: r.n for r in counts.collect()} == {
         "kotlin-classes-seen": 1, "companion-fields-restored": 1, "instance-fields-restored": 1
     }
+
+
+def test_files_reach_python_in_batches_bounded_by_bytes(spark):
+    from codelode.operators import bytestats
+    from codelode.sources.archives import scan_archive_files
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    import pyarrow as pa
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    files = spark.range(0, 1000, 1, 1).select(F.encode(F.repeat(F.lit("x"), 20_000), "UTF-8").alias("content"))
+    pairs = files.select(F.col("content").alias("left"), F.col("content").alias("right"))
+    uses = [lambda: bytestats.entropy("content"), lambda: bytestats.byte_diff(pairs), lambda: bytestats.windowed_entropy(files),
+            lambda: bytestats.find_bytes(files, b"x"), lambda: scan_archive_files(files.withColumn("archive_id", F.lit("a")))]
+    try:
+        for use in uses:
+            spark.conf.set(name, "64m")
+            use()
+            assert files.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 300
+        spark.conf.set(name, "1m")
+        bytestats.entropy("content")
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
