@@ -18,6 +18,10 @@ NEAR = {"OUT": "src", "IN": "dst"}
 FAR = {"OUT": "dst", "IN": "src"}
 
 
+def _with(edges: DataFrame, made: dict[str, str] | None) -> DataFrame:
+    return edges.selectExpr("*", *[f"{how} AS {name}" for name, how in (made or {}).items()])
+
+
 class Adjacency:
     """``edges (archive_id, src, dst, ...)`` on disk, once per direction, in folders by a hash of the archive and the near end.
 
@@ -25,38 +29,41 @@ class Adjacency:
     thing the driver learns, and there are at most ``buckets`` of them.  Building costs a pass over all edges, asking none.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int) -> None:
+    def __init__(self, spark: SparkSession, path: str, buckets: int, made: dict[str, str] | None = None) -> None:
         self.spark, self.path, self.buckets = spark, path, buckets
-        self.edges = spark.read.parquet(f"{path}/buckets={buckets}")
+        self.edges = _with(spark.read.parquet(f"{path}/buckets={buckets}"), made)
         self.columns = [c for c in self.edges.columns if c not in ("way", "bucket")]
 
     @classmethod
-    def build(cls, edges: DataFrame, path: str, bucket_edges: int = BUCKET_EDGES) -> Adjacency:
+    def build(cls, edges: DataFrame, path: str, bucket_edges: int = BUCKET_EDGES, made: dict[str, str] | None = None) -> Adjacency:
         """Write ``edges`` below ``path``, a folder that all executors share.
 
+        Columns ``made`` of others (names with SQL expressions) are not written or shuffled but made again when edges are read.
         A hub's edges lie in one folder; AQE spreads writing them over several tasks and files.
         """
         spark = edges.sparkSession
-        edges.write.parquet(f"{path}/edges")
+        made = made or {}
+        edges.drop(*made).write.parquet(f"{path}/edges")
         edges = spark.read.parquet(f"{path}/edges")
         buckets = max(1, min(MOST_BUCKETS, -(-edges.count() // bucket_edges)))
         both = edges.select("*", F.explode(F.array(F.lit("OUT"), F.lit("IN"))).alias("way"))
-        near = F.when(F.col("way") == "OUT", F.col("src")).otherwise(F.col("dst"))
+        src, dst = (F.expr(made.get(end, end)) for end in ("src", "dst"))
+        near = F.when(F.col("way") == "OUT", src).otherwise(dst)
         both = both.withColumn("bucket", cls._bucket(F.col("archive_id"), near, buckets))
         target = f"{path}/buckets={buckets}"
         both.hint("rebalance", "way", "bucket").sortWithinPartitions("way", "bucket", "archive_id", near).write.partitionBy("way", "bucket").parquet(target)
         if not buckets or both.isEmpty():  # an empty table has no folders to take the columns from
             both.write.mode("overwrite").parquet(target)
-        return cls(spark, path, buckets)
+        return cls(spark, path, buckets, made)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> Adjacency:
-        """A table that ``build`` wrote before."""
+    def open(cls, spark: SparkSession, path: str, made: dict[str, str] | None = None) -> Adjacency:
+        """A table that ``build`` wrote before, with the same ``made``."""
         jvm = spark._jvm
         folder = jvm.org.apache.hadoop.fs.Path(path)
         found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
         names = [f.getPath().getName() for f in found]
-        return cls(spark, path, next(int(n.partition("=")[2]) for n in names if n.startswith("buckets=")))
+        return cls(spark, path, next(int(n.partition("=")[2]) for n in names if n.startswith("buckets=")), made)
 
     @staticmethod
     def _bucket(archive: Column, node: Column, buckets: int) -> Column:
@@ -78,11 +85,11 @@ class Adjacency:
         return nodes.join(edges, here).drop("of_archive")
 
 
-def stored_edges(edges: DataFrame | Adjacency, make: Callable[[DataFrame], DataFrame]) -> Adjacency:
+def stored_edges(edges: DataFrame | Adjacency, make: Callable[[DataFrame], DataFrame], made: dict[str, str] | None = None) -> Adjacency:
     """An edge table as it is; anything else is made into edges and written to the shared folder first.
 
     Those who ask more than once build the table themselves and pass it.
     """
     if isinstance(edges, Adjacency):
         return edges
-    return Adjacency.build(make(edges), f"{shared_folder(edges.sparkSession)}/edges-{uuid.uuid4().hex}")
+    return Adjacency.build(make(edges), f"{shared_folder(edges.sparkSession)}/edges-{uuid.uuid4().hex}", made=made)

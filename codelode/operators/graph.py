@@ -40,14 +40,23 @@ def call_edges(call_sites: DataFrame, mode: str) -> DataFrame:
     Sites are counted per edge before anything is traversed: a much-called method contributes its
     callers once each, not once per site.
     """
-    src, _, src_fqn = node_columns(F.col("in_class"), F.col("in_method"), F.col("in_desc"), mode)
-    dst, _, dst_fqn = node_columns(F.col("target_owner"), F.col("target_name"), F.col("target_desc"), mode)
+    ends = {"src": ("in_class", "in_method", "in_desc"), "dst": ("target_owner", "target_name", "target_desc")}
     calls = method_calls(call_sites).filter(F.coalesce("target_owner", F.lit("")) != "")
-    return (
-        calls.select("archive_id", src.alias("src"), dst.alias("dst"), src_fqn.alias("src_fqn"), dst_fqn.alias("dst_fqn"))
-        .groupBy("archive_id", "src", "dst", "src_fqn", "dst_fqn")
-        .agg(F.count("*").alias("n"))
-    )
+    # Sites are counted by what the ids are made of, so that the ids need not travel.
+    parts = [S.dotted(F.col(cols[0])).alias(f"{end}_fqn") for end, cols in ends.items()]
+    if mode != "CLASS":
+        parts += [F.concat(F.lit("#"), F.col(cols[1]), F.col(cols[2])).alias(f"{end}_member") for end, cols in ends.items()]
+    sites = calls.select("archive_id", *parts)
+    return sites.groupBy(*sites.columns).agg(F.count("*").alias("n")).selectExpr("*", *[f"{made} AS {end}" for end, made in call_ends(mode).items()])
+
+
+def call_ends(mode: str) -> dict[str, str]:
+    """The ids of an edge from its other columns, for ``Adjacency.build(..., made=...)``."""
+    return {end: f"concat('C:', {end}_fqn)" if mode == "CLASS" else f"concat('M:', {end}_fqn, {end}_member)" for end in ("src", "dst")}
+
+
+#: The same for ``method_edges``.
+METHOD_ENDS = {end: f"concat({end}_owner, '#', {end}_name, {end}_desc)" for end in ("src", "dst")}
 
 
 def method_edges(call_sites: DataFrame) -> DataFrame:
@@ -78,7 +87,7 @@ def call_graph(
     expanded; every neighbour but the root must pass the package prefix.  An edge weighs its number of sites once
     per expanded end, so with direction BOTH an edge between two expanded nodes counts double.  Self edges are left out.
     """
-    table = stored_edges(call_sites, lambda sites: call_edges(sites, mode))
+    table = stored_edges(call_sites, lambda sites: call_edges(sites, mode), call_ends(mode))
     ways = {"OUT": ["OUT"], "IN": ["IN"], "BOTH": ["OUT", "IN"]}[direction]
     frontier = cut_lineage(roots.select("archive_id", "node", F.lit(0).alias("level")).distinct())
     nodes = frontier
@@ -146,7 +155,7 @@ def caller_dag(
     There is no limit unless the caller sets one: ``depth`` ends the walk, ``per_node`` keeps the first callers of a method by
     key.  ``truncated`` marks rows whose callee has more callers than shown, or whose caller was not expanded although it has some.
     """
-    table = stored_edges(call_sites, method_edges)
+    table = stored_edges(call_sites, method_edges, METHOD_ENDS)
     by = ["archive_id", "root"]
     key = S.method_key(F.col("owner"), F.col("name"), F.col("desc"))
     frontier = cut_lineage(roots.select("archive_id", key.alias("root"), key.alias("node")).distinct())
@@ -189,7 +198,7 @@ def recursive_callers(
     ways: ``depth`` ends it (None: only cycles do), ``per_node`` keeps the first callers by key, and ``truncated`` marks nodes that have
     callers which are not shown.  ``caller_dag`` has everything without limits.
     """
-    table = stored_edges(call_sites, method_edges)
+    table = stored_edges(call_sites, method_edges, METHOD_ENDS)
     key = S.method_key(F.col("owner"), F.col("name"), F.col("desc"))
     level = cut_lineage(roots.select(
         "archive_id", key.alias("root"), F.lit(0).alias("level"), F.array(key).alias("path"),
@@ -245,7 +254,7 @@ def call_tree_children(
     child itself are counted, from its own edges only, unless it ends the branch: where it is its own parent, or
     where the caller sets ``max_depth`` and ``level`` is the last one above it.
     """
-    table = stored_edges(call_sites, method_edges)
+    table = stored_edges(call_sites, method_edges, METHOD_ENDS)
     near, far = NEAR[direction], FAR[direction]
     key = S.method_key(F.col("owner"), F.col("name"), F.col("desc"))
     asked = cut_lineage(methods.select("archive_id", *MEMBER, key.alias("node")).distinct())

@@ -20,27 +20,27 @@ from codelode.sources import tables as T
 _TABLES: dict[tuple, Adjacency] = {}
 
 
-def _table(spark, sf, kind: str, source: str, make) -> Adjacency:
+def _table(spark, sf, kind: str, source: str, make, made=None) -> Adjacency:
     """The stored edge table ``kind`` of a corpus; written anew when files of its ``source`` table change."""
     jvm, root = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{source}.parquet")
     system = root.getFileSystem(spark._jsc.hadoopConfiguration())
     seen = [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in system.listStatus(root)]
     key = (spark.sparkContext.applicationId, sf, kind, tuple(sorted(seen)))
     if key not in _TABLES:
-        _TABLES[key] = Adjacency.build(make(), f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}")
+        _TABLES[key] = Adjacency.build(make(), f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}", made=made)
     return _TABLES[key]
 
 
 def _class_calls(spark, sf) -> Adjacency:
-    return _table(spark, sf, "class_calls", "lineitem", lambda: G.call_edges(T.call_sites(spark, sf), "CLASS"))
+    return _table(spark, sf, "class_calls", "lineitem", lambda: G.call_edges(T.call_sites(spark, sf), "CLASS"), G.call_ends("CLASS"))
 
 
 def _method_node_calls(spark, sf) -> Adjacency:
-    return _table(spark, sf, "method_node_calls", "lineitem", lambda: G.call_edges(T.call_sites(spark, sf), "METHOD"))
+    return _table(spark, sf, "method_node_calls", "lineitem", lambda: G.call_edges(T.call_sites(spark, sf), "METHOD"), G.call_ends("METHOD"))
 
 
 def _method_calls(spark, sf) -> Adjacency:
-    return _table(spark, sf, "method_calls", "lineitem", lambda: G.method_edges(T.call_sites(spark, sf)))
+    return _table(spark, sf, "method_calls", "lineitem", lambda: G.method_edges(T.call_sites(spark, sf)), G.METHOD_ENDS)
 
 
 def _types(spark, sf) -> Adjacency:
@@ -323,7 +323,7 @@ def recursive_callers(spark, sf):
 
 
 def _hub_calls(spark, sf) -> Adjacency:
-    return _table(spark, sf, "hub_calls", "lineitem", lambda: G.method_edges(T.hub_calls(spark, sf)))
+    return _table(spark, sf, "hub_calls", "lineitem", lambda: G.method_edges(T.hub_calls(spark, sf)), G.METHOD_ENDS)
 
 
 #: Edges with their first line, and the least number of calls from each method to the root.  An edge is on a circle if both ends are in

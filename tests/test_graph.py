@@ -131,3 +131,17 @@ def test_names_with_several_classes_are_defined_once(spark, rows):
     nodes = spark.createDataFrame([("a", "K"), ("b", "K"), ("a", "Out")], "archive_id string, internal_name string")
     assert H.with_class_kind(nodes, classes).count() == 3
     assert rows(H.ancestor_chains(nodes, classes).select("archive_id", "start", "node").where(F.col("node") != F.col("start"))) == [("a", "K", "T"), ("b", "K", "V")]
+
+
+def test_ids_of_ends_are_not_stored_but_made(spark, tmp_path):
+    edges = [("a/A", "b/B"), ("a/A", "b/B"), ("b/B", "c/C"), ("c/C", "a/A")]
+    for kind, made in ((lambda s: G.call_edges(s, "CLASS"), G.call_ends("CLASS")), (lambda s: G.call_edges(s, "METHOD"), G.call_ends("METHOD")), (G.method_edges, G.METHOD_ENDS)):
+        plain = kind(calls(spark, *edges))
+        path = str(tmp_path / str(len(list(tmp_path.iterdir()))))
+        lean = Adjacency.build(plain, path, made=made)
+        assert not {"src", "dst"} & set(spark.read.parquet(f"{path}/buckets={lean.buckets}").columns)
+        for table in (lean, Adjacency.open(spark, path, made)):
+            for way, near in (("OUT", "src"), ("IN", "dst")):
+                nodes = plain.select("archive_id", F.col(near).alias("node")).distinct()
+                got = table.around(nodes, way).select(plain.columns)
+                assert sorted(got.collect()) == sorted(plain.collect())
