@@ -10,6 +10,7 @@ from codelode.functions.access import bit
 from codelode.operators.detect import DECRYPTOR_DESCS
 from codelode.operators.identity import method_key
 from codelode.operators.usage import with_current_line
+from codelode.session import dealt
 
 # --- fixed values: owners whose calls are neither rewarded nor penalised -----------------------
 NEUTRAL_OWNERS = ["java/lang/StringBuilder", "java/lang/Integer", "java/lang/Character"]
@@ -86,20 +87,20 @@ def encrypted_call_sites(instructions: DataFrame, candidates: DataFrame) -> Data
     wanted = candidates.select(
         "archive_id", F.col("owner").alias("ref_owner"), F.col("name").alias("ref_name"), F.col("desc").alias("ref_desc")
     ).distinct()
-    # Methods without a decryptor-shaped static call need no window at all.
-    callers = (
-        instructions.filter((op == 184) & F.col("ref_desc").isin(DECRYPTOR_DESCS))
-        .join(wanted, ["archive_id", "ref_owner", "ref_name", "ref_desc"], "left_semi")
-        .select(*own)
-        .distinct()
+    shaped = (op == 184) & F.col("ref_desc").isin(DECRYPTOR_DESCS)
+    called = ["archive_id", "ref_owner", "ref_name", "ref_desc"]
+    # Methods without a decryptor-shaped static call need no window at all.  Candidates and callers are unique, so they are hashed and rows need no sort.
+    callers = instructions.filter(shaped).join(wanted.hint("shuffle_hash"), called, "left_semi").select(*own).distinct()
+    # Only what a walk looks at is sorted: what a row refers to counts in calls, a text where it is loaded.
+    slim = instructions.select(
+        *own, "idx", "opcode", "const_kind", F.when(is_text, F.col("const_str")).alias("const_str"), "const_long", "pseudo_kind",
+        F.when(F.col("pseudo_kind") == "LINE", F.col("line")).alias("line"), *[F.when(shaped, F.col(c)).alias(c) for c in called[1:]],
     )
     near = Window.partitionBy(*own).orderBy("idx").rowsBetween(-11, -1)
-    rows = with_current_line(instructions.join(callers, own, "left_semi")).withColumn(
+    rows = with_current_line(dealt(slim, *own).join(callers.hint("shuffle_hash"), own, "left_semi")).withColumn(
         "before", F.reverse(F.collect_list(node).over(near))
     )
-    calls = rows.filter((op == 184) & F.col("ref_desc").isin(DECRYPTOR_DESCS)).join(
-        wanted, ["archive_id", "ref_owner", "ref_name", "ref_desc"], "left_semi"
-    )
+    calls = rows.filter(shaped)
     before = F.col("before")
 
     def first(nodes: Column, passing: list[str]) -> Column:
@@ -121,7 +122,7 @@ def encrypted_call_sites(instructions: DataFrame, candidates: DataFrame) -> Data
         F.when(desc == DECRYPTOR_DESCS[2], F.when(number_at["kind"].isin("push", "int"), text_before)).otherwise(plain)
     )
     number = F.when(desc == DECRYPTOR_DESCS[1], ahead).when(desc == DECRYPTOR_DESCS[2], number_of(last_number))
-    return (
+    sites = (
         calls.select(
             *[c for c in own if c in ("archive_id", "class_id")], F.col("owner").alias("in_class"), F.col("method").alias("in_method"), F.col("desc").alias("in_desc"),
             F.col("ref_owner").alias("target_owner"), F.col("ref_name").alias("target_name"), desc.alias("target_desc"),
@@ -129,3 +130,5 @@ def encrypted_call_sites(instructions: DataFrame, candidates: DataFrame) -> Data
         )
         .filter(F.col("encrypted").isNotNull())
     )
+    target = wanted.select("archive_id", F.col("ref_owner").alias("target_owner"), F.col("ref_name").alias("target_name"), F.col("ref_desc").alias("target_desc"))
+    return sites.join(target.hint("shuffle_hash"), target.columns, "left_semi").select(*sites.columns)

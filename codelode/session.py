@@ -64,6 +64,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a task where rows are dealt by a bounded key.
+TASK_ROWS = 200_000
+
+
+def dealt(rows: DataFrame, *key: str, like: DataFrame | None = None) -> DataFrame:
+    """``rows`` dealt by ``key`` to tasks of some ``TASK_ROWS``, however large the table; ``like`` has about as many and is cheaper to count.
+
+    AQE joins shuffled partitions by their compressed bytes, which repeated names make few, and cuts none before a window: what a
+    task sorts would grow with the table.  For keys with bounded groups, such as methods.
+    """
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-(rows if like is None else like).count() // TASK_ROWS))
+    return rows.repartition(tasks, *key)
+
+
 #: Bytes of content that a Python worker gets at a time.
 BATCH_BYTES = 4 << 20
 

@@ -180,6 +180,17 @@ def test_dead_code(spark):
     assert Z.remove_dead_code(falls_off, handlers)[0].count() == 4
 
 
+def test_methods_are_dealt_by_rows(spark, monkeypatch):
+    """Tasks grow in number with the rows; a method stays whole."""
+    from codelode import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    rows = session.dealt(spark.range(2000).selectExpr("id % 400 AS method", "id"), "method")
+    assert rows.rdd.getNumPartitions() == 40
+    homes = rows.select("method", F.spark_partition_id().alias("p")).distinct()
+    assert homes.count() == 400
+
+
 def test_ordered_helpers(spark):
     data = [("k", i, "v%d" % i if i % 7 == 0 else None) for i in range(100)]
     frame = spark.createDataFrame(data, "k string, i bigint, v string")
