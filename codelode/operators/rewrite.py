@@ -13,7 +13,7 @@ from codelode.functions import scalars as S
 from codelode.functions.access import bit
 from codelode.operators.identity import class_key, definitions, method_key
 from codelode.operators.ordered import number_rows
-from codelode.session import cut_lineage
+from codelode.session import cut_lineage, dealt
 
 KOTLIN = "Lkotlin/Metadata;"
 
@@ -380,37 +380,34 @@ def simplify_opaque_predicates(instructions: DataFrame) -> tuple[DataFrame, Data
     The node just before the jump goes too.  Removing a pair can put a literal in front of the next
     jump, so rounds repeat on the methods that changed until none does.
     """
-    op = F.col("opcode")
+    op, key = F.col("opcode"), method_key(instructions)
     last_real = F.last(F.when(op >= 0, op), ignorenulls=True).over(_before(instructions))
-    candidates = instructions.filter(op.isin(153, 154)).select(*method_key(instructions)).distinct()
-    work = instructions.select(*method_key(instructions), "idx", "opcode").join(candidates, method_key(instructions), "left_semi")
+    work = dealt(instructions.select(*key, "idx", "opcode"), *key)
     changes: list[DataFrame] = []
     while True:
         seen = work.withColumn("literal", F.when(last_real.isin(3, 4), last_real - 3))
         decided = F.when(op.isin(153, 154) & F.col("literal").isNotNull(), (op == 153) == (F.col("literal") == 0))
-        step = cut_lineage(
+        step = (
             seen.withColumn("taken", decided)
             .withColumn("eaten", F.lead("taken").over(_flow(instructions)).isNotNull())
             .withColumn("change", F.when(F.col("taken"), "GOTO").when(~F.col("taken"), "DROP").when(F.col("eaten"), "EATEN"))
             .drop("literal", "eaten")
         )
-        changed = step.filter(F.col("change").isNotNull())
-        if changed.isEmpty():
+        # Only methods that changed are written, and dealt anew.
+        touched = F.bool_or(F.col("change").isNotNull()).over(Window.partitionBy(*key))
+        step = cut_lineage(step.withColumn("touched", touched).filter("touched").drop("touched"))
+        if step.isEmpty():
             break
-        changes.append(changed.select(*method_key(instructions), "idx", "change"))
-        touched = changed.select(*method_key(instructions)).distinct()
-        work = (
-            step.join(touched, method_key(instructions), "left_semi")
-            .filter(F.col("change").isNull() | (F.col("change") == "GOTO"))
-            .select(*method_key(instructions), "idx", F.when(F.col("change") == "GOTO", 167).otherwise(op).alias("opcode"))
-        )
+        changes.append(step.filter(F.col("change").isNotNull()).select(*key, "idx", "change"))
+        left = step.filter(F.col("change").isNull() | (F.col("change") == "GOTO"))
+        work = dealt(left.select(*key, "idx", F.when(F.col("change") == "GOTO", 167).otherwise(op).alias("opcode")), *key, like=step)
     if not changes:
         none = instructions.limit(0).select(F.lit("").alias("pass"), F.lit("").alias("counter"), F.lit(0).cast("long").alias("n"))
         return instructions, none
     edits = changes[0]
     for more in changes[1:]:
         edits = edits.unionByName(more)
-    joined = instructions.join(edits, [*method_key(instructions), "idx"], "left")
+    joined = instructions.join(edits.hint("shuffle_hash"), [*key, "idx"], "left")
     is_goto = F.col("change") == "GOTO"
     out = joined.filter(F.col("change").isNull() | is_goto).select(
         *[

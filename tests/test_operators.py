@@ -189,6 +189,11 @@ def test_methods_are_dealt_by_rows(spark, monkeypatch):
     assert rows.rdd.getNumPartitions() == 40
     homes = rows.select("method", F.spark_partition_id().alias("p")).distinct()
     assert homes.count() == 400
+    insns = code(spark, {"opcode": 4}, {"opcode": 153}, {"opcode": 177})
+    for _ in range(6):
+        insns = insns.unionByName(insns.withColumn("method", F.concat("method", F.lit("x"))))
+    out, counts = Z.simplify_opaque_predicates(insns.withColumn("method", F.concat("method", F.length("method").cast("string"))).distinct())
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString() and counts.first()["counter"] == "branches-dropped"
 
 
 def test_ordered_helpers(spark):
