@@ -6,6 +6,9 @@ pass only shuffles the columns it decides on, and only for methods it can touch.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from codelode.functions import scalars as S
 from codelode.functions.access import bit
 from codelode.operators.identity import class_key, definitions, method_key
 from codelode.operators.ordered import number_rows
-from codelode.session import cut_lineage, dealt
+from codelode.session import cut_lineage, dealt, small_batches
 
 KOTLIN = "Lkotlin/Metadata;"
 
@@ -369,11 +372,6 @@ def inline_call_results(instructions: DataFrame, methods: DataFrame) -> tuple[Da
 # --- control flow ------------------------------------------------------------------------------
 
 
-def _without(instructions: DataFrame, removed: DataFrame) -> DataFrame:
-    at = [*method_key(instructions, removed), "idx"]
-    return instructions.join(removed.select(*at), at, "left_anti")
-
-
 def simplify_opaque_predicates(instructions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """IFEQ/IFNE behind a literal 0 or 1: always taken becomes GOTO, never taken goes away.
 
@@ -451,80 +449,72 @@ def strip_after_terminators(instructions: DataFrame, try_catch: DataFrame) -> tu
     )
 
 
-def _flow_edges(code: DataFrame, try_catch: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """``(edges, malformed)`` of ``code (*key, idx, opcode, label, jump_targets, run, prev)``.
-
-    An edge ``(*key, run, last, to_run, to)`` says: who has entered the run at or before ``last`` also gets to position ``to`` of run
-    ``to_run`` (null where the label is missing).  Malformed are methods whose handlers lack a start or a handler.
-    """
-    labels = code.filter(F.col("label").isNotNull()).groupBy(*key, "label").agg(F.max(F.struct("idx", "run", "prev")).alias("at"))
-    at = lambda name, fields: labels.select(*key, F.col("label").alias(f"{name}_label"), *[F.col(f"at.{f}").alias(f"{name}_{f}") for f in fields])
-    jumps = (
-        code.filter((F.col("opcode") >= 0) & (F.size("jump_targets") > 0))
-        .select(*key, "run", F.col("idx").alias("last"), F.explode("jump_targets").alias("to_label"))
-        .join(at("to", ["idx", "run"]), [*key, "to_label"], "left")
-        .select(*key, "run", "last", "to_run", F.col("to_idx").alias("to"))
-    )
-    spans = (
-        try_catch.select(*key, "start_label", "end_label", "handler_label")
-        .join(code.select(*key).distinct(), key, "left_semi")
-        .join(at("start", ["idx"]), [*key, "start_label"], "left")
-        .join(at("end", ["idx", "prev"]), [*key, "end_label"], "left")
-        .join(at("handler", ["idx", "run"]), [*key, "handler_label"], "left")
-    )
-    known = F.col("start_idx").isNotNull() & F.col("handler_idx").isNotNull()
-    runs = code.groupBy(*key, "run").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
-    # A run is covered up to its end, or to the row before the end label.
-    covered = F.when(F.col("end_idx").isNull() | (F.col("end_idx") > F.col("last_idx")), F.col("last_idx")).when(F.col("end_idx") > F.col("first_idx"), F.col("end_prev"))
-    handlers = (
-        spans.filter(known).join(runs, key).withColumn("last", covered).filter(F.col("last") >= F.col("start_idx"))
-        .select(*key, "run", "last", F.col("handler_run").alias("to_run"), F.col("handler_idx").alias("to"))
-    )
-    return jumps.unionByName(handlers), spans.filter(~known).select(*key).distinct()
+def _unreached(rows: list[dict], handlers: list[dict]) -> list[int]:
+    """Positions of one method that control never gets to; none where its flow is not known."""
+    rows.sort(key=lambda r: r["idx"])
+    labels = {r["label"]: i for i, r in enumerate(rows) if r["label"] is not None}
+    spans = [(labels.get(h["start_label"]), labels.get(h["end_label"], len(rows)), labels.get(h["handler_label"])) for h in handlers]
+    if any(start is None or to is None for start, _, to in spans):
+        return []
+    reached, open_ = bytearray(len(rows)), [0]
+    while open_:
+        first = at = open_.pop()
+        while at < len(rows) and not reached[at]:
+            reached[at] = 1
+            for label in rows[at]["jump_targets"] or ():
+                if label not in labels:
+                    return []
+                open_.append(labels[label])
+            at += 1
+            if rows[at - 1]["ends"]:
+                break
+        else:
+            if at == len(rows):
+                return []
+        # A handler is entered once anything it covers is.
+        covers = [max(start, first) < min(end, at) for start, end, _ in spans]
+        if any(covers):
+            open_ += [to for (_, _, to), c in zip(spans, covers) if c]
+            spans = [s for s, c in zip(spans, covers) if not c]
+    return [r["idx"] for i, r in enumerate(rows) if not reached[i] and not r["marker"]]
+
+
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, handlers = batch.column("rows"), batch.column("handlers")
+        removed = [_unreached(rows[i].as_py(), handlers[i].as_py()) for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(i) for i in range(batch.num_columns - 2)], pa.array(removed, pa.list_(pa.int64()))],
+            names=[*batch.schema.names[:-2], "removed"],
+        )
 
 
 def remove_dead_code(instructions: DataFrame, try_catch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drop instructions unreachable over flow and handler edges; labels and lines stay.
 
-    A method is cut into runs that end after each instruction that never falls through.  Who enters a run reaches all that follows in
-    it, so a run is known by its first entered position, and only jumps and handlers lead from run to run.  All methods
-    that can have dead code take part in one search: a round moves entries along the edges of runs that were entered
-    earlier than before.  Methods whose flow runs into a missing label or off the end stay as they are.
+    Methods that can have dead code are gathered, one row each, which 65 535 bytes of code bound, and searched where they are: instructions
+    and handlers meet in one shuffle, and no round goes over all methods.  Methods whose flow runs into a missing label or off the end, or
+    whose handlers lack a start or a handler, stay as they are.
     """
     key = method_key(instructions, try_catch)
     op = F.col("opcode")
-    shape = instructions.groupBy(*key).agg(
-        F.min(F.when(op.isin(TERMINATORS), F.col("idx"))).alias("stop"), F.max(F.when(op >= 0, F.col("idx"))).alias("last")
+    ends, real = F.coalesce(op.isin(TERMINATORS), F.lit(False)), F.coalesce(op >= 0, F.lit(False))
+    row = F.struct(
+        F.col("idx").cast("long").alias("idx"), "label", F.when(real & (F.size("jump_targets") > 0), F.col("jump_targets")).alias("jump_targets"),
+        ends.alias("ends"), F.coalesce(F.col("pseudo_kind").isin("LABEL", "LINE"), F.lit(False)).alias("marker"),
     )
-    suspects = shape.filter(F.col("stop") < F.col("last")).select(*key)
-    marker = F.coalesce(F.col("pseudo_kind").isin("LABEL", "LINE"), F.lit(False))
-    ended = F.coalesce(F.sum(op.isin(TERMINATORS).cast("int")).over(_before(instructions)), F.lit(0))
-    code = cut_lineage(
-        instructions.select(*key, "idx", "opcode", "label", "jump_targets", marker.alias("marker"))
-        .join(suspects, key, "left_semi")
-        .withColumn("run", ended.cast("int"))
-        .withColumn("prev", F.lag("idx").over(_flow(instructions)))
+    handler = F.struct("start_label", "end_label", "handler_label")
+    small_batches(instructions.sparkSession)
+    both = instructions.select(
+        *key, row.alias("row"), F.when(ends, F.col("idx")).alias("stop"), F.when(real, F.col("idx")).alias("real"), F.lit(None).alias("handler")
+    ).unionByName(
+        try_catch.select(*key, F.lit(None).alias("row"), F.lit(None).alias("stop"), F.lit(None).alias("real"), handler.alias("handler"))
     )
-    edges, malformed = _flow_edges(code, try_catch, key)
-    edges = cut_lineage(edges)
-    entered = cut_lineage(code.groupBy(*key).agg(F.min("idx").alias("entry")).withColumn("run", F.lit(0)).withColumn("news", F.lit(True)))
-    node = [*key, "run"]
-    while True:
-        moved = (
-            entered.filter("news").join(edges, node).filter("entry <= last and to_run is not null")
-            .groupBy(*key, F.col("to_run").alias("run")).agg(F.min("to").alias("to"))
-        )
-        news = F.coalesce(F.col("to") < F.col("entry"), F.col("to").isNotNull())
-        entered = cut_lineage(entered.drop("news").join(moved, node, "full").select(*node, F.least("entry", "to").alias("entry"), news.alias("news")))
-        if entered.filter("news").isEmpty():
-            break
-    entered = entered.drop("news")
-    lost = edges.filter("to_run is null").join(entered, node).filter("entry <= last").select(*key)
-    tail = code.groupBy(*key).agg(F.max(F.struct("idx", "run", op.isin(TERMINATORS).alias("ends"))).alias("t"))
-    fallen = tail.filter(~F.col("t.ends")).select(*key, F.col("t.run").alias("run")).join(entered, node, "left_semi").select(*key)
-    removed = (
-        code.join(entered, node, "left").filter((F.col("entry").isNull() | (F.col("idx") < F.col("entry"))) & ~F.col("marker"))
-        .join(malformed.unionByName(lost).unionByName(fallen).distinct(), key, "left_anti")
-        .select(*key, "idx")
-    )
-    return _without(instructions, removed), counter(removed, "dead-code-removal", "instructions-removed")
+    methods = dealt(both, *key, like=instructions).groupBy(*key).agg(
+        F.min("stop").alias("stop"), F.max("real").alias("last"), F.collect_list("row").alias("rows"), F.collect_list("handler").alias("handlers")
+    ).filter(F.col("stop") < F.col("last")).select(*key, "rows", "handlers")
+    types = {c: instructions.schema[c].dataType.simpleString() for c in key}
+    dead = methods.mapInArrow(_searched, ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", removed array<bigint>")
+    dead = dead.filter(F.size("removed") > 0)
+    kept = instructions.join(dead.hint("shuffle_hash"), key, "left").filter(F.col("removed").isNull() | ~F.array_contains("removed", F.col("idx").cast("long")))
+    return kept.select(*instructions.columns), counter(dead, "dead-code-removal", "instructions-removed", F.size("removed"))

@@ -180,6 +180,28 @@ def test_dead_code(spark):
     assert Z.remove_dead_code(falls_off, handlers)[0].count() == 4
 
 
+def test_dead_code_behind_back_jumps_takes_no_rounds(spark):
+    """Thirty runs that are entered last to first, one that nothing enters, and handlers within the code they cover."""
+    label = lambda n: {"opcode": -1, "pseudo_kind": "LABEL", "label": n}
+    jump = lambda n: {"opcode": 167, "jump_targets": [n]}
+    rows = [jump(29), {"opcode": 0}, label(0), {"opcode": 177}]
+    for n in range(1, 30):
+        rows += [label(n), jump(n - 1)]
+    kind = "archive_id string, owner string, method string, desc string, start_label int, end_label int, handler_label int"
+    handlers = lambda *spans: spark.createDataFrame([("a", "A", "m", "()V", *s) for s in spans], kind)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("dead", "dead")
+    out, counts = Z.remove_dead_code(code(spark, *rows), handlers())
+    assert sorted(r["idx"] for r in out.collect()) == [i for i in range(len(rows)) if i != 1]
+    assert len(tracker.getJobIdsForGroup("dead")) < 15
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert counts.first()["n"] == 1
+    caught = code(spark, label(1), {"opcode": 177}, label(2), {"opcode": 0}, {"opcode": 177}, {"opcode": 1})
+    left = lambda *spans: sorted(r["idx"] for r in Z.remove_dead_code(caught, handlers(*spans))[0].collect())
+    assert left((1, 2, 2)) == [0, 1, 2, 3, 4] and left((2, None, 2)) == [0, 1, 2] and left((1, 1, 2)) == [0, 1, 2]
+    assert left((1, 2, 9)) == left((9, 2, 2)) == [0, 1, 2, 3, 4, 5] and left((2, 2, 1), (1, None, 2)) == [0, 1, 2, 3, 4]
+
+
 def test_methods_are_dealt_by_rows(spark, monkeypatch):
     """Tasks grow in number with the rows; a method stays whole."""
     from codelode import session
