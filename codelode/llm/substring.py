@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.common import forget, stored
@@ -40,22 +40,14 @@ def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
 def _seeder(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            hashes, bounds = word_hashes(data, offsets)
-            starts, ends, _ = word_spans(data, offsets)
-            counts, digests, keys = [], [], []
-            for i, (low, grams, at) in enumerate(_grams(hashes, bounds, length, gram)):
-                high = int(bounds[i + 1])
-                counts.append(high - low)
-                digests.append(hashlib.sha256(_joined(data, starts[low:high], ends[low:high])).hexdigest())
-                keys.append(np.unique(grams[at]))
+            hashes, bounds = word_hashes(*text_bytes(batch.column(1)))
+            keys = [np.unique(grams[at]) for _, grams, at in _grams(hashes, bounds, length, gram)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()),
-                 lists(np.concatenate(keys) if keys else np.zeros(0, np.uint64), [len(k) for k in keys])],
-                names=["doc_id", "n_words", "whole_sha256", "anchors"],
-            )
+                [batch.column(0), lists(np.concatenate(keys) if keys else np.zeros(0, np.uint64), [len(k) for k in keys])],
+                names=["doc_id", "anchors"],
+            )
 
-    return run, "doc_id long, n_words long, whole_sha256 string, anchors array<long>"
+    return run, "doc_id long, anchors array<long>"
 
 
 def _blocker(length: int, gram: int):
@@ -131,28 +123,30 @@ def repeated_spans(docs: DataFrame, length: int = 13, gram: int = 5) -> DataFram
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seed, schema = _seeder(length, gram)
-    seeded = stored(docs.mapInArrow(seed, schema), "seeded")
-    slots = seeded.where("doc_id is not null").select("doc_id", F.explode("anchors").alias("anchor"))
+    seeded = stored(docs.where("doc_id is not null").mapInArrow(seed, schema), "seeded")
+    slots = seeded.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = slots.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     shared = stored(shared, "shared")
     met = stored(slots.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "met")
-    forget(shared)
+    forget(seeded, shared)
     block, schema = _blocker(length, gram)
     blocks = stored(docs.join(met, "doc_id").mapInArrow(block, schema), "blocks")
+    forget(met)
     # Copies of a passage have equal blocks, so only distinct blocks are taken apart into windows.
-    same = blocks.groupBy("anchor", "block").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("seqs").alias("seqs"))
-    windows = stored(same.select("anchor", "block", "low", "high", F.posexplode("seqs").alias("k", "seq")), "windows")
-    first = windows.groupBy("anchor", "seq").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last")
-    known = windows.join(first.select("anchor", "seq", "first"), ["anchor", "seq"])
+    same = stored(
+        blocks.groupBy("anchor", "block").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("seqs").alias("seqs")), "same"
+    )
+    places = stored(blocks.drop("seqs"), "places")
+    forget(blocks)
+    equal = Window.partitionBy("anchor", "seq")
+    windows = same.select("anchor", "block", "low", "high", F.posexplode("seqs").alias("k", "seq"))
+    known = windows.select("anchor", "block", "k", F.min("low").over(equal).alias("first"), F.max("high").over(equal).alias("last")).where("first < last")
     known = stored(known.groupBy("anchor", "block").agg(F.collect_list(F.struct("k", "first")).alias("known")), "known")
+    forget(same)
     earlier = F.transform(F.filter("known", lambda w: w["first"] < F.col("doc_id")), lambda w: F.col("start") + w["k"])
-    hits = blocks.drop("seqs").join(known, ["anchor", "block"]).select("doc_id", earlier.alias("starts")).where(F.size("starts") > 0)
+    hits = places.join(known, ["anchor", "block"]).select("doc_id", earlier.alias("starts")).where(F.size("starts") > 0)
     covered = stored(hits.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "covered")
-    forget(blocks, windows, known, met)
+    forget(places, known)
     cut, schema = _cutter(length)
-    changed = docs.join(covered, "doc_id").mapInArrow(cut, schema)
-    kept = seeded.join(covered.select("doc_id"), "doc_id", "left_anti").select(
-        "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256"),
-        F.array().cast("array<struct<start:long,length:long>>").alias("spans"),
-    )
-    return changed.unionByName(kept)
+    none = F.array().cast("array<int>")
+    return docs.join(covered, "doc_id", "left").withColumn("starts", F.coalesce("starts", none)).mapInArrow(cut, schema)

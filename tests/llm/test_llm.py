@@ -1,6 +1,7 @@
 """The training-data operators on small inputs: brute force, awkward rows, empty tables."""
 
 import hashlib
+import os
 import itertools
 import re
 
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from codelode.session import shared_folder
 from codelode.llm import decontaminate, linededup, minhash, mixing, pii, quality, sharding, substring, suffixarray, topk
 
 SF = "/root/testdata/sf0.001"
@@ -296,3 +298,13 @@ def test_driver_sees_the_fitted_model_only(spark, labels, docs, monkeypatch):
     assert set(want["heads"]) == set(quality.HEADS) and len(want["heads"]["quality"][1]) == quality.SHAPE + 1
     monkeypatch.setattr(DataFrame, "toArrow", lambda self: pytest.fail("features came to the driver"))
     assert quality.fit(docs, labels)["heads"].keys() == want["heads"].keys()
+
+
+def _steps(spark):
+    return {f for f in os.listdir(shared_folder(spark).removeprefix("file:")) if "-" in f}
+
+
+def test_span_steps_are_dropped(spark, docs):
+    before = _steps(spark)
+    substring.repeated_spans(docs).count()
+    assert {f.split("-")[0] for f in _steps(spark) - before} == {"covered"}
