@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codelode.llm.common import forget, stored, words
 
 FIELD = "<*>"
+NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -15,10 +16,15 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _tokens(min_tokens: int):
-    """The tokens of a line; of ``min_tokens`` or more, those with digits are variable fields."""
-    plain = words(F.col("line"))
+    """The tokens of a line in ``plain`` form; of ``min_tokens`` or more, those with digits are variable fields."""
+    plain = F.col("plain")
     masked = F.transform(plain, lambda t: F.when(F.regexp_like(t, F.lit("[0-9]")), F.lit(FIELD)).otherwise(t))
-    return F.when(F.size(plain) < min_tokens, plain).otherwise(masked)
+    # Most lines have no digit at all, which one look at the line tells.
+    return F.when((F.size(plain) < min_tokens) | ~F.regexp_like("line", F.lit("[0-9]")), plain).otherwise(masked)
+
+
+def _split(lines: DataFrame, min_tokens: int) -> DataFrame:
+    return lines.withColumn("plain", words(F.col("line"))).withColumn("tokens", _tokens(min_tokens))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 4, depth: int = 2, constant: float = 0.6) -> DataFrame:
@@ -34,7 +40,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 4, dep
     rows that repeat a doc_id count as one document.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tokens = _lines(docs).withColumn("tokens", _tokens(min_tokens)).where(F.size("tokens") > 0)
+    # Blank lines go by a look at the line; what has tokens is split once, its columns not being merged with those made of them.
+    tokens = _split(_lines(docs).where(F.regexp_like("line", F.lit(NOT_BLANK))), min_tokens)
     short = F.size("tokens") < min_tokens
     leaf = F.xxhash64(F.size("tokens"), F.when(short, F.col("tokens")).otherwise(F.slice("tokens", 1, depth)))
     digest = F.unhex(F.md5(F.array_join("tokens", " ").cast("binary")))
@@ -50,7 +57,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 4, dep
         .select("w.digest", F.element_at("all", F.col("w.line_no") + 1).alias("line"))
         .dropDuplicates(["digest"])
     )
-    known = stored(taken.select("digest", _tokens(min_tokens).alias("tokens")).join(per_line, "digest"), "known")
+    known = stored(_split(taken, min_tokens).select("digest", "tokens").join(per_line, "digest"), "known")
     slots = known.where(F.size("tokens") >= min_tokens).select("leaf", "digest", "n", F.posexplode("tokens").alias("pos", "token"))
     support = slots.where(F.col("token") != FIELD).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("s")).where(F.col("s") >= min_docs)
     fixed = slots.join(support, ["leaf", "pos", "token"]).groupBy("digest").agg(F.collect_list("pos").alias("fixed"))

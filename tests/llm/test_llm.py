@@ -308,3 +308,11 @@ def test_span_steps_are_dropped(spark, docs):
     before = _steps(spark)
     substring.repeated_spans(docs).count()
     assert {f.split("-")[0] for f in _steps(spark) - before} == {"covered"}
+
+
+def test_lines_are_split_once(spark):
+    lines = spark.createDataFrame([("a 1 b c",), (" \t\x0b ",), ("x y",)], "line string")
+    rows = linededup._split(lines.where(F.regexp_like("line", F.lit(linededup.NOT_BLANK))), 4)
+    assert [r.tokens for r in rows.collect()] == [["a", "<*>", "b", "c"], ["x", "y"]]
+    plan = rows.select(F.size("tokens"), F.hash("tokens"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
