@@ -104,15 +104,21 @@ def _holders(docs: DataFrame, met: DataFrame, length: int) -> DataFrame:
     run, schema = _blocker(length, BLOCK)
     blocks = stored(docs.join(met, "doc_id").mapInArrow(run, schema), "blocks")
     place = F.struct("doc_id", "start")
-    same = blocks.groupBy("anchor", "block").agg(F.min(place).alias("low"), F.max("doc_id").alias("high"), F.first("seqs").alias("seqs"))
-    windows = stored(same.select("anchor", "block", "low", "high", F.posexplode("seqs").alias("k", "seq")), "windows")
+    same = stored(
+        blocks.groupBy("anchor", "block").agg(F.min(place).alias("low"), F.max("doc_id").alias("high"), F.first("seqs").alias("seqs")), "same"
+    )
+    places = stored(blocks.drop("seqs"), "places")
+    forget(blocks)
+    windows = same.select("anchor", "block", "low", "high", F.posexplode("seqs").alias("k", "seq"))
     at = F.struct(F.col("low.doc_id").alias("doc_id"), (F.col("low.start") + F.col("k")).cast("long").alias("pos"))
-    first = windows.groupBy("anchor", "seq").agg(F.min(at).alias("y"), F.max("high").alias("last")).where("y.doc_id < last")
+    equal = Window.partitionBy("anchor", "seq")
+    first = windows.select("anchor", "block", "k", F.min(at).over(equal).alias("y"), F.max("high").over(equal).alias("last")).where("y.doc_id < last")
     # Windows of a block that lead to one place of one document along one shift are one candidate.
     shift = F.col("y.pos") - F.col("k")
-    known = windows.join(first, ["anchor", "seq"]).groupBy("anchor", "block", F.col("y.doc_id").alias("first_id"), shift.alias("shift")).agg(F.min("k").alias("k"))
+    known = first.groupBy("anchor", "block", F.col("y.doc_id").alias("first_id"), shift.alias("shift")).agg(F.min("k").alias("k"))
     known = stored(known, "holders")
-    met_at = blocks.select("doc_id", "start", "anchor", "block").join(known, ["anchor", "block"]).where("doc_id <> first_id")
+    forget(same)
+    met_at = places.join(known, ["anchor", "block"]).where("doc_id <> first_id")
     pos = (F.col("start") + F.col("k")).cast("long")
     out = stored(
         met_at.select(
@@ -121,7 +127,7 @@ def _holders(docs: DataFrame, met: DataFrame, length: int) -> DataFrame:
         ),
         "held",
     )
-    forget(blocks, windows, known)
+    forget(places, known)
     return out
 
 
@@ -170,12 +176,16 @@ def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     several = placed.where("first.doc_id < last.doc_id").select(*[F.col(c).alias(f"_{c}") for c in order], "first")
     equal = reduce(lambda p, q: p & q, [F.col(c) == F.col(f"_{c}") for c in order])
     copies = suffixes.join(several, equal).select(at.alias("x"), F.col("first").alias("y"))
-    found = neighbours.unionByName(copies).unionByName(_holders(docs, met, length)).where("x.doc_id <> y.doc_id").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+    near = stored(neighbours.unionByName(copies), "near")
+    # What the suffix order took is gone before windows are taken apart.
+    forget(suffixes, placed)
+    held = _holders(docs, met, length)
+    found = near.unionByName(held).where("x.doc_id <> y.doc_id").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
     tried = stored(
         found.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.collect_set(F.col("x.pos") - F.col("y.pos")).alias("shifts")),
         "tried",
     )
-    forget(suffixes, placed, met)
+    forget(near, held, met)
     run, schema = _extender(length)
     joined = tried.join(docs.toDF("a", "text_a"), "a").join(docs.toDF("b", "text_b"), "b")
     return joined.mapInArrow(run, schema).distinct()
