@@ -320,7 +320,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK_BY
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with arrow_rows(docs.sparkSession, ARROW_ROWS):
-        coded = stored(texts.mapInArrow(_encoder(path_a, path_b, block_bytes), _BLOCK), "coded")
+        coded = stored(texts.mapInArrow(_encoder(path_a, path_b, block_bytes), _BLOCK), "coded", compression="zstd")
     pieces = len(Pieces(path_b).pieces)
     uses = coded.where("pairs is not null").select("block", F.posexplode(F.arrays_zip("pairs", "held")).alias("place", "use"))
     uses = uses.select("block", "place", F.col("use.pairs").alias("pair"), F.col("use.held").alias("held"))
