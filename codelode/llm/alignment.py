@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -193,6 +195,14 @@ class _Aligner:
         return key[new], np.add.reduceat(weight, new) if len(new) else weight, owner[new]
 
 
+@lru_cache(maxsize=1)
+def _aligner(path_a: str, path_b: str, *changed: int) -> _Aligner:
+    """One for all tasks of a worker: what the library sets aside per loaded vocabulary and thread is never returned, so a load per task adds up."""
+    # A task has one core.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return _Aligner(path_a, path_b)
+
+
 _BLOCK = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, chunks array<int>, times array<int>, pairs array<long>, held array<int>, chunk_of array<int>, pair_of array<int>, links_of array<long>"
 _NAMES = [c.split()[0] for c in _BLOCK.split(", ")]
 _TYPES = dict(zip(_NAMES, [pa.int64()] * 6 + [pa.string()] + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int64())] + [pa.list_(pa.int32())] * 3 + [pa.list_(pa.int64())]))
@@ -210,7 +220,7 @@ def _encoder(path_a: str, path_b: str, block_bytes: int):
     """Blocks of documents: a row per document with its chunks, then one row with the block's chunks, pairs and holders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _Aligner(path_a, path_b)
+        aligner = _aligner(path_a, path_b, *[os.stat(p).st_mtime_ns for p in (path_a, path_b)])
         task = TaskContext.get()
         block = (task.partitionId() if task else 0) << 32
         for batch in slices(batches, 1, block_bytes):
@@ -244,8 +254,8 @@ def _encoder(path_a: str, path_b: str, block_bytes: int):
             block += 1
             del data, starts, index, texts, row, found, printed, order, key, holder, chunk, pair_of, out, lists, times, digests
             give_back()
-        # The worker stays for later tasks, its vocabularies need not.
-        aligner = batch = None
+        # The worker stays for later tasks.
+        batch = None
         give_back()
 
     return run

@@ -84,6 +84,18 @@ def test_alignment_of_documents(spark, rows):
     assert rows(alignment.align(docs, A, B, block_bytes=100_000)[0]) == sorted(want, key=repr)
 
 
+def test_a_worker_loads_its_vocabularies_once(monkeypatch):
+    import pyarrow as pa
+
+    loads, load = [], alignment.Bytes
+    monkeypatch.setattr(alignment, "Bytes", lambda *a, **b: loads.append(a) or load(*a, **b))
+    run = alignment._encoder(A, B, 1000)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()), "text": ["one two", "two three"]})
+    first, *others = ([b.to_pydict() for b in run(iter([batch]))] for _ in range(3))
+    assert len(first) == 2 and all(x == first for x in others)
+    assert len(loads) == 1
+
+
 def test_wide_groups_count_links_without_listing_them(spark, rows, monkeypatch):
     texts = [(1, "漢字 the token"), (2, "token the 漢字 token"), (3, "zz漢字漢字 字")]
     want, _ = brute.alignment(texts, A, B)
