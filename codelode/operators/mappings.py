@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.functions import scalars as S
+from codelode.session import TASK_ROWS
 
 ITEM = ["kind", "owner", "name", "desc"]
 
@@ -114,10 +115,15 @@ def invert(mappings: DataFrame) -> DataFrame:
 
 
 class Renamer:
-    """Rename the columns of fact tables by one mapping."""
+    """Rename the columns of fact tables by one mapping.
+
+    Entries are counted first.  A mapping of more than ``TASK_ROWS`` is dealt to tasks and hashed there, while the facts pass by
+    unsorted: Spark takes a mapping for as small as the file it is made from, and would send all of it to every task, once per join.
+    """
 
     def __init__(self, mappings: DataFrame):
         self.source = mappings
+        self.large = mappings.count() > TASK_ROWS
         self.classes = _class_targets(mappings, "new_class")
         members = mappings.select("kind", "owner", "name", "desc", F.col("target").alias("new_name"))
         self.fields = members.filter(F.col("kind") == "field").drop("kind")
@@ -130,6 +136,8 @@ class Renamer:
         for key, column in pairs.items():
             keyed = keyed.withColumnRenamed(key, f"_k_{key}")
             cond = cond & (F.col(column) == F.col(f"_k_{key}"))
+        if self.large:
+            keyed = keyed.hint("shuffle_hash")
         return rows.join(keyed, cond, "left").drop(*[f"_k_{k}" for k in pairs])
 
     def class_column(self, rows: DataFrame, column: str) -> DataFrame:

@@ -268,3 +268,18 @@ def test_files_reach_python_in_batches_bounded_by_bytes(spark):
         assert spark.conf.get(name) == "1m"
     finally:
         spark.conf.set(name, before)
+
+
+def test_large_mappings_are_dealt_to_tasks_not_sent_to_each(spark, rows, monkeypatch):
+    mapping = spark.createDataFrame(
+        [("class", "A", "", "", "x/A"), ("class", "B", "", "", "x/B"), ("method", "B", "m", "()V", "run"), ("method", "A", "m", "()V", "go"), ("field", "B", "f", "", "g")],
+        "kind string, owner string, name string, desc string, target string",
+    )
+    sites = calls(spark, ("A", "B"), ("B", "C"), ("C", "A"))
+    names = lambda out: rows(out.select("in_class", "in_method", "target_owner", "target_name"))
+    joins = lambda out: out._jdf.queryExecution().executedPlan().toString()
+    small = M.Renamer(mapping).apply_call_sites(sites)
+    monkeypatch.setattr(M, "TASK_ROWS", 2, raising=False)
+    large = M.Renamer(mapping).apply_call_sites(sites)
+    assert names(large) == names(small) == [("C", "m", "x/A", "go"), ("x/A", "go", "x/B", "run"), ("x/B", "run", "C", "m")]
+    assert "ShuffledHashJoin" not in joins(small) and "ShuffledHashJoin" in joins(large) and "BroadcastHashJoin" not in joins(large)
