@@ -45,6 +45,24 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+@contextmanager
+def measured_joins(spark: SparkSession):
+    """Shuffled joins for the steps that are written inside, which AQE turns into broadcasts where it has measured a small side.
+
+    Spark sizes an exploded table as if each list had one element, so it may take a large one for small and broadcast it.
+    """
+    planned, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before, own = spark.conf.get(planned), spark.conf.get(measured, None)
+    spark.conf.set(measured, before if own is None else own)
+    spark.conf.set(planned, -1)
+    try:
+        yield
+    finally:
+        spark.conf.set(planned, before)
+        if own is None:
+            spark.conf.unset(measured)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete stored steps that nothing reads any more."""
     for df in tables:

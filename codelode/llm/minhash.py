@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.common import components, forget, stored
+from codelode.llm.common import components, forget, measured_joins, stored
 from codelode.llm.hashing import FACTORS, lists, mix, shingles, text_bytes, word_hashes
 
 #: Signature: HASHES minima, of which BITS low bits are kept; BANDS bands of ROWS whole minima name candidates.
@@ -207,7 +207,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, fold: boo
     )
     slots = classes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = slots.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    members = stored(slots.join(shared, "key"), "members")
+    with measured_joins(docs.sparkSession):
+        members = stored(slots.join(shared, "key"), "members")
     nodes = members.select("node").distinct()
     sets = stored(
         shingle_sets(docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi"), size, fold), "sets"
