@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import scalars as S
+from codelode.operators import walks
 from codelode.operators.adjacency import FAR, NEAR, Adjacency, stored_edges
 from codelode.operators.strong import strong_components
 from codelode.operators.usage import method_calls
@@ -142,6 +143,21 @@ def _first_callers(rows: DataFrame, by: list[str], per_node: int | None) -> Data
     return some.withColumn("cut", more).filter(F.col("rank") <= per_node).drop("rank")
 
 
+def _whole_dag(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``caller_dag`` without limits, of ``edges`` that fit one task and ``roots (archive_id, root)``."""
+    ends = [edges.select("archive_id", F.col(end).alias("node")) for end in ("src", "dst")]
+    salt = walks.numbered(ends[0].unionByName(ends[1]).unionByName(roots.select("archive_id", F.col("root").alias("node"))))
+    of = lambda end: walks.node_id(F.col("archive_id"), F.col(end), salt=salt)
+    known = edges.where("archive_id is not null and src is not null and dst is not null").withColumns({"src_id": of("src"), "dst_id": of("dst")})
+    asked = roots.na.drop().select("root", of("root").alias("root_id"))
+    found = walks.climbed(known.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")), asked.select(F.col("root_id").alias("root")))
+    found = found.withColumnsRenamed({"root": "root_id", "src": "src_id", "dst": "dst_id"})
+    return known.join(found, ["src_id", "dst_id"]).join(asked, "root_id").select(
+        "archive_id", "root", F.col("src").alias("caller"), F.col("dst").alias("callee"), "level", "line", F.col("n").alias("sites"), "cyclic",
+        F.lit(False).alias("truncated"),
+    )
+
+
 def caller_dag(
     call_sites: DataFrame | Adjacency, roots: DataFrame, depth: int | None = None, per_node: int | None = None
 ) -> DataFrame:
@@ -151,6 +167,7 @@ def caller_dag(
     the root over this edge, ``line`` that of the edge's first site, and ``cyclic`` says that the callee also reaches the caller, so
     following callers up this edge would come back.  Each method is expanded once per root, at its first level, so there are as
     many rows as edges however many ways lead up.  Takes call sites, or the table that ``Adjacency.build(method_edges(...), path)`` wrote.
+    Without limits, one task walks a table of few edges as numbers; a larger one takes a round of joins per level.
 
     There is no limit unless the caller sets one: ``depth`` ends the walk, ``per_node`` keeps the first callers of a method by
     key.  ``truncated`` marks rows whose callee has more callers than shown, or whose caller was not expanded although it has some.
@@ -159,6 +176,10 @@ def caller_dag(
     by = ["archive_id", "root"]
     key = S.method_key(F.col("owner"), F.col("name"), F.col("desc"))
     frontier = cut_lineage(roots.select("archive_id", key.alias("root"), key.alias("node")).distinct())
+    if depth is None and per_node is None:
+        edges = table.edges.where("way = 'IN'")
+        if edges.count() * frontier.count() <= walks.TASK_EDGES:
+            return _whole_dag(edges, frontier.select(*by))
     seen, steps, level = frontier, [], 0
     while (buckets := table.touched(frontier)) and (depth is None or level < depth):
         level += 1

@@ -94,6 +94,42 @@ def test_caller_dag_without_limits(spark, tmp_path):
     assert dag.where("truncated").count() == 0 and dag.where("level > 5").count() > 2
 
 
+def test_a_deep_dag_takes_few_jobs(spark, tmp_path, monkeypatch):
+    steps = []
+    cut = G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: steps.append(1) or cut(df))
+    edges = [(f"d{i + 1}", f"d{i}") for i in range(25)] + [("d3", "d20"), ("d7", "d7"), ("out", "else")]
+    root = spark.createDataFrame([("a", "d0", "m", "()V")], ROOT)
+    dag = G.caller_dag(table(spark, tmp_path, edges), root)
+    name = lambda key: key.split("#")[0]
+    assert {(name(r.caller), name(r.callee)): (r.level, r.cyclic) for r in dag.collect()} == plain_dag(edges, "d0")
+    assert len(steps) <= 2
+
+
+def test_one_task_and_rounds_of_joins_find_the_same_dag(spark, rows, monkeypatch):
+    rnd = random.Random(11)
+    pairs = {(f"n{rnd.randrange(30)}", f"n{rnd.randrange(30)}") for _ in range(36)}
+    sites = calls(spark, *sorted(pairs | {("n10", "n3"), ("n11", "n7"), ("n3", "n12")}))
+    sites = sites.unionByName(sites.where("in_class < 'n2'").withColumn("archive_id", F.lit("b")))
+    sites = sites.unionByName(sites.where("in_class < 'n15'").withColumn("archive_id", F.lit(None).cast("string")))
+    named = [("a", "n3"), ("a", "n3"), ("a", "n7"), ("b", "n3"), ("b", "nowhere"), (None, "n3"), ("a", None)]
+    root = spark.createDataFrame([(a, o, "m", "()V") for a, o in named], ROOT)
+    one = G.caller_dag(sites, root)
+    monkeypatch.setattr(G.walks, "TASK_EDGES", -1)
+    many = G.caller_dag(sites, root)
+    assert one.dtypes == many.dtypes and rows(one) == rows(many)
+    assert {(r.archive_id, r.root[:2]) for r in one.collect()} == {("a", "n3"), ("a", "n7"), ("b", "n3")}
+
+
+def test_ids_that_clash_are_salted_anew(spark, monkeypatch):
+    real = G.walks.node_id
+    clash = lambda *name, salt: F.lit(1).cast("long") if salt < 2 else real(*name, salt=salt)
+    monkeypatch.setattr(G.walks, "node_id", clash)
+    root = spark.createDataFrame([("a", "t", "m", "()V")], ROOT)
+    dag = G.caller_dag(calls(spark, ("x", "t"), ("y", "x"), ("z", "w")), root)
+    assert {(r.caller[0], r.callee[0]): (r.level, r.cyclic) for r in dag.collect()} == {("x", "t"): (1, False), ("y", "x"): (2, False)}
+
+
 def test_caller_dag_says_where_it_was_cut(spark):
     root = spark.createDataFrame([("a", "t", "m", "()V")], ROOT)
     edges = [("a", "t"), ("b", "t"), ("c", "t"), ("d", "a"), ("e", "d"), ("f", "b")]
